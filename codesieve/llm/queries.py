@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from codesieve.llm.common import table
 from codesieve.llm.html_text import extract_text
+from codesieve.llm import toxicity
+from codesieve.llm.media import media_digests, text_to_media
+from codesieve.llm.secret_scan import scan_secrets
 from codesieve.llm.url_filter import judge_urls
 
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -24,7 +27,21 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, URL_LIST)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_html_text": op1_html_text, "op2_url_filter": op2_url_filter}
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(text_to_media(table(spark, sf_dir, "documents")))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted", "n_sentences", F.array_join(F.transform("offending", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("offending"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_html_text": op1_html_text, "op2_url_filter": op2_url_filter, "op3_secret_scan": op3_secret_scan, "op5_media_columns": op5_media_columns, "op9_toxicity": op9_toxicity}
 
 SQL: dict[str, str] = {
     "op2_url_filter": """
