@@ -101,6 +101,18 @@ class Words:
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=sums[1:])
         return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
 
+    def prefixes(self, sizes: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each size the words that are longer, and the hashes of their first bytes."""
+        up, down = _Powers.upto(len(self.data) + 1)
+        sums = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=sums[1:])
+        out = []
+        for size in sizes:
+            longer = np.flatnonzero(self.ends - self.starts > size)
+            at = self.starts[longer]
+            out.append((longer, mix((sums[at + size] - sums[at]) * down[at] + np.uint64(size))))
+        return out
+
     def grams(self, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of ``size`` words within one text, and the index of each run's first word."""
         n = len(hashes) - size + 1
