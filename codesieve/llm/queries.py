@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from codesieve.llm.common import table
 from codesieve.llm.html_text import extract_text
-from codesieve.llm import toxicity
+from codesieve.llm import bpe, toxicity
+from codesieve.llm.license_scan import scan_licenses
 from codesieve.llm.media import media_digests, text_to_media
 from codesieve.llm.secret_scan import scan_secrets
 from codesieve.llm.url_filter import judge_urls
@@ -19,6 +20,13 @@ URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net"
 URL_LIST = [("spam-farm.example.org", "", "block"), ("cheap-pills.example.com", "", "block"), ("casino-win.example.com", "", "block")]
 
 
+def tokenizer_path() -> str:
+    """The tokenizer of the query; its file is never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
@@ -41,7 +49,16 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted", "n_sentences", F.array_join(F.transform("offending", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("offending"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_html_text": op1_html_text, "op2_url_filter": op2_url_filter, "op3_secret_scan": op3_secret_scan, "op5_media_columns": op5_media_columns, "op9_toxicity": op9_toxicity}
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+    return bpe.token_digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_html_text": op1_html_text, "op2_url_filter": op2_url_filter, "op3_secret_scan": op3_secret_scan, "op5_media_columns": op5_media_columns, "op8_license_scan": op8_license_scan, "op9_toxicity": op9_toxicity, "op10_bpe": op10_bpe}
 
 SQL: dict[str, str] = {
     "op2_url_filter": """
