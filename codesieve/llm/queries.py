@@ -13,6 +13,7 @@ from codesieve.llm.html_text import extract_text
 from codesieve.llm import bpe, toxicity
 from codesieve.llm.license_scan import scan_licenses
 from codesieve.llm.media import media_digests, text_to_media
+from codesieve.llm.near_dup import duplicate_classes
 from codesieve.llm.secret_scan import scan_secrets
 from codesieve.llm.substring_dedup import dedup_windows, digest_kept
 from codesieve.llm.url_filter import judge_urls
@@ -59,6 +60,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_kept(dedup_windows(table(spark, sf_dir, "documents")))
 
 
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -68,7 +73,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_html_text": op1_html_text, "op2_url_filter": op2_url_filter, "op3_secret_scan": op3_secret_scan, "op4_decontamination": op4_decontamination, "op5_media_columns": op5_media_columns, "op6_substring_dedup": op6_substring_dedup, "op8_license_scan": op8_license_scan, "op9_toxicity": op9_toxicity, "op10_bpe": op10_bpe}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_html_text": op1_html_text, "op2_url_filter": op2_url_filter, "op3_secret_scan": op3_secret_scan, "op4_decontamination": op4_decontamination, "op5_media_columns": op5_media_columns, "op6_substring_dedup": op6_substring_dedup, "op7_near_dup": op7_near_dup, "op8_license_scan": op8_license_scan, "op9_toxicity": op9_toxicity, "op10_bpe": op10_bpe}
 
 SQL: dict[str, str] = {
     "op2_url_filter": """
