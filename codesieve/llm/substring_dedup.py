@@ -84,11 +84,16 @@ def _group(keys: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
 
 
-def _by_document(docs: np.ndarray, values: np.ndarray, name: str) -> pa.RecordBatch:
-    """(doc_id, values) with one row for each document."""
-    order = np.argsort(docs, kind="stable")
-    ids, counts = np.unique(docs[order], return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(ids), list_array(values[order], counts)], names=["id", name])
+def _by_document(sent: DataFrame, name: str, buckets: int) -> DataFrame:
+    """(id, values): one row for each document of what ``sent`` has for it, bucketed by document."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, docs, _ = _entries(batches)
+        order = np.argsort(docs, kind="stable")
+        ids, counts = np.unique(docs[order], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), list_array(values[order], counts)], names=["id", name])
+
+    return sent.repartition(buckets, "bucket").mapInArrow(gather, f"id bigint, {name} array<bigint>")
 
 
 def shared_minimizers(docs: DataFrame, buckets: int) -> DataFrame:
@@ -128,10 +133,11 @@ def shared_minimizers(docs: DataFrame, buckets: int) -> DataFrame:
         if len(asked):
             differs = (doc != doc[begin]) | (mark == SHARED)
             shared = np.isin(begin, begin[differs], kind="table")
-        yield _by_document(np.concatenate([doc[shared], ids[known]]), np.concatenate([asked[shared], keys[known]]), "minimizers")
+        docs, values = np.concatenate([doc[shared], ids[known]]), np.concatenate([asked[shared], keys[known]])
+        yield _bucketed(docs, values, docs, np.zeros(len(docs)), buckets)
 
     sent = docs.mapInArrow(send, _ENTRY).repartition(buckets, "bucket")
-    return sent.mapInArrow(meet, "id bigint, minimizers array<bigint>").groupBy("id").agg(F.flatten(F.collect_list("minimizers")).alias("minimizers"))
+    return _by_document(sent.mapInArrow(meet, _ENTRY), "minimizers", buckets)
 
 
 def repeated_windows(docs: DataFrame, candidates: DataFrame, buckets: int) -> DataFrame:
@@ -183,10 +189,10 @@ def repeated_windows(docs: DataFrame, candidates: DataFrame, buckets: int) -> Da
         start = np.concatenate([place[first], -1 - places[known]]).astype(np.int64)
         end = np.concatenate([place[last], -1 - places[known] + keys[known]]).astype(np.int64)
         docs, runs = np.concatenate([doc[first], ids[known]]), (start << 32) | end
-        yield _by_document(docs, runs, "runs")
+        yield _bucketed(docs, runs, docs, np.zeros(len(docs)), buckets)
 
     sent = docs.join(candidates, "id").select("id", "text", "minimizers").mapInArrow(send, _ENTRY).repartition(buckets, "bucket")
-    return sent.mapInArrow(meet, "id bigint, runs array<bigint>").groupBy("id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    return _by_document(sent.mapInArrow(meet, _ENTRY), "runs", buckets)
 
 
 def _runs(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,8 +210,8 @@ def dedup_windows(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """
     buckets = partitions(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(text_column, F.lit("")).alias("text"))
-    placed = rows.repartition(buckets, "id")  # one exchange of the texts for both joins
     known = rows.where("id IS NOT NULL")
+    placed = known.repartition(buckets, "id")  # one exchange of the texts for both joins
     repeats = repeated_windows(placed, shared_minimizers(known, buckets), buckets)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +231,8 @@ def dedup_windows(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
-    out = placed.join(repeats, "id", "left").select("id", "text", "runs").mapInArrow(cut, "id bigint, n_words bigint, n_removed bigint, kept string")
+    whole = rows.where("id IS NULL").select("id", "text", F.lit(None).cast("array<bigint>").alias("runs"))
+    out = placed.join(repeats, "id", "left").select("id", "text", "runs").unionByName(whole).mapInArrow(cut, "id bigint, n_words bigint, n_removed bigint, kept string")
     return out.withColumnRenamed("id", id_column)
 
 
