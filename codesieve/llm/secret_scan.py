@@ -49,7 +49,7 @@ def _places(text: Column, pattern: str) -> Column:
     return let(
         F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")),
         lambda x: F.aggregate(
-            F.sequence(F.lit(1), F.size(x["found"])),
+            F.filter(F.sequence(F.lit(0), F.size(x["found"])), lambda k: k > 0),  # none if nothing is found
             F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,match:string>>").alias("out")),
             lambda s, k: let(
                 s["at"] + F.length(F.element_at(x["pieces"], k)),
