@@ -1,4 +1,29 @@
 """All registered queries of the engine and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from codesieve.operators import file_rules, line_rules
+from codesieve.sources.corpus import CORPUS_SQL, synthetic_corpus, without_generated
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_generated(synthetic_corpus(spark, sf_dir))
+
+
+for _rule in line_rules.RULES:
+    QUERIES[f"rule_{_rule.name.replace('-', '_')}"] = lambda s, d, n=_rule.name: line_rules.detect_lines(_files(s, d), [n])
+    SQL[f"rule_{_rule.name.replace('-', '_')}"] = f"WITH {CORPUS_SQL},\n{line_rules.LINES_SQL}\n{line_rules.rule_sql(_rule)}"
+for _name, _detect, _sql in (
+    ("rule_swallowed_exception", file_rules.swallowed_exceptions, file_rules.SWALLOWED_SQL),
+    ("rule_hardcoded_secret", file_rules.hardcoded_secrets, file_rules.SECRETS_SQL),
+    ("rule_thin_wrapper", file_rules.thin_wrappers, file_rules.WRAPPERS_SQL),
+):
+    QUERIES[_name] = lambda s, d, f=_detect: f(_files(s, d))
+    SQL[_name] = f"WITH {CORPUS_SQL}\n{_sql}"
