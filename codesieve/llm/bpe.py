@@ -3,8 +3,8 @@
 Texts are split at ASCII white space by Spark, where the tokenizer never joins across. The distinct words and their counts
 are one aggregation; the words that occur most, at most ``MAX_TABLE`` of them, are encoded once by the
 tokenizer, and the table of word and ids is broadcast: its size is bounded whatever the input. Ids are put
-back by position within the documents. Words too rare for the table are encoded once for each batch of
-documents in which they stand. Decoding looks ids up in the id-to-piece table, as large as the vocabulary.
+back by position within the documents. Words too rare for the table are encoded once for each block of
+documents in which they stand, or less often. Decoding looks ids up in the id-to-piece table, as large as the vocabulary.
 
 Edge cases: a null text is an empty one (no ids); texts of white space have no ids; null ids decode to an
 empty text; repeated rows give repeated results; empty tables give empty results; other columns are not
@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import checkpointed, list_array
+from codesieve.llm.common import blocks, checkpointed
 
-MAX_TABLE = 1 << 17
+MAX_TABLE = 1 << 18
 #: Words that occur less often gain nothing from the table.
 LEAST_COUNT = 16
 SPLIT = r"[\x20\t\n\x0B\f\r]+"
@@ -76,31 +76,63 @@ def word_table(docs: DataFrame, definition: str, text_column: str = "text", max_
     return counts.where(F.floor(F.log2("n") * 8) >= least).select("word", encoded("word").alias("ids"))
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", max_table: int = MAX_TABLE) -> DataFrame:
-    """(id, ids) of every document, as the tokenizer encodes its text without adding special tokens."""
-    definition = Path(tokenizer_path).read_text(encoding="utf-8")
-    spark = docs.sparkSession
+def _encoded(docs: DataFrame, definition: str, id_column: str, text_column: str, max_table: int, finish, columns: str) -> DataFrame:
+    """(id, *columns). ``finish()`` gives two functions: an entry of the table from a word's ids, and columns from documents of entries."""
     table = word_table(docs, definition, text_column, max_table).toArrow()
     ids = table.column("ids").combine_chunks()
-    shared = spark.sparkContext.broadcast((table.column("word").to_pylist(), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), ids.value_lengths().to_numpy(zero_copy_only=False)))
+    shared = docs.sparkSession.sparkContext.broadcast((table.column("word").to_pylist(), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), ids.value_lengths().to_numpy(zero_copy_only=False)))
     source = docs.select(id_column, F.coalesce(text_column, F.lit("")).cast("binary").alias("_text"))
-    kind = source.schema[0].dataType.simpleString()
+    names = [id_column, *(x.split()[0] for x in columns.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entry, column = finish()
         words, flat, lengths = shared.value
         ends = np.cumsum(lengths).tolist()
         flat = flat.tolist()
-        table = {w.encode(): flat[e - n : e] for w, e, n in zip(words, ends, lengths.tolist(), strict=True)}
+        table = {w.encode(): entry(flat[e - n : e]) for w, e, n in zip(words, ends, lengths.tolist(), strict=True)}
+        added: list[bytes] = []  # rare words in the table for now
         for batch in batches:
-            texts = [x.split() for x in batch.column(1).to_pylist()]
-            rare = [w for w in set(chain.from_iterable(texts)) if w not in table]
-            own = dict(zip(rare, encode_words(definition, [w.decode() for w in rare]), strict=True))
-            get = lambda w, a=table, b=own: a[w] if w in a else b[w]
-            rows = [list(chain.from_iterable(map(get, ws))) for ws in texts]
-            out = np.fromiter(chain.from_iterable(rows), np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(out, np.fromiter(map(len, rows), np.int64, len(rows)))], names=[id_column, "ids"])
+            for lo, hi, data, offsets in blocks(batch.column(1)):
+                raw, at = data.tobytes(), offsets.tolist()
+                texts = [raw[a:b].split() for a, b in zip(at, at[1:], strict=False)]
+                if len(added) > MAX_TABLE // 4:
+                    for w in added:
+                        del table[w]
+                    added.clear()
+                rare = list(set(chain.from_iterable(texts)).difference(table))
+                table.update(zip(rare, map(entry, encode_words(definition, [w.decode() for w in rare])), strict=True))
+                added += rare
+                rows = (list(map(table.__getitem__, ws)) for ws in texts)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], *column(rows)], names=names)
+
+    return source.mapInArrow(run, f"{id_column} {source.schema[0].dataType.simpleString()}, {columns}")
+
+
+def encode(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", max_table: int = MAX_TABLE) -> DataFrame:
+    """(id, ids) of every document, as the tokenizer encodes its text without adding special tokens."""
+    definition = Path(tokenizer_path).read_text(encoding="utf-8")
+
+    def finish():
+        return list, lambda rows: [pa.array([list(chain.from_iterable(x)) for x in rows], pa.list_(pa.int32()))]
 
-    return source.mapInArrow(run, f"{id_column} {kind}, ids array<int>")
+    return _encoded(docs, definition, id_column, text_column, max_table, finish, "ids array<int>")
+
+
+def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", max_table: int = MAX_TABLE) -> DataFrame:
+    """(id, n_tokens, ids, decoded) of every document: its ids and the text that they stand for."""
+    definition = Path(tokenizer_path).read_text(encoding="utf-8")
+
+    def finish():
+        table, join = pieces(definition), _joined(definition)
+        piece = table.__getitem__
+
+        def columns(rows):
+            rows = [list(chain.from_iterable(x)) for x in rows]
+            return [pa.array(list(map(len, rows)), pa.int64()), pa.array(rows, pa.list_(pa.int32())), pa.array([join(list(map(piece, x))) for x in rows], pa.string())]
+
+        return list, columns
+
+    return _encoded(docs, definition, id_column, text_column, max_table, finish, "n_tokens long, ids array<int>, decoded string")
 
 
 def pieces(definition: str) -> list[str]:
@@ -132,17 +164,27 @@ def decode(ids: Column, tokenizer_path: str) -> Column:
     return text(ids)
 
 
-def token_digests(encoded: DataFrame, tokenizer_path: str, id_column: str = "doc_id") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of encoded documents."""
+def token_digests(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", max_table: int = MAX_TABLE) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of every document, encoded and decoded in one pass."""
     definition = Path(tokenizer_path).read_text(encoding="utf-8")
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        table, join = pieces(definition), _joined(definition)
-        piece, number = table.__getitem__, [str(i) for i in range(len(table))].__getitem__
-        sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
-        for batch in batches:
-            rows = [x.tolist() for x in batch]
-            yield pd.DataFrame({"n_tokens": [len(x) for x in rows], "ids_sha256": [sha(" ".join(map(number, x))) for x in rows], "decoded_sha256": [sha(join(list(map(piece, x)))) for x in rows]})
+    def finish():
+        piece = pieces(definition).__getitem__
+        if load_tokenizer(definition).decoder is not None:
+            raise ValueError("this tokenizer's decoder looks beyond single pieces; use encode and decode")
+        sha = lambda texts: hashlib.sha256(" ".join(texts).encode()).hexdigest()
+
+        def entry(ids):
+            return len(ids), " ".join(map(str, ids)), " ".join(map(piece, ids))
+
+        def digests(entries):
+            entries = [e for e in entries if e[0]] if (0, "", "") in entries else entries
+            counts, numbers, texts = zip(*entries, strict=True) if entries else ((), (), ())
+            return sum(counts), sha(numbers), sha(texts)
+
+        def columns(rows):
+            return [pa.array(x, kind) for x, kind in zip(zip(*map(digests, rows), strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
+
+        return entry, columns
 
-    return encoded.withColumn("d", digests("ids")).select(id_column, "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")
+    return _encoded(docs, definition, id_column, text_column, max_table, finish, "n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -69,8 +69,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    return bpe.token_digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return bpe.token_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_html_text": op1_html_text, "op2_url_filter": op2_url_filter, "op3_secret_scan": op3_secret_scan, "op4_decontamination": op4_decontamination, "op5_media_columns": op5_media_columns, "op6_substring_dedup": op6_substring_dedup, "op7_near_dup": op7_near_dup, "op8_license_scan": op8_license_scan, "op9_toxicity": op9_toxicity, "op10_bpe": op10_bpe}
