@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 # White space as the detectors' patterns take it.
 WHITE = r"\t\n\x0b\f\r \x{a0}\x{feff}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_SPOTS = "array<struct<line:bigint,at:int,match:string>>"
 _BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
@@ -62,7 +63,10 @@ def extension(path: Column) -> Column:
 
 
 def match_lines(text: Column, pattern: str) -> Column:
-    """All matches of a pattern in reading order, as (line, match): an array with no shuffle behind it."""
+    """All matches of a pattern in reading order, as (line, at, match): an array with no shuffle behind it.
+
+    ``at`` counts the characters before the match.
+    """
     pattern = java(pattern)
     breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
     parts = F.array(F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")))
@@ -70,13 +74,15 @@ def match_lines(text: Column, pattern: str) -> Column:
     def walk(x: Column) -> Column:
         def step(s: Column, k: Column) -> Column:
             line = s["line"] + breaks(F.element_at(x["pieces"], k))
-            one = F.struct(line.cast("long").alias("line"), F.element_at(x["found"], k).alias("match"))
-            return F.struct((line + breaks(F.element_at(x["found"], k))).alias("line"), F.array_append(s["out"], one).alias("out"))
+            at = s["at"] + F.length(F.element_at(x["pieces"], k))
+            one = F.struct(line.cast("long").alias("line"), at.alias("at"), F.element_at(x["found"], k).alias("match"))
+            last = F.element_at(x["found"], k)
+            return F.struct((line + breaks(last)).alias("line"), (at + F.length(last)).alias("at"), F.array_append(s["out"], one).alias("out"))
 
-        start = F.struct(F.lit(1).alias("line"), F.array().cast("array<struct<line:bigint,match:string>>").alias("out"))
+        start = F.struct(F.lit(1).alias("line"), F.lit(0).alias("at"), F.array().cast(_SPOTS).alias("out"))
         return F.aggregate(F.filter(F.sequence(F.lit(0), F.size(x["found"])), lambda k: k > 0), start, step)["out"]
 
-    return F.when(text.rlike(pattern), F.element_at(F.transform(parts, walk), 1)).otherwise(F.array().cast("array<struct<line:bigint,match:string>>"))
+    return F.when(text.rlike(pattern), F.element_at(F.transform(parts, walk), 1)).otherwise(F.array().cast(_SPOTS))
 
 
 def match_lines_sql(text: str, pattern: str) -> str:

@@ -45,11 +45,16 @@ SECRETS = [
 _SPOTS = "array<struct<line:bigint,match:string,k:int>>"
 
 
+def _numbered(number: Column):
+    return lambda m: F.struct(m["line"].alias("line"), m["match"].alias("match"), number)
+
+
 def _spots(content: Column, patterns: list[tuple[list[str] | None, str]]) -> Column:
     """All matches of all patterns, each with the number of its pattern."""
     parts = []
     for k, (extensions, pattern) in enumerate(patterns):
-        found = F.transform(match_lines(content, pattern), lambda m, k=k: F.struct(m["line"].alias("line"), m["match"].alias("match"), F.lit(k).alias("k"))).cast(_SPOTS)
+        number = F.lit(k).alias("k")
+        found = F.transform(match_lines(content, pattern), _numbered(number)).cast(_SPOTS)
         parts.append(found if extensions is None else F.when(F.col("ext").isin(extensions), found).otherwise(F.array().cast(_SPOTS)))
     return F.concat(*parts)
 

@@ -55,7 +55,7 @@ _BUILDS_REGEX = (("t", r"\bRegExp\b|/.*\\b", False), ("t", r"""["'`].*\\b.*["'`]
 RULES = [
     Rule(
         "trivial-comment", "warning", "Trivial comment that restates the code",
-        (("t", r"^(?://|#(?:[^!]|$))", True), ("body", r"^[\s\S]{61}", False), ("body", EXPLAINS, False), ("body", r"[({=;}\]>]", False), ("body", r"[─━═╌╍┄┅│┃]|^-{3,}", False),
+        (("t", r"^(?://|#(?:[^!]|$))", True), ("body", r"^.{61}", False), ("body", EXPLAINS, False), ("body", r"[({=;}\]>]", False), ("body", r"[─━═╌╍┄┅│┃]|^-{3,}", False),
          ("n", r"^$", False), ("t", rf"(?i)^//{JS_TRIVIAL}|^///+{JS_TRIVIAL}|^//.*//{JS_TRIVIAL}|^#{PY_TRIVIAL}", True)),
         fixable=True, help="Say why, or leave the comment out",
     ),
@@ -67,7 +67,7 @@ RULES = [
         tuple(JS), fixable=True, help="Use a logger",
     ),
     Rule("todo-stub", "info", "Unresolved TODO/FIXME/HACK comment indicates incomplete code", (("t", r"^(?://|#|\*|/\*)", True), ("t", MARKERS, True)), help="Finish it or track it"),
-    Rule("unreachable-code", "warning", "Code after return/throw statement is unreachable", (("t", r"^(?:return|throw)\b", True), ("t", r";$", True), ("n", r"[\s\S]", True), ("n", UNREACHABLE_NEXT, False)), tuple(JS), 1, help="Remove it"),
+    Rule("unreachable-code", "warning", "Code after return/throw statement is unreachable", (("t", r"^(?:return|throw)\b", True), ("t", r";$", True), ("n", r".", True), ("n", UNREACHABLE_NEXT, False)), tuple(JS), 1, help="Remove it"),
     Rule("constant-condition", "warning", "Conditional with a constant value — likely debugging leftover", (("t", CONSTANT, True), _COMMENT, ("t", r"""["'`].*\bif\s*\(""", False), ("code", r"/.*\bif\s*\(", False)), help="Remove the condition"),
     Rule("empty-function", "info", "Empty function body — possible stub or unfinished implementation", (("t", r"(?:function\s+\w+|=>\s*)\s*\{\s*\}\s*;?\s*$", True), ("t", r"^(?:interface|type )", False)), tuple(JS), help="Write it or say why it is empty"),
     Rule("ts-directive", "info", "@ts-ignore/@ts-expect-error suppresses type checking — review if still needed", (("t", r"(?://|/\*)\s*@ts-(?:ignore|expect-error)", True),), tuple(TS), help="Mend the types"),

@@ -5,25 +5,157 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codesieve.operators import file_rules, line_rules
-from codesieve.sources.corpus import CORPUS_SQL, synthetic_corpus, without_generated
+from codesieve.functions.text import re2
+from codesieve.operators import architecture, file_rules, imports, line_rules, narrative, quality, schema, security
+from codesieve.plans import report, scan, score
+from codesieve.sources.corpus import CORPUS_SQL, JS, filter_files, synthetic_corpus, without_generated
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
+RULES = [
+    {"name": "no-axios", "type": "forbid_import", "match": "axios", "severity": "error"},
+    {"name": "front-no-db", "type": "forbid_import_from_path", "from": "src/src1*/**", "forbid": "src/db/**", "severity": "warning"},
+    {"name": "needs-the", "type": "require_pattern", "where": "src/src2/*.ts", "pattern": " the ", "severity": "info"},
+    {"name": "unknown", "type": "other", "match": "x"},
+]
 
-def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic_corpus(spark, sf_dir)
+
+
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_generated(synthetic_corpus(spark, sf_dir))
 
 
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diagnostics of the detectors that SQL can express too."""
+    files = _written(spark, sf_dir)
+    out = line_rules.detect_lines(files)
+    for detect in (file_rules.swallowed_exceptions, file_rules.hardcoded_secrets, file_rules.thin_wrappers, quality.large_files, quality.repeated_chains):
+        out = out.unionByName(detect(files))
+    return out.unionByName(architecture.check_rules(files, architecture.rule_table(spark, RULES)))
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score.score(_checked(spark, sf_dir), scan.file_counts(_corpus(spark, sf_dir)), smoothing=score.SMOOTHING)
+
+
+def _add(name: str, query: Query, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql is not None:
+        SQL[name] = sql
+
+
+def _row(engine: str, rule: str, severity: str, message: str, help: str, line: str, category: str, path: str = "path", fixable: str = "false") -> str:
+    return f"SELECT project, {path} AS \"filePath\", '{engine}' AS engine, {rule} AS rule, {severity} AS severity, {message} AS message, '{help}' AS help, {line} AS line, CAST(0 AS BIGINT) AS \"column\", '{category}' AS category, {fixable} AS fixable "
+
+
+_js = ", ".join(map(repr, JS))
+_large = _row("code-quality", "'complexity/file-too-large'", "'warning'", "'File has ' || n || ' lines (max: ' || most || ')'", "Split the file", "CAST(0 AS BIGINT)", "Complexity") + f"""FROM (
+    SELECT project, path, len(ls) AS n, CASE WHEN lower(ext) IN ('.jsx', '.tsx') THEN 600 ELSE 400 END AS most,
+        len(list_filter(ls, lambda x: regexp_replace(x, {re2(r'^\s+|\s+$')}, '', 'g') <> '')) AS full_lines, len(list_filter(ls, lambda x: regexp_matches(x, {re2(r'^\s*[{}\[\]"' + "'" + ']')}))) AS data_lines
+    FROM (SELECT *, string_split(content, chr(10)) AS ls FROM files)) WHERE n > most AND NOT (full_lines > 0 AND data_lines / greatest(full_lines, 1) > 0.8)"""
+_chains = _row("code-quality", "'code-quality/repeated-chained-call'", "'warning'", "n || ' consecutive `.' || method || '()` calls that differ only in string literals. Extract a data table + loop.'", "Loop over a table", "line", "Complexity") + f"""FROM (
+    SELECT *, row_number() OVER (PARTITION BY project, path, run ORDER BY part DESC) AS place FROM (
+        SELECT project, path, run, part, min(line) AS line, count(*) AS n, any_value(method) AS method FROM (
+            SELECT *, sum(CASE WHEN together AND method = pm THEN 0 ELSE 1 END) OVER w AS run, sum(CASE WHEN together AND method = pm AND shape = ps THEN 0 ELSE 1 END) OVER w AS part FROM (
+                SELECT *, coalesce(line - lag(line) OVER w = 1, false) AS together, lag(method) OVER w AS pm, lag(shape) OVER w AS ps FROM (
+                    SELECT project, path, line, regexp_extract(raw, {re2(quality.CHAINED)}, 1) AS method,
+                        regexp_replace(regexp_replace(regexp_replace(raw, {re2(quality.LITERALS)}, '"L"', 'g'), {re2(r'^\s+|\s+$')}, '', 'g'), {re2(r';\s*$')}, '') AS shape
+                    FROM fields WHERE lower(ext) IN ({_js})) WHERE method <> '' WINDOW w AS (PARTITION BY project, path ORDER BY line))
+            WINDOW w AS (PARTITION BY project, path ORDER BY line)) GROUP BY ALL)) WHERE place = 1 AND n >= 5"""
+_every = lambda p, text="content": f"regexp_extract_all({text}, {re2(p)}, 1)"
+_imports = f"""imported AS (SELECT project, path, i AS import, CAST(coalesce(list_position(list_transform(ls, lambda x: contains(x, i)), true), 0) AS BIGINT) AS line FROM (
+    SELECT project, path, string_split(content, chr(10)) AS ls, unnest(CASE WHEN ext IN ({_js}) THEN list_concat({_every(architecture.ES_IMPORT)}, {_every(architecture.REQUIRE)}) WHEN ext = '.py' THEN {_every(architecture.PY_IMPORT)}
+        WHEN ext = '.go' THEN list_concat({_every(architecture.GO_IMPORT)}, flatten(list_transform({_every(architecture.GO_BLOCK)}, lambda b: regexp_extract_all(b, '"([^"]+)"', 1)))) ELSE [] END) AS i FROM files))"""
+_arch = " UNION ALL ".join(
+    (
+        _row("architecture", "'arch/no-axios'", "'error'", "'Forbidden import ''' || import || ''' (rule: no-axios)'", "", "line", "Architecture") + "FROM imported WHERE contains(import, 'axios')",
+        _row("architecture", "'arch/front-no-db'", "'warning'", "'Import ''' || import || ''' is forbidden from ''src/src1*/**'' (rule: front-no-db)'", "", "line", "Architecture") + "FROM imported WHERE regexp_matches(path, '^src/src1[^/]*/.*$') AND (regexp_matches(import, '^src/db/.*$') OR contains(import, 'src/db/'))",
+        _row("architecture", "'arch/needs-the'", "'info'", "'Required pattern '' the '' not found (rule: needs-the)'", "", "CAST(0 AS BIGINT)", "Architecture") + r"FROM files WHERE regexp_matches(path, '^src/src2/[^/]*\.ts$') AND NOT contains(content, ' the ')",
+    )
+)
+_with = f"WITH {CORPUS_SQL},\n{line_rules.LINES_SQL},\n{_imports}"
+_all = " UNION ALL ".join([*map(line_rules.rule_sql, line_rules.RULES), file_rules.SWALLOWED_SQL, file_rules.SECRETS_SQL, file_rules.WRAPPERS_SQL, _large, _chains, _arch])
+_diagnostics = f"{_with},\ndiagnostics AS ({_all})"
+_weights = "CASE engine " + " ".join(f"WHEN '{e}' THEN {w}" for e, w in schema.ENGINES) + " ELSE 1.0 END"
+_value = lambda files: f"""CAST(greatest(0, floor(100 - 100 * ln(1 + scaled) / ln(101 + scaled) + 0.5)) AS BIGINT)"""
+_scored = f"""counts AS (SELECT project, count(*) AS files FROM files GROUP BY 1),
+sums AS (SELECT project, count(*) AS issues, count(*) FILTER (severity = 'error') AS errors, sum(CASE severity WHEN 'error' THEN 3.0 WHEN 'warning' THEN 1.0 ELSE 0.25 END::DOUBLE * ({_weights})::DOUBLE) AS deductions FROM diagnostics GROUP BY 1),
+scores AS (SELECT project, issues, errors, score, CASE WHEN issues = 0 OR score >= 75 THEN 'Healthy' WHEN score >= 50 THEN 'Needs Work' ELSE 'Critical' END AS label FROM (
+    SELECT c.project, coalesce(issues, 0) AS issues, coalesce(errors, 0) AS errors, CASE WHEN issues IS NULL THEN 100 ELSE {_value('files')} END AS score FROM (
+        SELECT *, deductions * sqrt(least(1.0, issues / (files + 20.0))) AS scaled FROM counts LEFT JOIN sums USING (project)) c))"""
+
 for _rule in line_rules.RULES:
-    QUERIES[f"rule_{_rule.name.replace('-', '_')}"] = lambda s, d, n=_rule.name: line_rules.detect_lines(_files(s, d), [n])
-    SQL[f"rule_{_rule.name.replace('-', '_')}"] = f"WITH {CORPUS_SQL},\n{line_rules.LINES_SQL}\n{line_rules.rule_sql(_rule)}"
+    _add(f"rule_{_rule.name.replace('-', '_')}", lambda s, d, n=_rule.name: line_rules.detect_lines(_written(s, d), [n]), f"WITH {CORPUS_SQL},\n{line_rules.LINES_SQL}\n{line_rules.rule_sql(_rule)}")
 for _name, _detect, _sql in (
     ("rule_swallowed_exception", file_rules.swallowed_exceptions, file_rules.SWALLOWED_SQL),
     ("rule_hardcoded_secret", file_rules.hardcoded_secrets, file_rules.SECRETS_SQL),
     ("rule_thin_wrapper", file_rules.thin_wrappers, file_rules.WRAPPERS_SQL),
+    ("rule_file_too_large", quality.large_files, _large),
+    ("rule_repeated_chained_call", quality.repeated_chains, _chains),
+    ("rule_unused_import", imports.unused_imports, None),
+    ("rule_narrative_comment", narrative.narrative_comments, None),
+    ("rule_risky_constructs", security.risky_constructs, None),
+    ("rule_complex_functions", quality.complex_functions, None),
+    ("rule_duplicate_block", quality.duplicate_blocks, None),
+    ("function_rows", quality.function_rows, None),
 ):
-    QUERIES[_name] = lambda s, d, f=_detect: f(_files(s, d))
-    SQL[_name] = f"WITH {CORPUS_SQL}\n{_sql}"
+    _add(_name, lambda s, d, f=_detect: f(_written(s, d)), _sql and f"{_with}\n{_sql}")
+_add("rule_architecture", lambda s, d: architecture.check_rules(_written(s, d), architecture.rule_table(s, RULES)), f"{_with}\n{_arch}")
+_add("import_rows", lambda s, d: architecture.import_rows(_written(s, d)).select("project", "path", "import", "line"), f"{_with}\nSELECT * FROM imported")
+_add("source_lines", lambda s, d: line_rules.source_lines(_written(s, d)).select("project", "path", "line", F.col("t").alias("trimmed")), f"{_with}\nSELECT project, path, line, t AS trimmed FROM fields")
+_add("raw_document_secrets", lambda s, d: file_rules.hardcoded_secrets(_raw(s, d)).select("filePath", "message", "line"), f"WITH files AS (SELECT source AS project, CAST(doc_id AS VARCHAR) AS path, '' AS ext, text AS content FROM documents WHERE text IS NOT NULL)\nSELECT \"filePath\", message, line FROM ({file_rules.SECRETS_SQL})")
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
+    return docs.select(F.col("source").alias("project"), F.col("doc_id").cast("string").alias("path"), F.lit("").alias("ext"), F.col("text").alias("content"))
+
+
+_windows = f"""ws AS (SELECT project, path, CAST(i AS BIGINT) AS line, ls[i:i+9] AS raw, list_transform(ls[i:i+9], lambda x: trim(regexp_replace(regexp_replace(regexp_replace(x, {re2(quality.LITERALS)}, '"L"', 'g'), {re2(r'\b\d+(?:\.\d+)?\b')}, '0', 'g'), {re2(r'\s+')}, ' ', 'g'))) AS norm
+    FROM (SELECT project, path, ls, unnest(generate_series(1, len(ls) - 9)) AS i FROM (SELECT project, path, string_split(content, chr(10)) AS ls FROM files WHERE lower(ext) IN ({_js})) WHERE len(ls) >= 10)),
+kept AS (SELECT project, path, line, array_to_string(norm, chr(10)) AS key FROM ws WHERE len(list_filter(norm, lambda x: x = '')) = 0
+    AND len(list_filter(raw, lambda x: regexp_matches(regexp_replace(x, {re2(r'^\s+|\s+$')}, '', 'g'), '^(//|/\\*|\\*)|^$|^[{{}}]$|^\\}}\\);$|^\\}},$'))) < 10
+    AND len(list_filter(norm, lambda x: x NOT IN ('', '{{', '}}'))) >= 9 AND len(list_distinct(norm)) >= 7)"""
+_add(
+    "duplicate_windows",
+    lambda s, d: quality.duplicate_windows(_written(s, d)),
+    f"WITH {CORPUS_SQL},\n{_windows}\nSELECT * FROM (SELECT project, path, line, min(line) OVER (PARTITION BY project, path, key) AS prior FROM kept) WHERE line - prior >= 10",
+)
+_add("file_selection", lambda s, d: filter_files(_corpus(s, d), exclude=["src/src3", ".tsx"]).select("project", "path", "ext"), f"WITH {CORPUS_SQL}\nSELECT project, path, ext FROM files WHERE NOT starts_with(path, 'src/src3/') AND NOT ends_with(path, '.tsx')")
+_add("diagnostics", _checked, f"{_diagnostics}\nSELECT * FROM diagnostics")
+_add("project_scores", _scores, f"{_diagnostics},\n{_scored}\nSELECT * FROM scores")
+_add("quality_gate", lambda s, d: score.gate(_scores(s, d), 40), f"{_diagnostics},\n{_scored}\nSELECT *, errors > 0 OR score < 40 AS failed FROM scores")
+_add("score_buckets", lambda s, d: _scores(s, d).groupBy(score.bucket(F.col("score")).alias("bucket"), score.color(F.col("score")).alias("color")).agg(F.count("*").alias("projects")), f"{_diagnostics},\n{_scored}\nSELECT CASE WHEN score >= 75 THEN '75-100' WHEN score >= 50 THEN '50-75' WHEN score >= 25 THEN '25-50' ELSE '0-25' END AS bucket, CASE WHEN score >= 75 THEN 'success' WHEN score >= 50 THEN 'warn' ELSE 'error' END AS color, count(*) AS projects FROM scores GROUP BY 1, 2")
+_add(
+    "engine_scores",
+    lambda s, d: score.score(_checked(s, d), by=("project", "engine")).select("project", "engine", "issues", "score"),
+    f"{_diagnostics}\nSELECT project, engine, issues, {_value('seen')} AS score FROM (SELECT *, deductions * sqrt(least(1.0, issues / (greatest(1, seen) + 10.0))) AS scaled FROM (SELECT project, engine, count(*) AS issues, count(DISTINCT \"filePath\") AS seen, sum(CASE severity WHEN 'error' THEN 3.0 WHEN 'warning' THEN 1.0 ELSE 0.25 END::DOUBLE * ({_weights})::DOUBLE) AS deductions FROM diagnostics GROUP BY ALL))",
+)
+_add("report_summary", lambda s, d: report.summary(_checked(s, d)), f"{_diagnostics}\nSELECT project, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (fixable) AS fixable, count(*) AS total FROM diagnostics GROUP BY 1")
+_add("report_by_engine", lambda s, d: report.by_engine(_checked(s, d)), f"{_diagnostics}\nSELECT e.engine, count(d.rule) AS issues, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM (VALUES {', '.join(f'({e!r})' for e, _ in schema.ENGINES)}) e(engine) LEFT JOIN diagnostics d USING (engine) GROUP BY 1")
+_add(
+    "report_rule_groups",
+    lambda s, d: report.rule_groups(_checked(s, d)),
+    f"""{_diagnostics},
+grouped AS (SELECT project, engine, rule, message, "filePath", line, count(*) AS k, min(CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END) AS r FROM diagnostics GROUP BY ALL),
+places AS (SELECT *, row_number() OVER (PARTITION BY project, engine, rule, message ORDER BY "filePath", line) AS place FROM grouped)
+SELECT project, engine, rule, message, CASE min(r) WHEN 0 THEN 'error' WHEN 1 THEN 'warning' ELSE 'info' END AS severity, CAST(sum(k) AS BIGINT) AS n,
+    string_agg(CASE WHEN line > 0 THEN "filePath" || ':' || line ELSE "filePath" END, ', ' ORDER BY place) FILTER (place <= 3) AS sample, CAST(greatest(0, sum(k) - 3) AS BIGINT) AS more FROM places GROUP BY ALL""",
+)
+_add("report_file_ranking", lambda s, d: report.file_ranking(_checked(s, d)), f"{_diagnostics}\nSELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY errors DESC, total DESC, \"filePath\") AS place FROM (SELECT project, \"filePath\", count(*) FILTER (severity = 'error') AS errors, count(*) AS total FROM diagnostics GROUP BY ALL)) WHERE place <= 20")
+_add("report_findings", lambda s, d: report.findings(_checked(s, d)), f"{_diagnostics}\nSELECT project, place, \"filePath\", line, rule, severity, message FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY \"filePath\", line, rule, message) AS place FROM diagnostics WHERE severity IN ('error', 'warning')) WHERE place <= 20")
+_add(
+    "hook_feedback",
+    lambda s, d: report.feedback(_checked(s, d), _scores(s, d), _scores(s, d).withColumn("score", F.lit(30).cast("long"))).select("project", "score", "baseline", "regressed", "error", "warning", "fixable", "total", "elided"),
+    f"{_diagnostics},\n{_scored}\nSELECT s.project, s.score, 30 AS baseline, s.score < 30 AS regressed, count(*) FILTER (severity = 'error') AS error, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (fixable) AS fixable, count(*) FILTER (severity IN ('error', 'warning')) AS total, greatest(0, count(*) FILTER (severity IN ('error', 'warning')) - 20) AS elided FROM scores s LEFT JOIN diagnostics d USING (project) GROUP BY ALL",
+)
+_add("full_scan", lambda s, d: scan.scan(_corpus(s, d), rules=architecture.rule_table(s, RULES)))
+_add("json_report", lambda s, d: report.json_report(_checked(s, d), _scores(s, d), scan.file_counts(_corpus(s, d))))
+_add("snippets", lambda s, d: report.snippets(quality.large_files(_written(s, d)).unionByName(security.risky_constructs(_written(s, d))), _corpus(s, d)))

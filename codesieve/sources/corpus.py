@@ -83,6 +83,8 @@ def without_generated(files: DataFrame) -> DataFrame:
     return files.where(~F.coalesce(F.substring(F.col("content").cast("binary"), 1, HEADER).cast("string").rlike(GENERATED), F.lit(False)))
 
 
+_BLOCK = "function one(x) {\n  const a = f(x, 1);\n  const b = g(a, '{w}');\n  log(a);\n  if (b) {\n    h(b);\n  }\n  send(a, b);\n  store(b);\n  clear(a);\n  check(b);\n  done();\n}\n"
+
 #: Lines of the synthetic corpus by (doc_id * 13 + line * 7) % ``MODULUS``; {w} is the first word of the text's line.
 MODULUS = 97
 TEMPLATES = [
@@ -118,6 +120,7 @@ TEMPLATES = [
     "rows as unknown as {w};",
     "// print the {w}",
     "/* STUB {w} */",
+    _BLOCK + _BLOCK.replace("one", "two"),
 ]
 
 
