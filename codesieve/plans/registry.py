@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesieve.functions.text import re2
-from codesieve.operators import architecture, file_rules, imports, line_rules, narrative, quality, schema, security
+from codesieve.operators import adapters, architecture, file_rules, fixes, imports, line_rules, narrative, quality, schema, security
 from codesieve.plans import report, scan, score
+from codesieve.streaming import hooks
 from codesieve.sources.corpus import CORPUS_SQL, JS, filter_files, synthetic_corpus, without_generated
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,3 +160,47 @@ _add(
 _add("full_scan", lambda s, d: scan.scan(_corpus(s, d), rules=architecture.rule_table(s, RULES)))
 _add("json_report", lambda s, d: report.json_report(_checked(s, d), _scores(s, d), scan.file_counts(_corpus(s, d))))
 _add("snippets", lambda s, d: report.snippets(quality.large_files(_written(s, d)).unionByName(security.risky_constructs(_written(s, d))), _corpus(s, d)))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit events derived from the events table."""
+    path = F.concat(F.lit("src/"), "event_type", F.lit("/f"), (F.col("event_id") % 7).cast("string"), F.lit(".ts"))
+    other = F.concat(F.lit("src/"), "event_type", F.lit(".py"))
+    payload = F.when(F.col("event_id") % 5 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(F.struct(path.alias("file_path"), F.array(F.struct(other.alias("file_path"))).alias("edits")).alias("tool_input"))))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("session"), "ts", "event_type", "event_id", payload.alias("payload"))
+    return hooks.decode_events(rows)
+
+
+def _micros(column: str):
+    """Microseconds since 1970 of a time without zone, whatever the session's zone is."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST({column} AS TIMESTAMP_NTZ))")
+
+
+_add("edit_events", lambda s, d: _events(s, d).select("event_id", F.array_join("files", ",").alias("files")), "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '' ELSE 'src/' || event_type || '/f' || CAST(event_id % 7 AS VARCHAR) || '.ts,src/' || event_type || '.py' END AS files FROM events")
+_add(
+    "session_files",
+    lambda s, d: hooks.session_files(_events(s, d)).select("session", "path", _micros("ts").alias("first_us")),
+    "SELECT session, path, min(us) AS first_us FROM (SELECT user_id AS session, epoch_us(ts) AS us, unnest(['src/' || event_type || '/f' || CAST(event_id % 7 AS VARCHAR) || '.ts', 'src/' || event_type || '.py']) AS path FROM events WHERE event_id % 5 <> 0) GROUP BY 1, 2",
+)
+_add(
+    "edits_per_window",
+    lambda s, d: hooks.edits_per_window(_events(s, d)).select(_micros("start").alias("start_us"), "edits", "files"),
+    "SELECT CAST(epoch_us(ts) // 600000000 * 600000000 AS BIGINT) AS start_us, count(*) AS edits, CAST(sum(CASE WHEN event_id % 5 = 0 THEN 0 ELSE 2 END) AS BIGINT) AS files FROM events GROUP BY 1",
+)
+_add("baseline", lambda s, d: hooks.capture_baseline(_corpus(s, d)))
+_add("fixed_files", lambda s, d: fixes.fix_all(_written(s, d)).select("project", "path", F.sha2("content", 256).alias("sha256")))
+_add("fix_delta", lambda s, d: report.delta(*(line_rules.detect_lines(f, ["trivial-comment", "console-leftover"]) for f in (_written(s, d), fixes.fix_leftovers(_written(s, d))))))
+_add(
+    "adapter_python_linter",
+    lambda s, d: adapters.python_linter(_lint_output(s, d)).select("project", "filePath", "rule", "severity", "message", "line", "fixable"),
+    "SELECT source AS project, 'f' || doc_id || '.py' AS \"filePath\", 'ruff/' || CASE WHEN doc_id % 3 = 0 THEN 'E501' ELSE 'W291' END AS rule, CASE WHEN doc_id % 3 = 0 THEN 'error' ELSE 'warning' END AS severity, left(text, 20) AS message, n_chars AS line, doc_id % 2 = 0 AS fixable FROM documents",
+)
+
+
+def _lint_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A captured tool output for each document."""
+    item = F.struct(
+        F.when(F.col("doc_id") % 3 == 0, "E501").otherwise("W291").alias("code"), F.substring("text", 1, 20).alias("message"), F.concat(F.lit("f"), "doc_id", F.lit(".py")).alias("filename"),
+        F.struct(F.col("n_chars").alias("row"), F.lit(1).alias("column")).alias("location"), F.struct(F.when(F.col("doc_id") % 2 == 0, "safe").otherwise("unsafe").alias("applicability")).alias("fix"),
+    )
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("project"), F.to_json(F.array(item)).alias("output"))
