@@ -70,7 +70,7 @@ def score(diagnostics: DataFrame, projects: DataFrame | None = None, by: tuple[s
         files = F.when(F.col("files") > 0, F.col("files")).otherwise(F.greatest(F.lit(1), "seen"))
     else:
         files = F.greatest(F.lit(1), "seen")
-    value = F.coalesce(score_of(F.col("deductions"), F.col("issues"), files, smoothing), F.lit(100)).cast("long")
+    value = F.when(F.col("issues").isNull(), F.lit(100)).otherwise(score_of(F.col("deductions"), F.col("issues"), files, smoothing)).cast("long")
     rows = rows.select(*by, F.coalesce("issues", F.lit(0)).cast("long").alias("issues"), F.coalesce("errors", F.lit(0)).cast("long").alias("errors"), value.alias("score"))
     return rows.withColumn("label", F.when(F.col("issues") == 0, "Healthy").otherwise(label(F.col("score"), good, ok)))
 
