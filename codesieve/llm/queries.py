@@ -14,6 +14,7 @@ from codesieve.llm import bpe, toxicity
 from codesieve.llm.license_scan import scan_licenses
 from codesieve.llm.media import media_digests, text_to_media
 from codesieve.llm.near_dup import duplicate_classes
+from codesieve.llm.oracles import license_sql, secret_sql
 from codesieve.llm.secret_scan import scan_secrets
 from codesieve.llm.substring_dedup import dedup_windows, digest_kept
 from codesieve.llm.url_filter import judge_urls
@@ -75,6 +76,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_html_text": op1_html_text, "op2_url_filter": op2_url_filter, "op3_secret_scan": op3_secret_scan, "op4_decontamination": op4_decontamination, "op5_media_columns": op5_media_columns, "op6_substring_dedup": op6_substring_dedup, "op7_near_dup": op7_near_dup, "op8_license_scan": op8_license_scan, "op9_toxicity": op9_toxicity, "op10_bpe": op10_bpe}
 
 SQL: dict[str, str] = {
+    "op3_secret_scan": secret_sql(),
+    "op8_license_scan": license_sql(),
     "op2_url_filter": """
 WITH parts AS (SELECT page_id,
     translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
