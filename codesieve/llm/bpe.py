@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import blocks, checkpointed
+from codesieve.llm.common import LARGE_BLOCK_BYTES, blocks, checkpointed, list_array
 
-MAX_TABLE = 1 << 18
+MAX_TABLE = 1 << 17
 #: Words that occur less often gain nothing from the table.
 LEAST_COUNT = 16
 SPLIT = r"[\x20\t\n\x0B\f\r]+"
@@ -80,19 +80,21 @@ def _encoded(docs: DataFrame, definition: str, id_column: str, text_column: str,
     """(id, *columns). ``finish()`` gives two functions: an entry of the table from a word's ids, and columns from documents of entries."""
     table = word_table(docs, definition, text_column, max_table).toArrow()
     ids = table.column("ids").combine_chunks()
-    shared = docs.sparkSession.sparkContext.broadcast((table.column("word").to_pylist(), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), ids.value_lengths().to_numpy(zero_copy_only=False)))
+    words = [w.encode() for w in table.column("word").to_pylist()]
+    flat, lengths = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), ids.value_lengths().to_numpy(zero_copy_only=False)
+    shared = docs.sparkSession.sparkContext.broadcast((b" ".join(words), flat, np.cumsum(lengths)))
     source = docs.select(id_column, F.coalesce(text_column, F.lit("")).cast("binary").alias("_text"))
     names = [id_column, *(x.split()[0] for x in columns.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entry, column = finish()
-        words, flat, lengths = shared.value
-        ends = np.cumsum(lengths).tolist()
-        flat = flat.tolist()
-        table = {w.encode(): entry(flat[e - n : e]) for w, e, n in zip(words, ends, lengths.tolist(), strict=True)}
+        words, flat, ends = shared.value
+        words = words.split(b" ") if len(ends) else []
+        table = {w: entry(x.tolist()) for w, x in zip(words, np.split(flat, ends[:-1]), strict=True)} if words else {}
+        del words
         added: list[bytes] = []  # rare words in the table for now
         for batch in batches:
-            for lo, hi, data, offsets in blocks(batch.column(1)):
+            for lo, hi, data, offsets in blocks(batch.column(1), LARGE_BLOCK_BYTES):
                 raw, at = data.tobytes(), offsets.tolist()
                 texts = [raw[a:b].split() for a, b in zip(at, at[1:], strict=False)]
                 if len(added) > MAX_TABLE // 4:
@@ -108,12 +110,21 @@ def _encoded(docs: DataFrame, definition: str, id_column: str, text_column: str,
     return source.mapInArrow(run, f"{id_column} {source.schema[0].dataType.simpleString()}, {columns}")
 
 
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
+def _unpacked(rows: list[bytes]) -> pa.Array:
+    """Packed ids of documents as a list column."""
+    return list_array(np.frombuffer(b"".join(rows), np.int32), np.fromiter((len(x) // 4 for x in rows), np.int64, len(rows)))
+
+
 def encode(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", max_table: int = MAX_TABLE) -> DataFrame:
     """(id, ids) of every document, as the tokenizer encodes its text without adding special tokens."""
     definition = Path(tokenizer_path).read_text(encoding="utf-8")
 
     def finish():
-        return list, lambda rows: [pa.array([list(chain.from_iterable(x)) for x in rows], pa.list_(pa.int32()))]
+        return _packed, lambda rows: [_unpacked(list(map(b"".join, rows)))]
 
     return _encoded(docs, definition, id_column, text_column, max_table, finish, "ids array<int>")
 
@@ -123,14 +134,14 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_column: str = "do
     definition = Path(tokenizer_path).read_text(encoding="utf-8")
 
     def finish():
-        table, join = pieces(definition), _joined(definition)
-        piece = table.__getitem__
+        piece = _single_pieces(definition)
 
         def columns(rows):
-            rows = [list(chain.from_iterable(x)) for x in rows]
-            return [pa.array(list(map(len, rows)), pa.int64()), pa.array(rows, pa.list_(pa.int32())), pa.array([join(list(map(piece, x))) for x in rows], pa.string())]
+            rows = [list(zip(*x, strict=True)) or [(), ()] for x in rows]
+            ids = _unpacked([b"".join(x) for x, _ in rows])
+            return [ids.value_lengths().cast(pa.int64()), ids, pa.array([" ".join(filter(None, x)) for _, x in rows], pa.string())]
 
-        return list, columns
+        return lambda ids: (_packed(ids), " ".join(map(piece, ids))), columns
 
     return _encoded(docs, definition, id_column, text_column, max_table, finish, "n_tokens long, ids array<int>, decoded string")
 
@@ -151,6 +162,13 @@ def _joined(definition: str):
     return tokenizer.decoder.decode
 
 
+def _single_pieces(definition: str):
+    """The id-to-piece lookup of a tokenizer that decodes each piece by itself."""
+    if load_tokenizer(definition).decoder is not None:
+        raise ValueError("this tokenizer's decoder looks beyond single pieces; use encode and decode")
+    return pieces(definition).__getitem__
+
+
 def decode(ids: Column, tokenizer_path: str) -> Column:
     """The text that ids stand for, special tokens kept, as the tokenizer decodes it."""
     definition = Path(tokenizer_path).read_text(encoding="utf-8")
@@ -169,9 +187,7 @@ def token_digests(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id
     definition = Path(tokenizer_path).read_text(encoding="utf-8")
 
     def finish():
-        piece = pieces(definition).__getitem__
-        if load_tokenizer(definition).decoder is not None:
-            raise ValueError("this tokenizer's decoder looks beyond single pieces; use encode and decode")
+        piece = _single_pieces(definition)
         sha = lambda texts: hashlib.sha256(" ".join(texts).encode()).hexdigest()
 
         def entry(ids):

@@ -15,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts worked on together: bounds the memory of the numpy passes. A longer text is worked on alone.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
+#: The same where a block's work has a fixed cost.
+LARGE_BLOCK_BYTES = 1 << 21
 
 SPACES = frozenset(b" \t\n\x0b\x0c\r")
 
@@ -141,8 +143,10 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         lo = hi
 
 
-def signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of a few rows, so that only those are Python objects at a time."""
+    for lo in range(0, batch.num_rows, rows):
+        yield batch.slice(lo, rows)
 
 
 def list_array(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
