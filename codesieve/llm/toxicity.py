@@ -2,7 +2,8 @@
 
 A document is a bag of sentences. A sentence's score is a logistic function of its hashed words and word
 beginnings (for compounds); features that are clearly commoner in bad documents are chosen first. The
-document's is the noisy-or of its sentences, 1 - prod(1 - p). The weights are trained from document labels
+document's is the noisy-or of its sentences, 1 - prod(1 - p); a sentence without any such feature has p = 0, so that long
+documents gather no score from their length. The weights are trained from document labels
 only, by gradient descent on the noisy-or likelihood; a sentence's own score then shows which ones offend.
 
 Bounds: the model is fitted on at most ``MAX_TRAINING`` labelled rows (those with the smallest hashes of
@@ -30,7 +31,7 @@ FEATURE_BITS = 20
 #: A feature must occur in so many bad documents, so many standard deviations more often than by chance.
 LEAST_BAD, LEAST_LIFT, MAX_FEATURES = 4, 4.0, 50_000
 PREFIXES = (4, 5, 6, 7, 8, 9, 10)
-STEPS, RATE, DECAY, START = 150, 0.1, 1e-5, -4.0
+STEPS, RATE, DECAY, START = 150, 0.1, 1e-5, -3.0
 
 _WORD_BYTES = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789'") | frozenset(range(128, 256))
 _PARTS = separators(frozenset(range(256)) - _WORD_BYTES)
@@ -60,11 +61,12 @@ class Bags:
         self.sentence = np.cumsum(new) - 1
 
     def logits(self, weights: np.ndarray, bias: float) -> np.ndarray:
-        """The score of each sentence before the logistic function."""
+        """The score of each sentence before the logistic function; without any evidence it is minus infinity."""
         word = np.zeros(len(self.words.starts))
         for at, feature in self.features:
             word[at] += weights[feature]
-        return bias + (np.add.reduceat(word, self.first) if len(self.first) else np.zeros(0))
+        evidence = np.add.reduceat(word, self.first) if len(self.first) else np.zeros(0)
+        return np.where(evidence > 0, bias + evidence, -np.inf)
 
 
 def _softplus(z: np.ndarray) -> np.ndarray:
@@ -136,8 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     if not label.any() or label.all():
         return weights
     held = rows.column("feature").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
-    sentence = flat("sentence") + np.repeat(np.cumsum(n) - n, held)
-    feature, doc = flat("feature"), np.repeat(np.arange(len(label)), n)
+    place, sentence = np.unique(flat("sentence") + np.repeat(np.cumsum(n) - n, held), return_inverse=True)  # sentences with evidence
+    feature, doc = flat("feature"), np.searchsorted(np.cumsum(n), place, "right")
     w, bias = np.zeros(len(used)), START
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, STEPS + 1):
