@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from codesieve.llm.common import LARGE_BLOCK_BYTES, blocks, checkpointed, list_array
 
-MAX_TABLE = 1 << 17
+MAX_TABLE = 1 << 19
+#: Rare words that a task keeps beside the table.
+MAX_RARE = 1 << 16
 #: Words that occur less often gain nothing from the table.
 LEAST_COUNT = 16
 SPLIT = r"[\x20\t\n\x0B\f\r]+"
@@ -77,56 +79,47 @@ def word_table(docs: DataFrame, definition: str, text_column: str = "text", max_
 
 
 def _encoded(docs: DataFrame, definition: str, id_column: str, text_column: str, max_table: int, finish, columns: str) -> DataFrame:
-    """(id, *columns). ``finish()`` gives two functions: an entry of the table from a word's ids, and columns from documents of entries."""
+    """(id, *columns). ``finish()`` gives the function that makes columns of documents' ids, written as decimal numbers."""
     table = word_table(docs, definition, text_column, max_table).toArrow()
-    ids = table.column("ids").combine_chunks()
-    words = [w.encode() for w in table.column("word").to_pylist()]
-    flat, lengths = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), ids.value_lengths().to_numpy(zero_copy_only=False)
-    shared = docs.sparkSession.sparkContext.broadcast((b" ".join(words), flat, np.cumsum(lengths)))
+    words = " ".join(table.column("word").to_pylist()).encode()
+    texts = "\n".join(" ".join(map(str, ids)) for ids in table.column("ids").to_pylist())
+    shared = docs.sparkSession.sparkContext.broadcast((words, texts))  # at most max_table words
     source = docs.select(id_column, F.coalesce(text_column, F.lit("")).cast("binary").alias("_text"))
     names = [id_column, *(x.split()[0] for x in columns.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entry, column = finish()
-        words, flat, ends = shared.value
-        words = words.split(b" ") if len(ends) else []
-        table = {w: entry(x.tolist()) for w, x in zip(words, np.split(flat, ends[:-1]), strict=True)} if words else {}
-        del words
+        column = finish()
+        words, texts = shared.value
+        table = dict(zip(words.split(b" "), texts.split("\n"), strict=True)) if words else {}
         added: list[bytes] = []  # rare words in the table for now
         for batch in batches:
             for lo, hi, data, offsets in blocks(batch.column(1), LARGE_BLOCK_BYTES):
                 raw, at = data.tobytes(), offsets.tolist()
-                texts = [raw[a:b].split() for a, b in zip(at, at[1:], strict=False)]
-                if len(added) > MAX_TABLE // 4:
+                split = [raw[a:b].split() for a, b in zip(at, at[1:], strict=False)]
+                if len(added) > MAX_RARE:
                     for w in added:
                         del table[w]
                     added.clear()
-                rare = list(set(chain.from_iterable(texts)).difference(table))
-                table.update(zip(rare, map(entry, encode_words(definition, [w.decode() for w in rare])), strict=True))
+                rare = list(set(chain.from_iterable(split)).difference(table))
+                for w, ids in zip(rare, encode_words(definition, [w.decode() for w in rare]), strict=True):
+                    table[w] = " ".join(map(str, ids))
                 added += rare
-                rows = (list(map(table.__getitem__, ws)) for ws in texts)
+                rows = [" ".join(filter(None, map(table.__getitem__, ws))) for ws in split]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], *column(rows)], names=names)
 
     return source.mapInArrow(run, f"{id_column} {source.schema[0].dataType.simpleString()}, {columns}")
 
 
-def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, np.int32).tobytes()
-
-
-def _unpacked(rows: list[bytes]) -> pa.Array:
-    """Packed ids of documents as a list column."""
-    return list_array(np.frombuffer(b"".join(rows), np.int32), np.fromiter((len(x) // 4 for x in rows), np.int64, len(rows)))
+def _ids(rows: list[str]) -> pa.Array:
+    """Written ids of documents as a list column."""
+    numbers = [np.fromstring(x, np.int32, sep=" ") for x in rows]
+    return list_array(np.concatenate(numbers), np.fromiter(map(len, numbers), np.int64, len(rows)))
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", max_table: int = MAX_TABLE) -> DataFrame:
     """(id, ids) of every document, as the tokenizer encodes its text without adding special tokens."""
     definition = Path(tokenizer_path).read_text(encoding="utf-8")
-
-    def finish():
-        return _packed, lambda rows: [_unpacked(list(map(b"".join, rows)))]
-
-    return _encoded(docs, definition, id_column, text_column, max_table, finish, "ids array<int>")
+    return _encoded(docs, definition, id_column, text_column, max_table, lambda: lambda rows: [_ids(rows)], "ids array<int>")
 
 
 def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", max_table: int = MAX_TABLE) -> DataFrame:
@@ -134,14 +127,13 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_column: str = "do
     definition = Path(tokenizer_path).read_text(encoding="utf-8")
 
     def finish():
-        piece = _single_pieces(definition)
+        decoded = _decoder(definition)
 
-        def columns(rows):
-            rows = [list(zip(*x, strict=True)) or [(), ()] for x in rows]
-            ids = _unpacked([b"".join(x) for x, _ in rows])
-            return [ids.value_lengths().cast(pa.int64()), ids, pa.array([" ".join(filter(None, x)) for _, x in rows], pa.string())]
+        def columns(rows: list[str]) -> list[pa.Array]:
+            ids = _ids(rows)
+            return [ids.value_lengths().cast(pa.int64()), ids, pa.array([decoded(x.split()) for x in rows], pa.string())]
 
-        return lambda ids: (_packed(ids), " ".join(map(piece, ids))), columns
+        return columns
 
     return _encoded(docs, definition, id_column, text_column, max_table, finish, "n_tokens long, ids array<int>, decoded string")
 
@@ -155,18 +147,12 @@ def pieces(definition: str) -> list[str]:
     return table
 
 
-def _joined(definition: str):
-    tokenizer = load_tokenizer(definition)
-    if tokenizer.decoder is None:
-        return " ".join
-    return tokenizer.decoder.decode
-
-
-def _single_pieces(definition: str):
-    """The id-to-piece lookup of a tokenizer that decodes each piece by itself."""
-    if load_tokenizer(definition).decoder is not None:
-        raise ValueError("this tokenizer's decoder looks beyond single pieces; use encode and decode")
-    return pieces(definition).__getitem__
+def _decoder(definition: str):
+    """The function that decodes written ids by the id-to-piece table."""
+    decoder = load_tokenizer(definition).decoder
+    join = " ".join if decoder is None else (lambda x: decoder.decode(list(x)))
+    piece = {str(i): p for i, p in enumerate(pieces(definition))}.__getitem__
+    return lambda ids: join(map(piece, ids))
 
 
 def decode(ids: Column, tokenizer_path: str) -> Column:
@@ -175,9 +161,9 @@ def decode(ids: Column, tokenizer_path: str) -> Column:
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        piece, join = pieces(definition).__getitem__, _joined(definition)
+        decoded = _decoder(definition)
         for batch in batches:
-            yield batch.map(lambda x: join(list(map(piece, x))) if x is not None else "")
+            yield batch.map(lambda x: decoded(map(str, x)) if x is not None else "")
 
     return text(ids)
 
@@ -187,20 +173,13 @@ def token_digests(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id
     definition = Path(tokenizer_path).read_text(encoding="utf-8")
 
     def finish():
-        piece = _single_pieces(definition)
-        sha = lambda texts: hashlib.sha256(" ".join(texts).encode()).hexdigest()
-
-        def entry(ids):
-            return len(ids), " ".join(map(str, ids)), " ".join(map(piece, ids))
-
-        def digests(entries):
-            entries = [e for e in entries if e[0]] if (0, "", "") in entries else entries
-            counts, numbers, texts = zip(*entries, strict=True) if entries else ((), (), ())
-            return sum(counts), sha(numbers), sha(texts)
+        decoded = _decoder(definition)
+        sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
 
-        def columns(rows):
-            return [pa.array(x, kind) for x, kind in zip(zip(*map(digests, rows), strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
+        def columns(rows: list[str]) -> list[pa.Array]:
+            ids = [x.split() for x in rows]
+            return [pa.array(list(map(len, ids)), pa.int64()), pa.array(list(map(sha, rows)), pa.string()), pa.array([sha(decoded(x)) for x in ids], pa.string())]
 
-        return entry, columns
+        return columns
 
     return _encoded(docs, definition, id_column, text_column, max_table, finish, "n_tokens long, ids_sha256 string, decoded_sha256 string")
