@@ -18,9 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codesieve.llm.common import slices
+
 FRAME, GROUP, CHUNK_FRAMES, RATE = 64, 32, 256, 25
 
 # The boxes of the format that hold other boxes, and its unity matrix.
@@ -157,30 +160,38 @@ def read_media(rows: DataFrame, media_column: str = "media", into: str = "track"
 def text_to_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_bytes, media): every text as UTF-8, padded with zeros to frames, in a container."""
 
-    @F.pandas_udf("binary")
-    def stored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    raw = F.coalesce(F.col(text_column), F.lit("")).cast("binary")
+    source = docs.select(id_column, raw.alias("_raw"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.map(lambda x: wrap_payload(bytes(x) + bytes((-len(x)) % FRAME if len(x) else FRAME)))
+            for part in slices(batch):
+                texts = part.column(1).to_pylist()
+                media = [wrap_payload(x + bytes((-len(x)) % FRAME if x else FRAME)) for x in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array(media, pa.binary())], names=[id_column, "n_bytes", "media"])
 
-    raw = F.coalesce(F.col(text_column), F.lit("")).cast("binary")
-    return docs.select(id_column, F.octet_length(raw).cast("long").alias("n_bytes"), stored(raw).alias("media"))
+    return source.mapInArrow(run, f"{id_column} {source.schema[0].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def media_digests(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Digests of stored media: what is read back by the sample tables, and the keyframes as a feature."""
 
-    @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
-    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    source = rows.select(id_column, "n_bytes", "media")
+    columns = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for media in batch:
-                t = Track(media)
-                payload = t.payload(media)
-                ranges = np.stack([t.offsets[t.keys], t.sizes[t.keys]], 1)
-                feature = f"codec={t.codec.strip()};size={t.width}x{t.height};duration={t.duration}/{t.timescale};samples={len(t.sizes)};keyframes={len(t.keys)};"
-                feature += f"first={ranges[0][0]}+{ranges[0][1]};last={ranges[-1][0]}+{ranges[-1][1]};ranges={zlib.crc32(ranges.tobytes()):08x}"
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-FRAME:]), feature))
-            yield pd.DataFrame(out, columns=["payload_bytes", "payload_sha256", "tail_crc32", "feature"])
-
-    rows = rows.withColumn("d", digests("media"))
-    return rows.select(id_column, "n_bytes", "d.payload_bytes", "d.payload_sha256", "d.tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "d.feature")
+            for part in slices(batch):
+                out = []
+                for media in part.column(2).to_pylist():
+                    t = Track(media)
+                    payload = t.payload(media)
+                    ranges = np.stack([t.offsets[t.keys], t.sizes[t.keys]], 1)
+                    feature = f"codec={t.codec.strip()};size={t.width}x{t.height};duration={t.duration}/{t.timescale};samples={len(t.sizes)};keyframes={len(t.keys)};"
+                    feature += f"first={ranges[0][0]}+{ranges[0][1]};last={ranges[-1][0]}+{ranges[-1][1]};ranges={zlib.crc32(ranges.tobytes()):08x}"
+                    out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-FRAME:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                arrays = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *arrays], names=[id_column, "n_bytes", *(x.split()[0] for x in columns.split(", "))])
+
+    return source.mapInArrow(run, f"{id_column} {source.schema[0].dataType.simpleString()}, n_bytes long, {columns}")

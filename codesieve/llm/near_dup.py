@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import Words, blocks, checkpointed, list_array, mix, partitions, separators
+from codesieve.llm.common import LARGE_BLOCK_BYTES, Words, blocks, checkpointed, list_array, mix, partitions, separators
 from codesieve.llm.components import components
 
 SHINGLE, LEAST = 5, 0.8
@@ -83,7 +83,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _PLACE)
         for batch in batches:
-            for lo, hi, data, offsets in blocks(batch.column(2)):
+            for lo, hi, data, offsets in blocks(batch.column(2), LARGE_BLOCK_BYTES):
                 text, element, count = elements(data, offsets)
                 signature = prob_min_hash(text, element, 1 + np.log(count), hi - lo, BANDS * ROWS).reshape(hi - lo, BANDS, ROWS)
                 bands = np.broadcast_to(salt, (hi - lo, BANDS))
