@@ -38,7 +38,7 @@ NAMES = (
 )
 ROLES = "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar"
 
-_raw, _furniture, _article, _block, _names, _roles = (frozenset(x.split()) for x in (RAW, FURNITURE, ARTICLE, BLOCK, NAMES, ROLES))
+_raw, _furniture, _block, _names, _roles = (frozenset(x.split()) for x in (RAW, FURNITURE, BLOCK, NAMES, ROLES))
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<({'|'.join(sorted(_raw))})\b[^<>]*(?:/>|>(?:.*?</\1\s*>|.*\Z))"
@@ -69,19 +69,19 @@ def is_furniture(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """A page's lines: text, length outside links, and whether it stands in an article element. Furniture is left out."""
-    lines: list[tuple[str, int, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int, int]]:
+    """A page's lines: text, length outside links, and 2 in an article, 1 in the main part, else 0. Furniture is left out."""
+    lines: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked = [0, 0]  # characters inside links, depth of links
-    depth_article = 0
+    depth = dict.fromkeys(ARTICLE.split(), 0)
     skip, skip_depth = "", 0
     last_close = {m[1].lower(): m.start() for m in re.finditer(r"</([a-zA-Z][^\s/<>]*)", page)}
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            lines.append((text, max(0, len(text) - linked[0]) if 2 * linked[0] <= len(text) else 0, depth_article > 0))
+            lines.append((text, max(0, len(text) - linked[0]) if 2 * linked[0] <= len(text) else 0, 2 if depth["article"] else int(depth["main"] > 0)))
         parts.clear()
         linked[0] = 0
 
@@ -96,6 +96,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if not name:
             continue
         closing = bool(m[2])
+        if skip == "p" and name in _block and not (closing and name == "p"):  # paragraphs hold no blocks: this one was left open
+            skip = ""
         if skip:
             if name == skip and not m[4].endswith("/"):
                 skip_depth += -1 if closing else 1
@@ -106,11 +108,11 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             flush()
         if name == "a":
             linked[1] = 0 if closing else 1
-        if not closing and is_furniture(name, m[4], depth_article > 0) and last_close.get(name, -1) > m.start():
+        if not closing and is_furniture(name, m[4], depth["article"] > 0) and last_close.get(name, -1) > m.start():
             flush()
             skip, skip_depth = name, 1
-        elif name in _article:
-            depth_article = max(0, depth_article - 1) if closing else depth_article + 1
+        elif name in depth:
+            depth[name] = max(0, depth[name] - 1) if closing else depth[name] + 1
     if not skip:
         parts.append(page[at:])
     flush()
@@ -120,15 +122,15 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 def main_text(page: str | None) -> str:
     """The article of a page: one line for each block, found by surge and dive of the window sums."""
     lines = lines_of(page or "")
-    marked = [x for x in lines if x[2]]
-    if marked:  # the page says where its article is: any text is a surge
-        lines, surge = [(text, len(text), True) for text, _, _ in marked], 1
+    most = max((x[2] for x in lines), default=0)
+    if most:  # the page says where its article is: any text is a surge
+        lines, surge = [(text, len(text), most) for text, _, mark in lines if mark == most], 1
     else:
         surge = SURGE
     lengths = [n for _, n, _ in lines]
     sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
     if sums and max(sums) < surge:
-        surge = max(1, max(sums))
+        surge = 1  # short texts only
     kept: list[str] = []
     i = 0
     while i < len(lines):

@@ -63,6 +63,8 @@ LONG = "This paragraph is long enough to be taken for the text of an article, &a
         ("plain &lt;b&gt; words", "plain <b> words"),
         (f"<body><ul class=menu><li><a href=/>Home</a></ul><div><h1>Head</h1><p>{LONG}<p>Short.<p>{LONG}</div><div class='site-footer'>{LONG}</div></body>", None),
         (f"<nav>{LONG}</nav><article><header><h1>Head</h1></header><p>{LONG}</p>\n<p> Short.\n</p><p>{LONG}</p><form>{LONG}</form><section id='comments'><p>{LONG}</p></section></article><aside>{LONG}</aside>", None),
+        (f"<main><p>Welcome.</p><article class='post'><h1>Head</h1><p>{LONG}</p><p class=ad>Buy<p>Short.</p><p>{LONG}</p></article><p>More</p></main>", None),
+        ("<p>Two words.</p><p>And three more.</p><div class=menu>x</div>", "Two words.\nAnd three more."),
         (f"<script>if (a < b) '<p>{LONG}</p>'</script><div class=cookie-notice><p>{LONG}</p></div><main><h1>Head</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p><div class=ad>{LONG}</div></main>", None),
     ],
 )
