@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 
 from codesieve.functions.text import re2
 from codesieve.operators import adapters, architecture, file_rules, fixes, imports, line_rules, narrative, quality, schema, security
-from codesieve.plans import report, scan, score
+from codesieve.plans import catalogue, report, scan, score
+from codesieve.sources.corpus import CORPUS_SQL, JS, filter_files, shared_folder, synthetic_corpus, without_generated
 from codesieve.streaming import hooks
-from codesieve.sources.corpus import CORPUS_SQL, JS, filter_files, synthetic_corpus, without_generated
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -164,10 +165,14 @@ _add("snippets", lambda s, d: report.snippets(quality.large_files(_written(s, d)
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edit events derived from the events table."""
+    return _as_edits(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def _as_edits(events: DataFrame) -> DataFrame:
     path = F.concat(F.lit("src/"), "event_type", F.lit("/f"), (F.col("event_id") % 7).cast("string"), F.lit(".ts"))
     other = F.concat(F.lit("src/"), "event_type", F.lit(".py"))
     payload = F.when(F.col("event_id") % 5 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(F.struct(path.alias("file_path"), F.array(F.struct(other.alias("file_path"))).alias("edits")).alias("tool_input"))))
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("session"), "ts", "event_type", "event_id", payload.alias("payload"))
+    rows = events.select(F.col("user_id").alias("session"), "ts", "event_type", "event_id", payload.alias("payload"))
     return hooks.decode_events(rows)
 
 
@@ -204,3 +209,31 @@ def _lint_output(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.col("n_chars").alias("row"), F.lit(1).alias("column")).alias("location"), F.struct(F.when(F.col("doc_id") % 2 == 0, "safe").otherwise("unsafe").alias("applicability")).alias("fix"),
     )
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("project"), F.to_json(F.array(item)).alias("output"))
+
+
+_add(
+    "prompt_rows",
+    lambda s, d: catalogue.prompt_rows(_checked(s, d)),
+    f"""{_diagnostics},
+totals AS (SELECT project, "filePath", count(*) FILTER (severity = 'error') AS e, count(*) AS n FROM diagnostics GROUP BY ALL),
+worst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY e DESC, n DESC, "filePath") AS file_place FROM totals) WHERE file_place <= 20)
+SELECT project, "filePath", file_place, place, line, rule, severity, message FROM (SELECT d.*, w.file_place, row_number() OVER (PARTITION BY d.project, d."filePath" ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, line, rule, message) AS place
+    FROM diagnostics d JOIN worst w ON d.project = w.project AND d."filePath" = w."filePath") WHERE place <= 10""",
+)
+_add("prompts", lambda s, d: catalogue.prompts(_checked(s, d), _corpus(s, d)))
+_add("engine_status", lambda s, d: catalogue.engine_status(_checked(s, d), [("format", "not run")]), f"{_diagnostics}\nSELECT e.engine, CASE WHEN e.engine = 'format' THEN 'skipped: not run' WHEN count(d.rule) = 0 THEN 'no issues' ELSE count(d.rule) || CASE WHEN count(d.rule) = 1 THEN ' issue, ' ELSE ' issues, ' END || count(*) FILTER (severity = 'error') || CASE WHEN count(*) FILTER (severity = 'error') = 1 THEN ' error, ' ELSE ' errors, ' END || count(*) FILTER (severity = 'warning') || CASE WHEN count(*) FILTER (severity = 'warning') = 1 THEN ' warning' ELSE ' warnings' END END AS status FROM (VALUES {', '.join(f'({e!r})' for e, _ in schema.ENGINES)}) e(engine) LEFT JOIN diagnostics d USING (engine) GROUP BY 1")
+_add("rule_catalogue", lambda s, d: catalogue.rule_catalogue(s, RULES))
+_add("page_repositories", lambda s, d: catalogue.repository_of(s.read.parquet(f"{d}/pages.parquet").select("page_id", "url")).select("page_id", "repository"), "SELECT page_id, nullif(regexp_extract(url, '^(?:git@[^:/]+:|(?:https?|ssh|git)://(?:[^@/]+@)?[^/]+/)([^/\\s]+/[^/\\s]+?)(?:\\.git)?/?$', 1), '') AS repository FROM pages")
+_add("function_limits", lambda s, d: catalogue.check_limits(quality.function_rows(_written(s, d))))
+
+
+def _streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of each session, by a stream over the events table that ends when it is read."""
+    place = f"{shared_folder(spark)}/streams/{uuid.uuid4()}"
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    hooks.write_sessions(_as_edits(events).withColumn("ts", F.col("ts").cast("timestamp")), f"{place}/out", f"{place}/state").awaitTermination()
+    return spark.read.parquet(f"{place}/out").select("session", "path")
+
+
+_add("streamed_sessions", _streamed_sessions, "SELECT DISTINCT user_id AS session, unnest(['src/' || event_type || '/f' || CAST(event_id % 7 AS VARCHAR) || '.ts', 'src/' || event_type || '.py']) AS path FROM events WHERE event_id % 5 <> 0")

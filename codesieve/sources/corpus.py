@@ -7,6 +7,8 @@ and ``CORPUS_SQL`` says the same for another engine.
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,11 @@ GENERATED = r"(?i)auto-generated|@generated|DO NOT (EDIT|MODIFY)|this file (is|w
 HEADER = 512
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares for what must outlive a task, or a temporary one where none is set."""
+    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
+
+
 def glob_regex(pattern: str) -> str:
     """A path glob as a regular expression: ``**`` crosses folders, ``*`` and ``?`` do not."""
     out, i = "", 0

@@ -71,3 +71,9 @@ def run_hook(events: DataFrame, files: DataFrame, baseline: DataFrame | None, ou
         scoped_feedback(files, edited, baseline).withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
 
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def write_sessions(events: DataFrame, out: str, checkpoint: str, session: str = "session", time: str = "ts") -> StreamingQuery:
+    """Append each session's new files to a Parquet table, once each, until the source is read."""
+    rows = session_files(events, session, time)
+    return rows.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from codesieve.operators import adapters, fixes, schema
-from codesieve.plans import config, registry, report, scan, score
-from codesieve.sources import corpus, discover
+from codesieve.plans import catalogue, config, registry, report, scan, score
+from codesieve.sources import changes, corpus, discover
 from codesieve.streaming import hooks
 
 SF = "/root/testdata/sf0.001"
@@ -239,7 +239,7 @@ def normal(rows):
 def test_queries_match_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for table in ("documents", "events"):
+    for table in ("documents", "events", "pages"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     frame = registry.QUERIES[name](spark, SF)
     columns = sorted(frame.columns)
@@ -252,3 +252,24 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_catalogue_and_status(spark):
+    rules = {r.rule: r for r in catalogue.rule_catalogue(spark, [{"name": "x", "severity": "error"}, {}]).collect()}
+    assert rules["arch/x"].severity == "error" and rules["ai-slop/console-leftover"].fixable and len(rules) > 30
+    rows = diag(spark, ("lint", "error", "a", "f.ts", 1), ("lint", "warning", "b", "f.ts", 2))
+    status = {r.engine: r.status for r in catalogue.engine_status(rows, [("format", "no tool")]).collect()}
+    assert status["lint"] == "2 issues, 1 error, 1 warning" and status["format"] == "skipped: no tool" and status["security"] == "no issues"
+    files = spark.createDataFrame([("p", "f.ts", ".ts", "one\ntwo")], "project string, path string, ext string, content string")
+    assert catalogue.prompts(rows, files).first().prompt == "## f.ts\n- error a at line 1: m a\n1: one\n2: two\n- warning b at line 2: m b\n1: one\n2: two"
+
+
+def test_repositories_and_changes(spark):
+    urls = ["git@host.example:own/repo.git", "https://host.example/own/repo", "ssh://git@host.example/own/repo.git/", "https://host.example/a/b/c", None]
+    rows = catalogue.repository_of(spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "k int, url string")).orderBy("k").collect()
+    assert [r.repository for r in rows] == ["own/repo"] * 3 + [None, None]
+    diff = spark.createDataFrame([("p", "M\ta.ts\nD\tb.ts\nR100\tc.ts\td.ts\n")], "project string, output string")
+    loose = spark.createDataFrame([("p", "a.ts\ne.ts\n")], "project string, output string")
+    assert sorted(r.path for r in changes.changed_files(changes.with_status(diff), changes.listed(loose)).collect()) == ["a.ts", "d.ts", "e.ts"]
+    advice = spark.createDataFrame([("p", "m", ">=1.9.0"), ("p", "m", ">=1.10.0"), ("p", "n", "<0.0.0")], "project string, module string, patched string")
+    assert [tuple(r) for r in changes.needed_overrides(advice).collect()] == [("p", "m", "1.10.0")]
