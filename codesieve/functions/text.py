@@ -24,6 +24,8 @@ def _spell(pattern: str, boundary: str) -> str:
             out.append(WHITE if inside else f"[{WHITE}]")
         elif token == r"\S":
             out.append(f"[^{WHITE}]")
+        elif token == r"\w":
+            out.append("A-Za-z0-9_" if inside else "[A-Za-z0-9_]")
         elif token == r"\b" and not inside:
             out.append(boundary)
         elif token == "." and not inside:
@@ -44,6 +46,11 @@ def re2(pattern: str) -> str:
     return "'" + _spell(pattern, r"\b").replace("'", "''") + "'"
 
 
+def compiled(pattern: str) -> re.Pattern:
+    """The pattern for Python, for what walks a file's lines."""
+    return re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), _spell(pattern, _BOUNDARY).replace(r"\w", "[A-Za-z0-9_]")))
+
+
 def matches(text: Column, pattern: str) -> Column:
     return text.rlike(java(pattern))
 

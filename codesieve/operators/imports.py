@@ -12,13 +12,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codesieve.functions.text import compiled
 from codesieve.operators.schema import diagnostics
 from codesieve.sources.corpus import JS
 
 # How imports are written.
-NAMESPACE, DEFAULT = re.compile(r"import\s+\*\s+as\s+(\w+)\s+from"), re.compile(r"import\s+(\w+)\s*(?:,\s*\{[^}]*\})?\s+from")
-NAMED, NO_NAMES = re.compile(r"\{([^}]+)\}"), re.compile(r"import\s+(?:[\"']|type\s)")
-PY_FROM, PY_IMPORT = re.compile(r"from\s+[\w.]+\s+import\s+(.+)"), re.compile(r"import\s+([\w.]+)(?:\s+as\s+(\w+))?")
+NAMESPACE, DEFAULT = compiled(r"import\s+\*\s+as\s+(\w+)\s+from"), compiled(r"import\s+(\w+)\s*(?:,\s*\{[^}]*\})?\s+from")
+NAMED, NO_NAMES = compiled(r"\{([^}]+)\}"), compiled(r"import\s+(?:[\"']|type\s)")
+PY_FROM, PY_IMPORT = compiled(r"from\s+[\w.]+\s+import\s+(.+)"), compiled(r"import\s+([\w.]+)(?:\s+as\s+(\w+))?")
 
 
 def _local(item: str) -> str:

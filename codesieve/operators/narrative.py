@@ -13,19 +13,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codesieve.functions.text import compiled
 from codesieve.operators.schema import diagnostics
 from codesieve.sources.corpus import EXTENSIONS, JS
 
 # Comment marks by extension, phrases, and how declarations begin.
 MARKS = {**dict.fromkeys([*JS, ".go", ".rs", ".java"], ("//",)), ".py": ("#",), ".rb": ("#",), ".php": ("//", "#")}
-SEPARATOR = re.compile(r"[-=─━~_*#]{6,}$|[-=─━~_*#]{3,}[\s\S]+?[-=─━~_*#]{3,}$")
-SECTION = re.compile(r"(?i)(?:Phase|Step|Section|Part)\s+\d+[:.-]")
-REFERENCES = re.compile(
+SEPARATOR = compiled(r"[-=─━~_*#]{6,}$|[-=─━~_*#]{3,}.+?[-=─━~_*#]{3,}$")
+SECTION = compiled(r"(?i)(?:Phase|Step|Section|Part)\s+\d+[:.-]")
+REFERENCES = compiled(
     r"(?i)\b(?:will then be|used by|called from|called later|see (?:above|below|later|earlier)|replaces the|matches the one|we moved|we used to|refactor(?:ed)? from)\b|\bcombined with\b.*\bthis\b"
 )
-JUSTIFIES = re.compile(r"(?i)The idea here|The trick is|This was needed|Originally,?")
-EXPLAINS = re.compile(r"(?:Matches|Detects|Represents|Holds|Stores|Tracks|Handles|Manages|Controls|Contains|Captures|Encapsulates|Wraps|Describes)\s+[A-Za-z`'\"]")
-WHY = re.compile(
+JUSTIFIES = compiled(r"(?i)The idea here|The trick is|This was needed|Originally,?")
+EXPLAINS = compiled(r"(?:Matches|Detects|Represents|Holds|Stores|Tracks|Handles|Manages|Controls|Contains|Captures|Encapsulates|Wraps|Describes)\s+[A-Za-z`'\"]")
+WHY = compiled(
     r"(?i)\b(?:because|since|otherwise|workaround|caveat|warning|important|assumes?|note:|bug|issue|see\s+(?:issue|above|below)|in\s+prod|in\s+production|breaks?\s+when|fails?\s+when|"
     r"must\s+run|must\s+be|has\s+to\s+be|hack\s+for|fix\s+for|reason:)\b"
 )
@@ -34,19 +35,19 @@ TAGS = frozenset(
     "openapi route group summary description operationid response responses request requestbody security tag tags path body query queryparam header headers produces accept middleware api apiname "
     "apidefine apigroup apiparam apiquery apibody apiheader apisuccess apierror apiexample apiversion apidescription apipermission apiuse apiignore apiprivate namespace category".split()
 )
-DIRECTIVE = re.compile(r"\b(?:biome-ignore|eslint-disable|ts-ignore|ts-expect-error|@ts-\w+|noqa|pylint:\s*disable|rubocop:disable|noinspection|phpcs:disable)\b")
-DECLARES = re.compile(r"\s*(?:export\s+)?(?:async\s+)?(?:const|let|var|function|class|type|interface|enum|abstract\s+class)\s+|\s*export\s+default\b")
+DIRECTIVE = compiled(r"\b(?:biome-ignore|eslint-disable|ts-ignore|ts-expect-error|@ts-\w+|noqa|pylint:\s*disable|rubocop:disable|noinspection|phpcs:disable)\b")
+DECLARES = compiled(r"\s*(?:export\s+)?(?:async\s+)?(?:const|let|var|function|class|type|interface|enum|abstract\s+class)\s+|\s*export\s+default\b")
 DECLARES_BY = {
-    **dict.fromkeys(JS, re.compile(r"\s*(?:(?:readonly|static|public|private|protected|abstract|override)\s+)*[\w$]+\??\s*:")),
-    ".py": re.compile(r"\s*(?:async\s+def|def|class)\s+"),
-    ".go": re.compile(r"\s*(?:func|type|var|const)\s+"),
-    ".rs": re.compile(r"\s*(?:pub\s+)?(?:async\s+)?(?:fn|struct|enum|trait|impl|const|static|type|mod)\s+"),
-    ".rb": re.compile(r"\s*(?:class|module|def)\s+"),
-    ".java": re.compile(r"\s*(?:public|private|protected|static|final|abstract|sealed|non-sealed|\s)+(?:class|interface|enum|record|@interface|\w[^(){};=]*\s+\w+\s*\()|\s*(?:class|interface|enum|record|@interface)\s+"),
-    ".php": re.compile(r"\s*(?:public|private|protected|static|final|abstract|readonly\s+)*(?:function|class|interface|trait|enum|const)\s+"),
+    **dict.fromkeys(JS, compiled(r"\s*(?:(?:readonly|static|public|private|protected|abstract|override)\s+)*[\w$]+\??\s*:")),
+    ".py": compiled(r"\s*(?:async\s+def|def|class)\s+"),
+    ".go": compiled(r"\s*(?:func|type|var|const)\s+"),
+    ".rs": compiled(r"\s*(?:pub\s+)?(?:async\s+)?(?:fn|struct|enum|trait|impl|const|static|type|mod)\s+"),
+    ".rb": compiled(r"\s*(?:class|module|def)\s+"),
+    ".java": compiled(r"\s*(?:public|private|protected|static|final|abstract|sealed|non-sealed|\s)+(?:class|interface|enum|record|@interface|\w[^(){};=]*\s+\w+\s*\()|\s*(?:class|interface|enum|record|@interface)\s+"),
+    ".php": compiled(r"\s*(?:public|private|protected|static|final|abstract|readonly\s+)*(?:function|class|interface|trait|enum|const)\s+"),
 }
-LABEL = re.compile(r"[A-Z][A-Za-z0-9 ]{1,28}$")
-DATA = re.compile(r"\s*(?:[{\[\"'`]|case\s|\w+:\s)")
+LABEL = compiled(r"[A-Z][A-Za-z0-9 ]{1,28}$")
+DATA = compiled(r"\s*(?:[{\[\"'`]|case\s|\w+:\s)")
 
 
 @dataclass

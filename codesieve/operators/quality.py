@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codesieve.functions.text import java, lines, trim
+from codesieve.functions.text import compiled, java, lines, trim
 from codesieve.operators.line_rules import source_lines
 from codesieve.operators.schema import diagnostics
 from codesieve.sources.corpus import JS
@@ -24,7 +24,6 @@ from codesieve.sources.corpus import JS
 MAX_FUNCTION, MAX_FILE, MAX_NESTING, MAX_PARAMS = 80, 400, 5, 6
 FUNCTION_SLACK, MARKUP_FACTOR, DATA_SHARE = 1.1, 1.5, 0.8
 WINDOW, LEAST_DISTINCT, CHAIN = 10, 7, 5
-_W = r"[\s﻿]"
 FUNCTIONS = [
     (JS, r"^\s*(?:export\s+)?(?:async\s+)?function\s+(\w+)\s*\(([^)]*)\)"),
     (JS, r"^\s*(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s+)?\(([^)]*)\)\s*(?:=>|:\s*\w)"),
@@ -128,10 +127,10 @@ class Function:
     template_lines: int
 
 
-_functions = [(frozenset(e), re.compile(p.replace(r"\s", _W))) for e, p in FUNCTIONS]
-_CONTROL = re.compile(r"(?:\)|=>|\b(?:else|try|finally|do))$")
-_PY_CONTROL = re.compile(r"\s*(?:if|for|while|with|try|except|else|elif|finally|def|class)\b")
-_STATEMENT = re.compile(r"(?:export\s+)?(?:const|let|var|function|class)\s")
+_functions = [(frozenset(e), compiled(p)) for e, p in FUNCTIONS]
+_CONTROL = compiled(r"(?:\)|=>|\b(?:else|try|finally|do))$")
+_PY_CONTROL = compiled(r"\s*(?:if|for|while|with|try|except|else|elif|finally|def|class)\b")
+_STATEMENT = compiled(r"(?:export\s+)?(?:const|let|var|function|class)\s")
 
 
 def _braces(ls: list[str], at: int) -> tuple[int, int]:
