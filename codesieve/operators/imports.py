@@ -8,12 +8,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.functions.text import compiled
-from codesieve.operators.schema import diagnostics
+from codesieve.operators.walks import Walker, walk
 from codesieve.sources.corpus import JS
 
 # How imports are written.
@@ -75,10 +74,12 @@ def unused(content: str, ext: str) -> list[tuple[str, int]]:
     return [(name, line) for name, line in names if re.fullmatch(r"\w+", name, re.ASCII) and name not in rest]
 
 
-def unused_imports(files: DataFrame) -> DataFrame:
-    @F.pandas_udf("array<struct<name:string,line:long>>")
-    def found(content: pd.Series, ext: pd.Series) -> pd.Series:
-        return pd.Series([[{"name": n, "line": k} for n, k in unused(c, e)] for c, e in zip(content, ext, strict=True)], dtype=object)
+def find(content: str, ext: str) -> list[tuple[str, str, int]]:
+    return [("ai-slop/unused-import", f"Imported symbol '{name}' is never used", line) for name, line in unused(content, ext)]
+
+
+WALKER = Walker(find, "ai-slop", "AI Slop", True, "Remove the import")
 
-    rows = files.where(F.col("ext").isin([*JS, ".py"])).select("project", "path", F.explode(found(F.coalesce("content", F.lit("")), "ext")).alias("s"))
-    return diagnostics(rows, "ai-slop", "ai-slop/unused-import", "warning", F.concat(F.lit("Imported symbol '"), F.col("s.name"), F.lit("' is never used")), F.col("s.line"), "AI Slop", True, "Remove the import")
+
+def unused_imports(files: DataFrame) -> DataFrame:
+    return walk(files.where(F.col("ext").isin([*JS, ".py"])), [WALKER])

@@ -9,12 +9,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.functions.text import compiled
-from codesieve.operators.schema import diagnostics
+from codesieve.operators.walks import Walker, walk
 from codesieve.sources.corpus import EXTENSIONS, JS
 
 # Comment marks by extension, phrases, and how declarations begin.
@@ -128,10 +127,12 @@ def narrative_blocks(content: str, ext: str) -> list[tuple[int, int, str]]:
     return [(b.line, b.line + len(b.raw) - 1, why) for b in blocks(content.split("\n"), ext) if (why := reason(b, ext))]
 
 
-def narrative_comments(files: DataFrame) -> DataFrame:
-    @F.pandas_udf("array<struct<line:long,why:string>>")
-    def found(content: pd.Series, ext: pd.Series) -> pd.Series:
-        return pd.Series([[{"line": a, "why": why} for a, _, why in narrative_blocks(c, e)] for c, e in zip(content, ext, strict=True)], dtype=object)
+def find(content: str, ext: str) -> list[tuple[str, str, int]]:
+    return [("ai-slop/narrative-comment", f"Narrative comment block ({why})", line) for line, _, why in narrative_blocks(content, ext)] if ext in EXTENSIONS else []
+
+
+WALKER = Walker(find, "ai-slop", "Comments", True, "Remove the comment")
 
-    rows = files.where(F.col("ext").isin(EXTENSIONS)).select("project", "path", F.explode(found(F.coalesce("content", F.lit("")), "ext")).alias("b"))
-    return diagnostics(rows, "ai-slop", "ai-slop/narrative-comment", "warning", F.concat(F.lit("Narrative comment block ("), F.col("b.why"), F.lit(")")), F.col("b.line"), "Comments", True, "Remove the comment")
+
+def narrative_comments(files: DataFrame) -> DataFrame:
+    return walk(files.where(F.col("ext").isin(EXTENSIONS)), [WALKER])

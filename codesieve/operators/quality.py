@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from codesieve.functions.text import compiled, java, lines, trim
 from codesieve.operators.line_rules import source_lines
 from codesieve.operators.schema import diagnostics
+from codesieve.operators.walks import Walker, walk
 from codesieve.sources.corpus import JS
 
 # Limits and their tolerances, window sizes, and how functions begin.
@@ -81,11 +82,12 @@ def duplicate_windows(files: DataFrame, tool: str = "codesieve") -> DataFrame:
     ``<tool>-ignore-file duplicate-block`` has none. Keys are grouped by file, within the row's partition.
     """
     rows = files.where(F.lower("ext").isin(JS) & ~F.col("content").rlike(java(rf"{tool}[- ]ignore-file\b[^\n]*\bduplicate-block\b")))
-    rows = rows.select("project", "path", lines(F.col("content")).alias("ls")).withColumn("ns", F.transform("ls", _normal)).where(F.size("ls") >= WINDOW)
-    rows = rows.withColumn("starts", F.sequence(F.lit(1), F.size("ls") - WINDOW + 1)).select("project", "path", "ls", "ns", F.explode("starts").alias("line"))
-    rows = rows.select("project", "path", "line", F.slice("ls", F.col("line"), WINDOW).alias("raw"), F.slice("ns", F.col("line"), WINDOW).alias("norm"))
-    full = ~F.exists("raw", lambda x: trim(x) == "") & ~F.forall("raw", _trivial) & (F.size(F.filter("norm", lambda x: ~x.isin("", "{", "}"))) >= WINDOW - 1) & (F.size(F.array_distinct("norm")) >= LEAST_DISTINCT)
-    rows = rows.where(full).select("project", "path", F.col("line").cast("long").alias("line"), F.sha2(F.array_join("norm", "\n"), 256).alias("key"))
+    rows = rows.select("project", "path", F.transform(lines(F.col("content")), lambda x: F.struct(_normal(x).alias("n"), (trim(x) == "").alias("blank"), _trivial(x).alias("trivial"))).alias("ls")).where(F.size("ls") >= WINDOW)
+    marks = F.transform("ls", lambda x: F.struct(F.xxhash64(x["n"]).alias("h"), (x["blank"] | (x["n"] == "")).alias("blank"), x["trivial"].alias("trivial"), x["n"].isin("{", "}").alias("brace")))
+    rows = rows.select("project", "path", marks.alias("ls")).select("project", "path", "ls", F.explode(F.sequence(F.lit(1), F.size("ls") - WINDOW + 1)).alias("line"))
+    rows = rows.select("project", "path", F.col("line").cast("long").alias("line"), F.slice("ls", F.col("line"), WINDOW).alias("w"))  # ten hashes and flags, no text
+    full = ~F.exists("w", lambda x: x["blank"]) & ~F.forall("w", lambda x: x["trivial"]) & (F.size(F.filter("w", lambda x: ~x["brace"])) >= WINDOW - 1) & (F.size(F.array_distinct("w.h")) >= LEAST_DISTINCT)
+    rows = rows.where(full).select("project", "path", "line", F.col("w.h").alias("key"))
     rows = rows.withColumn("prior", F.min("line").over(Window.partitionBy("project", "path", "key")))
     return rows.where(F.col("line") - F.col("prior") >= WINDOW).select("project", "path", "line", "prior")
 
@@ -222,10 +224,22 @@ def function_rows(files: DataFrame) -> DataFrame:
     return rows.select("project", "path", "f.*")
 
 
+def walker(most_lines: int = MAX_FUNCTION, most_nesting: int = MAX_NESTING, most_params: int = MAX_PARAMS) -> Walker:
+    """Functions that are too long, too deep or have too many parameters."""
+
+    def find(content: str, ext: str) -> list[tuple[str, str, int]]:
+        out = []
+        for f in functions(content, ext.lower()):
+            if f.lines - f.template_lines > math.ceil(most_lines * FUNCTION_SLACK):
+                out.append(("complexity/function-too-long", f"Function '{f.name}' has {f.lines} lines (max: {most_lines})", f.line))
+            if f.nesting > most_nesting:
+                out.append(("complexity/deep-nesting", f"Function '{f.name}' has nesting depth {f.nesting} (max: {most_nesting})", f.line))
+            if f.params > most_params:
+                out.append(("complexity/too-many-params", f"Function '{f.name}' has {f.params} parameters (max: {most_params})", f.line))
+        return out
+
+    return Walker(find, "code-quality", "Complexity", False, "Split the function")
+
+
 def complex_functions(files: DataFrame, most_lines: int = MAX_FUNCTION, most_nesting: int = MAX_NESTING, most_params: int = MAX_PARAMS) -> DataFrame:
-    """Functions that are too long, too deep or have too many parameters, from one walk of the files."""
-    long = F.when(F.col("lines") - F.col("template_lines") > math.ceil(most_lines * FUNCTION_SLACK), F.struct(F.lit("function-too-long").alias("r"), F.format_string("Function '%s' has %d lines (max: %d)", "name", "lines", F.lit(most_lines)).alias("m")))
-    deep = F.when(F.col("nesting") > most_nesting, F.struct(F.lit("deep-nesting").alias("r"), F.format_string("Function '%s' has nesting depth %d (max: %d)", "name", "nesting", F.lit(most_nesting)).alias("m")))
-    wide = F.when(F.col("params") > most_params, F.struct(F.lit("too-many-params").alias("r"), F.format_string("Function '%s' has %d parameters (max: %d)", "name", "params", F.lit(most_params)).alias("m")))
-    rows = function_rows(files).withColumn("d", F.explode(F.filter(F.array(long, deep, wide), lambda x: x.isNotNull())))
-    return diagnostics(rows, "code-quality", F.concat(F.lit("complexity/"), F.col("d.r")), "warning", F.col("d.m"), F.col("line"), "Complexity", False, "Split the function")
+    return walk(files, [walker(most_lines, most_nesting, most_params)])

@@ -40,7 +40,8 @@ def by_engine(diagnostics: DataFrame) -> DataFrame:
 def rule_groups(diagnostics: DataFrame) -> DataFrame:
     """(project, engine, rule, message, severity, n, sample, more): findings that say the same, with the first places.
 
-    The places are a bounded minimum, so no group is gathered.
+    The first places are ranks up to a small limit, which Spark already applies to each partition before the
+    shuffle, so no group is gathered.
     """
     place = F.struct("filePath", "line")
     keys = ["project", "engine", "rule", "message"]

@@ -9,23 +9,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.operators import architecture, file_rules, imports, line_rules, narrative, quality, schema, security
+from codesieve.operators.walks import walk
 from codesieve.sources.corpus import without_generated
 
 Detector = Callable[[DataFrame], DataFrame]
 
 #: Detectors by engine, in order. Only risky constructs and secrets also look at generated files.
 DETECTORS: dict[str, list[Detector]] = {
-    "code-quality": [quality.large_files, quality.complex_functions, quality.repeated_chains, quality.duplicate_blocks],
-    "ai-slop": [line_rules.detect_lines, file_rules.thin_wrappers, file_rules.swallowed_exceptions, imports.unused_imports, narrative.narrative_comments],
+    "code-quality": [quality.large_files, quality.repeated_chains, quality.duplicate_blocks],
+    "ai-slop": [line_rules.detect_lines, file_rules.thin_wrappers, file_rules.swallowed_exceptions],
     "security": [file_rules.hardcoded_secrets, security.risky_constructs],
 }
 
+#: Walkers by engine; those of all chosen engines share one pass over the files.
+WALKERS = {"code-quality": [quality.walker()], "ai-slop": [imports.WALKER, narrative.WALKER]}
+
 
 def scan(files: DataFrame, engines: list[str] | None = None, rules: DataFrame | None = None) -> DataFrame:
     """Diagnostics of the chosen engines (all if None). ``rules`` are architecture rules, without which that engine is skipped."""
     chosen = [e for e in DETECTORS if engines is None or e in engines]
     written = without_generated(files)
     parts = [detect(files if engine == "security" else written) for engine in chosen for detect in DETECTORS[engine]]
+    walkers = [w for e in chosen for w in WALKERS.get(e, ())]
+    if walkers:
+        parts.append(walk(written, walkers))
     if rules is not None and (engines is None or "architecture" in engines):
         parts.append(architecture.check_rules(files, rules))
     return reduce(DataFrame.unionByName, parts) if parts else schema.empty(files.sparkSession)
