@@ -46,7 +46,7 @@ DECLARES_BY = {
     ".php": compiled(r"\s*(?:public|private|protected|static|final|abstract|readonly\s+)*(?:function|class|interface|trait|enum|const)\s+"),
 }
 LABEL = compiled(r"[A-Z][A-Za-z0-9 ]{1,28}$")
-DATA = compiled(r"\s*(?:[{\[\"'`]|case\s|\w+:\s)")
+DATA = compiled(r"\s*(?:[{\[\"'`]|case\s|\w+:\s|\d\w*\s*:)")
 
 
 @dataclass

@@ -138,7 +138,8 @@ _STATEMENT = compiled(r"(?:export\s+)?(?:const|let|var|function|class)\s")
 def _braces(ls: list[str], at: int) -> tuple[int, int]:
     """Last line and deepest control flow of a function in braces."""
     stack: list[bool] = []
-    depth = deepest = begun = 0
+    depth = deepest = 0
+    begun: int | None = None  # the depth inside the function
     for j in range(at, len(ls)):
         for m in re.finditer(r"[{}]", ls[j]):
             if m[0] == "}":
@@ -147,14 +148,14 @@ def _braces(ls: list[str], at: int) -> tuple[int, int]:
                     stack.pop()
                 continue
             depth += 1
-            control = bool(begun) and bool(_CONTROL.search(ls[j][: m.start()].rstrip()))
-            begun = begun or depth
+            control = begun is not None and bool(_CONTROL.search(ls[j][: m.start()].rstrip()))
+            begun = depth if begun is None else begun
             stack.append(control)
             if control:
                 deepest = max(deepest, sum(stack))
-        if begun and depth < begun and j > at:
+        if begun is not None and depth < begun and j > at:
             return j, deepest
-    return (len(ls) - 1, deepest) if begun else (at, 0)
+    return (len(ls) - 1, deepest) if begun is not None else (at, 0)
 
 
 def _indents(ls: list[str], at: int) -> tuple[int, int]:
