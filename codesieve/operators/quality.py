@@ -75,16 +75,34 @@ def _trivial(x: Column) -> Column:
     return (t == "") | t.isin("{", "}", "});", "},") | t.rlike(r"^(//|/\*|\*)")
 
 
+def _hidden(ls: Column, directive: str) -> Column:
+    """For each line whether it stands in a block that follows a directive: up to where its braces close."""
+    active = "array<struct<depth:int,begun:boolean>>"
+    count = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
+
+    def step(s: Column, x: Column) -> Column:
+        moved = F.transform(s["active"], lambda a: F.struct((a["depth"] + count(x, "{") - count(x, "}")).alias("depth"), (a["begun"] | F.contains(x, F.lit("{"))).alias("begun")))
+        open_ = F.filter(moved, lambda a: ~(a["begun"] & (a["depth"] <= 0)))
+        new = F.array(F.struct(F.lit(0).alias("depth"), F.lit(False).alias("begun")))
+        return F.struct(F.when(x.rlike(directive), F.concat(open_, new)).otherwise(open_).cast(active).alias("active"), F.array_append(s["out"], F.size(s["active"]) > 0).alias("out"))
+
+    return F.aggregate(ls, F.struct(F.array().cast(active).alias("active"), F.array().cast("array<boolean>").alias("out")), step, lambda s: s["out"])
+
+
 def duplicate_windows(files: DataFrame, tool: str = "codesieve") -> DataFrame:
     """(project, path, line, prior): windows of ten lines that a window at least ten lines before has too.
 
     ``prior`` is the first place of the window's normalised text in the file. A file with a note
-    ``<tool>-ignore-file duplicate-block`` has none. Keys are grouped by file, within the row's partition.
+    ``<tool>-ignore-file duplicate-block`` has none, and the block after ``<tool>-ignore-next-block`` or
+    ``<tool>-ignore`` begins none.
     """
+    directive = java(rf"{tool}[- ]ignore(?:-next-block|-file)?\b.*\bduplicate-block\b")
     rows = files.where(F.lower("ext").isin(JS) & ~F.col("content").rlike(java(rf"{tool}[- ]ignore-file\b[^\n]*\bduplicate-block\b")))
-    rows = rows.select("project", "path", F.transform(lines(F.col("content")), lambda x: F.struct(_normal(x).alias("n"), (trim(x) == "").alias("blank"), _trivial(x).alias("trivial"))).alias("ls")).where(F.size("ls") >= WINDOW)
+    hidden = F.when(F.col("content").rlike(directive), _hidden(lines(F.col("content")), directive)).otherwise(F.array().cast("array<boolean>"))
+    rows = rows.select("project", "path", hidden.alias("hidden"), F.transform(lines(F.col("content")), lambda x: F.struct(_normal(x).alias("n"), (trim(x) == "").alias("blank"), _trivial(x).alias("trivial"))).alias("ls")).where(F.size("ls") >= WINDOW)
     marks = F.transform("ls", lambda x: F.struct(F.xxhash64(x["n"]).alias("h"), (x["blank"] | (x["n"] == "")).alias("blank"), x["trivial"].alias("trivial"), x["n"].isin("{", "}").alias("brace")))
-    rows = rows.select("project", "path", marks.alias("ls")).select("project", "path", "ls", F.explode(F.sequence(F.lit(1), F.size("ls") - WINDOW + 1)).alias("line"))
+    starts = F.filter(F.sequence(F.lit(1), F.size("ls") - WINDOW + 1), lambda k: ~F.coalesce(F.get("hidden", k - 1), F.lit(False)))
+    rows = rows.select("project", "path", marks.alias("ls"), starts.alias("starts")).select("project", "path", "ls", F.explode("starts").alias("line"))
     rows = rows.select("project", "path", F.col("line").cast("long").alias("line"), F.slice("ls", F.col("line"), WINDOW).alias("w"))  # ten hashes and flags, no text
     full = ~F.exists("w", lambda x: x["blank"]) & ~F.forall("w", lambda x: x["trivial"]) & (F.size(F.filter("w", lambda x: ~x["brace"])) >= WINDOW - 1) & (F.size(F.array_distinct("w.h")) >= LEAST_DISTINCT)
     rows = rows.where(full).select("project", "path", "line", F.col("w.h").alias("key"))

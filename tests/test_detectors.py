@@ -257,6 +257,9 @@ def test_duplicate_blocks(spark):
     rows = quality.duplicate_blocks(one(spark, "a.ts", text)).collect()
     assert len(rows) == 1 and rows[0].line == 15 and "duplicates a block starting at line 2" in rows[0].message
     assert not found(quality.duplicate_blocks(one(spark, "a.ts", "// codesieve-ignore-file duplicate-block\n" + text)))
+    second = "// codesieve-ignore-next-block duplicate-block\n" + BLOCK.format(n="two")
+    assert not found(quality.duplicate_blocks(one(spark, "a.ts", BLOCK.format(n="one") + "\n" + second)))
+    assert len(found(quality.duplicate_blocks(one(spark, "a.ts", second + "\n" + BLOCK.format(n="one") + "\n" + BLOCK.format(n="three"))))) == 1
     assert not found(quality.duplicate_blocks(one(spark, "a.ts", "x();\n" * 40))) and not found(quality.duplicate_blocks(one(spark, "a.py", text)))
 
 
