@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from codesieve.llm.common import LARGE_BLOCK_BYTES, blocks, checkpointed, list_array
 
-MAX_TABLE = 1 << 19
+MAX_TABLE = 1 << 18
 #: Rare words that a task keeps beside the table.
-MAX_RARE = 1 << 16
+MAX_RARE = 1 << 15
 #: Words that occur less often gain nothing from the table.
 LEAST_COUNT = 16
 SPLIT = r"[\x20\t\n\x0B\f\r]+"

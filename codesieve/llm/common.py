@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Texts worked on together: bounds the memory of the numpy passes. A longer text is worked on alone.
 BLOCK_BYTES = 1 << 19
 #: The same where a block's work has a fixed cost.
-LARGE_BLOCK_BYTES = 1 << 21
+LARGE_BLOCK_BYTES = 1 << 20
 
 SPACES = frozenset(b" \t\n\x0b\x0c\r")
 
@@ -96,23 +96,29 @@ class Words:
         self.counts = np.diff(self.first)
         self.text = np.repeat(np.arange(len(self.counts)), self.counts)
 
+    def _sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums of the weighed bytes, and the powers that take a word's place out of its sum."""
+        up, down = _Powers.upto(len(self.data) + 1)
+        sums = self.data.astype(np.uint64)
+        sums += np.uint64(1)
+        sums *= up[: len(sums)]
+        return np.cumsum(sums, out=sums), down
+
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        up, down = _Powers.upto(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        sums, down = self._sums()
+        before = np.where(self.starts > 0, sums[self.starts - 1], 0).astype(np.uint64) if len(self.starts) else np.zeros(0, np.uint64)
+        return mix((sums[self.ends - 1] - before) * down[self.starts])
 
     def prefixes(self, sizes: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each size the words that are longer, and the hashes of their first bytes."""
-        up, down = _Powers.upto(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=sums[1:])
+        sums, down = self._sums()
         out = []
         for size in sizes:
             longer = np.flatnonzero(self.ends - self.starts > size)
             at = self.starts[longer]
-            out.append((longer, mix((sums[at + size] - sums[at]) * down[at] + np.uint64(size))))
+            before = np.where(at > 0, sums[at - 1], 0).astype(np.uint64) if len(at) else np.zeros(0, np.uint64)
+            out.append((longer, mix((sums[at + size - 1] - before) * down[at] + np.uint64(size))))
         return out
 
     def grams(self, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -201,10 +201,9 @@ def drop_toxic(docs: DataFrame, weights: np.ndarray, text_column: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            keep = []
             for lo, hi, data, offsets in blocks(batch.column(batch.num_columns - 1)):
                 bags = Bags(data, offsets)
-                keep.append(-np.expm1(-np.bincount(bags.text, _softplus(bags.logits(table, bias)), hi - lo)) < limit)
-            yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+                scores = -np.expm1(-np.bincount(bags.text, _softplus(bags.logits(table, bias)), hi - lo))
+                yield batch.slice(lo, hi - lo).select(list(range(batch.num_columns - 1))).filter(pa.array(scores < limit))
 
     return source.mapInArrow(run, docs.schema)
