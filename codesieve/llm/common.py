@@ -19,6 +19,9 @@ BLOCK_BYTES = 1 << 19
 #: The same where a block's work has a fixed cost.
 LARGE_BLOCK_BYTES = 1 << 20
 
+#: Rows that Spark hands to a Python worker at once: whole texts are long rows.
+ARROW_ROWS = 2000
+
 SPACES = frozenset(b" \t\n\x0b\x0c\r")
 
 _RATIO = 0x9E3779B97F4A7C15 | 1
@@ -26,8 +29,17 @@ _INVERSE = pow(_RATIO, -1, 1 << 64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``ARROW_ROWS`` rows, for less memory beside the heap and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(key))
+    if not 0 < rows <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, through Spark's reader only, so that any store that Spark reads will do."""
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesieve.llm import bpe, toxicity
-from codesieve.llm.common import checkpointed, table
+from codesieve.llm.common import checkpointed, short_batches, table
 from codesieve.llm.decontamination import drop_leaking
 from codesieve.llm.near_dup import keep_one_of_each
 from codesieve.llm.queries import tokenizer_path
@@ -24,6 +24,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays, that with the smallest id."""
+    short_batches(spark)
     return keep_one_of_each(docs)
 
 
@@ -40,6 +41,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of what is left."""
+    short_batches(spark)
     return bpe.encode_and_decode(docs, tokenizer_path())
 
 
