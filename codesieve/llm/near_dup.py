@@ -174,10 +174,12 @@ def duplicate_classes(docs: DataFrame, id_column: str = "doc_id", text_column: s
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(text_column, F.lit("")).alias("text"))
     known = rows.where("id IS NOT NULL")
     sketched = checkpointed(sketches(known))
-    reps = sketched.groupBy("key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
+    reps = sketched.groupBy("key").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("n"))
     clusters = components(band_links(reps))
     links = components(verified_links(known, clusters, partitions(docs.sparkSession)))
-    classes = sketched.select("id", "key").join(reps.select("key", "rep"), "key").join(links, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("root", "rep").alias("class_id"))
+    copied = reps.where("n > 1").select("key", "rep")  # few texts have copies: the others stand for themselves
+    named = sketched.select("id", "key").join(copied, "key", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    classes = named.join(links, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("root", "rep").alias("class_id"))
     unknown = rows.where("id IS NULL").select("id", F.col("id").alias("class_id"))
     return classes.unionByName(unknown).withColumnRenamed("id", id_column)
 
