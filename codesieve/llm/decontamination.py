@@ -2,8 +2,9 @@
 
 One pass over all documents counts in how many of them each ``SEED``-word run of the test items occurs. The
 rarest share of an item's runs are its seeds. A second pass joins documents and items on their seeds and
-aligns each item with the passage around them; a passage whose local alignment reaches ``LEAST_SCORE`` of
-the item's own best score is a leak, word for word, edited or paraphrased.
+aligns each item with the passage around them; a passage with a seed whose local alignment reaches
+``LEAST_SCORE`` of the item's own best score is a leak, word for word, edited or paraphrased. The passage
+reaches as far from its seeds as the score lets gaps add up, and all leaks apart from each other are found.
 
 Bounds: items go to the tasks in shards of at most ``SHARD_WORDS`` words, one shard after the other, so the
 broadcast stays bounded whatever the benchmark's size. Texts are never shuffled; a document's candidates
@@ -98,6 +99,20 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     return best / (MATCH * len(item)), end - back, end
 
 
+def passages(item: np.ndarray, passage: np.ndarray, least: float) -> list[tuple[float, int, int]]:
+    """Alignments that reach the score, in order: the best one, then those in what lies before and after it."""
+    out, todo = [], [(0, len(passage))]
+    while todo:
+        a, b = todo.pop()
+        if np.isin(item, passage[a:b]).sum() < math.ceil(least * len(item) - 1e-9):
+            continue
+        score, first, last = align(item, passage[a:b])
+        if score >= least:
+            out.append((score, a + first, a + last))
+            todo += [(a, a + first), (a + last, b)]
+    return sorted(out, key=lambda x: x[1])
+
+
 def _leaks(items: Items, words: Words, hashes: np.ndarray, least: float) -> dict[int, list[dict]]:
     """The leaks in a block of texts, by text."""
     at, run = items.hits(words, hashes)
@@ -112,21 +127,18 @@ def _leaks(items: Items, words: Words, hashes: np.ndarray, least: float) -> dict
     while lo < len(text):
         t, i = int(text[lo]), int(item[lo])
         wanted = items.words[i]
-        slack = 8 + len(wanted) // 4
+        slack = int(MATCH * len(wanted) * (1 - least) / -GAP + 1e-9)  # all gaps that an alignment of this score can have
         hi = lo + 1
-        while hi < len(text) and text[hi] == t and item[hi] == i and begin[hi] - begin[hi - 1] <= slack:
+        while hi < len(text) and text[hi] == t and item[hi] == i and begin[hi] - begin[hi - 1] <= len(wanted) + 2 * slack:  # their passages touch
             hi += 1
         a = max(int(words.first[t]), int(begin[lo]) - slack)
         b = min(int(words.first[t + 1]), int(begin[hi - 1]) + len(wanted) + slack)
-        passage = hashes[a:b]
-        if np.isin(wanted, passage).sum() >= math.ceil(least * len(wanted) - 1e-9):
-            score, first, last = align(wanted, passage)
-            if score >= least:
-                base, last = int(words.first[t]), last - 1
-                raw = words.data[words.offsets[t] :]
-                start, end = int(words.starts[a + first] - words.offsets[t]), int(words.ends[a + last] - words.offsets[t])
-                chars = lambda n, raw=raw: len(raw[:n].tobytes().decode())
-                out.setdefault(t, []).append({"item": items.ids[i], "score": score, "first_word": a + first - base, "last_word": a + last - base, "start": chars(start), "end": chars(end)})
+        for score, first, last in passages(wanted, hashes[a:b], least):
+            base, last = int(words.first[t]), last - 1
+            raw = words.data[words.offsets[t] :]
+            start, end = int(words.starts[a + first] - words.offsets[t]), int(words.ends[a + last] - words.offsets[t])
+            chars = lambda n, raw=raw: len(raw[:n].tobytes().decode())
+            out.setdefault(t, []).append({"item": items.ids[i], "score": score, "first_word": a + first - base, "last_word": a + last - base, "start": chars(start), "end": chars(end)})
         lo = hi
     return out
 

@@ -1,0 +1,33 @@
+"""Results that a cut of the work would lose."""
+
+import random
+
+from codesieve.llm import decontamination
+
+
+def rows_of(spark, texts):
+    return spark.createDataFrame(list(texts), "doc_id long, text string")
+
+
+def test_leaks_with_long_gaps(spark):
+    rng = random.Random(7)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    items, texts, expected = [], [], {}
+    for k, n in enumerate([20, 40, 100]):
+        item = rng.sample(vocabulary, n)
+        items.append((k, " ".join(item)))
+        most = 2 * n * 45 // 100  # the gap at which a whole copy still scores 0.55
+        noise = lambda size, item=item: rng.choices([w for w in vocabulary if w not in item], k=size)
+        cases = [item[: n // 2] + noise(g) + item[n // 2 :] for g in (0, n // 4 + 9, most, most + 1)]
+        cases += [item[: n // 2 - d] + item[n // 2 :] for d in (n // 10, 3 * n // 10, most)]
+        for c, case in enumerate(cases):
+            text = noise(150) + case + noise(150)
+            texts.append((100 * k + c, " ".join(text)))
+            numbers = {w: i for i, w in enumerate(vocabulary)}
+            best, first, last = decontamination.align(*(decontamination.np.array([numbers[w] for w in x]) for x in (item, text)))
+            if best >= decontamination.LEAST_SCORE:
+                expected[100 * k + c, k] = (best, first, last - 1)
+        texts.append((100 * k + 50, " ".join(item + noise(2) + item[: n // 2] + noise(n // 2) + item[n // 2 :])))
+    got = decontamination.find_leaks(rows_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): tuple(r)[2:5] for r in got if r.doc_id % 100 < 50} == expected and {(2, 0), (102, 1), (202, 2)} <= set(expected) and (103, 1) not in expected
+    assert [sum(r.doc_id == 100 * k + 50 for r in got) for k in range(3)] == [2, 2, 2]
