@@ -4,7 +4,9 @@ Base spans come from three patterns (assignments, access keys, hex runs). The me
 spans: over each candidate string a window of ``WINDOW`` characters slides; the counts of its characters
 and the sum of c * log2(c) are updated for the character that enters and the one that leaves, and the
 window is hot if its Shannon entropy reaches the threshold of the candidate's character class. An
-allow-list suppresses identifiers, numbers and placeholders; base spans are never suppressed.
+allow-list suppresses identifiers, numbers and placeholders; base spans are never suppressed. Hosts, file
+names, words of paths and placeholders within a candidate, and base spans, are cut out of it; the stretches
+that remain are searched on their own, so that what stands beside them is found.
 
 Edge cases: a null text is an empty one (no spans; the hash of the empty string); positions are code
 points with exclusive ends; repeated rows give repeated results; empty tables give empty results; other
@@ -35,6 +37,15 @@ CLASSES = (("[0-9a-fA-F]+", 3.0), ("[A-Za-z0-9]+", 3.6), ("[A-Za-z0-9+/_=.-]+",
 #: Not secrets: numbers and dates, UUIDs, names of sites, paths of pages, placeholders.
 ALLOWED = r"^[0-9.+/_=-]+$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|(?i)example|sample|dummy|placeholder|changeme|xxxx|\.(com|org|net|html?|php)\b|^/|//"
 
+#: Of those, what a candidate or stretch must be as a whole.
+NUMBER = "|".join(ALLOWED.split("|")[:2])
+#: The others, cut out of a candidate: whole segments that are a host, a file or words of a path, and whole placeholders.
+NAME = (
+    r"(?<![^/=])(?:[A-Za-z0-9_-]+\.)+(?i:com|org|net|html?|php)(?![^/])"
+    r"|(?<=/)[A-Z]?[a-z]{3,}(?:[-_.](?:[A-Z]?[a-z]+|[0-9]+))*(?![^/])"
+    r"|(?<![A-Za-z0-9])(?i:(?:example|sample|dummy|placeholder|changeme)[0-9]*|x{4,})(?![A-Za-z0-9])"
+)
+
 _ANY = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{16}|" + CANDIDATE
 _SPANS = "array<struct<start:bigint,ord:int,end:bigint>>"
 
@@ -117,15 +128,36 @@ def _hot_range(candidate: Column, threshold: Column) -> Column:
     return let(F.split(candidate, ""), run)
 
 
-def _entropy(text: Column) -> Column:
+def _stretches(place: Column, base: Column, bits: Column) -> Column:
+    """(start, match, bits) of what lies outside base spans and names in a candidate and is as long as a window."""
+    start, match, end = place["start"], place["match"], place["start"] + F.length(place["match"])
+    hole = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    kind, none = "array<struct<start:bigint,end:bigint>>", F.array()
+    names = F.when(match.rlike(ALLOWED), F.transform(_places(match, NAME), lambda n: hole(start + n["start"], start + n["start"] + F.length(n["match"]))).cast(kind)).otherwise(none.cast(kind))
+    taken = F.transform(F.filter(base, lambda b: (b["start"] < end) & (start < b["end"])), lambda b: hole(b["start"], b["end"])).cast(kind)
+    return F.aggregate(
+        F.array_sort(F.concat(taken, names, F.array(hole(end, end)).cast(kind))),
+        F.struct(start.cast("bigint").alias("at"), none.cast("array<struct<start:bigint,match:string,bits:double>>").alias("out")),
+        lambda s, h: F.struct(
+            F.greatest(s["at"], h["end"]).alias("at"),
+            F.when(
+                h["start"] - s["at"] >= WINDOW,
+                F.array_append(s["out"], F.struct(s["at"].alias("start"), F.substring(match, (s["at"] - start + 1).cast("int"), (h["start"] - s["at"]).cast("int")).alias("match"), bits.cast("double").alias("bits"))),
+            ).otherwise(s["out"]).alias("out"),
+        ),
+    )["out"]
+
+
+def _entropy(text: Column, base: Column) -> Column:
     threshold = None
     for pattern, bits in CLASSES:
         threshold = (lambda c, old=threshold, p=pattern, b=bits: (F.when(c.rlike(f"^{p}$"), b) if old is None else old(c).when(c.rlike(f"^{p}$"), b)))
-    places = F.filter(_places(text, CANDIDATE), lambda p: ~p["match"].rlike(ALLOWED))
+    stretches = F.flatten(F.transform(_places(text, CANDIDATE), lambda p: _stretches(p, base, threshold(p["match"]))))
+    places = F.filter(stretches, lambda p: p["match"].rlike("[0-9]") & ~p["match"].rlike(NUMBER))
     spans = F.transform(
         places,
         lambda p: let(
-            _hot_range(p["match"], threshold(p["match"])),
+            _hot_range(p["match"], p["bits"]),
             lambda r: F.struct((p["start"] + r["first"]).alias("start"), F.lit(3).alias("ord"), (p["start"] + r["last"]).alias("end")),
         ),
     )
@@ -142,8 +174,7 @@ def with_spans(docs: DataFrame, text_column: str = "text", base: str = "base_spa
         _kind(text, "[0-9a-f]{16}", HEX, 2),
     )
     docs = docs.withColumn(base, F.when(text.rlike(_ANY), F.array_sort(found)).otherwise(none))
-    own = F.filter(_entropy(text), lambda s: ~F.exists(F.col(base), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return docs.withColumn(added, F.when(text.rlike(_ANY), own).otherwise(none))
+    return docs.withColumn(added, F.when(text.rlike(_ANY), _entropy(text, F.col(base))).otherwise(none))
 
 
 def span_text(spans: Column) -> Column:
