@@ -14,6 +14,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -120,28 +121,30 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
 
 
 def main_text(page: str | None) -> str:
-    """The article of a page: one line for each block, found by surge and dive of the window sums."""
+    """The article of a page: one line for each block, found by surge and dive of the window sums.
+
+    Lines are judged in stretches of equal mark, by their lengths outside links. Where the page marks its
+    article, any such length is a surge; elsewhere text must surge as on a page without marks.
+    """
     lines = lines_of(page or "")
     most = max((x[2] for x in lines), default=0)
-    if most:  # the page says where its article is: any text is a surge
-        lines, surge = [(text, len(text), most) for text, _, mark in lines if mark == most], 1
-    else:
-        surge = SURGE
-    lengths = [n for _, n, _ in lines]
-    sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
-    if sums and max(sums) < surge:
-        surge = 1  # short texts only
     kept: list[str] = []
-    i = 0
-    while i < len(lines):
-        if sums[i] >= surge and lengths[i]:
-            start = end = i
-            while i < len(lines) and sums[i]:
+    for mark, group in groupby(lines, lambda x: x[2]):
+        stretch = list(group)
+        marked = bool(most) and mark == most
+        lengths = [n for _, n, _ in stretch]
+        sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
+        surge = 1 if marked or (not most and max(sums) < SURGE) else SURGE  # without marks: short texts only
+        i = 0
+        while i < len(stretch):
+            if sums[i] >= surge and lengths[i]:
+                start = end = i
+                while i < len(stretch) and sums[i]:
+                    i += 1
+                    end = i if lengths[i - 1] else end
+                kept += [text for text, _, _ in stretch[start:end]]
+            else:
                 i += 1
-                end = i if lengths[i - 1] else end
-            kept += [text for text, _, _ in lines[start:end]]
-        else:
-            i += 1
     return "\n".join(kept)
 
 

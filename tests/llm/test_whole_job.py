@@ -4,6 +4,7 @@ import base64
 import random
 
 from codesieve.llm import decontamination, secret_scan
+from codesieve.llm.html_text import main_text
 
 
 def rows_of(spark, texts):
@@ -49,3 +50,11 @@ def test_secrets_beside_names_and_base_spans(spark):
         assert masked[len(texts) + k] == text
     found = [r.n_entropy for r in secret_scan.scan_secrets(rows).orderBy("doc_id").collect()][len(texts) + len(allowed) :]
     assert len(found) > 30 and all(found)
+
+
+def test_article_marks_are_a_prior_only():
+    first, second, third = (f"{x} paragraph is long enough to be taken for the text of an article, and it goes on for some more words." for x in ("This", "That", "Another"))
+    page = f"<body><div>Top</div><main><p>{first}</p><p>{second}</p><article><h2>A card</h2><p>Short.</p></article><p>{third}</p></main></body>"
+    assert main_text(page) == "\n".join([first, second, "A card", "Short.", third])
+    links = "".join(f"<li><a href=/{k}>A link to some page {k}</a></li>" for k in range(6))
+    assert main_text(f"<article><h1>Head</h1><p>{first}</p><ul>{links}</ul></article>") == f"Head\n{first}"
