@@ -10,6 +10,8 @@ from codesieve.operators.schema import COLUMNS, engine_table
 # Sizes of the reports' lists.
 SAMPLES, FINDINGS, FILES, FILE_FINDINGS, STEP_FILES = 3, 20, 20, 10, 3
 SNIPPET = 3
+#: Diagnostics in one row of the JSON report at most.
+PART = 10_000
 
 _count = lambda condition: F.sum(condition.cast("long"))
 
@@ -102,13 +104,21 @@ def snippets(diagnostics: DataFrame, files: DataFrame, around: int = SNIPPET) ->
 
 
 def json_report(diagnostics: DataFrame, scores: DataFrame, projects: DataFrame, version: str = "1") -> DataFrame:
-    """(project, report): a JSON document for each project. Writing it gathers a project's rows, so it is a sink only."""
+    """(project, report): JSON documents with at most ``PART`` diagnostics each, and the project's head in every one.
+
+    A project's diagnostics are dealt by their hashes to as many buckets as they fill parts; what a bucket has
+    beyond ``PART`` goes to further parts of it, so no row and no task holds a whole project.
+    """
     engines = diagnostics.groupBy("project", "engine").agg(F.count("*").alias("issues")).groupBy("project").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("engine", F.struct("issues", F.lit(False).alias("skipped")))))).alias("engines"))
     own = [c for c in COLUMNS if c != "project"]
-    listed = diagnostics.groupBy("project").agg(F.array_sort(F.collect_list(F.struct(*own))).alias("diagnostics"))
+    sizes = summary(diagnostics).select("project", F.ceil(F.col("total") / PART).alias("buckets"))
+    dealt = diagnostics.join(F.broadcast(sizes), "project").withColumn("bucket", F.pmod(F.xxhash64(*own), F.col("buckets")))
+    dealt = dealt.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy("project", "bucket").orderBy(*own)) - 1) / PART))
+    listed = dealt.groupBy("project", "bucket", "chunk").agg(F.array_sort(F.collect_list(F.struct(*own))).alias("diagnostics"), F.first("buckets").alias("buckets"))
+    part = F.when(F.col("bucket").isNotNull(), F.struct("bucket", "buckets", "chunk")).alias("part")
     counts = F.struct(*[F.coalesce(F.col(a), F.lit(0)).alias(b) for a, b in (("summary_errors", "errors"), ("warnings", "warnings"), ("fixable", "fixable"), ("files", "files"))])
     rows = scores.join(summary(diagnostics).withColumnRenamed("errors", "summary_errors"), "project", "left").join(engines, "project", "left").join(listed, "project", "left").join(projects, "project", "left")
-    return rows.select("project", F.to_json(F.struct(F.lit(version).alias("schemaVersion"), "score", "label", "engines", "diagnostics", counts.alias("summary"))).alias("report"))
+    return rows.select("project", F.to_json(F.struct(F.lit(version).alias("schemaVersion"), "score", "label", "engines", part, "diagnostics", counts.alias("summary"))).alias("report"))
 
 
 def delta(before: DataFrame, after: DataFrame) -> DataFrame:
