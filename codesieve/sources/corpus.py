@@ -32,8 +32,13 @@ HEADER = 512
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares for what must outlive a task, or a temporary one where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
+    """The folder that the cluster shares for what must outlive a task; on one machine a temporary one where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("a cluster needs a shared folder in spark.checkpoint.dir")
+    return os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
 def glob_regex(pattern: str) -> str:
