@@ -1,10 +1,19 @@
 """BPE encoding and decoding through a distinct-word table.
 
-Texts are split at ASCII white space by Spark, where the tokenizer never joins across. The distinct words and their counts
-are one aggregation; the words that occur most, at most ``MAX_TABLE`` of them, are encoded once by the
-tokenizer, and the table of word and ids is broadcast: its size is bounded whatever the input. Ids are put
-back by position within the documents. Words too rare for the table are encoded once for each block of
-documents in which they stand, or less often. Decoding looks ids up in the id-to-piece table, as large as the vocabulary.
+Texts are split at ASCII white space, where the tokenizer never joins across, and every distinct word is
+encoded once:
+
+1. Spark counts the words. The commonest, at most ``MAX_TABLE`` of at most ``LONGEST`` bytes each, are encoded
+   and broadcast as a table: its size is bounded whatever the input.
+2. A document becomes the numbers of its words in that table; the words that it lacks go along in their order.
+   Documents are dealt to buckets by their hashes, in one exchange that both of the next steps read.
+3. The other words of each bucket, once each, are dealt by word, so that all of a word's buckets meet in one
+   partition, which encodes it once and answers them.
+4. Buckets meet their answers, and ids are put in the places of the words. The pieces of ids are taken from
+   the id-to-piece table, as large as the vocabulary, once for each distinct word.
+
+Buckets are as many as the texts need for ``BUCKET_BYTES`` each, so tasks stay small whatever the input. A
+bucket depends on a document's id and text only, so a lost executor's part comes out the same again.
 
 Edge cases: a null text is an empty one (no ids); texts of white space have no ids; null ids decode to an
 empty text; repeated rows give repeated results; empty tables give empty results; other columns are not
@@ -14,25 +23,26 @@ read. Texts are encoded whole.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import LARGE_BLOCK_BYTES, blocks, checkpointed, list_array
+from codesieve.llm.common import LARGE_BLOCK_BYTES, SPACES, Words, blocks, checkpointed, list_array, mix, partitions, released, separators
 
-MAX_TABLE = 1 << 18
-#: Rare words that a task keeps beside the table.
-MAX_RARE = 1 << 15
-#: Words that occur less often gain nothing from the table.
-LEAST_COUNT = 16
-SPLIT = r"[\x20\t\n\x0B\f\r]+"
+MAX_TABLE, LONGEST = 1 << 18, 48
+#: Bytes of texts in a bucket, and distinct words that a task counts before it sends them.
+BUCKET_BYTES, MAX_COUNTED = 1 << 24, 1 << 19
+#: Words that answers hold together for a bucket's row.
+ANSWERS = 1 << 16
+
+_PARTS = separators(SPACES)
 
 
 @lru_cache(2)
@@ -53,61 +63,220 @@ def encode_words(definition: str, words: list[str]) -> list[list[int]]:
     return [x.ids for x in load_tokenizer(definition).encode_batch(words, add_special_tokens=False)]
 
 
-def word_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """(word, n): the distinct words of all texts."""
-    words = docs.select(F.explode(F.split(F.coalesce(text_column, F.lit("")), SPLIT)).alias("word"))
-    return words.where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+def pieces(definition: str) -> list[str]:
+    """The id-to-piece table."""
+    names = load_tokenizer(definition).get_vocab(with_added_tokens=True)
+    table = [""] * (max(names.values()) + 1)
+    for name, number in names.items():
+        table[number] = name
+    return table
+
+
+@lru_cache(1)
+def _named(definition: str) -> dict[str, str]:
+    return {str(k): piece for k, piece in enumerate(pieces(definition))}
+
+
+def pieces_of(definition: str, ids: list[str]) -> list[str]:
+    """Written ids, each with the id-to-piece table's piece in its place."""
+    piece = _named(definition).__getitem__
+    return [" ".join(map(piece, x.split(" "))) if x else "" for x in ids]
+
+
+def _decoder(definition: str) -> Callable[[str], str]:
+    """The function that makes a text of its pieces, as the tokenizer does."""
+    decoder = load_tokenizer(definition).decoder
+    return (lambda x: x) if decoder is None else lambda x: decoder.decode(x.split(" ") if x else [])
+
+
+def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, list[bytes], np.ndarray]:
+    """The words of a block of texts, the distinct ones, and for each word its place among these."""
+    words = Words(data, offsets, _PARTS)
+    raw = data.tobytes()
+    _, first, place = np.unique(words.hashes(), return_index=True, return_inverse=True)
+    length = words.ends - words.starts
+    same = np.array_equal(length, length[first][place])
+    if same and len(length):  # equal hashes stand for equal words: byte by byte
+        inside = np.arange(int(length.sum())) + np.repeat(words.starts - np.cumsum(length) + length, length)
+        same = np.array_equal(data[inside], data[inside + np.repeat(words.starts[first][place] - words.starts, length)])
+    if not same:
+        number: dict[bytes, int] = {}
+        whole = [raw[a:b] for a, b in zip(words.starts.tolist(), words.ends.tolist(), strict=True)]
+        return words, list(dict.fromkeys(whole)), np.array([number.setdefault(w, len(number)) for w in whole], np.int64)
+    return words, [raw[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)], place
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, n) of the words that a task meets more than once; the empty word stands for the bytes of all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[bytes, int] = {}
+        size = 0
+
+        def sent(more: dict[bytes, int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(more), pa.binary()).cast(pa.string()), pa.array(list(more.values()), pa.int64())], names=["word", "n"])
+
+        for batch in batches:
+            for _, _, data, offsets in blocks(batch.column(0), LARGE_BLOCK_BYTES):
+                _, distinct, place = distinct_words(data, offsets)
+                size += len(data)
+                for word, n in zip(distinct, np.bincount(place, minlength=len(distinct)).tolist(), strict=True):
+                    counts[word] = counts.get(word, 0) + n
+                if len(counts) > MAX_COUNTED:
+                    yield sent({w: n for w, n in counts.items() if n > 1 and len(w) <= LONGEST})
+                    counts.clear()
+        yield sent({w: n for w, n in counts.items() if n > 1 and len(w) <= LONGEST} | {b"": size})
+
+    return texts.mapInArrow(released(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+class Table:
+    """The commonest words in the order of their counts, with their written ids and the pieces of these."""
+
+    def __init__(self, definition: str, words: list[str], ids: list[list[int]]):
+        written = [" ".join(map(str, x)) for x in ids]
+        self.words, self.ids, self.texts = " ".join(words), "\n".join(written), "\n".join(pieces_of(definition, written))
+
+    def numbers(self) -> dict[bytes, int]:
+        return {w: k for k, w in enumerate(self.words.encode().split())}
 
 
-def word_table(docs: DataFrame, definition: str, text_column: str = "text", max_table: int = MAX_TABLE) -> DataFrame:
-    """(word, ids) of the commonest words: all that occur at least so often that at most ``max_table`` do."""
-    counts = checkpointed(word_counts(docs, text_column).where(F.col("n") >= LEAST_COUNT))
-    by_size = counts.groupBy(F.floor(F.log2("n") * 8).alias("size")).agg(F.count("*").alias("words")).collect()  # at most 8 rows for each power of 2
+def word_table(texts: DataFrame, definition: str, max_table: int = MAX_TABLE) -> tuple[Table, int]:
+    """The table of the commonest words, those with so many counts that at most ``max_table`` have, and the bytes of all texts."""
+    counts = checkpointed(word_counts(texts))
+    classes = F.floor(F.log2("n") * 16)
+    by_size = counts.where("word <> ''").groupBy(classes.alias("size")).agg(F.count("*").alias("words")).collect()  # at most 16 rows for each power of 2
     least, total = 1 << 60, 0
     for size, words in sorted(((r["size"], r.words) for r in by_size), reverse=True):
         total += words
         if total > max_table:
             break
         least = size
+    size = counts.where("word = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
-    @F.pandas_udf("array<int>")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.Series(encode_words(definition, batch.tolist()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(encode_words(definition, batch.column(0).to_pylist()), pa.list_(pa.int32()))], names=["word", "n", "ids"])
 
-    return counts.where(F.floor(F.log2("n") * 8) >= least).select("word", encoded("word").alias("ids"))
+    rows = counts.where((F.col("word") != "") & (classes >= least)).mapInArrow(released(encoded), "word string, n long, ids array<int>").toArrow()  # at most max_table short words
+    rows = rows.sort_by([("n", "descending"), ("word", "ascending")])
+    return Table(definition, rows.column("word").to_pylist(), rows.column("ids").to_pylist()), size
 
 
-def _encoded(docs: DataFrame, definition: str, id_column: str, text_column: str, max_table: int, finish, columns: str) -> DataFrame:
-    """(id, *columns). ``finish()`` gives the function that makes columns of documents' ids, written as decimal numbers."""
-    table = word_table(docs, definition, text_column, max_table).toArrow()
-    words = " ".join(table.column("word").to_pylist()).encode()
-    texts = "\n".join(" ".join(map(str, ids)) for ids in table.column("ids").to_pylist())
-    shared = docs.sparkSession.sparkContext.broadcast((words, texts))  # at most max_table words
-    source = docs.select(id_column, F.coalesce(text_column, F.lit("")).cast("binary").alias("_text"))
-    names = [id_column, *(x.split()[0] for x in columns.split(", "))]
+def _numbered(docs: DataFrame, table, id_column: str, text_column: str, buckets: int) -> DataFrame:
+    """(bucket, id, numbers, others) of every document: the numbers of its words, -1 for those in ``others``."""
+    text = F.coalesce(text_column, F.lit(""))
+    source = docs.select(F.pmod(F.xxhash64(id_column, text), F.lit(buckets)).cast("int").alias("bucket"), F.col(id_column).alias("id"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        column = finish()
-        words, texts = shared.value
-        table = dict(zip(words.split(b" "), texts.split("\n"), strict=True)) if words else {}
-        added: list[bytes] = []  # rare words in the table for now
+        number = table.value.numbers()
         for batch in batches:
-            for lo, hi, data, offsets in blocks(batch.column(1), LARGE_BLOCK_BYTES):
-                raw, at = data.tobytes(), offsets.tolist()
-                split = [raw[a:b].split() for a, b in zip(at, at[1:], strict=False)]
-                if len(added) > MAX_RARE:
-                    for w in added:
-                        del table[w]
-                    added.clear()
-                rare = list(set(chain.from_iterable(split)).difference(table))
-                for w, ids in zip(rare, encode_words(definition, [w.decode() for w in rare]), strict=True):
-                    table[w] = " ".join(map(str, ids))
-                added += rare
-                rows = [" ".join(filter(None, map(table.__getitem__, ws))) for ws in split]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], *column(rows)], names=names)
-
-    return source.mapInArrow(run, f"{id_column} {source.schema[0].dataType.simpleString()}, {columns}")
+            for lo, hi, data, offsets in blocks(batch.column(2), LARGE_BLOCK_BYTES):
+                words, distinct, place = distinct_words(data, offsets)
+                known = np.fromiter((number.get(w, -1) for w in distinct), np.int32, len(distinct))
+                other = known < 0
+                numbers = known[place]
+                at = np.flatnonzero(numbers < 0)
+                names = pa.array([w for w, o in zip(distinct, other.tolist(), strict=True) if o], pa.binary()).cast(pa.string())
+                lengths = np.bincount(words.text[at], minlength=hi - lo)
+                others = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), names.take(pa.array((np.cumsum(other) - 1)[place[at]])))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], list_array(numbers, words.counts), others], names=["bucket", "id", "numbers", "others"])
+
+    kind = source.schema["id"].dataType.simpleString()
+    return source.mapInArrow(released(run), f"bucket int, id {kind}, numbers array<int>, others array<string>").repartition(buckets, "bucket")
+
+
+def _answers(numbered: DataFrame, definition: str, buckets: int) -> DataFrame:
+    """(bucket, words, sizes, ids): the ids of all other words of each bucket, each distinct word encoded once."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            others = batch.column(3)
+            bucket = np.repeat(own, others.value_lengths().to_numpy(zero_copy_only=False))
+            names = others.flatten().dictionary_encode()
+            pair = np.unique(bucket.astype(np.int64) << 32 | names.indices.to_numpy(zero_copy_only=False))
+            word = names.dictionary.take(pa.array(pair & 0xFFFFFFFF))
+            if not len(pair):
+                continue
+            words = word.to_pylist()
+            data = np.frombuffer("".join(words).encode(), np.uint8)
+            lengths = pc.binary_length(word.cast(pa.binary())).to_numpy(zero_copy_only=False)
+            whole = Words(data, np.append(0, np.cumsum(lengths)), separators(()))
+            part = (mix(whole.hashes()) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((pair >> 32, part))
+            part, bucket = part[order], (pair >> 32)[order]
+            first = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (bucket[1:] != bucket[:-1])))
+            ends = np.append(first[1:], len(part))
+            at = order.tolist()
+            joined = [" ".join(words[i] for i in at[a:b]) for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), pa.array(bucket[first].astype(np.int32)), pa.array(joined, pa.string())], names=["part", "bucket", "words"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[int]] = {}
+        own: dict[int, list[str]] = {}
+
+        def sent() -> pa.RecordBatch:
+            ids = [[known[w] for w in words] for words in own.values()]
+            flat = [np.fromiter((i for x in row for i in x), np.int32) for row in ids]
+            sizes = [np.fromiter(map(len, row), np.int32, len(row)) for row in ids]
+            lists = [list_array(np.concatenate(x), np.fromiter(map(len, x), np.int64, len(x))) for x in (sizes, flat)]
+            return pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([" ".join(x) for x in own.values()], pa.string()), *lists], names=["bucket", "words", "sizes", "ids"])
+
+        held = 0
+        for batch in batches:
+            for bucket, joined in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                words = joined.split(" ")
+                own.setdefault(bucket, []).extend(words)
+                held += len(words)
+                new = [w for w in words if w not in known]
+                known.update(zip(new, encode_words(definition, new), strict=True))
+                if held >= ANSWERS:
+                    yield sent()
+                    own.clear()
+                    held = 0
+        if own:
+            yield sent()
+
+    asked = numbered.mapInArrow(released(ask), "part int, bucket int, words string").repartition(buckets, "part")
+    return asked.mapInArrow(released(answer), "bucket int, words string, sizes array<int>, ids array<int>").repartition(buckets, "bucket")
+
+
+def _encoded(docs: DataFrame, definition: str, id_column: str, text_column: str, max_table: int, finish: Callable, columns: str) -> DataFrame:
+    """(id, *columns) of every document; ``finish`` makes the columns of token counts, written ids and decoded texts."""
+    found, size = word_table(docs.select(F.coalesce(text_column, F.lit(""))), definition, max_table)
+    table = docs.sparkSession.sparkContext.broadcast(found)  # at most max_table words of bounded length
+    buckets = max(2 * partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
+    numbered = _numbered(docs, table, id_column, text_column, buckets)
+    names = ["id", *(x.split()[0] for x in columns.split(", "))]
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = table.value
+        ids, texts = (x.split("\n") if known.words else [] for x in (known.ids, known.texts))
+        words: dict[str, int] = {}
+        own_ids: list[str] = []
+        for joined, sizes, flat in zip(*(right.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            ends = np.cumsum(sizes).tolist()
+            for word, a, b in zip(joined.split(" "), [0, *ends], ends, strict=False):
+                words[word] = len(ids) + len(own_ids)
+                own_ids.append(" ".join(map(str, flat[a:b])))
+        ids, texts = ids + own_ids, texts + pieces_of(definition, own_ids)
+        tokens = np.fromiter((x.count(" ") + (x != "") for x in ids), np.int64, len(ids))
+        out = []
+        for batch in left.to_batches(256):
+            number = batch.column(2).flatten().to_numpy(zero_copy_only=False).copy()
+            number[number < 0] = np.fromiter(map(words.__getitem__, batch.column(3).flatten().to_pylist()), np.int64)
+            cuts = np.append(0, np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False))).tolist()
+            rows = [number[a:b].tolist() for a, b in zip(cuts, cuts[1:], strict=False)]
+            counts = np.diff(np.append(0, np.cumsum(tokens[number]))[cuts])
+            joined = lambda parts, rows=rows: [" ".join(filter(None, map(parts.__getitem__, row))) for row in rows]
+            out.append(pa.RecordBatch.from_arrays([batch.column(1), *finish(counts, joined(ids), joined(texts))], names=names))
+        return pa.Table.from_batches(out) if out else pa.table({})
+
+    answers = _answers(numbered, definition, buckets)
+    kind = numbered.schema["id"].dataType.simpleString()
+    rows = numbered.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(meet, f"id {kind}, {columns}")
+    return rows.withColumnRenamed("id", id_column)
 
 
 def _ids(rows: list[str]) -> pa.Array:
@@ -119,40 +288,29 @@ def _ids(rows: list[str]) -> pa.Array:
 def encode(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", max_table: int = MAX_TABLE) -> DataFrame:
     """(id, ids) of every document, as the tokenizer encodes its text without adding special tokens."""
     definition = Path(tokenizer_path).read_text(encoding="utf-8")
-    return _encoded(docs, definition, id_column, text_column, max_table, lambda: lambda rows: [_ids(rows)], "ids array<int>")
+    return _encoded(docs, definition, id_column, text_column, max_table, lambda n, ids, texts: [_ids(ids)], "ids array<int>")
 
 
 def encode_and_decode(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", max_table: int = MAX_TABLE) -> DataFrame:
     """(id, n_tokens, ids, decoded) of every document: its ids and the text that they stand for."""
     definition = Path(tokenizer_path).read_text(encoding="utf-8")
 
-    def finish():
-        decoded = _decoder(definition)
-
-        def columns(rows: list[str]) -> list[pa.Array]:
-            ids = _ids(rows)
-            return [ids.value_lengths().cast(pa.int64()), ids, pa.array([decoded(x.split()) for x in rows], pa.string())]
-
-        return columns
+    def finish(n: np.ndarray, ids: list[str], texts: list[str]) -> list[pa.Array]:
+        return [pa.array(n, pa.int64()), _ids(ids), pa.array(map(_decoder(definition), texts), pa.string())]
 
     return _encoded(docs, definition, id_column, text_column, max_table, finish, "n_tokens long, ids array<int>, decoded string")
 
 
-def pieces(definition: str) -> list[str]:
-    """The id-to-piece table."""
-    names = load_tokenizer(definition).get_vocab(with_added_tokens=True)
-    table = [""] * (max(names.values()) + 1)
-    for name, number in names.items():
-        table[number] = name
-    return table
+def token_digests(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", max_table: int = MAX_TABLE) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of every document, encoded and decoded."""
+    definition = Path(tokenizer_path).read_text(encoding="utf-8")
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
 
+    def finish(n: np.ndarray, ids: list[str], texts: list[str]) -> list[pa.Array]:
+        decoded = _decoder(definition)
+        return [pa.array(n, pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array((sha(decoded(x)) for x in texts), pa.string())]
 
-def _decoder(definition: str):
-    """The function that decodes written ids by the id-to-piece table."""
-    decoder = load_tokenizer(definition).decoder
-    join = " ".join if decoder is None else (lambda x: decoder.decode(list(x)))
-    piece = {str(i): p for i, p in enumerate(pieces(definition))}.__getitem__
-    return lambda ids: join(map(piece, ids))
+    return _encoded(docs, definition, id_column, text_column, max_table, finish, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def decode(ids: Column, tokenizer_path: str) -> Column:
@@ -163,23 +321,6 @@ def decode(ids: Column, tokenizer_path: str) -> Column:
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         decoded = _decoder(definition)
         for batch in batches:
-            yield batch.map(lambda x: decoded(map(str, x)) if x is not None else "")
+            yield pd.Series(map(decoded, pieces_of(definition, [" ".join(map(str, x)) if x is not None else "" for x in batch])), dtype=object)
 
     return text(ids)
-
-
-def token_digests(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", max_table: int = MAX_TABLE) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of every document, encoded and decoded in one pass."""
-    definition = Path(tokenizer_path).read_text(encoding="utf-8")
-
-    def finish():
-        decoded = _decoder(definition)
-        sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
-
-        def columns(rows: list[str]) -> list[pa.Array]:
-            ids = [x.split() for x in rows]
-            return [pa.array(list(map(len, ids)), pa.int64()), pa.array(list(map(sha, rows)), pa.string()), pa.array([sha(decoded(x)) for x in ids], pa.string())]
-
-        return columns
-
-    return _encoded(docs, definition, id_column, text_column, max_table, finish, "n_tokens long, ids_sha256 string, decoded_sha256 string")

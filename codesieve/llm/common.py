@@ -6,14 +6,17 @@ hashing them are a few numpy passes and never a Python loop over words.
 
 from __future__ import annotations
 
-import os
-import tempfile
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from codesieve.sources.corpus import shared_folder
+
 #: Texts worked on together: bounds the memory of the numpy passes. A longer text is worked on alone.
 BLOCK_BYTES = 1 << 19
 #: The same where a block's work has a fixed cost.
@@ -48,10 +51,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, giving back what memory its batches took: Spark keeps Python workers for later tasks."""
+
+    @wraps(run)
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _Powers.up = _Powers.down = np.ones(1, np.uint64)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every system's C library can
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

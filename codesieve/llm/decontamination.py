@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import Words, blocks, separators
+from codesieve.llm.common import Words, blocks, released, separators
 
 SEED, RARE_SHARE, LEAST_SCORE = 3, 0.75, 0.55
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -157,7 +157,7 @@ def _frequencies(texts: DataFrame, items: Items) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["run", "n"])
 
-    rows = texts.mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).toArrow()  # at most a row for each run of the shard
+    rows = texts.mapInArrow(released(run), "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).toArrow()  # at most a row for each run of the shard
     out = np.zeros(len(items.grams), np.int64)
     out[rows.column("run").to_numpy()] = rows.column("n").to_numpy()
     return out
@@ -194,7 +194,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text_column: str = "text",
                         before[lo + t] = before[lo + t] + found
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(before, _LEAK_TYPE)], names=[*names, into])
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(released(run), out.schema)
     return out
 
 

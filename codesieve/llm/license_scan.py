@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import Words, blocks, separators
+from codesieve.llm.common import Words, blocks, released, separators
 
 THRESHOLD = 0.8
 MAX_TEMPLATE_TOKENS = 1 << 16
@@ -99,7 +99,7 @@ def token_frequencies(docs: DataFrame, names: list[str], text_column: str = "tex
                 total += np.bincount(pairs % len(names), minlength=len(names))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(names), dtype=np.int32)), pa.array(total)], names=["token", "n"])
 
-    counts = docs.select(F.coalesce(text_column, F.lit("")).alias("t")).mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = docs.select(F.coalesce(text_column, F.lit("")).alias("t")).mapInArrow(released(run), "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
     return {names[row.token]: row.n for row in counts.collect()}  # one row for each template token
 
 
@@ -198,4 +198,4 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
             types = {"base_labels": pa.string(), "labels": pa.string(), "score": pa.float64()}
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, types.get(k, pa.int64())) for k, v in out.items())], names=[id_column, *out])
 
-    return source.mapInArrow(run, f"{id_column} {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return source.mapInArrow(released(run), f"{id_column} {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import slices
+from codesieve.llm.common import released, slices
 
 FRAME, GROUP, CHUNK_FRAMES, RATE = 64, 32, 256, 25
 
@@ -170,7 +170,7 @@ def text_to_media(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 media = [wrap_payload(x + bytes((-len(x)) % FRAME if x else FRAME)) for x in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array(media, pa.binary())], names=[id_column, "n_bytes", "media"])
 
-    return source.mapInArrow(run, f"{id_column} {source.schema[0].dataType.simpleString()}, n_bytes long, media binary")
+    return source.mapInArrow(released(run), f"{id_column} {source.schema[0].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def media_digests(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -194,4 +194,4 @@ def media_digests(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
                 arrays = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], *arrays], names=[id_column, "n_bytes", *(x.split()[0] for x in columns.split(", "))])
 
-    return source.mapInArrow(run, f"{id_column} {source.schema[0].dataType.simpleString()}, n_bytes long, {columns}")
+    return source.mapInArrow(released(run), f"{id_column} {source.schema[0].dataType.simpleString()}, n_bytes long, {columns}")

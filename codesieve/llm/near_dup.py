@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import LARGE_BLOCK_BYTES, Words, blocks, checkpointed, list_array, mix, partitions, separators
+from codesieve.llm.common import LARGE_BLOCK_BYTES, Words, blocks, checkpointed, list_array, mix, partitions, released, separators
 from codesieve.llm.components import components
 
 SHINGLE, LEAST = 5, 0.8
@@ -93,7 +93,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 filled[text] = True
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], list_array(bands[filled].ravel().view(np.int64), filled * BANDS)], names=["id", "key", "bands"])
 
-    return docs.select("id", F.unhex(F.md5("text")).alias("key"), "text").mapInArrow(run, "id bigint, key binary, bands array<bigint>")
+    return docs.select("id", F.unhex(F.md5("text")).alias("key"), "text").mapInArrow(released(run), "id bigint, key binary, bands array<bigint>")
 
 
 def band_links(reps: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ def verified_links(docs: DataFrame, clusters: DataFrame, buckets: int) -> DataFr
         close()
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return placed.repartition(buckets, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "u bigint, v bigint")
+    return placed.repartition(buckets, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(released(run), "u bigint, v bigint")
 
 
 def duplicate_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import SPACES, Words, blocks, list_array, mix, partitions, separators
+from codesieve.llm.common import SPACES, Words, blocks, list_array, mix, partitions, released, separators
 
 WINDOW, GRAM = 13, 5
 #: Reference words in an automaton, and words of a reference that may be broadcast.
@@ -93,7 +93,7 @@ def _by_document(sent: DataFrame, name: str, buckets: int) -> DataFrame:
         ids, counts = np.unique(docs[order], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(ids), list_array(values[order], counts)], names=["id", name])
 
-    return sent.repartition(buckets, "bucket").mapInArrow(gather, f"id bigint, {name} array<bigint>")
+    return sent.repartition(buckets, "bucket").mapInArrow(released(gather), f"id bigint, {name} array<bigint>")
 
 
 def shared_minimizers(docs: DataFrame, buckets: int) -> DataFrame:
@@ -136,8 +136,8 @@ def shared_minimizers(docs: DataFrame, buckets: int) -> DataFrame:
         docs, values = np.concatenate([doc[shared], ids[known]]), np.concatenate([asked[shared], keys[known]])
         yield _bucketed(docs, values, docs, np.zeros(len(docs)), buckets)
 
-    sent = docs.mapInArrow(send, _ENTRY).repartition(buckets, "bucket")
-    return _by_document(sent.mapInArrow(meet, _ENTRY), "minimizers", buckets)
+    sent = docs.mapInArrow(released(send), _ENTRY).repartition(buckets, "bucket")
+    return _by_document(sent.mapInArrow(released(meet), _ENTRY), "minimizers", buckets)
 
 
 def repeated_windows(docs: DataFrame, candidates: DataFrame, buckets: int) -> DataFrame:
@@ -191,8 +191,8 @@ def repeated_windows(docs: DataFrame, candidates: DataFrame, buckets: int) -> Da
         docs, runs = np.concatenate([doc[first], ids[known]]), (start << 32) | end
         yield _bucketed(docs, runs, docs, np.zeros(len(docs)), buckets)
 
-    sent = docs.join(candidates, "id").select("id", "text", "minimizers").mapInArrow(send, _ENTRY).repartition(buckets, "bucket")
-    return _by_document(sent.mapInArrow(meet, _ENTRY), "runs", buckets)
+    sent = docs.join(candidates, "id").select("id", "text", "minimizers").mapInArrow(released(send), _ENTRY).repartition(buckets, "bucket")
+    return _by_document(sent.mapInArrow(released(meet), _ENTRY), "runs", buckets)
 
 
 def _runs(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,7 +232,7 @@ def dedup_windows(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
     whole = rows.where("id IS NULL").select("id", "text", F.lit(None).cast("array<bigint>").alias("runs"))
-    out = placed.join(repeats, "id", "left").select("id", "text", "runs").unionByName(whole).mapInArrow(cut, "id bigint, n_words bigint, n_removed bigint, kept string")
+    out = placed.join(repeats, "id", "left").select("id", "text", "runs").unionByName(whole).mapInArrow(released(cut), "id bigint, n_words bigint, n_removed bigint, kept string")
     return out.withColumnRenamed("id", id_column)
 
 
@@ -332,4 +332,4 @@ def strip_reference(docs: DataFrame, reference: DataFrame, id_column: str = "doc
                 kept.append(b" ".join(stay).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=[id_column, "n_words", "n_removed", "kept"])
 
-    return source.mapInArrow(run, f"{id_column} {kind}, n_words bigint, n_removed bigint, kept string")
+    return source.mapInArrow(released(run), f"{id_column} {kind}, n_words bigint, n_removed bigint, kept string")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import Words, blocks, list_array, separators
+from codesieve.llm.common import Words, blocks, list_array, released, separators
 
 MAX_TRAINING = 12_000
 FEATURE_BITS = 20
@@ -88,7 +88,7 @@ def _features(sample: DataFrame) -> np.ndarray:
 
     total, bad = sample.agg(F.count("*"), F.coalesce(F.sum("_label"), F.lit(0))).first()
     share = (bad or 0) / max(1, total)
-    counts = sample.select("_text", F.col("_label").cast("int")).mapInArrow(run, "feature int, bad long, n long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    counts = sample.select("_text", F.col("_label").cast("int")).mapInArrow(released(run), "feature int, bad long, n long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     lift = (F.col("bad") - share * F.col("n")) / F.sqrt(F.lit(max(1e-9, share)) * F.col("n"))
     found = counts.where((F.col("bad") >= LEAST_BAD) & (lift >= LEAST_LIFT)).orderBy(lift.desc(), "feature").limit(MAX_FEATURES)
     return np.sort(found.select("feature").toArrow().column(0).to_numpy().astype(np.int64))
@@ -118,7 +118,7 @@ def _bags(sample: DataFrame, used: np.ndarray, id_column: str) -> pa.Table:
                     names=["id", "label", "sentences", "sentence", "feature"],
                 )
 
-    return sample.select(F.col(id_column).cast("string").alias("id"), F.col("_label").cast("int"), "_text").mapInArrow(run, schema).toArrow().sort_by("id")
+    return sample.select(F.col(id_column).cast("string").alias("id"), F.col("_label").cast("int"), "_text").mapInArrow(released(run), schema).toArrow().sort_by("id")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", max_rows: int = MAX_TRAINING) -> np.ndarray:
@@ -189,7 +189,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_column: str = "doc_id", text_
                 names=[id_column, "score", "predicted", "n_sentences", "offending"],
             )
 
-    return source.mapInArrow(run, f"{id_column} {kind}, score double, predicted int, n_sentences long, offending array<struct<start:long,end:long>>")
+    return source.mapInArrow(released(run), f"{id_column} {kind}, score double, predicted int, n_sentences long, offending array<struct<start:long,end:long>>")
 
 
 def drop_toxic(docs: DataFrame, weights: np.ndarray, text_column: str = "text", limit: float = 0.5) -> DataFrame:
@@ -206,4 +206,4 @@ def drop_toxic(docs: DataFrame, weights: np.ndarray, text_column: str = "text",
                 scores = -np.expm1(-np.bincount(bags.text, _softplus(bags.logits(table, bias)), hi - lo))
                 yield batch.slice(lo, hi - lo).select(list(range(batch.num_columns - 1))).filter(pa.array(scores < limit))
 
-    return source.mapInArrow(run, docs.schema)
+    return source.mapInArrow(released(run), docs.schema)
