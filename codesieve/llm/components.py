@@ -2,6 +2,9 @@
 
 Links stay distributed; only two numbers a round come to the driver, to see whether anything changed. A
 node with very many links is reduced by partial aggregation, and its join is split by adaptive execution.
+
+Edge cases: links of a node with itself and repeated links count for nothing; nodes without links are in no
+row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,15 +17,25 @@ from codesieve.llm.common import checkpointed
 MAX_ROUNDS = 60
 
 
+def by_key(rows: DataFrame, sums: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``sums``, one row for each ``key``, where there is one.
+
+    The join deals both sides anew by a hash of the key: Spark splits a hot key's partition of an exchange,
+    but not of an aggregate that is already dealt by the key.
+    """
+    dealt = F.xxhash64(key)
+    return rows.withColumn("_dealt", dealt).join(sums.withColumn("_dealt", dealt), ["_dealt", key]).drop("_dealt")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return by_key(both.where("v > u"), least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = by_key(edges, least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 

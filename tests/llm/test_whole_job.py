@@ -3,7 +3,8 @@
 import base64
 import random
 
-from codesieve.llm import decontamination, secret_scan
+from codesieve.llm import decontamination, near_dup, secret_scan
+from codesieve.llm.components import components
 from codesieve.llm.html_text import main_text
 
 
@@ -58,3 +59,49 @@ def test_article_marks_are_a_prior_only():
     assert main_text(page) == "\n".join([first, second, "A card", "Short.", third])
     links = "".join(f"<li><a href=/{k}>A link to some page {k}</a></li>" for k in range(6))
     assert main_text(f"<article><h1>Head</h1><p>{first}</p><ul>{links}</ul></article>") == f"Head\n{first}"
+
+
+def test_no_text_is_lost_where_an_id_repeats(spark):
+    words = [f"w{k}" for k in range(400)]
+    t, u, v = (" ".join(words[k : k + 60]) for k in (0, 100, 200))
+    near = t.replace("w59", "other")
+    rows = [(5, t), (5, u), (3, u), (9, t), (9, near), (7, v), (7, v), (None, t), (None, t)]
+    docs = rows_of(spark, rows)
+    kept = sorted(((r.doc_id or 0, r.text) for r in near_dup.keep_one_of_each(docs).collect()))
+    assert kept == sorted([(0, t), (0, t), (3, u), (5, t), (7, v)])
+    classes = sorted(((r.doc_id or 0, r.class_id or 0) for r in near_dup.duplicate_classes(docs).collect()))
+    assert classes == sorted([(5, 5), (5, 3), (3, 3), (9, 5), (9, 5), (7, 7), (7, 7), (0, 0), (0, 0)])
+
+
+def test_large_clusters_of_several_classes(spark, monkeypatch):
+    """Blocks of eight: chains, and groups that only other blocks link, come out as from all pairs."""
+    from test_operators import jaccard_classes
+
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(5000)]
+    base = rng.choices(words, k=120)
+    texts = []
+    for k in range(60):  # a chain: neighbours are alike, far ones are not
+        base[2 * k : 2 * k + 2] = rng.choices(words, k=2)
+        texts.append((rng.randrange(10**6), " ".join(base)))
+    other = rng.choices(words, k=100)
+    texts += [(10**6 + k, " ".join([*other[: k % 50], rng.choice(words), *other[k % 50 + 1 :]])) for k in range(50)]
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    rows = near_dup.duplicate_classes(rows_of(spark, texts).repartition(3)).collect()
+    assert {r.doc_id: r.class_id for r in rows} == jaccard_classes(texts)
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(1000, k) for k in range(1001, 1100)] + [(2000 + k, 2001 + k) for k in range(40)] + [(7, 7), (2000, 2001)]
+    root = {x: x for link in links for x in link}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a, b in links:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {x: find(x) for x in linked}
+    assert not components(spark.createDataFrame([], "u long, v long")).collect()
