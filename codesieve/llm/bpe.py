@@ -12,8 +12,9 @@ encoded once:
 4. Buckets meet their answers, and ids are put in the places of the words. The pieces of ids are taken from
    the id-to-piece table, as large as the vocabulary, once for each distinct word.
 
-Buckets are as many as the texts need for ``BUCKET_BYTES`` each, so tasks stay small whatever the input. A
-bucket depends on a document's id and text only, so a lost executor's part comes out the same again.
+Partitions are as many as the texts need for ``PART_BYTES`` each, so tasks stay small whatever the input, with
+``BUCKETS`` buckets in each. A bucket depends on a document's id and text only, so a lost executor's part
+comes out the same again. Numbers travel as bytes, seven bits in each.
 
 Edge cases: a null text is an empty one (no ids); texts of white space have no ids; null ids decode to an
 empty text; repeated rows give repeated results; empty tables give empty results; other columns are not
@@ -37,9 +38,11 @@ from pyspark.sql import functions as F
 from codesieve.llm.common import LARGE_BLOCK_BYTES, SPACES, Words, blocks, checkpointed, list_array, mix, partitions, released, separators
 
 MAX_TABLE, LONGEST = 1 << 18, 48
-#: Bytes of texts in a bucket, and distinct words that a task counts before it sends them.
-BUCKET_BYTES, MAX_COUNTED = 1 << 24, 1 << 19
-#: Words that answers hold together for a bucket's row.
+#: Words that a task meets less often are not counted for the table.
+LEAST_MET = 3
+#: Bytes of texts in a partition, its buckets, and distinct words that a task counts before it sends them.
+PART_BYTES, BUCKETS, MAX_COUNTED = 1 << 24, 8, 1 << 19
+#: Words in the answers that a task sends at a time.
 ANSWERS = 1 << 16
 
 _PARTS = separators(SPACES)
@@ -106,8 +109,32 @@ def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, list[b
     return words, [raw[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)], place
 
 
+def packed(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Rows of numbers below 2**28 as bytes; a number's last byte is below 128."""
+    values = values.astype(np.uint32)
+    size = 1 + (values >= 1 << 7).astype(np.int64) + (values >= 1 << 14) + (values >= 1 << 21)
+    ends = np.append(0, np.cumsum(size))
+    out = np.empty(int(ends[-1]), np.uint8)
+    for k in range(4):
+        some = size > k
+        out[ends[1:][some] - 1 - k] = (values[some] >> np.uint32(7 * k)) & np.uint32(127) | np.uint32(128 if k else 0)
+    bounds = ends[np.append(0, np.cumsum(lengths))].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(out.tobytes())])
+
+
+def unpacked(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows, and where each row's begin, with the end of the last."""
+    data = np.frombuffer(b"".join(rows), np.uint8)
+    last = np.flatnonzero(data < 128)
+    size, values = np.diff(np.append(-1, last)), data[last].astype(np.int64)
+    for k in range(1, 4):
+        some = size > k
+        values[some] |= (data[last[some] - k].astype(np.int64) & 127) << 7 * k
+    return values, np.searchsorted(last, np.append(0, np.cumsum(list(map(len, rows)))))
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) of the words that a task meets more than once; the empty word stands for the bytes of all texts."""
+    """(word, n) of the words that a task meets ``LEAST_MET`` times or more; the empty word stands for the bytes of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[bytes, int] = {}
@@ -123,9 +150,9 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 for word, n in zip(distinct, np.bincount(place, minlength=len(distinct)).tolist(), strict=True):
                     counts[word] = counts.get(word, 0) + n
                 if len(counts) > MAX_COUNTED:
-                    yield sent({w: n for w, n in counts.items() if n > 1 and len(w) <= LONGEST})
+                    yield sent({w: n for w, n in counts.items() if n >= LEAST_MET and len(w) <= LONGEST})
                     counts.clear()
-        yield sent({w: n for w, n in counts.items() if n > 1 and len(w) <= LONGEST} | {b"": size})
+        yield sent({w: n for w, n in counts.items() if n >= LEAST_MET and len(w) <= LONGEST} | {b"": size})
 
     return texts.mapInArrow(released(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -138,7 +165,7 @@ class Table:
         self.words, self.ids, self.texts = " ".join(words), "\n".join(written), "\n".join(pieces_of(definition, written))
 
     def numbers(self) -> dict[bytes, int]:
-        return {w: k for k, w in enumerate(self.words.encode().split())}
+        return {w: k for k, w in enumerate(self.words.encode().split(), 1)}
 
 
 def word_table(texts: DataFrame, definition: str, max_table: int = MAX_TABLE) -> tuple[Table, int]:
@@ -163,67 +190,62 @@ def word_table(texts: DataFrame, definition: str, max_table: int = MAX_TABLE) ->
     return Table(definition, rows.column("word").to_pylist(), rows.column("ids").to_pylist()), size
 
 
-def _numbered(docs: DataFrame, table, id_column: str, text_column: str, buckets: int) -> DataFrame:
-    """(bucket, id, numbers, others) of every document: the numbers of its words, -1 for those in ``others``."""
+def _numbered(docs: DataFrame, table, id_column: str, text_column: str, parts: int) -> DataFrame:
+    """(bucket, id, numbers, others) of every document: its words' numbers from 1, and 0 for those that ``others`` lists."""
     text = F.coalesce(text_column, F.lit(""))
-    source = docs.select(F.pmod(F.xxhash64(id_column, text), F.lit(buckets)).cast("int").alias("bucket"), F.col(id_column).alias("id"), text.alias("text"))
+    source = docs.select(F.pmod(F.xxhash64(id_column, text), F.lit(parts * BUCKETS)).cast("int").alias("bucket"), F.col(id_column).alias("id"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = table.value.numbers()
         for batch in batches:
             for lo, hi, data, offsets in blocks(batch.column(2), LARGE_BLOCK_BYTES):
                 words, distinct, place = distinct_words(data, offsets)
-                known = np.fromiter((number.get(w, -1) for w in distinct), np.int32, len(distinct))
-                other = known < 0
-                numbers = known[place]
-                at = np.flatnonzero(numbers < 0)
-                names = pa.array([w for w, o in zip(distinct, other.tolist(), strict=True) if o], pa.binary()).cast(pa.string())
-                lengths = np.bincount(words.text[at], minlength=hi - lo)
-                others = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), names.take(pa.array((np.cumsum(other) - 1)[place[at]])))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], list_array(numbers, words.counts), others], names=["bucket", "id", "numbers", "others"])
+                numbers = np.fromiter((number.get(w, 0) for w in distinct), np.int64, len(distinct))[place]
+                at = np.flatnonzero(numbers == 0)
+                names = [distinct[k].decode() for k in place[at].tolist()]
+                cuts = np.searchsorted(words.text[at], np.arange(hi - lo + 1)).tolist()
+                others = [" ".join(names[a:b]) if b > a else None for a, b in zip(cuts, cuts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], packed(numbers, words.counts), pa.array(others, pa.string())], names=["bucket", "id", "numbers", "others"])
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(released(run), f"bucket int, id {kind}, numbers array<int>, others array<string>").repartition(buckets, "bucket")
+    return source.mapInArrow(released(run), f"bucket int, id {kind}, numbers binary, others string").repartition(parts, "bucket")
 
 
-def _answers(numbered: DataFrame, definition: str, buckets: int) -> DataFrame:
+def _answers(numbered: DataFrame, definition: str, parts: int) -> DataFrame:
     """(bucket, words, sizes, ids): the ids of all other words of each bucket, each distinct word encoded once."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            others = batch.column(3)
-            bucket = np.repeat(own, others.value_lengths().to_numpy(zero_copy_only=False))
-            names = others.flatten().dictionary_encode()
+            listed = pc.split_pattern(batch.column(3), " ")
+            bucket = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            names = listed.flatten().dictionary_encode()
             pair = np.unique(bucket.astype(np.int64) << 32 | names.indices.to_numpy(zero_copy_only=False))
-            word = names.dictionary.take(pa.array(pair & 0xFFFFFFFF))
             if not len(pair):
                 continue
-            words = word.to_pylist()
-            data = np.frombuffer("".join(words).encode(), np.uint8)
-            lengths = pc.binary_length(word.cast(pa.binary())).to_numpy(zero_copy_only=False)
-            whole = Words(data, np.append(0, np.cumsum(lengths)), separators(()))
-            part = (mix(whole.hashes()) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((pair >> 32, part))
-            part, bucket = part[order], (pair >> 32)[order]
+            word = names.dictionary.take(pa.array(pair & 0xFFFFFFFF))
+            words, lengths = word.to_pylist(), pc.binary_length(word).to_numpy(zero_copy_only=False)
+            whole = Words(np.frombuffer("".join(words).encode(), np.uint8), np.append(0, np.cumsum(lengths, dtype=np.int64)), separators(()))
+            part, bucket = (mix(whole.hashes()) % np.uint64(parts)).astype(np.int64), pair >> 32
+            order = np.lexsort((bucket, part))
+            part, bucket = part[order], bucket[order]
             first = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (bucket[1:] != bucket[:-1])))
-            ends = np.append(first[1:], len(part))
-            at = order.tolist()
-            joined = [" ".join(words[i] for i in at[a:b]) for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
+            sorted_words = [words[k] for k in order.tolist()]
+            joined = [" ".join(sorted_words[a:b]) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), pa.array(bucket[first].astype(np.int32)), pa.array(joined, pa.string())], names=["part", "bucket", "words"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[int]] = {}
+        known: dict[str, list[int]] = {}  # a partition's words: about as many bytes as those of its texts
         own: dict[int, list[str]] = {}
+        held = 0
 
         def sent() -> pa.RecordBatch:
-            ids = [[known[w] for w in words] for words in own.values()]
-            flat = [np.fromiter((i for x in row for i in x), np.int32) for row in ids]
-            sizes = [np.fromiter(map(len, row), np.int32, len(row)) for row in ids]
-            lists = [list_array(np.concatenate(x), np.fromiter(map(len, x), np.int64, len(x))) for x in (sizes, flat)]
-            return pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([" ".join(x) for x in own.values()], pa.string()), *lists], names=["bucket", "words", "sizes", "ids"])
+            ids = [known[w] for row in own.values() for w in row]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            lengths = np.fromiter(map(len, own.values()), np.int64, len(own))
+            total = np.diff(np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(lengths))])
+            flat = np.fromiter((i for x in ids for i in x), np.int64, int(sizes.sum()))
+            return pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([" ".join(x) for x in own.values()], pa.string()), packed(sizes, lengths), packed(flat, total)], names=["bucket", "words", "sizes", "ids"])
 
-        held = 0
         for batch in batches:
             for bucket, joined in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = joined.split(" ")
@@ -238,43 +260,43 @@ def _answers(numbered: DataFrame, definition: str, buckets: int) -> DataFrame:
         if own:
             yield sent()
 
-    asked = numbered.mapInArrow(released(ask), "part int, bucket int, words string").repartition(buckets, "part")
-    return asked.mapInArrow(released(answer), "bucket int, words string, sizes array<int>, ids array<int>").repartition(buckets, "bucket")
+    asked = numbered.mapInArrow(released(ask), "part int, bucket int, words string").repartition(parts, "part")
+    return asked.mapInArrow(released(answer), "bucket int, words string, sizes binary, ids binary").repartition(parts, "bucket")
 
 
 def _encoded(docs: DataFrame, definition: str, id_column: str, text_column: str, max_table: int, finish: Callable, columns: str) -> DataFrame:
     """(id, *columns) of every document; ``finish`` makes the columns of token counts, written ids and decoded texts."""
     found, size = word_table(docs.select(F.coalesce(text_column, F.lit(""))), definition, max_table)
     table = docs.sparkSession.sparkContext.broadcast(found)  # at most max_table words of bounded length
-    buckets = max(2 * partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
-    numbered = _numbered(docs, table, id_column, text_column, buckets)
+    parts = max(partitions(docs.sparkSession), -(-size // PART_BYTES))
+    numbered = _numbered(docs, table, id_column, text_column, parts)
     names = ["id", *(x.split()[0] for x in columns.split(", "))]
+    common: list[list[str]] = []  # a task's buckets share them
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = table.value
-        ids, texts = (x.split("\n") if known.words else [] for x in (known.ids, known.texts))
+        if not common:
+            common.extend([["", *(x.split("\n") if table.value.words else [])] for x in (table.value.ids, table.value.texts)])
         words: dict[str, int] = {}
-        own_ids: list[str] = []
-        for joined, sizes, flat in zip(*(right.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-            ends = np.cumsum(sizes).tolist()
+        own: list[str] = []
+        for joined, sizes, ids in zip(*(right.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            flat, ends = list(map(str, unpacked([ids])[0].tolist())), np.cumsum(unpacked([sizes])[0]).tolist()
             for word, a, b in zip(joined.split(" "), [0, *ends], ends, strict=False):
-                words[word] = len(ids) + len(own_ids)
-                own_ids.append(" ".join(map(str, flat[a:b])))
-        ids, texts = ids + own_ids, texts + pieces_of(definition, own_ids)
+                words[word] = len(common[0]) + len(own)
+                own.append(" ".join(flat[a:b]))
+        ids, texts = common[0] + own, common[1] + pieces_of(definition, own)
         tokens = np.fromiter((x.count(" ") + (x != "") for x in ids), np.int64, len(ids))
         out = []
         for batch in left.to_batches(256):
-            number = batch.column(2).flatten().to_numpy(zero_copy_only=False).copy()
-            number[number < 0] = np.fromiter(map(words.__getitem__, batch.column(3).flatten().to_pylist()), np.int64)
-            cuts = np.append(0, np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False))).tolist()
-            rows = [number[a:b].tolist() for a, b in zip(cuts, cuts[1:], strict=False)]
-            counts = np.diff(np.append(0, np.cumsum(tokens[number]))[cuts])
+            number, cuts = unpacked(batch.column(2).to_pylist())
+            number[number == 0] = [words[w] for x in batch.column(3).to_pylist() if x is not None for w in x.split(" ")]
+            rows = [number[a:b].tolist() for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
             joined = lambda parts, rows=rows: [" ".join(filter(None, map(parts.__getitem__, row))) for row in rows]
+            counts = np.diff(np.append(0, np.cumsum(tokens[number]))[cuts])
             out.append(pa.RecordBatch.from_arrays([batch.column(1), *finish(counts, joined(ids), joined(texts))], names=names))
-        return pa.Table.from_batches(out) if out else pa.table({})
+        return pa.Table.from_batches(out)
 
-    answers = _answers(numbered, definition, buckets)
     kind = numbered.schema["id"].dataType.simpleString()
+    answers = _answers(numbered, definition, parts)
     rows = numbered.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(meet, f"id {kind}, {columns}")
     return rows.withColumnRenamed("id", id_column)
 
