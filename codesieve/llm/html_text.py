@@ -1,12 +1,18 @@
 """HTML extraction by line-block distribution.
 
-Markup is stripped so that every block element becomes a line. Lines of known furniture (menus, forms,
-adverts, comments ...) have no text length. Lengths are summed over a sliding window of lines; the main
-text begins where the sums surge and ends where they dive, and all lines between are kept.
+Markup is stripped so that every block element becomes a line. A line's length is that of its text outside
+links, and none if most of it is linked; known furniture (menus, forms, adverts, comments ...) makes no lines.
+Lengths are summed over a sliding window of lines. The main text begins where the sums surge, goes on until
+they dive to nothing, and all lines between are kept.
+
+``article`` and ``main`` only set how much a surge takes, half as much for each of them that is around a line,
+and what belongs to the text at its edges: before the surge the headings and paragraphs that lead up to it
+without a dive; not short lines of bare boxes, nor lines outside the article that would not surge alone.
 
 Edge cases: a null, empty or markup-free page is treated like any other text (null: empty string, 0
-characters); repeated rows give repeated results; an empty table gives an empty result; other columns of
-the input are not read. A page of any length is worked on whole; pages are independent of each other.
+characters); a page on which nothing surges has its densest place for a text; repeated rows give repeated
+results; an empty table gives an empty result; other columns of the input are not read. A page of any length
+is worked on whole; pages are independent of each other.
 """
 
 from __future__ import annotations
@@ -14,14 +20,14 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
-from itertools import groupby
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines in a window, and the summed length at which a surge begins when no element marks the article.
-WINDOW, SURGE = 3, 86
+#: Lines in a window, the summed length that is a surge where the page marks its text best, and that of a short line.
+WINDOW, SURGE, SHORT = 3, 86, 40
 
 # HTML's elements by kind, and the names that pages give to their furniture.
 RAW = "script style noscript template title textarea select option svg math iframe object canvas video audio button"
@@ -37,9 +43,16 @@ NAMES = (
     "notices notification overlay pagination pager popup popover promo promoted promotion recommended related replies reply respond search "
     "share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar topbar tracking widget widgets"
 )
+#: Of these, names that are also topics: a name that begins with one is furniture's only if all its other words are about layout.
+TOPICS = "alert banner consent discussion form login modal notice notices notification overlay popup promotion recommended reply replies respond search subscription tags tracking"
+LAYOUT = (
+    "area bar block body bottom box button col column container content group header inner item items left link links list main message messages outer overlay panel pane region right row section slot "
+    "text title top unit wrap wrapper zone"
+)
+PARAGRAPHS = "p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th figcaption caption"
 ROLES = "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar"
 
-_raw, _furniture, _block, _names, _roles = (frozenset(x.split()) for x in (RAW, FURNITURE, BLOCK, NAMES, ROLES))
+_raw, _furniture, _block, _names, _roles, _topics, _layout, _paragraphs = (frozenset(x.split()) for x in (RAW, FURNITURE, BLOCK, NAMES, ROLES, TOPICS, LAYOUT, PARAGRAPHS))
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<({'|'.join(sorted(_raw))})\b[^<>]*(?:/>|>(?:.*?</\1\s*>|.*\Z))"
@@ -65,14 +78,28 @@ def is_furniture(name: str, attributes: str, in_article: bool) -> bool:
                     return True
                 continue
             parts = [x.lower() for x in _WORD.findall(one)]
-            if parts and not (_QUALIFIED & set(parts)) and (parts[-1] in _names or parts[0] in _names or parts in (["header"], ["site", "header"], ["page", "header"])):
+            if not parts or _QUALIFIED & set(parts):
+                continue
+            if parts[-1] in _names or parts in (["header"], ["site", "header"], ["page", "header"]):
+                return True
+            if parts[0] in _names and (parts[0] not in _topics or _layout.issuperset(parts[1:])):
                 return True
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """A page's lines: text, length outside links, and 2 in an article, 1 in the main part, else 0. Furniture is left out."""
-    lines: list[tuple[str, int, int]] = []
+class Line(NamedTuple):
+    """A line's text, its length outside links, whether an article (2) or a main part (1) is around it, and whether it is a paragraph or heading."""
+
+    text: str
+    length: int
+    mark: int
+    paragraph: bool
+
+
+def lines_of(page: str) -> list[Line]:
+    """A page's lines, without furniture."""
+    lines: list[Line] = []
+    paragraph = False
     parts: list[str] = []
     linked = [0, 0]  # characters inside links, depth of links
     depth = dict.fromkeys(ARTICLE.split(), 0)
@@ -82,7 +109,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     def flush() -> None:
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            lines.append((text, max(0, len(text) - linked[0]) if 2 * linked[0] <= len(text) else 0, 2 if depth["article"] else int(depth["main"] > 0)))
+            lines.append(Line(text, max(0, len(text) - linked[0]) if 2 * linked[0] <= len(text) else 0, 2 if depth["article"] else int(depth["main"] > 0), paragraph))
         parts.clear()
         linked[0] = 0
 
@@ -107,6 +134,8 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             continue
         if name in _block:
             flush()
+            if name != "br":
+                paragraph = name in _paragraphs and not closing
         if name == "a":
             linked[1] = 0 if closing else 1
         if not closing and is_furniture(name, m[4], depth["article"] > 0) and last_close.get(name, -1) > m.start():
@@ -121,30 +150,31 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
 
 
 def main_text(page: str | None) -> str:
-    """The article of a page: one line for each block, found by surge and dive of the window sums.
-
-    Lines are judged in stretches of equal mark, by their lengths outside links. Where the page marks its
-    article, any such length is a surge; elsewhere text must surge as on a page without marks.
-    """
+    """The article of a page: one line for each block, found by surge and dive of the window sums."""
     lines = lines_of(page or "")
-    most = max((x[2] for x in lines), default=0)
+    sums = [sum(x.length for x in lines[i : i + WINDOW]) for i in range(len(lines))]
+    best = max((x.mark for x in lines), default=0)
+    needed = [SURGE << (best - x.mark) for x in lines]
+    if not any(total >= least for total, least in zip(sums, needed, strict=True)):
+        needed = [max(1, *sums)] * len(lines) if lines else []
     kept: list[str] = []
-    for mark, group in groupby(lines, lambda x: x[2]):
-        stretch = list(group)
-        marked = bool(most) and mark == most
-        lengths = [n for _, n, _ in stretch]
-        sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
-        surge = 1 if marked or (not most and max(sums) < SURGE) else SURGE  # without marks: short texts only
-        i = 0
-        while i < len(stretch):
-            if sums[i] >= surge and lengths[i]:
-                start = end = i
-                while i < len(stretch) and sums[i]:
-                    i += 1
-                    end = i if lengths[i - 1] else end
-                kept += [text for text, _, _ in stretch[start:end]]
-            else:
-                i += 1
+    i = end = 0
+    while i < len(lines):
+        if not lines[i].length or sums[i] < needed[i]:
+            i += 1
+            continue
+        start = i
+        while start > end and lines[start - 1].length and lines[start - 1].paragraph:
+            start -= 1
+        while i < len(lines) and sums[i]:
+            i += 1
+        end = i
+        while not lines[end - 1].length:
+            end -= 1
+        most = max(x.mark for x in lines[start:end])
+        outside = [x.length < (SURGE if x.mark < most else 0 if x.paragraph else SHORT) for x in lines[start:end]]
+        inside = [k for k, out in enumerate(outside, start) if not out] or [start, end - 1]
+        kept += [x.text for x in lines[inside[0] : inside[-1] + 1]]
     return "\n".join(kept)
 
 

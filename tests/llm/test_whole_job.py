@@ -5,7 +5,7 @@ import random
 
 from codesieve.llm import decontamination, near_dup, secret_scan
 from codesieve.llm.components import components
-from codesieve.llm.html_text import main_text
+from codesieve.llm.html_text import SHORT, SURGE, WINDOW, extract_text, lines_of, main_text
 
 
 def rows_of(spark, texts):
@@ -105,3 +105,67 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {x: find(x) for x in linked}
     assert not components(spark.createDataFrame([], "u long, v long")).collect()
+
+
+def surge_and_dive(page):
+    """The same rule said another way: stretches without a dive, each cut at its first surge and its edges."""
+    lines = lines_of(page or "")
+    total = lambda i: sum(x.length for x in lines[i : i + WINDOW])
+    best = max((x.mark for x in lines), default=0)
+    least = lambda i: SURGE * 2 ** (best - lines[i].mark)
+    if all(total(i) < least(i) for i in range(len(lines))):
+        most = max((total(i) for i in range(len(lines))), default=0)
+        least = lambda i: max(1, most)
+    dives = [-1, *(i for i in range(len(lines)) if not total(i)), len(lines)]
+    out = []
+    for a, b in zip(dives, dives[1:]):
+        surges = [i for i in range(a + 1, b) if lines[i].length and total(i) >= least(i)]
+        if not surges:
+            continue
+        first, last = surges[0], max(i for i in range(a + 1, b) if lines[i].length)
+        while first > a + 1 and lines[first - 1].length and lines[first - 1].paragraph:
+            first -= 1
+        top = max(x.mark for x in lines[first : last + 1])
+        stays = [i for i in range(first, last + 1) if (lines[i].length >= SURGE if lines[i].mark < top else lines[i].paragraph or lines[i].length >= SHORT)]
+        out += [x.text for x in lines[stays[0] : stays[-1] + 1]] if stays else [x.text for x in lines[first : last + 1]]
+    return "\n".join(out)
+
+
+def without_marks(page):
+    return page.replace("<article>", "<div>").replace("</article>", "</div>")
+
+
+def test_text_is_the_same_without_article_tags(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    for r in rows:
+        text = main_text(r.html)
+        assert text and text == main_text(without_marks(r.html)) == surge_and_dive(r.html) == surge_and_dive(without_marks(r.html))
+
+
+def test_surge_and_dive_on_random_pages():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefg", k=rng.randint(1, 9)))
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randint(0, 25)):
+            text = " ".join(word() for _ in range(rng.choice([1, 2, 5, 30])))
+            tag = rng.choice(["p", "p", "div", "h2", "li", "article", "main", "nav"])
+            parts.append(f"<{tag}>{f'<a href=x>{text}</a>' if rng.random() < 0.3 else text}</{tag}>" if rng.random() < 0.9 else text)
+        page = "".join(parts)
+        assert main_text(page) == surge_and_dive(page)
+
+
+def test_names_of_furniture_and_of_topics():
+    long = "This paragraph is long enough to be taken for the text of an article, and it goes on for some more words."
+    assert main_text(f'<article><p class="alert-history">{long}</p><p>{long}</p></article>') == f"{long}\n{long}"
+    for name in ("alert", "alert-box", "cookie-notice", "site-footer", "ad-slot", "comment-12", "search-results-form"):
+        assert main_text(f'<article><p>{long}</p><div class="{name}">{long}</div></article>') == long, name
+    assert main_text(f"<body><div>Top</div><div><h1>Head</h1><p>{long}</p><p>End.</p></div><div>Copyright 2020</div></body>") == f"Head\n{long}\nEnd."
+
+
+def test_pages_in_spark(spark):
+    rows = [(1, None, None, "x"), (2, "u", "", "x"), (None, "v", "<p>a &amp; b", "x"), (4, "w", "<p>a", "x"), (4, "w", "<p>a", "x"), (5, "z", "<p>😀 " + "word " * 3000, "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted((r.page_id or 0, r.url, r.text[:6], r.n_chars) for r in extract_text(pages).collect() if r.url is not None)
+    assert got == [(0, "v", "a & b", 5), (2, "u", "", 0), (4, "w", "a", 1), (4, "w", "a", 1), (5, "z", "😀 word", 15_001)]
+    assert extract_text(pages).columns == ["page_id", "url", "text", "n_chars"] and not extract_text(pages.where("false")).collect()
