@@ -13,6 +13,7 @@ from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from codesieve.sources.corpus import shared_folder
@@ -178,10 +179,14 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         lo = hi
 
 
-def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """A batch in pieces of a few rows, so that only those are Python objects at a time."""
-    for lo in range(0, batch.num_rows, rows):
-        yield batch.slice(lo, rows)
+def slices(batch: pa.RecordBatch, column: int, rows: int = 256, limit: int = 1 << 26) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of a few rows and of so many bytes in a column (a longer one stands alone), so that only those are Python objects at a time."""
+    bounds = np.append(0, np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + limit, "right")) - 1))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 def list_array(values: np.ndarray, lengths: np.ndarray) -> pa.Array:

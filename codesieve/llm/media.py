@@ -1,12 +1,15 @@
 """Media columns from ISO base media containers.
 
 ``read_media`` walks the nested boxes, decodes the sample tables and stores codec, size, duration and the
-byte ranges of the keyframes; payloads are never decoded. ``wrap_payload`` writes such a container around
+byte ranges of the keyframes of every track with samples; payloads are never decoded. ``wrap_payload`` writes such a container around
 bytes: a track of raw 8-bit grey frames of 8 x 8 samples, 64 bytes each, a keyframe every ``GROUP`` frames.
 
 Edge cases: a null text is an empty one, whose payload is one frame of zeros; a null, cut-off or foreign
-container gives null columns and no keyframes; equal bytes give equal results; empty tables give empty
-results; other columns are not read. Rows are independent; a container is held whole by one task only.
+container has no tracks, and null digests; so has one whose tables say what its bytes cannot hold (counts,
+places, nesting beyond ``DEPTH``), which are checked before any memory is taken for them; sizes are null for
+tracks without pictures; samples of movie fragments are not in the tables and not read; equal bytes give equal
+results; empty tables give empty results; other columns are not read. Rows are independent; a container is
+held whole by one task only.
 """
 
 from __future__ import annotations
@@ -26,8 +29,9 @@ from codesieve.llm.common import released, slices
 
 FRAME, GROUP, CHUNK_FRAMES, RATE = 64, 32, 256, 25
 
-# The boxes of the format that hold other boxes, and its unity matrix.
+# The boxes of the format that hold other boxes, how deep they may nest here, and its unity matrix.
 CONTAINERS = frozenset((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta"))
+DEPTH = 16
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -77,9 +81,13 @@ def wrap_payload(payload: bytes) -> bytes:
     return b"".join((head, moov(at + np.uint64(start), wide), data, payload))
 
 
-def walk(data: memoryview, lo: int, hi: int, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+def walk(data: memoryview, lo: int, hi: int) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
     """(path, start, end) of every box's body between ``lo`` and ``hi``, containers before what they hold."""
-    while lo + 8 <= hi:
+    todo: list[tuple[int, int, tuple[bytes, ...]]] = [(lo, hi, ())]
+    while todo:
+        lo, hi, path = todo.pop()
+        if lo + 8 > hi:
+            continue
         size, kind = struct.unpack_from(">I4s", data, lo)
         body = lo + 8
         if size == 1 and lo + 16 <= hi:
@@ -87,44 +95,63 @@ def walk(data: memoryview, lo: int, hi: int, path: tuple[bytes, ...] = ()) -> It
         end = hi if size == 0 else lo + size
         if end > hi or end < body:
             raise ValueError("a box reaches beyond what holds it")
+        todo.append((end, hi, path))
         yield (*path, kind), body, end
         if kind in CONTAINERS:
-            yield from walk(data, body, end, (*path, kind))
-        lo = end
-
-
-def _words(data: memoryview, at: int, n: int, kind: str = ">u4") -> np.ndarray:
-    return np.frombuffer(data, kind, n, at).astype(np.int64)
+            if len(path) == DEPTH:
+                raise ValueError("boxes nest too deep")
+            todo.append((body, end, (*path, kind)))
 
 
 class Track:
-    """The sample tables of the first track with samples."""
-
-    def __init__(self, media: bytes):
-        data = memoryview(media)
-        found: dict[bytes, tuple[int, int]] = {}
-        for path, lo, hi in walk(data, 0, len(data)):
-            if path[-1] == b"trak" and b"stsz" in found:
-                break
-            found[path[-1]] = (lo, hi)
-        count = lambda kind, skip=4: struct.unpack_from(">I", data, found[kind][0] + skip)[0]
-        at = found[b"stsd"][0] + 8
-        self.codec = bytes(data[at + 4 : at + 8]).decode("latin-1")
-        self.width, self.height = struct.unpack_from(">HH", data, at + 32)
-        wide = data[found[b"mdhd"][0]] == 1
-        self.timescale = struct.unpack_from(">I", data, found[b"mdhd"][0] + (20 if wide else 12))[0]
-        times = _words(data, found[b"stts"][0] + 8, 2 * count(b"stts")).reshape(-1, 2)
-        self.duration = int((times[:, 0] * times[:, 1]).sum())
-        same, n = struct.unpack_from(">II", data, found[b"stsz"][0] + 4)
-        self.sizes = np.full(n, same, np.int64) if same else _words(data, found[b"stsz"][0] + 12, n)
-        kind, width = (b"co64", ">u8") if b"co64" in found else (b"stco", ">u4")
-        chunks = _words(data, found[kind][0] + 8, count(kind), width)
-        runs = _words(data, found[b"stsc"][0] + 8, 3 * count(b"stsc")).reshape(-1, 3)
-        per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
+    """A track's sample tables."""
+
+    def __init__(self, data: memoryview, found: dict[bytes, tuple[int, int]]):
+        def numbers(kind: bytes, skip: int, n: int, form: str = ">u4") -> np.ndarray:
+            lo, hi = found[kind]
+            if n * np.dtype(form).itemsize > hi - lo - skip:
+                raise ValueError("a table is longer than its box")
+            return np.frombuffer(data, form, n, lo + skip).astype(np.int64)
+
+        def count(kind: bytes, skip: int = 4) -> int:
+            return int(numbers(kind, skip, 1)[0])
+
+        entry = found[b"stsd"][0] + 8
+        self.codec = bytes(data[entry + 4 : entry + 8]).decode("latin-1")
+        pictures = b"hdlr" not in found or data[found[b"hdlr"][0] + 8 : found[b"hdlr"][0] + 12] == b"vide"
+        self.width, self.height = struct.unpack_from(">HH", data, entry + 32) if pictures else (None, None)
+        self.timescale = count(b"mdhd", 20 if data[found[b"mdhd"][0]] == 1 else 12)
+        times = numbers(b"stts", 8, 2 * count(b"stts")).reshape(-1, 2)
+        self.duration = sum(a * b for a, b in times.tolist())
+        self.sizes = self._sizes(data, found, numbers, count)
+        n = len(self.sizes)
+        kind, form = (b"co64", ">u8") if b"co64" in found else (b"stco", ">u4")
+        chunks = numbers(kind, 8, count(kind), form)
+        runs = numbers(b"stsc", 8, 3 * count(b"stsc")).reshape(-1, 3)
+        each = np.diff(np.append(runs[:, 0], len(chunks) + 1))
+        if (each < 0).any() or (len(runs) and runs[0, 0] != 1) or sum(a * b for a, b in zip(each.tolist(), runs[:, 1].tolist(), strict=True)) != n:
+            raise ValueError("the chunks do not hold the samples")
+        per_chunk = np.repeat(runs[:, 1], each)
         chunk = np.repeat(np.arange(len(chunks)), per_chunk)
         before = np.cumsum(self.sizes) - self.sizes
-        self.offsets = chunks[chunk] + before - before[np.cumsum(per_chunk) - per_chunk][chunk]
-        self.keys = _words(data, found[b"stss"][0] + 8, count(b"stss")) - 1 if b"stss" in found else np.arange(n)
+        first = np.minimum(np.cumsum(per_chunk) - per_chunk, max(0, n - 1))  # a chunk may be empty
+        self.offsets = chunks[chunk] + before - before[first][chunk] if n else np.zeros(0, np.int64)
+        self.keys = numbers(b"stss", 8, count(b"stss")) - 1 if b"stss" in found else np.arange(n)
+        if n and (self.offsets.min() < 0 or (self.offsets + self.sizes).max() > len(data)) or len(self.keys) and (self.keys.min() < 0 or self.keys.max() >= n):
+            raise ValueError("samples lie outside the file")
+
+    @staticmethod
+    def _sizes(data: memoryview, found: dict[bytes, tuple[int, int]], numbers, count) -> np.ndarray:
+        if b"stsz" in found:
+            same, n = count(b"stsz"), count(b"stsz", 8)
+            if same and same * n > len(data):
+                raise ValueError("the samples are larger than the file")
+            return np.full(n, same, np.int64) if same else numbers(b"stsz", 12, n)
+        n, bits = count(b"stz2", 8), data[found[b"stz2"][0] + 7]
+        if bits == 4:
+            pairs = numbers(b"stz2", 12, (n + 1) // 2, "u1")
+            return np.stack([pairs >> 4, pairs & 15], 1).ravel()[:n]
+        return numbers(b"stz2", 12, n, {8: "u1", 16: ">u2"}[bits])
 
     def payload(self, media: bytes) -> bytes:
         """The bytes of all samples, neighbours read as one range."""
@@ -134,27 +161,43 @@ class Track:
         return b"".join(media[a:b] for a, b in zip(self.offsets[first].tolist(), ends[last].tolist(), strict=True))
 
 
+#: What tables of foreign bytes raise.
+FAULTS = (TypeError, ValueError, KeyError, IndexError, OverflowError, struct.error)
+
+
+def tracks(media: bytes | None) -> list[Track]:
+    """The tracks with samples, in order; none if the container can't be read."""
+    try:
+        data = memoryview(media)
+        found: list[dict[bytes, tuple[int, int]]] = []
+        for path, lo, hi in walk(data, 0, len(data)):
+            if path[-1] == b"trak":
+                found.append({})
+            elif found and b"trak" in path:
+                found[-1][path[-1]] = (lo, hi)
+        return [t for t in (Track(data, x) for x in found if b"stbl" in x) if len(t.sizes)]
+    except FAULTS:
+        return []
+
+
 _COLUMNS = "codec string, width int, height int, timescale long, duration long, n_samples long, keyframes array<struct<offset:long,length:long>>"
 
 
-def read_media(rows: DataFrame, media_column: str = "media", into: str = "track") -> DataFrame:
-    """Add a struct column: codec, width, height, timescale, duration, n_samples and keyframe byte ranges."""
+def read_media(rows: DataFrame, media_column: str = "media", into: str = "tracks") -> DataFrame:
+    """Add an array of tracks: codec, width, height, timescale, duration, n_samples and keyframe byte ranges."""
+    names = [x.split()[0] for x in _COLUMNS.split(", ")]
+    columns = ",".join(x.replace(" ", ":", 1) for x in _COLUMNS.split(", "))
 
-    @F.pandas_udf(_COLUMNS)
-    def track(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(f"array<struct<{columns}>>")
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             out = []
             for media in batch:
-                try:
-                    t = Track(media)
-                    keys = np.stack([t.offsets[t.keys], t.sizes[t.keys]], 1).tolist()
-                    out.append((t.codec, t.width, t.height, t.timescale, t.duration, len(t.sizes), [{"offset": a, "length": b} for a, b in keys]))
-                except (TypeError, ValueError, KeyError, IndexError, struct.error):
-                    out.append((None, None, None, None, None, None, []))
-            frame = pd.DataFrame(out, columns=[x.split()[0] for x in _COLUMNS.split(", ")], dtype=object)
-            yield frame
+                values = ((t.codec, t.width, t.height, t.timescale, t.duration, len(t.sizes), [{"offset": a, "length": b} for a, b in zip(t.offsets[t.keys].tolist(), t.sizes[t.keys].tolist(), strict=True)]) for t in tracks(media))
+                out.append([dict(zip(names, x, strict=True)) for x in values])
+            yield pd.Series(out, dtype=object)
 
-    return rows.withColumn(into, track(media_column))
+    return rows.withColumn(into, read(media_column))
 
 
 def text_to_media(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -165,7 +208,7 @@ def text_to_media(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 1):
                 texts = part.column(1).to_pylist()
                 media = [wrap_payload(x + bytes((-len(x)) % FRAME if x else FRAME)) for x in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array(media, pa.binary())], names=[id_column, "n_bytes", "media"])
@@ -181,14 +224,19 @@ def media_digests(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 2):
                 out = []
                 for media in part.column(2).to_pylist():
-                    t = Track(media)
+                    found = tracks(media)
+                    if not found:
+                        out.append((None,) * 6)
+                        continue
+                    t = found[0]
                     payload = t.payload(media)
                     ranges = np.stack([t.offsets[t.keys], t.sizes[t.keys]], 1)
                     feature = f"codec={t.codec.strip()};size={t.width}x{t.height};duration={t.duration}/{t.timescale};samples={len(t.sizes)};keyframes={len(t.keys)};"
-                    feature += f"first={ranges[0][0]}+{ranges[0][1]};last={ranges[-1][0]}+{ranges[-1][1]};ranges={zlib.crc32(ranges.tobytes()):08x}"
+                    if len(ranges):
+                        feature += f"first={ranges[0][0]}+{ranges[0][1]};last={ranges[-1][0]}+{ranges[-1][1]};ranges={zlib.crc32(ranges.tobytes()):08x}"
                     out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-FRAME:]), len(media), hashlib.sha256(media).hexdigest(), feature))
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 arrays = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)]

@@ -220,10 +220,51 @@ def test_media(spark):
         padded = raw + bytes((-len(raw)) % 64 if raw else 64)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), sha(padded), zlib.crc32(padded[-64:]))
     assert len({r[2:] for r in rows if r.doc_id in (5, 6)}) == 1
-    track = media.read_media(media.text_to_media(documents(spark, texts[4:5])).select("media")).first().track
+    track = media.read_media(media.text_to_media(documents(spark, texts[4:5])).select("media")).first().tracks[0]
     assert (track.codec, track.duration, track.n_samples, len(track.keyframes)) == ("raw ", 626, 626, 20)
-    bad = spark.createDataFrame([(b"",), (None,), (b"\0\0\0\x08free",), (b"\0\0\xff\xffmoov",), (media.wrap_payload(bytes(64))[:300],)], "media binary")
-    assert all(r.track.codec is None and r.track.keyframes == [] for r in media.read_media(bad).collect())
+    assert not media.media_digests(media.text_to_media(documents(spark, []))).collect()
+
+
+def hostile():
+    import struct
+
+    nested = b""
+    for _ in range(3000):
+        nested = media.box(b"moov", nested)
+    good = media.wrap_payload(bytes(640))
+    at = good.index(b"stsz") + 8
+    many = good[: at + 4] + struct.pack(">I", 2**32 - 1) + good[at + 8 :]
+    zero = good[:at] + struct.pack(">II", 0, 2**32 - 1) + good[at + 8 :]
+    runs = good.index(b"stsc") + 12
+    long_runs = good[: runs + 4] + struct.pack(">I", 2**32 - 1) + good[runs + 8 :]
+    place = good.index(b"stco") + 12
+    outside = good[:place] + struct.pack(">I", 2**31) + good[place + 4 :]
+    key = good.index(b"stss") + 12
+    return [b"", None, b"\0\0\0\x08free", b"\0\0\xff\xffmoov", good[:300], nested, many, zero, long_runs, outside, good[:key] + b"\0\0\0\0" + good[key + 4 :]]
+
+
+def test_hostile_media(spark):
+    rows = [(k, 7, x) for k, x in enumerate([*hostile(), media.wrap_payload(bytes(640))])]
+    frame = spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")
+    assert [len(r.tracks) for r in media.read_media(frame).orderBy("doc_id").collect()] == [0] * (len(rows) - 1) + [1]
+    assert [r.payload_bytes for r in media.media_digests(frame).orderBy("doc_id").collect()] == [None] * (len(rows) - 1) + [640]
+
+
+def test_media_of_two_tracks():
+    import struct
+
+    def track(handler, entry, sizes, at):
+        table = media.box(
+            b"stbl", media.full(b"stsd", struct.pack(">I", 1), entry), media.full(b"stts", struct.pack(">III", 1, len(sizes), 10)), media.full(b"stsc", struct.pack(">IIII", 1, 1, len(sizes), 1)),
+            media.full(b"stz2", struct.pack(">II", 4, len(sizes)), bytes([sizes[0] << 4 | sizes[1], sizes[2] << 4])), media.full(b"stco", struct.pack(">II", 1, at)),
+        )
+        return media.box(b"trak", media.box(b"mdia", media.full(b"mdhd", bytes(8), struct.pack(">II", 90, 35), bytes(4)), media.full(b"hdlr", bytes(4), handler, bytes(12)), media.box(b"minf", table)))
+
+    entries = media.box(b"avc1", bytes(24), b"\0\x10\0\x20", bytes(50)), media.box(b"mp4a", bytes(28))
+    data = media.box(b"mdat", b"AABBBCCCCxxyyyz")
+    moov = media.box(b"moov", track(b"vide", entries[0], [2, 3, 4], 8), track(b"soun", entries[1], [2, 3, 1], 17))
+    found = media.tracks(data + moov)
+    assert [(t.codec, t.width, t.height, t.duration, t.sizes.tolist(), t.payload(data + moov)) for t in found] == [("avc1", 16, 32, 30, [2, 3, 4], b"AABBBCCCC"), ("mp4a", None, None, 30, [2, 3, 1], b"xxyyyz")]
 
 
 def test_media_tables_of_other_writers():
@@ -242,7 +283,7 @@ def test_media_tables_of_other_writers():
         media.full(b"co64", struct.pack(">IQQ", 2, len(head) + 8, len(head) + 8 + 14)),
     )
     moov = media.box(b"moov", media.box(b"trak", media.box(b"mdia", media.full(b"mdhd", bytes(8), struct.pack(">II", 90, 35), bytes(4)), media.box(b"minf", table))))
-    track = media.Track(head + media.box(b"mdat", data) + moov)
+    (track,) = media.tracks(head + media.box(b"mdat", data) + moov)
     assert (track.codec, track.duration, track.timescale, track.sizes.tolist(), track.keys.tolist()) == ("avc1", 35, 90, sizes, [0, 1, 2, 3])
     assert track.payload(head + media.box(b"mdat", data)) == data.replace(b"-", b"")
 
