@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 20
+#: Matches that are gathered at a time.
+RUN = 256
 
 # The patterns of the base kinds with the shortest match that counts.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -56,21 +58,23 @@ def let(value: Column, body) -> Column:
 
 
 def _places(text: Column, pattern: str) -> Column:
-    """All matches as (start, match), from the pieces between them."""
-    return let(
-        F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")),
-        lambda x: F.aggregate(
-            F.filter(F.sequence(F.lit(0), F.size(x["found"])), lambda k: k > 0),  # none if nothing is found
-            F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,match:string>>").alias("out")),
-            lambda s, k: let(
-                s["at"] + F.length(F.element_at(x["pieces"], k)),
-                lambda start: F.struct(
-                    (start + F.length(F.element_at(x["found"], k))).alias("at"),
-                    F.array_append(s["out"], F.struct(start.alias("start"), F.element_at(x["found"], k).alias("match"))).alias("out"),
-                ),
-            ),
-        )["out"],
-    )
+    """All matches as (start, match), from the pieces between them; in runs of ``RUN``, so that long texts take no time in the square of their matches."""
+    place = "array<struct<start:bigint,match:string>>"
+    state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
+
+    def run(x: Column, first: Column, at: Column) -> Column:
+        def step(s: Column, k: Column) -> Column:
+            start, match = s["at"] + F.length(F.element_at(x["pieces"], k)), F.element_at(x["found"], k)
+            return let(start, lambda a: state(a + F.length(match), F.array_append(s["out"], F.struct(a.alias("start"), match.alias("match")))))
+
+        return F.aggregate(F.sequence(first, F.least(first + RUN - 1, F.size(x["found"]))), state(at, F.array().cast(place)), step)
+
+    def runs(x: Column) -> Column:
+        start = state(F.lit(0).cast("bigint"), F.array().cast(f"array<{place}>"))
+        firsts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(x["found"]), F.lit(1)), F.lit(RUN)), lambda k: k <= F.size(x["found"]))  # none if nothing is found
+        return F.flatten(F.aggregate(firsts, start, lambda s, k: let(run(x, k, s["at"]), lambda r: state(r["at"], F.array_append(s["out"], r["out"]))))["out"])
+
+    return let(F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")), runs)
 
 
 def _kind(text: Column, gate: str, pattern: str, order: int, least: int = 0) -> Column:
@@ -164,16 +168,21 @@ def _entropy(text: Column, base: Column) -> Column:
     return F.when(text.rlike(CANDIDATE), F.filter(spans, lambda s: s["start"].isNotNull()).cast(_SPANS)).otherwise(F.array().cast(_SPANS))
 
 
-def with_spans(docs: DataFrame, text_column: str = "text", base: str = "base_spans", added: str = "entropy_spans") -> DataFrame:
-    """Add two columns: the base spans and the method's own, each an array of (start, ord, end) in order."""
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    none = F.array().cast(_SPANS)
+def _base(text: Column) -> Column:
+    """The base spans of a text, in order."""
     found = F.concat(
         _kind(text, r"(?i)password|passwd|secret|token|api_?key", ASSIGN, 0, ASSIGN_LEAST),
         _kind(text, "AKIA", ACCESS, 1),
         _kind(text, "[0-9a-f]{16}", HEX, 2),
     )
-    docs = docs.withColumn(base, F.when(text.rlike(_ANY), F.array_sort(found)).otherwise(none))
+    return F.array_sort(found)
+
+
+def with_spans(docs: DataFrame, text_column: str = "text", base: str = "base_spans", added: str = "entropy_spans") -> DataFrame:
+    """Add two columns: the base spans and the method's own, each an array of (start, ord, end) in order."""
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    none = F.array().cast(_SPANS)
+    docs = docs.withColumn(base, F.when(text.rlike(_ANY), _base(text)).otherwise(none))
     return docs.withColumn(added, F.when(text.rlike(_ANY), _entropy(text, F.col(base))).otherwise(none))
 
 
@@ -198,17 +207,28 @@ def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     )
 
 
-def redact_secrets(docs: DataFrame, text_column: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """The documents with every span of ``scan_secrets`` replaced by ``mask``; overlapping spans become one mask."""
-    text = F.col(text_column)
-    rows = with_spans(docs, text_column, "_base", "_added").withColumn("_spans", F.array_sort(F.concat("_base", "_added")))
-    masked = F.aggregate(
-        "_spans",
+def _masked(line: Column, spans: Column, mask: str) -> Column:
+    piece = lambda lo, n: F.substring(line, (lo + 1).cast("int"), n.cast("int"))
+    return F.aggregate(
+        spans,
         F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
         lambda s, x: F.when(
             x["start"] >= s["at"],
-            F.struct(x["end"].alias("at"), F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mask)).alias("out")),
+            F.struct(x["end"].alias("at"), F.concat(s["out"], piece(s["at"], x["start"] - s["at"]), F.lit(mask)).alias("out")),
         ).otherwise(F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out"))),
-        lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))),
+        lambda s: F.concat(s["out"], piece(s["at"], F.length(line))),
     )
-    return rows.withColumn(text_column, F.when(F.size("_spans") > 0, masked).otherwise(text)).drop("_base", "_added", "_spans")
+
+
+def redact_secrets(docs: DataFrame, text_column: str = "text", mask: str = "[SECRET]") -> DataFrame:
+    """The documents with every span of ``scan_secrets`` replaced by ``mask``; overlapping spans become one mask.
+
+    No pattern reaches beyond its line, so lines are masked one by one.
+    """
+    text = F.col(text_column)
+
+    def line(x: Column) -> Column:
+        spans = let(_base(x), lambda base: F.array_sort(F.concat(base, _entropy(x, base))))
+        return F.when(x.rlike(_ANY), let(spans, lambda found: _masked(x, found, mask))).otherwise(x)
+
+    return docs.withColumn(text_column, F.when(text.rlike(_ANY), F.array_join(F.transform(F.split(text, "\n", -1), line), "\n")).otherwise(text))

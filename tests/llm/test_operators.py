@@ -172,6 +172,22 @@ def test_redaction(spark):
     assert rows[0] is None and rows[1] == "" and "24be" not in rows[2] and rows[2].startswith("é [SECRET]") and "AKIAL" not in rows[2] and "😀" in rows[2]
 
 
+def test_redaction_of_many_lines(spark):
+    """Masks stand where the spans of the whole text are; very many secrets in one text take no long time."""
+    many = "\n".join(f"line {k} token = Zx9Qw3Er7Ty1Ui5Op2As8Df4{k} end" for k in range(6000))
+    texts = [*SECRETS[2:7], many, "\n".join(SECRETS[2:7]) + "\r\n\n"]
+    spans = {r.doc_id: r.spans for r in secret_scan.scan_secrets(documents(spark, enumerate(texts))).collect()}
+    masked = {r.doc_id: r.text for r in secret_scan.redact_secrets(documents(spark, enumerate(texts))).collect()}
+    for k, text in enumerate(texts):
+        out, at = "", 0
+        for a, b in sorted((int(a), int(b)) for _, a, b in (x.split(":") for x in spans[k].split(",") if x)):
+            if a >= at:
+                out, at = out + text[at:a] + "[SECRET]", b
+            at = max(at, b)
+        assert masked[k] == out + text[at:]
+    assert masked[5].count("[SECRET]") == 6000 and not secret_scan.scan_secrets(documents(spark, [])).collect()
+
+
 # 4. Decontamination
 
 
