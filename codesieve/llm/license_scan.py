@@ -1,15 +1,17 @@
 """License scans: an exact set-similarity join of text blocks and license templates.
 
-A block is a line of a text. Tokens are ordered by their frequency over all blocks of all documents, rarest
-first. A block can only reach the containment threshold of a template if it has a token of the template's
-prefix (prefix filter) and enough of the template's tokens (length filter), counted from the place of the
-first common one in both orders (positional filter); what is left is verified exactly. Templates are a
-parameter of bounded size (``MAX_TEMPLATE_TOKENS``), so they go to the tasks and texts are never shuffled.
+A template's blocks are all runs of consecutive words that are longer than it by the threshold's share, so
+that line breaks, comment marks and some words between make no difference. Tokens are ordered by the number of
+documents that have them, rarest first. A block can only reach the containment threshold of a template if it
+has a token of the template's prefix (prefix filter), enough of the template's tokens (length filter) and no
+more than those before its first one are missing (positional filter); what is left is verified exactly, in one
+walk over the template's words near those of its prefix. Templates are a parameter of bounded size
+(``MAX_TEMPLATE_TOKENS``), so they go to the tasks and texts are never shuffled.
 
 Base phrases are exact runs of words and are found beside the join, which adds labels of its own.
 
-Edge cases: a null text is an empty one (no words, null places, no labels, score 0); equal lines count
-alike; repeated rows give repeated results; empty tables give empty results; other columns are not read.
+Edge cases: a null text is an empty one (no words, null places, no labels, score 0); a text
+shorter than a block is one; repeated rows give repeated results; empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -78,14 +80,8 @@ class Vocabulary:
         return np.where(self.hashes[at] == wanted, self.ids[at], -1)
 
 
-def lines_of(words: Words, raw: np.ndarray) -> np.ndarray:
-    """For each word a number of its line, different in different texts."""
-    breaks = np.union1d(np.flatnonzero(raw == 10), words.offsets[1:-1])
-    return np.searchsorted(breaks, words.starts, "right")
-
-
 def token_frequencies(docs: DataFrame, names: list[str], text_column: str = "text") -> dict[str, int]:
-    """In how many blocks of all documents each of the names occurs."""
+    """In how many documents each of the names occurs."""
     vocabulary = Vocabulary(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +91,7 @@ def token_frequencies(docs: DataFrame, names: list[str], text_column: str = "tex
                 words = Words(_LOWER[data], offsets, _PARTS)
                 ids = vocabulary.ids_of(words)
                 at = np.flatnonzero(ids >= 0)
-                pairs = np.unique(lines_of(words, data)[at] * len(names) + ids[at])
+                pairs = np.unique(words.text[at] * len(names) + ids[at])
                 total += np.bincount(pairs % len(names), minlength=len(names))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(names), dtype=np.int32)), pa.array(total)], names=["token", "n"])
 
@@ -103,39 +99,57 @@ def token_frequencies(docs: DataFrame, names: list[str], text_column: str = "tex
     return {names[row.token]: row.n for row in counts.collect()}  # one row for each template token
 
 
-class Plan:
-    """Templates with their tokens in the global order, and the tokens of their prefixes."""
-
-    def __init__(self, templates: list[tuple[str, str]], frequency: dict[str, int], threshold: float):
-        sets = [(label, set(words_of(text))) for label, text in templates]
-        self.order = sorted(set().union(*(s for _, s in sets)), key=lambda w: (frequency.get(w, 0), w))
-        rank = {w: i for i, w in enumerate(self.order)}
-        self.templates = []
-        self.prefix: dict[int, list[int]] = {}
-        for label, tokens in sets:
-            if not tokens:
+class Template:
+    """A template's tokens in the global order, with its prefix and the length of its blocks."""
+
+    def __init__(self, label: str, words: list[str], rank: dict[str, int], size: int, threshold: float):
+        self.label, self.width = label, math.ceil(len(words) / threshold - 1e-9)
+        ranks = sorted({rank[w] for w in words})
+        self.tokens, self.least = len(ranks), max(1, math.ceil(threshold * len(ranks) - 1e-9))
+        #: For each token its place in the template's order, or -1.
+        self.place = np.full(size + 1, -1)
+        self.place[ranks] = np.arange(len(ranks))
+
+    def matches(self, text: np.ndarray, at: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, float]]:
+        """(text, containment) of the best block of each text that reaches the threshold; words are given in reading order."""
+        place = self.place[ids]
+        own = np.flatnonzero(place >= 0)
+        text, at, place = text[own], at[own], place[own]
+        spot = at + text * self.width  # blocks do not reach from text to text
+        head = spot[place <= self.tokens - self.least]
+        if not len(head):
+            return
+        after = np.searchsorted(head, spot)
+        near = np.minimum(np.abs(spot - head[np.minimum(after, len(head) - 1)]), np.abs(spot - head[np.maximum(after - 1, 0)])) < self.width
+        text, spot, place = text[near], spot[near], place[near]
+        cuts = np.flatnonzero((np.diff(spot) >= self.width) | (np.diff(text) > 0)) + 1
+        begin, end = np.append(0, cuts), np.append(cuts, len(spot))
+        best: dict[int, int] = {}
+        for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+            if b - a < self.least:
                 continue
-            ranks = sorted(rank[w] for w in tokens)
-            least = max(1, math.ceil(threshold * len(ranks) - 1e-9))
-            for r in ranks[: len(ranks) - least + 1]:
-                self.prefix.setdefault(r, []).append(len(self.templates))
-            self.templates.append((label, ranks, least))
-
-    def matches(self, block: list[int]) -> Iterator[tuple[str, float]]:
-        """(label, containment) of all templates that a block (ranks in ascending order) reaches."""
-        place = {r: i for i, r in enumerate(block)}
-        tried: set[int] = set()
-        for r in block:
-            for t in self.prefix.get(r, ()):
-                label, ranks, least = self.templates[t]
-                if t in tried or len(block) < least:
-                    continue
-                tried.add(t)
-                if min(len(ranks) - ranks.index(r), len(block) - place[r]) < least:
-                    continue  # r is the first common token, for blocks are walked in the global order
-                common = sum(x in place for x in ranks)
-                if common >= least:
-                    yield label, common / len(ranks)
+            places = place[a:b].tolist()
+            if len(set(places)) < self.least:
+                continue
+            spots, counts, lo, most = spot[a:b].tolist(), [0] * self.tokens, 0, 0
+            distinct = 0
+            for hi, p in enumerate(places):
+                distinct += not counts[p]
+                counts[p] += 1
+                while spots[hi] - spots[lo] >= self.width:
+                    counts[places[lo]] -= 1
+                    distinct -= not counts[places[lo]]
+                    lo += 1
+                most = max(most, distinct)
+            if most >= self.least:
+                best[int(text[a])] = max(most, best.get(int(text[a]), 0))
+        for t, most in best.items():
+            yield t, most / self.tokens
+
+
+def ordered_tokens(templates: list[tuple[str, str]], frequency: dict[str, int]) -> list[str]:
+    """All tokens of the templates in the global order."""
+    return sorted({w for _, text in templates for w in words_of(text)}, key=lambda w: (frequency.get(w, 0), w))
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -149,14 +163,13 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     known = sorted({w for _, text in templates for w in words_of(text)})
     if len(known) > MAX_TEMPLATE_TOKENS:
         raise ValueError("too many template tokens to hand to every task")
-    plan = Plan(templates, token_frequencies(docs, known, text_column), threshold)
+    order = ordered_tokens(templates, token_frequencies(docs, known, text_column))
     runs = [(p.split(" "), label) for p, label in sorted(phrases.items())]
-    names = plan.order + sorted({w for run, _ in runs for w in run} - set(plan.order))
+    names = order + sorted({w for run, _ in runs for w in run} - set(order))
     number = {w: i for i, w in enumerate(names)}
     runs = [([number[w] for w in run], label) for run, label in runs]
-    vocabulary, tokens = Vocabulary(names), len(plan.order)
-    starts_block = np.zeros(len(names) + 1, bool)
-    starts_block[list(plan.prefix)] = True
+    vocabulary = Vocabulary(names)
+    wanted = [Template(label, words, number, len(names), threshold) for label, words in ((label, words_of(text)) for label, text in templates) if words]
     source = docs.select(id_column, F.coalesce(text_column, F.lit("")).alias("_text"))
     kind = source.schema[0].dataType.simpleString()
 
@@ -175,16 +188,11 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
                     for at in np.flatnonzero(fits).tolist():
                         i = int(words.text[at])
                         base.setdefault(i, []).append((at - int(words.first[i]), label))
-                line = lines_of(words, data)
-                hits = np.flatnonzero((ids >= 0) & (ids < tokens))
-                near = np.isin(line[hits], line[hits[starts_block[ids[hits]]]])
-                hits = hits[near]
-                cuts = np.flatnonzero(np.diff(line[hits])) + 1
+                hits = np.flatnonzero(ids >= 0)
                 found: dict[int, list[tuple[str, float]]] = {}
-                for group in np.split(hits, cuts) if len(hits) else ():
-                    got = list(plan.matches(np.unique(ids[group]).tolist()))
-                    if got:
-                        found.setdefault(int(words.text[group[0]]), []).extend(got)
+                for template in wanted:
+                    for t, share in template.matches(words.text[hits], hits, ids[hits]):
+                        found.setdefault(t, []).append((template.label, share))
                 out["n_words"] += words.counts.tolist()
                 for i in range(hi - lo):
                     own, more = base.get(i, ()), found.get(i, ())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from codesieve.llm import license_scan, secret_scan
 
 
@@ -27,14 +29,19 @@ def license_sql() -> str:
     found = places[0]
     for place in places[1:]:
         found = f"list_concat({found}, {place})"
-    templates = ", ".join(f"({_quoted(label)}, {_list(sorted(set(license_scan.words_of(text))))})" for label, text in license_scan.TEMPLATES)
+    words = [(k, label, license_scan.words_of(text)) for k, (label, text) in enumerate(license_scan.TEMPLATES)]
+    least, width = (lambda n: math.ceil(license_scan.THRESHOLD * n - 1e-9)), (lambda n: math.ceil(n / license_scan.THRESHOLD - 1e-9))
+    templates = ", ".join(f"({k}, {_quoted(label)}, {_quoted(w)}, {len(set(ws))}, {least(len(set(ws)))}, {width(len(ws))})" for k, label, ws in words for w in sorted(set(ws)))
     return f"""
 WITH docs AS (SELECT doc_id, {_LOWERED} AS t FROM documents),
 words AS (SELECT doc_id, regexp_extract_all(t, {_WORDS}) AS ws FROM docs),
 base AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, {found} AS p FROM words),
-templates(label, ts) AS (VALUES {templates}),
-blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(l, {_WORDS})) AS ws FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM docs)),
-reached AS (SELECT doc_id, label, len(list_intersect(ws, ts)) / len(ts) AS score FROM blocks, templates WHERE len(list_intersect(ws, ts)) >= ceil({license_scan.THRESHOLD} * len(ts) - 1e-9)),
+templates(k, label, word, tokens, least, width) AS (VALUES {templates}),
+hits AS (SELECT doc_id, i, t.* FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM words) w JOIN templates t USING (word)),
+able AS (SELECT doc_id, k FROM hits GROUP BY ALL HAVING count(DISTINCT word) >= any_value(least)),
+near AS (SELECT hits.* FROM hits JOIN able USING (doc_id, k)),
+reached AS (SELECT a.doc_id, a.label, count(DISTINCT b.word) / any_value(a.tokens) AS score FROM near a JOIN near b ON a.doc_id = b.doc_id AND a.k = b.k AND b.i BETWEEN a.i AND a.i + a.width - 1
+    GROUP BY a.doc_id, a.label, a.k, a.i HAVING count(DISTINCT b.word) >= any_value(a.least)),
 best AS (SELECT doc_id, list(DISTINCT label) AS labels, max(score) AS score FROM reached GROUP BY 1)
 SELECT doc_id, n_words, CAST(len(p) AS BIGINT) AS n_base, CAST(list_min(list_transform(p, lambda x: x.at)) AS BIGINT) AS first_word, CAST(list_max(list_transform(p, lambda x: x.at)) AS BIGINT) AS last_word,
     coalesce(array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.label))), ','), '') AS base_labels,

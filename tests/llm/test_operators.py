@@ -5,6 +5,7 @@ import hashlib
 import html
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -421,14 +422,14 @@ def license_of(text):
         places += hits
         labels |= {label} if hits else set()
     base, score = set(labels), 1.0 if places else 0.0
-    for line in (text or "").split("\n"):
-        block = set(license_scan.words_of(line))
-        for label, template in license_scan.TEMPLATES:
-            tokens = set(license_scan.words_of(template))
-            share = len(tokens & block) / len(tokens)
-            if share >= 0.8 - 1e-9:
-                labels.add(label)
-                score = max(score, share)
+    own = license_scan.words_of(text or "")
+    for label, template in license_scan.TEMPLATES:
+        tokens = set(license_scan.words_of(template))
+        width = -(-len(license_scan.words_of(template)) * 10 // 8)
+        share = max((len(tokens & set(own[k : k + width])) / len(tokens) for k in range(max(1, len(own) - width + 1))), default=0)
+        if share >= 0.8 - 1e-9:
+            labels.add(label)
+            score = max(score, share)
     return len(found), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
 
 
@@ -436,11 +437,16 @@ def test_licenses(spark):
     texts = [(1, None), (2, ""), (3, "CC-BY cc by CC  BY é ccby"), (4, "Released under the MIT\nLicense."), (5, "x Licensed under CC BY-NC 4.0. y\nall rights, reserved"), (5, "x Licensed under CC BY-NC 4.0. y\nall rights, reserved")]
     texts += [(10 + k, f"a b c {t}, and more\nnext line") for k, (_, t) in enumerate(license_scan.TEMPLATES)]
     texts += [(100 + k, " ".join(t.split()[k % 3 :]).replace("the", "teh")) for k, (_, t) in enumerate(license_scan.TEMPLATES)]
+    wrapped = [(200 + k, "\n".join(f" * {x}" for x in textwrap.wrap(t, 40))) for k, (_, t) in enumerate(license_scan.TEMPLATES)]
+    texts += [*wrapped, (300, "x " * 3000 + wrapped[3][1] + " y" * 3000), (301, " a ".join(license_scan.TEMPLATES[3][1].split()))]
     texts += [(1000 + r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     rows = license_scan.scan_licenses(documents(spark, texts).repartition(3)).collect()
     assert len(rows) == len(texts)
     for r in rows:
         assert tuple(r)[1:] == pytest.approx(license_of(dict(texts)[r.doc_id])), r.doc_id
+    labels = {r.doc_id: r.labels.split(",") for r in rows}
+    assert all(label in labels[200 + k] for k, (label, _) in enumerate(license_scan.TEMPLATES)) and "mit" in labels[300]
+    assert not license_scan.scan_licenses(documents(spark, [])).collect()
 
 
 # 9. Toxicity
