@@ -6,11 +6,12 @@ No tool is run.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.operators.schema import COLUMNS
-from codesieve.plans.report import first_of_each
+from codesieve.operators.schema import COLUMNS, empty, first_of_each
 
 # Issue types of the dead-code tool with their messages, and those that are errors or about dependencies.
 DEAD_CODE = {
@@ -185,4 +186,32 @@ def project_doctor(outputs: DataFrame) -> DataFrame:
     return _out(rows, "lint", F.lit("package.json"), F.concat(F.lit("expo-doctor/"), slug), "warning", title, "Expo", help=F.trim(F.regexp_extract("x", r"(?s)✖[^\n]*\n(.*)", 1)))
 
 
-ADAPTERS = {f.__name__: f for f in (web_formatter, python_formatter, go_formatter, rust_formatter, ruby_formatter, php_formatter, web_linter, python_linter, go_linter, rust_linter, ruby_linter, dead_code, package_audit, python_audit, go_audit, rust_audit, project_doctor)}
+#: Readers of outputs by the engine that their findings belong to.
+BY_ENGINE = {
+    "format": [web_formatter, python_formatter, go_formatter, rust_formatter, ruby_formatter, php_formatter],
+    "lint": [web_linter, python_linter, go_linter, rust_linter, ruby_linter, project_doctor],
+    "code-quality": [dead_code],
+    "security": [package_audit, python_audit, go_audit, rust_audit],
+}
+ADAPTERS = {f.__name__: f for readers in BY_ENGINE.values() for f in readers}
+
+
+def findings(outputs: DataFrame, engines: list[str] | None = None) -> DataFrame:
+    """Diagnostics of captured outputs (project, tool, output), where ``tool`` names a reader; others are left out."""
+    readers = [f for e, fs in BY_ENGINE.items() if engines is None or e in engines for f in fs]
+    return reduce(DataFrame.unionByName, (f(outputs.where(F.col("tool") == f.__name__).select("project", "output")) for f in readers)) if readers else empty(outputs.sparkSession)
+
+
+def unused_declarations(outputs: DataFrame) -> DataFrame:
+    """(project, path, line, column, name, kind) of declarations that the web linter or the dead-code tool calls unused, each once, the linter's first.
+
+    ``kind`` is variable, parameter or import of the linter's, and the dead-code tool's exports and types.
+    """
+    found = lambda reader: reader(outputs.where(F.col("tool") == reader.__name__).select("project", "output"))
+    lint = found(web_linter).where(F.col("rule").endswith("no-unused-vars"))
+    named = r"(?i)^(variable|parameter|import|identifier|function|class|type|interface|enum)?[^'`]*['`]([A-Za-z_$][\w$]*)['`]"
+    kind = F.lower(F.regexp_extract("message", named, 1))
+    lint = lint.select("project", F.col("filePath").alias("path"), "line", "column", F.regexp_extract("message", named, 2).alias("name"), F.when(kind == "", "variable").otherwise(kind).alias("kind"), F.lit(0).alias("ord")).where("name <> ''")
+    dead = found(dead_code).where(F.col("rule").isin("knip/exports", "knip/types"))
+    dead = dead.select("project", F.col("filePath").alias("path"), "line", "column", F.regexp_extract("message", r": (.*)\z", 1).alias("name"), F.regexp_replace("rule", "^knip/(.*)s$", "$1").alias("kind"), F.lit(1).alias("ord"))
+    return first_of_each(lint.unionByName(dead), ["project", "path", "name"], ["ord", "line", "column", "kind"]).drop("ord")

@@ -5,13 +5,14 @@ Rules are a parameter of at most ``MAX_RULES`` rows: (name, type, match, from, f
 
 from __future__ import annotations
 
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesieve.functions.text import java, lines
-from codesieve.operators.schema import diagnostics
+from codesieve.operators.schema import diagnostics, let
 from codesieve.sources.corpus import JS, glob_regex
 
 MAX_RULES = 10_000
@@ -49,20 +50,31 @@ def imports(content: Column, ext: Column) -> Column:
 
 def import_rows(files: DataFrame) -> DataFrame:
     """(project, path, import, line): the line is the first that holds the import's text, or 0."""
-    rows = files.select("project", "path", lines(F.col("content")).alias("ls"), F.posexplode(imports(F.col("content"), F.col("ext"))).alias("ord", "import"))
-    first = F.array_position(F.transform("ls", lambda x: F.contains(x, F.col("import"))), True)
-    return rows.select("project", "path", "ord", "import", F.coalesce(first, F.lit(0)).cast("long").alias("line"))
+
+    def placed(found: Column) -> Column:
+        first = lambda ls, name: F.coalesce(F.array_position(F.transform(ls, lambda x: F.contains(x, name)), True), F.lit(0)).cast("long")
+        one = lambda ls: lambda name, k: F.struct(k.alias("ord"), name.alias("import"), first(ls, name).alias("line"))
+        return F.when(F.size(found) > 0, let(lines(F.col("content")), lambda ls: F.transform(found, one(ls))))
+
+    rows = files.select("project", "path", F.explode_outer(let(imports(F.col("content"), F.col("ext")), placed)).alias("x")).where("x IS NOT NULL")
+    return rows.select("project", "path", "x.ord", "x.import", "x.line")
 
 
 def check_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Diagnostics of all rules. Rules of unknown types give none; a missing severity stays missing."""
-    rules = F.broadcast(rules)
-    found, name = import_rows(files), F.concat(F.lit("arch/"), F.col("name"))
-    one = found.join(rules.where("type = 'forbid_import' AND `match` <> ''"), F.contains("import", "match"))
-    one = diagnostics(one, "architecture", name, F.col("severity"), F.concat(F.lit("Forbidden import '"), "import", F.lit("' (rule: "), "name", F.lit(")")), F.col("line"), "Architecture", False)
+    """Diagnostics of all rules. Rules of unknown types give none; a missing severity stays missing.
+
+    The rules are broadcast: more than ``MAX_RULES`` are refused.
+    """
+    if rules.limit(MAX_RULES + 1).count() > MAX_RULES:
+        raise ValueError("too many rules to broadcast")
+    name = F.concat(F.lit("arch/"), F.col("name"))
+    of = lambda kind, *fields: (F.col("type") == kind) & reduce(Column.__and__, (F.coalesce(F.col(f), F.lit("")) != "" for f in fields))
+    plain = of("forbid_import", "match")
     held = F.rlike("path", "from_rx") & (F.rlike("import", "forbid_rx") | F.contains("import", F.replace("forbid", F.lit("**"), F.lit(""))))
-    two = found.join(rules.where("type = 'forbid_import_from_path' AND `from` <> '' AND forbid <> ''"), held)
-    two = diagnostics(two, "architecture", name, F.col("severity"), F.concat(F.lit("Import '"), "import", F.lit("' is forbidden from '"), "from", F.lit("' (rule: "), "name", F.lit(")")), F.col("line"), "Architecture", False)
-    three = files.join(rules.where("type = 'require_pattern' AND `where` <> '' AND pattern <> ''"), F.rlike("path", "where_rx") & ~F.contains("content", "pattern"))
-    three = diagnostics(three, "architecture", name, F.col("severity"), F.concat(F.lit("Required pattern '"), "pattern", F.lit("' not found (rule: "), "name", F.lit(")")), F.lit(0), "Architecture", False)
-    return one.unionByName(two).unionByName(three)
+    forbidden = import_rows(files).join(F.broadcast(rules.where(plain | of("forbid_import_from_path", "from", "forbid"))), F.when(F.col("type") == "forbid_import", F.contains("import", "match")).otherwise(held))
+    rule = F.concat(F.lit("' (rule: "), "name", F.lit(")"))
+    message = F.when(F.col("type") == "forbid_import", F.concat(F.lit("Forbidden import '"), "import", rule)).otherwise(F.concat(F.lit("Import '"), "import", F.lit("' is forbidden from '"), "from", rule))
+    forbidden = diagnostics(forbidden, "architecture", name, F.col("severity"), message, F.col("line"), "Architecture", False)
+    required = files.join(F.broadcast(rules.where(of("require_pattern", "where", "pattern"))), F.rlike("path", "where_rx") & ~F.contains("content", "pattern"))
+    required = diagnostics(required, "architecture", name, F.col("severity"), F.concat(F.lit("Required pattern '"), "pattern", F.lit("' not found (rule: "), "name", F.lit(")")), F.lit(0), "Architecture", False)
+    return forbidden.unionByName(required)

@@ -1,6 +1,6 @@
 """Detectors that match a whole file: patterns may span lines, and every match has its line.
 
-All are column expressions over a file's content; nothing is shuffled.
+All are column expressions over a file's content that give an array of findings; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.functions.text import java, match_lines, match_lines_sql, matches, re2, trim
-from codesieve.operators.schema import diagnostics
+from codesieve.operators.schema import FOUND, exploded, finding, let, none
 from codesieve.sources.corpus import JS
 
 # Patterns of swallowed exceptions by extension, thin wrappers, and secrets by kind.
@@ -59,34 +59,53 @@ def _spots(content: Column, patterns: list[tuple[list[str] | None, str]]) -> Col
     return F.concat(*parts)
 
 
-def _pick(values: list[str]) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("s.k") + 1)
+def _pick(values: list[str], k: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), k + 1)
+
+
+def swallowed() -> Column:
+    """The swallowed exceptions of a file (ext, content), as an array of findings."""
+    one = lambda s: finding("ai-slop", "ai-slop/swallowed-exception", "error", _pick([m for _, _, m in SWALLOWED], s["k"]), s["line"], "AI Slop", False, "Handle the error")
+    return F.transform(_spots(F.col("content"), [(e, p) for e, p, _ in SWALLOWED]), one).cast(FOUND)
 
 
 def swallowed_exceptions(files: DataFrame) -> DataFrame:
-    rows = files.select("project", "path", F.explode(_spots(F.col("content"), [(e, p) for e, p, _ in SWALLOWED])).alias("s"))
-    return diagnostics(rows, "ai-slop", "ai-slop/swallowed-exception", "error", _pick([m for _, _, m in SWALLOWED]), F.col("s.line"), "AI Slop", False, "Handle the error")
+    return exploded(files, swallowed())
+
+
+def secrets() -> Column:
+    one = lambda s: finding("security", "security/hardcoded-secret", "error", F.concat(F.lit("Possible hardcoded secret: "), _pick([n for n, _ in SECRETS], s["k"])), s["line"], "Security", False, "Read it from the environment")
+    return F.transform(_spots(F.col("content"), [(None, p) for _, p in SECRETS]), one).cast(FOUND)
 
 
 def hardcoded_secrets(files: DataFrame) -> DataFrame:
     """Secrets in unmasked text, for they stand in strings. The pattern set is built from public token formats."""
-    rows = files.select("project", "path", F.explode(_spots(F.col("content"), [(None, p) for _, p in SECRETS])).alias("s"))
-    return diagnostics(rows, "security", "security/hardcoded-secret", "error", F.concat(F.lit("Possible hardcoded secret: "), _pick([n for n, _ in SECRETS])), F.col("s.line"), "Security", False, "Read it from the environment")
+    return exploded(files, secrets())
 
 
-def thin_wrappers(files: DataFrame) -> DataFrame:
-    rows = files.select("project", "path", F.split("content", "\n", -1).alias("ls"), F.explode(_spots(F.col("content"), [(None, p) for p in WRAPPERS])).alias("s"))
-    name = None
-    for k, p in enumerate(WRAPPERS):
-        one = F.regexp_extract("s.match", java(p), 1)
-        name = F.when(F.col("s.k") == k, one) if name is None else name.when(F.col("s.k") == k, one)
-    rows = rows.select("project", "path", "s", name.alias("name"), F.when(F.col("s.line") >= 2, trim(F.get("ls", F.col("s.line").cast("int") - 2))).alias("before"))
-    text = F.col("s.match")
+def wrappers() -> Column:
+    """The thin wrappers of a file, as an array of findings; the line before each is looked at only where there are any."""
     end = lambda p: java(p).replace("$", r"\z")
-    inner = F.when(text.rlike(end(ARROW_CALL)), F.regexp_extract(text, end(ARROW_CALL), 1)).otherwise(F.regexp_extract(text, java(RETURN_CALL), 1))
-    keep = ~F.col("name").rlike(end(FRAMEWORK)) & ~F.coalesce(F.col("before").startswith("@"), F.lit(False)) & ~inner.rlike(end(HARD_CODED))
-    rows = rows.where(keep & ~(matches(text, r"\buse\w+") & matches(text, r"useContext\s*\(")))
-    return diagnostics(rows, "ai-slop", "ai-slop/thin-wrapper", "warning", F.concat(F.lit("Function '"), F.col("name"), F.lit("' is a thin wrapper that only calls another function")), F.col("s.line"), "AI Slop", False, "Call the inner function")
+
+    def judged(s: Column, ls: Column) -> Column:
+        text, name = s["match"], None
+        for k, p in enumerate(WRAPPERS):
+            one = F.regexp_extract(text, java(p), 1)
+            name = F.when(s["k"] == k, one) if name is None else name.when(s["k"] == k, one)
+        inner = F.when(text.rlike(end(ARROW_CALL)), F.regexp_extract(text, end(ARROW_CALL), 1)).otherwise(F.regexp_extract(text, java(RETURN_CALL), 1))
+        before = F.when(s["line"] >= 2, trim(F.get(ls, s["line"].cast("int") - 2)))
+        keep = ~name.rlike(end(FRAMEWORK)) & ~F.coalesce(before.startswith("@"), F.lit(False)) & ~inner.rlike(end(HARD_CODED)) & ~(matches(text, r"\buse\w+") & matches(text, r"useContext\s*\("))
+        message = F.concat(F.lit("Function '"), name, F.lit("' is a thin wrapper that only calls another function"))
+        return F.when(keep, finding("ai-slop", "ai-slop/thin-wrapper", "warning", message, s["line"], "AI Slop", False, "Call the inner function"))
+
+    def all_of(spots: Column) -> Column:
+        return F.when(F.size(spots) > 0, let(F.split("content", "\n", -1), lambda ls: F.filter(F.transform(spots, lambda s: judged(s, ls)), lambda f: f.isNotNull()))).otherwise(none()).cast(FOUND)
+
+    return let(_spots(F.col("content"), [(None, p) for p in WRAPPERS]), all_of)
+
+
+def thin_wrappers(files: DataFrame) -> DataFrame:
+    return exploded(files, wrappers())
 
 
 def _union_sql(patterns: list[tuple[list[str] | None, str]]) -> str:

@@ -1,8 +1,7 @@
 """Detectors that look at one line and its successor.
 
-A rule is a list of conditions on fields of a line. One explode of each file's lines serves all rules: the
-rules that fire become an array of numbers, exploded in turn, so the corpus is read once and nothing is
-shuffled. The same conditions give the SQL by which another engine checks the results.
+A rule is a list of conditions on fields of a line. All rules are judged within a file's row, over the array
+of its lines, so the corpus is read once, only findings become rows and nothing is shuffled. The same conditions give the SQL by which another engine checks the results.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.functions.text import java, lines, re2, trim
-from codesieve.operators.schema import diagnostics
+from codesieve.operators.schema import FOUND, exploded, finding, let
 from codesieve.sources.corpus import JS
 
 TS = [".ts", ".tsx"]
@@ -76,43 +75,44 @@ RULES = [
 ]
 
 
-def _fields() -> dict[str, Column]:
-    t = F.col("t")
-    return {
-        "t": t, "n": F.col("n"), "raw": F.col("raw"), "path": F.col("path"), "name": F.col("name"),
-        "body": trim(F.regexp_replace(t, r"^(//|#)", "")), "code": F.regexp_replace(t, r"//[^\n]*\z", ""),
-    }
-
-
-def _fires(rule: Rule, fields: dict[str, Column]) -> Column:
+def _fires(rule: Rule, fields) -> Column:
     out = F.lit(True) if not rule.extensions else F.col("ext").isin(list(rule.extensions))
     for field, pattern, wanted in rule.conditions:
-        hit = F.coalesce(fields[field].rlike(java(pattern).replace("$", r"\z")), F.lit(False))
+        hit = F.coalesce(fields(field).rlike(java(pattern).replace("$", r"\z")), F.lit(False))
         out = out & (hit if wanted else ~hit)
     return out
 
 
+def _with_next(ls: Column) -> Column:
+    """(line, raw, next) of each line."""
+    return F.transform(ls, lambda x, i: F.struct((i + 1).cast("long").alias("line"), x.alias("raw"), F.get(ls, i + 1).alias("next")))
+
+
 def source_lines(files: DataFrame) -> DataFrame:
     """(project, path, ext, line, raw, t, n): the lines of each file, with the next line beside each."""
-    rows = files.select("project", "path", "ext", lines(F.col("content")).alias("ls"))
-    rows = rows.select("project", "path", "ext", "ls", F.posexplode("ls").alias("i", "raw"))
-    rows = rows.select("project", "path", "ext", (F.col("i") + 1).cast("long").alias("line"), "raw", F.get("ls", F.col("i") + 1).alias("next"))
-    return rows.select("project", "path", "ext", "line", "raw", trim(F.col("raw")).alias("t"), trim(F.col("next")).alias("n"))
+    rows = files.select("project", "path", "ext", F.explode_outer(let(lines(F.col("content")), _with_next)).alias("x")).where("x IS NOT NULL")
+    return rows.select("project", "path", "ext", "x.line", "x.raw", trim(F.col("x.raw")).alias("t"), trim(F.col("x.next")).alias("n"))
+
+
+def found(names: list[str] | None = None) -> Column:
+    """The line rules' findings of a file (path, ext, content), as an array."""
+    rules = [r for r in RULES if names is None or r.name in names]
+
+    def of_line(x: Column) -> Column:
+        def judged(y: Column) -> Column:
+            made = {"body": trim(F.regexp_replace(y["t"], r"^(//|#)", "")), "code": F.regexp_replace(y["t"], r"//[^\n]*\z", ""), "path": F.col("path"), "name": F.regexp_extract(y["raw"], java(DECLARED), 1)}
+            field = lambda name: made[name] if name in made else y[name]
+            one = lambda r: finding("ai-slop", f"ai-slop/{r.name}", r.severity, F.replace(F.lit(r.message), F.lit("{name}"), made["name"]) if "{name}" in r.message else r.message, y["line"] + r.shift, "AI Slop", r.fixable, r.help)
+            return F.filter(F.array(*[F.when(_fires(r, field), one(r)) for r in rules]), lambda f: f.isNotNull())
+
+        return let(F.struct(x["line"].alias("line"), x["raw"].alias("raw"), trim(x["raw"]).alias("t"), trim(x["next"]).alias("n")), judged)
+
+    return F.flatten(F.transform(let(lines(F.col("content")), _with_next), of_line)).cast(FOUND)
 
 
 def detect_lines(files: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Diagnostics of the line rules."""
-    rules = [r for r in RULES if names is None or r.name in names]
-    rows = source_lines(files).withColumn("name", F.regexp_extract("raw", java(DECLARED), 1))
-    fields = _fields()
-    fired = F.filter(F.array(*[F.when(_fires(r, fields), F.lit(k)) for k, r in enumerate(rules)]), lambda x: x.isNotNull())
-    rows = rows.withColumn("k", F.explode(fired)).select("project", "path", "line", "name", "k")
-    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("k") + 1)
-    message = F.replace(pick([r.message for r in rules]), F.lit("{name}"), F.col("name"))
-    out = diagnostics(rows, "ai-slop", F.concat(F.lit("ai-slop/"), pick([r.name for r in rules])), pick([r.severity for r in rules]), message, F.col("line") + pick([r.shift for r in rules]), "AI Slop", False)
-    by_rule = {f"ai-slop/{r.name}": r for r in rules}
-    table = lambda attribute: F.create_map(*[F.lit(x) for n, r in by_rule.items() for x in (n, getattr(r, attribute))])
-    return out.withColumn("fixable", table("fixable")[F.col("rule")]).withColumn("help", table("help")[F.col("rule")])
+    return exploded(files, found(names))
 
 
 _LINES_SQL = r"""ls AS (SELECT project, path, ext, content, string_split(content, chr(10)) AS a FROM files),

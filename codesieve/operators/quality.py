@@ -1,8 +1,7 @@
 """Size, shape and repetition of code.
 
-File sizes, repeated chains and duplicate windows are column expressions and window functions; function
-boundaries and the greedy merge of duplicate windows walk a file's lines in order, in Arrow batches inside
-tasks, each file on its own.
+File sizes, repeated chains and duplicate blocks are column expressions over the array of a file's lines, and
+nothing is shuffled; function boundaries walk a file's lines in order, in Arrow batches inside tasks.
 """
 
 from __future__ import annotations
@@ -12,12 +11,11 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.functions.text import compiled, java, lines, trim
-from codesieve.operators.line_rules import source_lines
-from codesieve.operators.schema import diagnostics
+from codesieve.operators.schema import FOUND, exploded, finding, let, none
 from codesieve.operators.walks import Walker, walk
 from codesieve.sources.corpus import JS
 
@@ -37,32 +35,51 @@ CHAINED = r"^\s*\.([A-Za-z_$][\w$]*)\s*\("
 LITERALS = r"\"[^\"]*\"|'[^']*'|`[^`]*`"
 
 
-def large_files(files: DataFrame, limit: int = MAX_FILE) -> DataFrame:
-    """Files with too many lines; markup may be longer, and files of data have no limit."""
-    ls = lines(F.col("content"))
-    full = F.filter(ls, lambda x: trim(x) != "")
-    data = F.filter(full, lambda x: x.rlike(java(r"^\s*[{}\[\]\"']")))
+def large(limit: int = MAX_FILE) -> Column:
+    """Whether a file (ext, content) has too many lines, as an array of findings; markup may be longer, and files of data have no limit."""
     most = F.when(F.lower("ext").isin(".jsx", ".tsx"), math.ceil(limit * MARKUP_FACTOR)).otherwise(limit)
-    rows = files.select("project", "path", F.size(ls).alias("n"), most.alias("most"), (F.size(full) > 0) & (F.size(data) / F.greatest(F.size(full), F.lit(1)) > DATA_SHARE)).toDF("project", "path", "n", "most", "data")
-    rows = rows.where("n > most AND NOT data")
-    return diagnostics(rows, "code-quality", "complexity/file-too-large", "warning", F.format_string("File has %d lines (max: %d)", "n", "most"), F.lit(0), "Complexity", False, "Split the file")
+
+    def judged(ls: Column) -> Column:
+        full = F.filter(ls, lambda x: trim(x) != "")
+        data = F.filter(full, lambda x: x.rlike(java(r"^\s*[{}\[\]\"']")))
+        one = finding("code-quality", "complexity/file-too-large", "warning", F.format_string("File has %d lines (max: %d)", F.size(ls), most), F.lit(0), "Complexity", False, "Split the file")
+        few = let(full, lambda x: (F.size(x) == 0) | (F.size(data) / F.greatest(F.size(x), F.lit(1)) <= DATA_SHARE))
+        return F.when((F.size(ls) > most) & few, F.array(one)).otherwise(none()).cast(FOUND)
+
+    return let(lines(F.col("content")), judged)
+
+
+def large_files(files: DataFrame, limit: int = MAX_FILE) -> DataFrame:
+    return exploded(files, large(limit))
+
+
+def chains() -> Column:
+    """Runs of calls of one method that differ in literals only, as an array of findings: one walk over a file's lines."""
+    message = lambda s: F.format_string("%d consecutive `.%s()` calls that differ only in string literals. Extract a data table + loop.", s["n"], s["method"])
+    state = lambda method, shape, line, n, out: F.struct(method.alias("method"), shape.alias("shape"), line.cast("long").alias("line"), n.cast("int").alias("n"), out.alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        method = F.regexp_extract(x["raw"], java(CHAINED), 1)
+        shape = F.when(method != "", F.regexp_replace(trim(F.regexp_replace(x["raw"], LITERALS, '"L"')), java(r";\s*$").replace("$", r"\z"), "")).otherwise("")
+
+        def moved(y: Column) -> Column:
+            one = finding("code-quality", "code-quality/repeated-chained-call", "warning", message(s), s["line"], "Complexity", False, "Loop over a table")
+            closed = F.when((y["method"] != s["method"]) & (s["method"] != "") & (s["n"] >= CHAIN), F.array_append(s["out"], one)).otherwise(s["out"])
+            same = (y["method"] == s["method"]) & (y["shape"] == s["shape"])
+            return state(y["method"], y["shape"], F.when(same, s["line"]).otherwise(x["line"]), F.when(same, s["n"] + 1).otherwise(1), closed.cast(FOUND))
+
+        return let(F.struct(method.alias("method"), shape.alias("shape")), moved)
+
+    def walk(ls: Column) -> Column:
+        numbered = F.transform(F.array_append(ls, ""), lambda x, i: F.struct((i + 1).cast("long").alias("line"), x.alias("raw")))
+        return F.aggregate(numbered, state(F.lit(""), F.lit(""), F.lit(0), F.lit(0), none()), step, lambda s: s["out"])
+
+    some = F.lower("ext").isin(JS) & F.col("content").rlike(java("(?m)" + CHAINED))
+    return F.when(some, let(lines(F.col("content")), walk)).otherwise(none())
 
 
 def repeated_chains(files: DataFrame) -> DataFrame:
-    """Runs of calls of one method that differ in literals only, as islands of lines."""
-    rows = source_lines(files.where(F.lower("ext").isin(JS))).withColumn("method", F.regexp_extract("raw", java(CHAINED), 1)).where("method <> ''")
-    shape = F.regexp_replace(trim(F.regexp_replace("raw", LITERALS, '"L"')), java(r";\s*$").replace("$", r"\z"), "")
-    rows = rows.withColumn("shape", shape)
-    order = Window.partitionBy("project", "path").orderBy("line")
-    same = lambda *names: F.coalesce((F.col("line") - F.lag("line").over(order) == 1) & (F.hash(*names) == F.lag(F.hash(*names)).over(order)), F.lit(False))
-    for name in ("method", "shape"):
-        rows = rows.withColumn(f"{name}_new", (~(same("method") if name == "method" else same("method", "shape"))).cast("int"))
-    rows = rows.withColumn("run", F.sum("method_new").over(order)).withColumn("part", F.sum("shape_new").over(order))
-    parts = rows.groupBy("project", "path", "run", "part").agg(F.min("line").alias("line"), F.count("*").alias("n"), F.first("method").alias("method"))
-    last = Window.partitionBy("project", "path", "run").orderBy(F.desc("part"))
-    parts = parts.withColumn("place", F.row_number().over(last)).where((F.col("place") == 1) & (F.col("n") >= CHAIN))
-    message = F.format_string("%d consecutive `.%s()` calls that differ only in string literals. Extract a data table + loop.", "n", "method")
-    return diagnostics(parts, "code-quality", "code-quality/repeated-chained-call", "warning", message, F.col("line"), "Complexity", False, "Loop over a table")
+    return exploded(files, chains())
 
 
 def _normal(x: Column) -> Column:
@@ -89,52 +106,76 @@ def _hidden(ls: Column, directive: str) -> Column:
     return F.aggregate(ls, F.struct(F.array().cast(active).alias("active"), F.array().cast("array<boolean>").alias("out")), step, lambda s: s["out"])
 
 
-def duplicate_windows(files: DataFrame, tool: str = "codesieve") -> DataFrame:
-    """(project, path, line, prior): windows of ten lines that a window at least ten lines before has too.
+def window_pairs(tool: str = "codesieve") -> Column:
+    """(line, prior) of a file's windows of ten lines that a window at least ten lines before has too, by line.
 
     ``prior`` is the first place of the window's normalised text in the file. A file with a note
     ``<tool>-ignore-file duplicate-block`` has none, and the block after ``<tool>-ignore-next-block`` or
-    ``<tool>-ignore`` begins none.
+    ``<tool>-ignore`` begins none. Windows are sorted by their hashes within the file's row.
     """
+    pair = "array<struct<line:bigint,prior:bigint>>"
     directive = java(rf"{tool}[- ]ignore(?:-next-block|-file)?\b.*\bduplicate-block\b")
-    rows = files.where(F.lower("ext").isin(JS) & ~F.col("content").rlike(java(rf"{tool}[- ]ignore-file\b[^\n]*\bduplicate-block\b")))
     hidden = F.when(F.col("content").rlike(directive), _hidden(lines(F.col("content")), directive)).otherwise(F.array().cast("array<boolean>"))
-    rows = rows.select("project", "path", hidden.alias("hidden"), F.transform(lines(F.col("content")), lambda x: F.struct(_normal(x).alias("n"), (trim(x) == "").alias("blank"), _trivial(x).alias("trivial"))).alias("ls")).where(F.size("ls") >= WINDOW)
-    marks = F.transform("ls", lambda x: F.struct(F.xxhash64(x["n"]).alias("h"), (x["blank"] | (x["n"] == "")).alias("blank"), x["trivial"].alias("trivial"), x["n"].isin("{", "}").alias("brace")))
-    starts = F.filter(F.sequence(F.lit(1), F.size("ls") - WINDOW + 1), lambda k: ~F.coalesce(F.get("hidden", k - 1), F.lit(False)))
-    rows = rows.select("project", "path", marks.alias("ls"), starts.alias("starts")).select("project", "path", "ls", F.explode("starts").alias("line"))
-    rows = rows.select("project", "path", F.col("line").cast("long").alias("line"), F.slice("ls", F.col("line"), WINDOW).alias("w"))  # ten hashes and flags, no text
-    full = ~F.exists("w", lambda x: x["blank"]) & ~F.forall("w", lambda x: x["trivial"]) & (F.size(F.filter("w", lambda x: ~x["brace"])) >= WINDOW - 1) & (F.size(F.array_distinct("w.h")) >= LEAST_DISTINCT)
-    rows = rows.where(full).select("project", "path", "line", F.col("w.h").alias("key"))
-    rows = rows.withColumn("prior", F.min("line").over(Window.partitionBy("project", "path", "key")))
-    return rows.where(F.col("line") - F.col("prior") >= WINDOW).select("project", "path", "line", "prior")
-
-
-def merge_windows(pairs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(line, prior, span) of the blocks that duplicate windows (line, prior) make, in the order of their lines."""
-    blocks: list[list[int]] = []
-    reported: set[int] = set()
-    for line, prior in sorted(pairs):
-        if prior in reported:
-            continue
-        if blocks and line - blocks[-1][0] < WINDOW and prior - blocks[-1][1] < WINDOW:
-            blocks[-1][2] = max(blocks[-1][2], line + WINDOW - blocks[-1][0])
-            continue
-        reported.add(prior)
-        blocks.append([line, prior, WINDOW])
-    return [tuple(b) for b in blocks]
+    mark = lambda x, n: F.struct(F.xxhash64(n).alias("h"), ((trim(x) == "") | (n == "")).alias("blank"), _trivial(x).alias("trivial"), n.isin("{", "}").alias("brace"))
 
+    def pairs(y: Column) -> Column:
+        ls = y["ls"]
+        starts = F.filter(F.sequence(F.lit(1), F.size(ls) - WINDOW + 1), lambda k: ~F.get(ls, k - 1)["blank"] & ~F.get(ls, k + WINDOW - 2)["blank"] & ~F.coalesce(F.get(y["hidden"], k - 1), F.lit(False)))
 
-def duplicate_blocks(files: DataFrame, tool: str = "codesieve") -> DataFrame:
-    rows = duplicate_windows(files, tool).groupBy("project", "path").agg(F.collect_list(F.struct("line", "prior")).alias("pairs"))
+        def place(k: Column) -> Column:
+            full = lambda w: ~F.exists(w, lambda x: x["blank"]) & ~F.forall(w, lambda x: x["trivial"]) & (F.size(F.filter(w, lambda x: ~x["brace"])) >= WINDOW - 1) & (F.size(F.array_distinct(w["h"])) >= LEAST_DISTINCT)
+            return let(F.slice(ls, k, WINDOW), lambda w: F.when(full(w), F.struct(F.xxhash64(w["h"]).alias("key"), k.cast("long").alias("line"))))
 
-    @F.pandas_udf("array<struct<line:long,prior:long,span:long>>")
-    def merged(pairs: pd.Series) -> pd.Series:
-        return pd.Series([[{"line": a, "prior": b, "span": c} for a, b, c in merge_windows([(x["line"], x["prior"]) for x in row])] for row in pairs], dtype=object)
+        def step(s: Column, x: Column) -> Column:
+            again = x["key"] == s["key"]
+            prior = F.when(again, s["first"]).otherwise(x["line"])
+            found = again & (x["line"] - s["first"] >= WINDOW) & (F.slice(ls["h"], x["line"].cast("int"), WINDOW) == F.slice(ls["h"], s["first"].cast("int"), WINDOW))
+            return F.struct(x["key"].alias("key"), prior.alias("first"), F.when(found, F.array_append(s["out"], F.struct(x["line"].alias("line"), s["first"].alias("prior")))).otherwise(s["out"]).cast(pair).alias("out"))
 
-    rows = rows.select("project", "path", F.explode(merged("pairs")).alias("b"))
-    message = F.format_string("%d-line block at line %d duplicates a block starting at line %d. Extract a shared helper.", "b.span", "b.line", "b.prior")
-    return diagnostics(rows, "code-quality", "code-quality/duplicate-block", "warning", message, F.col("b.line"), "Complexity", False, "Share one function")
+        windows = F.array_sort(F.filter(F.transform(starts, place), lambda x: x.isNotNull()))
+        start = F.struct(F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("first"), F.array().cast(pair).alias("out"))
+        return F.array_sort(F.aggregate(windows, start, step, lambda s: s["out"]))
+
+    marked = lambda ls: F.transform(ls, lambda x: let(_normal(x), lambda n: mark(x, n)))
+    some = F.lower("ext").isin(JS) & (F.size(lines(F.col("content"))) >= WINDOW) & ~F.col("content").rlike(java(rf"{tool}[- ]ignore-file\b[^\n]*\bduplicate-block\b"))
+    return F.when(some, let(F.struct(marked(lines(F.col("content"))).alias("ls"), hidden.alias("hidden")), pairs)).otherwise(F.array().cast(pair))
+
+
+def duplicate_windows(files: DataFrame, tool: str = "codesieve") -> DataFrame:
+    """(project, path, line, prior) of all repeated windows."""
+    rows = files.select("project", "path", F.explode_outer(window_pairs(tool)).alias("x")).where("x IS NOT NULL")
+    return rows.select("project", "path", "x.line", "x.prior")
+
+
+def merged(pairs: Column) -> Column:
+    """(line, prior, span) of the blocks that repeated windows make, in the order of their lines.
+
+    A window joins the block at hand while it begins within ten lines of its beginning, here and at its first
+    place; a first place that a block was reported for is not reported again.
+    """
+    block = "array<struct<line:bigint,prior:bigint,span:bigint>>"
+
+    def step(s: Column, x: Column) -> Column:
+        last = F.element_at(s["out"], -1)
+        near = (F.size(s["out"]) > 0) & (x["line"] - last["line"] < WINDOW) & (x["prior"] - last["prior"] < WINDOW)
+        longer = F.struct(last["line"].alias("line"), last["prior"].alias("prior"), F.greatest(last["span"], x["line"] + WINDOW - last["line"]).alias("span"))
+        new = F.struct(x["line"].alias("line"), x["prior"].alias("prior"), F.lit(WINDOW).cast("long").alias("span"))
+        known = F.exists(s["out"], lambda b: b["prior"] == x["prior"])
+        out = F.when(known, s["out"]).when(near, F.array_append(F.slice(s["out"], F.lit(1), F.size(s["out"]) - 1), longer)).otherwise(F.array_append(s["out"], new))
+        return F.struct(out.cast(block).alias("out"))
+
+    return F.aggregate(pairs, F.struct(F.array().cast(block).alias("out")), step, lambda s: s["out"])
+
+
+def duplicates(tool: str = "codesieve") -> Column:
+    """The duplicate blocks of a file, as an array of findings."""
+    message = lambda b: F.format_string("%d-line block at line %d duplicates a block starting at line %d. Extract a shared helper.", b["span"], b["line"], b["prior"])
+    one = lambda b: finding("code-quality", "code-quality/duplicate-block", "warning", message(b), b["line"], "Complexity", False, "Share one function")
+    return F.transform(merged(window_pairs(tool)), one).cast(FOUND)
+
+
+def duplicate_blocks(files: DataFrame, tool: str = "codesieve") -> DataFrame:
+    return exploded(files, duplicates(tool))
 
 
 @dataclass

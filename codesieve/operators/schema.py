@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DIAGNOSTICS = "project string, filePath string, engine string, rule string, severity string, message string, help string, line bigint, column bigint, category string, fixable boolean"
@@ -23,6 +23,39 @@ def diagnostics(rows: DataFrame, engine: str, rule: Column | str, severity: Colu
     )
 
 
+FOUND = "array<struct<engine:string,rule:string,severity:string,message:string,help:string,line:bigint,category:string,fixable:boolean>>"
+
+
+def finding(engine: str, rule: Column | str, severity: Column | str, message: Column | str, line: Column, category: str, fixable: Column | bool = False, help: Column | str = "") -> Column:
+    """One finding, as an element of a file's array of findings."""
+    value = lambda x: x if isinstance(x, Column) else F.lit(x)
+    values = {"engine": engine, "rule": rule, "severity": severity, "message": message, "help": help, "line": line.cast("long"), "category": category, "fixable": fixable}
+    return F.struct(*[value(v).alias(k) for k, v in values.items()])
+
+
+def none() -> Column:
+    return F.array().cast(FOUND)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def exploded(files: DataFrame, found: Column) -> DataFrame:
+    """Diagnostics of an array of findings for each file.
+
+    The outer form keeps Spark from testing the array in a filter first, which would compute it twice.
+    """
+    rows = files.select("project", F.col("path").alias("filePath"), found.alias("found")).select("project", "filePath", F.explode_outer("found").alias("x")).where("x IS NOT NULL")
+    return rows.select("project", "filePath", "x.*", F.lit(0).cast("long").alias("column")).select(COLUMNS)
+
+
+def first_of_each(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Keep the first row of each key."""
+    return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_place = 1").drop("_place")
+
+
 def empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], DIAGNOSTICS)
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.functions.text import match_lines, matches
 from codesieve.operators.masking import masked
-from codesieve.operators.schema import diagnostics
+from codesieve.operators.schema import FOUND, exploded, finding, let
 from codesieve.sources.corpus import JS
 
 # Receivers and methods of database handles, and the constructs with their extensions.
@@ -29,26 +29,28 @@ MIGRATIONS = r"(?:^|/)(?:migrations|seeders|seeds|migrate)/"
 SAFE_TARGET = r"(?i:template|tmpl|tpl)\s*\z|createElement\s*\(\s*['\"]template['\"]\s*\)\s*\z"
 
 
+def risky() -> Column:
+    """All risky constructs of a file (path, ext, content), as an array of findings; its mask is made once."""
+    tagged = lambda k: lambda m: F.struct(m["line"].alias("line"), F.lit(k).alias("k"))
+    pick = lambda values, s: F.element_at(F.array(*[F.lit(v) for v in values]), s["k"] + 1)
+    one = lambda s: finding("security", F.concat(F.lit("security/"), pick([r[0] for r in RISKY], s)), "error", pick([r[3] for r in RISKY], s), s["line"], "Security", False, "Use a safe alternative")
+
+    def spots(code: Column) -> Column:
+        found = []
+        for k, (name, extensions, pattern, _) in enumerate(RISKY):
+            allowed = F.col("ext").isin(extensions)
+            if name == "sql-injection":
+                allowed &= ~matches(F.col("path"), MIGRATIONS)
+            spot = match_lines(code, pattern)
+            found.append(F.when(allowed, F.transform(_assignments(spot) if name == "innerhtml" else spot, tagged(k))).otherwise(F.array().cast("array<struct<line:bigint,k:int>>")))
+        return F.transform(F.concat(*found), one)
+
+    return let(masked(), spots).cast(FOUND)
+
+
 def risky_constructs(files: DataFrame) -> DataFrame:
     """A diagnostic for every match, generated files included."""
-    rows = files.withColumn("code", masked())
-    found = []
-    for k, (name, extensions, pattern, _) in enumerate(RISKY):
-        allowed = F.col("ext").isin(extensions)
-        if name == "sql-injection":
-            allowed &= ~matches(F.col("path"), MIGRATIONS)
-        spots = match_lines(F.col("code"), pattern)
-        if name == "innerhtml":
-            spots = _assignments(spots)
-        tag = F.lit(k).alias("k")
-        found.append(F.when(allowed, F.transform(spots, _tagged(tag))).otherwise(F.array().cast("array<struct<line:bigint,k:int>>")))
-    rows = rows.select("project", "path", F.explode(F.concat(*found)).alias("s"))
-    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("s.k") + 1)
-    return diagnostics(rows, "security", F.concat(F.lit("security/"), pick([r[0] for r in RISKY])), "error", pick([r[3] for r in RISKY]), F.col("s.line"), "Security", False, "Use a safe alternative")
-
-
-def _tagged(tag):
-    return lambda m: F.struct(m["line"].alias("line"), tag)
+    return exploded(files, risky())
 
 
 def _assignments(spots):

@@ -10,10 +10,10 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.operators.schema import COLUMNS
+from codesieve.operators.schema import FOUND, exploded
 
 
 @dataclass(frozen=True)
@@ -27,15 +27,19 @@ class Walker:
     help: str = ""
 
 
-def walk(files: DataFrame, walkers: Sequence[Walker]) -> DataFrame:
-    """Diagnostics of all walkers."""
+def found(walkers: Sequence[Walker]) -> Column:
+    """The findings of all walkers in a file (ext, content), as an array."""
 
     @F.pandas_udf("array<struct<k:int,rule:string,message:string,line:long>>")
-    def found(content: pd.Series, ext: pd.Series) -> pd.Series:
+    def walked(content: pd.Series, ext: pd.Series) -> pd.Series:
         rows = ([{"k": k, "rule": r, "message": m, "line": n} for k, w in enumerate(walkers) for r, m, n in w.find(c, e)] for c, e in zip(content, ext, strict=True))
         return pd.Series(list(rows), dtype=object)
 
-    rows = files.select("project", "path", F.explode(found(F.coalesce("content", F.lit("")), F.coalesce("ext", F.lit("")))).alias("x"))
-    pick = lambda name: F.element_at(F.array(*[F.lit(getattr(w, name)) for w in walkers]), F.col("x.k") + 1)
-    rows = rows.select("project", "path", "x.rule", "x.message", "x.line", *[pick(n).alias(n) for n in ("engine", "category", "fixable", "help")])
-    return rows.select("project", F.col("path").alias("filePath"), "engine", "rule", F.lit("warning").alias("severity"), "message", "help", "line", F.lit(0).cast("long").alias("column"), "category", "fixable").select(COLUMNS)
+    pick = lambda x, name: F.element_at(F.array(*[F.lit(getattr(w, name)) for w in walkers]), x["k"] + 1)
+    one = lambda x: F.struct(*[v.alias(n) for n, v in (("engine", pick(x, "engine")), ("rule", x["rule"]), ("severity", F.lit("warning")), ("message", x["message"]), ("help", pick(x, "help")), ("line", x["line"]), ("category", pick(x, "category")), ("fixable", pick(x, "fixable")))])
+    return F.transform(walked(F.coalesce("content", F.lit("")), F.coalesce("ext", F.lit(""))), one).cast(FOUND)
+
+
+def walk(files: DataFrame, walkers: Sequence[Walker]) -> DataFrame:
+    """Diagnostics of all walkers."""
+    return exploded(files, found(walkers))

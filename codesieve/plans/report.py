@@ -128,7 +128,3 @@ def delta(before: DataFrame, after: DataFrame) -> DataFrame:
     counts = before.select("rule", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(after.select("rule", F.lit(0).alias("a"), F.lit(1).alias("b"))).groupBy("rule").agg(F.sum("a").alias("before"), F.sum("b").alias("after"))
     return counts.join(gone, "rule", "left").select("rule", "before", "after", F.coalesce("resolved", F.lit(0)).cast("long").alias("resolved"))
 
-
-def first_of_each(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Keep the first row of each key."""
-    return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_place = 1").drop("_place")

@@ -11,7 +11,7 @@ import os
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesieve.functions.text import extension
@@ -41,6 +41,14 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from there: what is used more than once is made once."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def glob_regex(pattern: str) -> str:
     """A path glob as a regular expression: ``**`` crosses folders, ``*`` and ``?`` do not."""
     out, i = "", 0
@@ -90,9 +98,14 @@ def explicit_files(files: DataFrame, wanted: DataFrame, extra_extensions: Sequen
     return files.where(F.col("ext").isin(EXTENSIONS + list(extra_extensions)) & ~F.col("path").startswith("..")).join(wanted.distinct(), ["project", "path"], "left_semi")
 
 
+def is_generated(content: str = "content") -> Column:
+    """Whether a generator's note stands in the first bytes."""
+    return F.coalesce(F.substring(F.col(content).cast("binary"), 1, HEADER).cast("string").rlike(GENERATED), F.lit(False))
+
+
 def without_generated(files: DataFrame) -> DataFrame:
     """Files without a generator's note in their first bytes."""
-    return files.where(~F.coalesce(F.substring(F.col("content").cast("binary"), 1, HEADER).cast("string").rlike(GENERATED), F.lit(False)))
+    return files.where(~is_generated())
 
 
 _BLOCK = "function one(x) {\n  const a = f(x, 1);\n  const b = g(a, '{w}');\n  log(a);\n  if (b) {\n    h(b);\n  }\n  send(a, b);\n  store(b);\n  clear(a);\n  check(b);\n  done();\n}\n"

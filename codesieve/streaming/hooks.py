@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from codesieve.plans import report, scan, score
+from codesieve.sources.corpus import stored
 
 # Where events name their files.
 EVENT = "file_path string, edits array<struct<file_path:string>>, tool_input struct<file_path:string,path:string,edits:array<struct<file_path:string>>>"
@@ -41,7 +42,7 @@ def edits_per_window(events: DataFrame, time: str = "ts", size: str = "10 minute
 def scoped_feedback(files: DataFrame, edited: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
     """Feedback on edited files (project, path) only. Security stays off, as at every edit."""
     chosen = files.join(edited.distinct(), ["project", "path"], "left_semi")
-    found = scan.scan(chosen, ["code-quality", "ai-slop"])
+    found = stored(scan.scan(chosen, ["code-quality", "ai-slop"]))
     scores = score.score(found, scan.file_counts(chosen), smoothing=score.SMOOTHING)
     return report.feedback(found, scores, baseline)
 
@@ -57,7 +58,7 @@ def stop_gate(feedback: DataFrame, active: DataFrame | None = None) -> DataFrame
 
 def capture_baseline(files: DataFrame) -> DataFrame:
     """(project, engine, score, files): scores of a full scan; engine ``all`` is the project's own."""
-    found, counts = scan.scan(files), scan.file_counts(files)
+    found, counts = stored(scan.scan(files)), scan.file_counts(files)
     whole = score.score(found, counts, smoothing=score.SMOOTHING).select("project", F.lit("all").alias("engine"), "score")
     parts = score.score(found, counts, ("project", "engine"), smoothing=score.SMOOTHING).select("project", "engine", "score")
     return whole.unionByName(parts).join(counts, "project")

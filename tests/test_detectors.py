@@ -1,6 +1,7 @@
 """Detectors on small files: what fires, where, and what does not."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from codesieve.operators import architecture, file_rules, imports, line_rules, masking, narrative, quality, security
 from codesieve.plans import scan
@@ -263,10 +264,10 @@ def test_duplicate_blocks(spark):
     assert not found(quality.duplicate_blocks(one(spark, "a.ts", "x();\n" * 40))) and not found(quality.duplicate_blocks(one(spark, "a.py", text)))
 
 
-def test_merge_of_windows():
+def test_merge_of_windows(spark):
     clone = [(100 + k, 1 + k) for k in range(31)]
-    blocks = quality.merge_windows(clone)
-    assert max(span for _, _, span in blocks) == 19 and [b[0] for b in blocks] == [100, 110, 120, 130]
+    rows = spark.createDataFrame([(clone,)], "pairs array<struct<line:bigint,prior:bigint>>").select(quality.merged(F.col("pairs")).alias("b")).first().b
+    assert max(b.span for b in rows) == 19 and [b.line for b in rows] == [100, 110, 120, 130]
 
 
 def test_scan(spark):
