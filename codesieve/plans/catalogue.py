@@ -31,11 +31,14 @@ OTHER_RULES = [
 ]
 
 
+def rule_rows(rules: list[dict] | None = None) -> set[tuple]:
+    rows = {(f"ai-slop/{r.name}", "ai-slop", r.severity, r.fixable) for r in line_rules.RULES} | {(f"security/{r[0]}", "security", "error", False) for r in security.RISKY} | set(OTHER_RULES)
+    return rows | {(f"arch/{r['name']}", "architecture", r.get("severity"), False) for r in rules or [] if r.get("name")}
+
+
 def rule_catalogue(spark: SparkSession, rules: list[dict] | None = None) -> DataFrame:
     """(rule, engine, severity, fixable) of all rules, with those of the architecture rules given."""
-    rows = {(f"ai-slop/{r.name}", "ai-slop", r.severity, r.fixable) for r in line_rules.RULES} | {(f"security/{r[0]}", "security", "error", False) for r in security.RISKY} | set(OTHER_RULES)
-    rows |= {(f"arch/{r['name']}", "architecture", r.get("severity"), False) for r in rules or [] if r.get("name")}
-    return spark.createDataFrame(sorted(rows, key=str), "rule string, engine string, severity string, fixable boolean")
+    return spark.createDataFrame(sorted(rule_rows(rules), key=str), "rule string, engine string, severity string, fixable boolean")
 
 
 def engine_status(diagnostics: DataFrame, skipped: list[tuple[str, str]] | None = None) -> DataFrame:

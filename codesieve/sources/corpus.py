@@ -49,6 +49,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly where it has fewer partitions than there are cores, as small inputs have; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def glob_regex(pattern: str) -> str:
     """A path glob as a regular expression: ``**`` crosses folders, ``*`` and ``?`` do not."""
     out, i = "", 0
@@ -169,7 +175,7 @@ _NAME = "concat('src/', source, '/f', CAST(doc_id AS STRING), CASE CAST(doc_id %
 
 def synthetic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file of code for every document, by a fixed rule; projects are sources."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id IS NOT NULL")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id IS NOT NULL").select("doc_id", "source", "text"))
     case = _case("regexp_extract(raw, '([A-Za-z]+)', 1)", "CAST(doc_id * 13 + (i + 1) * 7 AS INT)", "CAST(i + 1 AS STRING)").replace("\x00", "\\n")
     content = f"array_join(transform(split(coalesce(text, ''), '\\n', -1), (raw, i) -> {case}), '\\n')"
     rows = docs.select(F.col("source").alias("project"), F.expr(_NAME).alias("path"), F.expr(content).alias("content"))
