@@ -41,7 +41,7 @@ MAX_TABLE, LONGEST = 1 << 18, 48
 #: Words that a task meets less often are not counted for the table.
 LEAST_MET = 3
 #: Bytes of texts in a partition, its buckets, and distinct words that a task counts before it sends them.
-PART_BYTES, BUCKETS, MAX_COUNTED = 1 << 24, 8, 1 << 19
+PART_BYTES, BUCKETS, MAX_COUNTED = 1 << 24, 3, 1 << 19
 #: Words in the answers that a task sends at a time.
 ANSWERS = 1 << 16
 
@@ -228,10 +228,11 @@ def _answers(numbered: DataFrame, definition: str, parts: int) -> DataFrame:
             part, bucket = (mix(whole.hashes()) % np.uint64(parts)).astype(np.int64), pair >> 32
             order = np.lexsort((bucket, part))
             part, bucket = part[order], bucket[order]
-            first = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (bucket[1:] != bucket[:-1])))
+            first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            ends = np.append(first[1:], len(part))
             sorted_words = [words[k] for k in order.tolist()]
-            joined = [" ".join(sorted_words[a:b]) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), pa.array(bucket[first].astype(np.int32)), pa.array(joined, pa.string())], names=["part", "bucket", "words"])
+            joined = [" ".join(sorted_words[a:b]) for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), packed(bucket, ends - first), pa.array(joined, pa.string())], names=["part", "buckets", "words"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}  # a partition's words: about as many bytes as those of its texts
@@ -247,11 +248,12 @@ def _answers(numbered: DataFrame, definition: str, parts: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([" ".join(x) for x in own.values()], pa.string()), packed(sizes, lengths), packed(flat, total)], names=["bucket", "words", "sizes", "ids"])
 
         for batch in batches:
-            for bucket, joined in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for buckets, joined in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = joined.split(" ")
-                own.setdefault(bucket, []).extend(words)
+                for word, bucket in zip(words, unpacked([buckets])[0].tolist(), strict=True):
+                    own.setdefault(bucket, []).append(word)
                 held += len(words)
-                new = [w for w in words if w not in known]
+                new = list(dict.fromkeys(w for w in words if w not in known))
                 known.update(zip(new, encode_words(definition, new), strict=True))
                 if held >= ANSWERS:
                     yield sent()
@@ -260,7 +262,7 @@ def _answers(numbered: DataFrame, definition: str, parts: int) -> DataFrame:
         if own:
             yield sent()
 
-    asked = numbered.mapInArrow(released(ask), "part int, bucket int, words string").repartition(parts, "part")
+    asked = numbered.mapInArrow(released(ask), "part int, buckets binary, words string").repartition(parts, "part")
     return asked.mapInArrow(released(answer), "bucket int, words string, sizes binary, ids binary").repartition(parts, "bucket")
 
 
