@@ -26,6 +26,13 @@ def changed_files(tracked: DataFrame, untracked: DataFrame) -> DataFrame:
     return tracked.unionByName(untracked).distinct()
 
 
+def edited_files(named: DataFrame, changed: DataFrame) -> DataFrame:
+    """(project, path) of what an event names (project, files); a project whose events name nothing has its changed files."""
+    rows = named.select("project", F.explode_outer("files").alias("path"))
+    empty = rows.groupBy("project").agg(F.count("path").alias("n")).where("n = 0").select("project")
+    return rows.where("path IS NOT NULL").unionByName(changed.join(empty, "project", "left_semi")).distinct()
+
+
 def needed_overrides(advisories: DataFrame) -> DataFrame:
     """(project, module, version) of overrides for (project, module, patched): the first patched version of a range ``>=x``, the highest of a module's."""
     rows = advisories.select("project", "module", F.regexp_extract("patched", r"^>=\s*([0-9][^\s]*)", 1).alias("version")).where("version <> ''")

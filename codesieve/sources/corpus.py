@@ -104,6 +104,11 @@ def explicit_files(files: DataFrame, wanted: DataFrame, extra_extensions: Sequen
     return files.where(F.col("ext").isin(EXTENSIONS + list(extra_extensions)) & ~F.col("path").startswith("..")).join(wanted.distinct(), ["project", "path"], "left_semi")
 
 
+def chosen_files(files: DataFrame, wanted: DataFrame | None = None, ignored: DataFrame | None = None, exclude: Sequence[str] = (), extra_extensions: Sequence[str] = ()) -> DataFrame:
+    """The files of a scan: an explicit list where there is one, an empty one for no files, else the whole project's selection."""
+    return filter_files(files, ignored, exclude, extra_extensions) if wanted is None else explicit_files(files, wanted, extra_extensions)
+
+
 def is_generated(content: str = "content") -> Column:
     """Whether a generator's note stands in the first bytes."""
     return F.coalesce(F.substring(F.col(content).cast("binary"), 1, HEADER).cast("string").rlike(GENERATED), F.lit(False))

@@ -5,7 +5,7 @@ Works on streams and on tables alike. State is the set of a session's files, dro
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -64,6 +64,23 @@ def capture_baseline(files: DataFrame) -> DataFrame:
     return whole.unionByName(parts).join(counts, "project")
 
 
+def write_baseline(baseline: DataFrame, place: str, schema: str = "codesieve.baseline.v1") -> None:
+    """Put a baseline in the place of an earlier one: a row for each project and engine, with its schema and time."""
+    baseline.withColumn("schema", F.lit(schema)).withColumn("updated_at", F.current_timestamp()).write.mode("overwrite").parquet(place)
+
+
+def read_baseline(spark: SparkSession, place: str, schema: str = "codesieve.baseline.v1") -> DataFrame:
+    """(project, engine, score, files) of a stored baseline; none of another schema counts."""
+    return spark.read.parquet(place).where(F.col("schema") == schema).select("project", "engine", "score", "files")
+
+
+def read_sessions(spark: SparkSession, place: str) -> DataFrame:
+    """(session, ts, path) of session logs: a JSON object with session, ts and files in each line. Broken lines are left out, a path counts once for each session."""
+    rows = spark.read.schema("session string, ts long, files array<string>, _broken string").option("columnNameOfCorruptRecord", "_broken").json(place)
+    rows = rows.where("_broken IS NULL AND files IS NOT NULL").select(F.coalesce("session", F.lit("")).alias("session"), "ts", F.explode("files").alias("path"))
+    return rows.groupBy("session", "path").agg(F.min("ts").alias("ts")).select("session", "ts", "path")
+
+
 def run_hook(events: DataFrame, files: DataFrame, baseline: DataFrame | None, out: str, checkpoint: str, project: str = "project") -> StreamingQuery:
     """Feedback on every micro-batch of decoded events, appended to a Parquet table with the batch's number."""
 
