@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from codesieve.sources.corpus import shared_folder
+from codesieve.sources.corpus import shared_folder, spread
 
 #: Texts worked on together: bounds the memory of the numpy passes. A longer text is worked on alone.
 BLOCK_BYTES = 1 << 19
@@ -44,7 +44,8 @@ def short_batches(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, through Spark's reader only, so that any store that Spark reads will do."""
     short_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -14,8 +14,9 @@ document in time that grows with the input. Windows meet by key instead, in two
    every distinct window once, with its smallest id; a window is repeated in all documents but the one
    with the smallest id.
 
-Every split pre-aggregates, so a passage that a third of all documents have is one entry for each split.
-Entries travel as arrays bucketed by key, and a bucket holds a share of the keys whatever the input.
+Every split pre-aggregates, so a passage that a third of all documents have is one entry for each split, or for
+each ``MAX_ENTRIES`` of its entries. Entries travel as arrays bucketed by key. Partitions are as many as the texts
+need for ``PART_BYTES`` each, and a task holds one of its buckets at a time, whatever the input.
 
 Edge cases: a null text has no words; a text shorter than a window has nothing removed; equal windows
 within one document alone remove nothing; rows with a null id take no part and lose nothing; rows with the
@@ -38,6 +39,9 @@ WINDOW, GRAM = 13, 5
 #: Reference words in an automaton, and words of a reference that may be broadcast.
 SHARD_WORDS, MAX_REFERENCE_WORDS = 200_000, 4_000_000
 
+#: Bytes of texts for which there is a partition, its buckets, and entries that a task gathers before it sends them.
+PART_BYTES, BUCKETS, MAX_ENTRIES = 1 << 23, 4, 1 << 22
+
 _PARTS = separators(SPACES)
 #: In place of a place: an entry that its split knows to be shared, and one that needs no answer.
 SHARED, KNOWN = -1, -2
@@ -68,14 +72,29 @@ def _bucketed(spread: np.ndarray, keys: np.ndarray, docs: np.ndarray, places: np
     return pa.RecordBatch.from_arrays(arrays, names=["bucket", "keys", "docs", "places"])
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All entries of a partition of buckets, by key and then by document."""
-    parts = [[b.column(k).flatten().to_numpy(zero_copy_only=False) for k in (1, 2, 3)] for b in batches]
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-    keys, docs, places = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((places, docs, keys))
-    return keys[order], docs[order], places[order]
+def _bucketwise(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The entries of one bucket after the other, each by key and then by document."""
+    own, parts = None, []
+
+    def entries() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, docs, places = (np.concatenate([x[k].to_numpy(zero_copy_only=False) for x in parts]) for k in range(3))
+        order = np.lexsort((places, docs, keys))
+        return keys[order], docs[order], places[order]
+
+    for batch in batches:
+        for i, bucket in enumerate(batch.column(0).to_pylist()):
+            if bucket != own and parts:
+                yield entries()
+                parts = []
+            own = bucket
+            parts.append([batch.column(k)[i].values for k in (1, 2, 3)])
+    if parts:
+        yield entries()
+
+
+def _dealt(sent: DataFrame, parts: int) -> DataFrame:
+    """Entries by bucket: Spark sorts them, with disk where memory ends."""
+    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket")
 
 
 def _group(keys: np.ndarray) -> np.ndarray:
@@ -84,33 +103,23 @@ def _group(keys: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
 
 
-def _by_document(sent: DataFrame, name: str, buckets: int) -> DataFrame:
+def _by_document(sent: DataFrame, name: str, parts: int) -> DataFrame:
     """(id, values): one row for each document of what ``sent`` has for it, bucketed by document."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, docs, _ = _entries(batches)
-        order = np.argsort(docs, kind="stable")
-        ids, counts = np.unique(docs[order], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), list_array(values[order], counts)], names=["id", name])
+        for values, docs, _ in _bucketwise(batches):
+            order = np.argsort(docs, kind="stable")
+            ids, counts = np.unique(docs[order], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), list_array(values[order], counts)], names=["id", name])
 
-    return sent.repartition(buckets, "bucket").mapInArrow(released(gather), f"id bigint, {name} array<bigint>")
+    return _dealt(sent, parts).mapInArrow(released(gather), f"id bigint, {name} array<bigint>")
 
 
-def shared_minimizers(docs: DataFrame, buckets: int) -> DataFrame:
+def shared_minimizers(docs: DataFrame, parts: int) -> DataFrame:
     """(id, minimizers): for each document those that another document has too."""
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids = [], []
-        for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, _, data, offsets in blocks(batch.column(1)):
-                words = Words(data, offsets, _PARTS)
-                at, low = _windows(words, words.hashes())
-                text = words.text[at]
-                new = np.append(True, (low[1:] != low[:-1]) | (text[1:] != text[:-1])) if len(low) else np.zeros(0, bool)
-                keys.append(low[new])
-                ids.append(own[lo + text[new]])
-        if not keys:
-            return
+    buckets = parts * BUCKETS
+
+    def asked(keys: list[np.ndarray], ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, doc = np.concatenate(keys), np.concatenate(ids).astype(np.int64)
         order = np.lexsort((doc, key))
         key, doc = key[order], doc[order]
@@ -124,27 +133,62 @@ def shared_minimizers(docs: DataFrame, buckets: int) -> DataFrame:
         if known.any():
             yield _bucketed(doc[known], key[known], doc[known], np.full(known.sum(), KNOWN), buckets)
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids, held = [], [], 0
+        for batch in batches:
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            for lo, _, data, offsets in blocks(batch.column(1)):
+                words = Words(data, offsets, _PARTS)
+                at, low = _windows(words, words.hashes())
+                text = words.text[at]
+                new = np.append(True, (low[1:] != low[:-1]) | (text[1:] != text[:-1])) if len(low) else np.zeros(0, bool)
+                keys.append(low[new])
+                ids.append(own[lo + text[new]])
+                held += len(keys[-1])
+                if held >= MAX_ENTRIES:
+                    yield from asked(keys, ids)
+                    keys, ids, held = [], [], 0
+        if keys:
+            yield from asked(keys, ids)
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, marks = _entries(batches)
-        known = marks == KNOWN
-        asked, doc, mark = keys[~known], ids[~known], marks[~known]
-        begin = _group(asked)
-        shared = np.zeros(len(asked), bool)
-        if len(asked):
-            differs = (doc != doc[begin]) | (mark == SHARED)
-            shared = np.isin(begin, begin[differs], kind="table")
-        docs, values = np.concatenate([doc[shared], ids[known]]), np.concatenate([asked[shared], keys[known]])
-        yield _bucketed(docs, values, docs, np.zeros(len(docs)), buckets)
-
-    sent = docs.mapInArrow(released(send), _ENTRY).repartition(buckets, "bucket")
-    return _by_document(sent.mapInArrow(released(meet), _ENTRY), "minimizers", buckets)
-
-
-def repeated_windows(docs: DataFrame, candidates: DataFrame, buckets: int) -> DataFrame:
+        for keys, ids, marks in _bucketwise(batches):
+            known = marks == KNOWN
+            asking, doc, mark = keys[~known], ids[~known], marks[~known]
+            begin = _group(asking)
+            shared = np.zeros(len(asking), bool)
+            if len(asking):
+                differs = (doc != doc[begin]) | (mark == SHARED)
+                shared = np.isin(begin, begin[differs], kind="table")
+            docs, values = np.concatenate([doc[shared], ids[known]]), np.concatenate([asking[shared], keys[known]])
+            if len(docs):
+                yield _bucketed(docs, values, docs, np.zeros(len(docs)), buckets)
+
+    sent = docs.mapInArrow(released(send), _ENTRY)
+    return _by_document(_dealt(sent, parts).mapInArrow(released(meet), _ENTRY), "minimizers", parts)
+
+
+def repeated_windows(docs: DataFrame, candidates: DataFrame, parts: int) -> DataFrame:
     """(id, starts): first words of the windows of a document that also start in one with a smaller id."""
+    buckets = parts * BUCKETS
+
+    def asked(entries: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        key, doc, place, spread = (np.concatenate(x) for x in zip(*entries, strict=True))
+        doc = doc.astype(np.int64)
+        order = np.lexsort((place, doc, key))
+        key, doc, place, spread = key[order], doc[order], place[order], spread[order]
+        smallest = doc == doc[_group(key)] if len(key) else np.zeros(0, bool)
+        # all of a window's places in these entries' smallest document need an answer
+        yield _bucketed(spread[smallest], key[smallest], doc[smallest], place[smallest], buckets)
+        doc, place = doc[~smallest], place[~smallest]
+        if len(doc):  # these are repeated: they go as runs of places, below zero, to the rows of their documents
+            order = np.lexsort((place, doc))
+            doc, place = doc[order], place[order]
+            first, last = _runs(doc, place)
+            yield _bucketed(doc[first], (place[last] - place[first]).astype(np.uint64), doc[first], -1 - place[first], buckets)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, places, spreads = [], [], [], []
+        entries, held = [], 0
         for batch in batches:
             own = batch.column(0).to_numpy(zero_copy_only=False)
             wanted = batch.column(2)
@@ -154,45 +198,34 @@ def repeated_windows(docs: DataFrame, candidates: DataFrame, buckets: int) -> Da
                 at, low = _windows(words, hashes)
                 some = wanted[lo:hi]
                 key = mix(some.flatten().to_numpy(zero_copy_only=False).view(np.uint64)) ^ np.repeat(np.arange(hi - lo, dtype=np.uint64), some.value_lengths().to_numpy(zero_copy_only=False))
-                mine = mix(low) ^ words.text[at].astype(np.uint64)
-                kept = np.isin(mine, key)
+                kept = np.isin(mix(low) ^ words.text[at].astype(np.uint64), key)
                 at = at[kept]
-                spreads.append(low[kept])
                 window, start = words.grams(hashes, WINDOW)
-                keys.append(window[np.searchsorted(start, at)])
-                ids.append(own[lo + words.text[at]])
-                places.append(at - words.first[words.text[at]])
-        if not keys:
-            return
-        key, doc, place, spread = np.concatenate(keys), np.concatenate(ids).astype(np.int64), np.concatenate(places), np.concatenate(spreads)
-        order = np.lexsort((place, doc, key))
-        key, doc, place, spread = key[order], doc[order], place[order], spread[order]
-        smallest = doc == doc[_group(key)] if len(key) else np.zeros(0, bool)
-        # all of a window's places in this partition's smallest document need an answer
-        yield _bucketed(spread[smallest], key[smallest], doc[smallest], place[smallest], buckets)
-        doc, place = doc[~smallest], place[~smallest]
-        if len(doc):  # these are repeated: they go as runs of places, below zero, to the rows of their documents
+                entries.append((window[np.searchsorted(start, at)], own[lo + words.text[at]], at - words.first[words.text[at]], low[kept]))
+                held += len(at)
+                if held >= MAX_ENTRIES:
+                    yield from asked(entries)
+                    entries, held = [], 0
+        if entries:
+            yield from asked(entries)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, ids, places in _bucketwise(batches):
+            known = places < 0
+            key, doc, place = keys[~known], ids[~known], places[~known]
+            repeated = doc != doc[_group(key)] if len(key) else np.zeros(0, bool)
+            doc, place = doc[repeated], place[repeated]
             order = np.lexsort((place, doc))
             doc, place = doc[order], place[order]
             first, last = _runs(doc, place)
-            yield _bucketed(doc[first], (place[last] - place[first]).astype(np.uint64), doc[first], -1 - place[first], buckets)
+            start = np.concatenate([place[first], -1 - places[known]]).astype(np.int64)
+            end = np.concatenate([place[last], -1 - places[known] + keys[known]]).astype(np.int64)
+            docs, runs = np.concatenate([doc[first], ids[known]]), (start << 32) | end
+            if len(docs):
+                yield _bucketed(docs, runs, docs, np.zeros(len(docs)), buckets)
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, places = _entries(batches)
-        known = places < 0
-        key, doc, place = keys[~known], ids[~known], places[~known]
-        repeated = doc != doc[_group(key)] if len(key) else np.zeros(0, bool)
-        doc, place = doc[repeated], place[repeated]
-        order = np.lexsort((place, doc))
-        doc, place = doc[order], place[order]
-        first, last = _runs(doc, place)
-        start = np.concatenate([place[first], -1 - places[known]]).astype(np.int64)
-        end = np.concatenate([place[last], -1 - places[known] + keys[known]]).astype(np.int64)
-        docs, runs = np.concatenate([doc[first], ids[known]]), (start << 32) | end
-        yield _bucketed(docs, runs, docs, np.zeros(len(docs)), buckets)
-
-    sent = docs.join(candidates, "id").select("id", "text", "minimizers").mapInArrow(released(send), _ENTRY).repartition(buckets, "bucket")
-    return _by_document(sent.mapInArrow(released(meet), _ENTRY), "runs", buckets)
+    sent = docs.join(candidates, "id").select("id", "text", "minimizers").mapInArrow(released(send), _ENTRY)
+    return _by_document(_dealt(sent, parts).mapInArrow(released(meet), _ENTRY), "runs", parts)
 
 
 def _runs(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,11 +241,12 @@ def dedup_windows(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     ``kept`` are the words that stay, joined by one space.
     """
-    buckets = partitions(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(text_column, F.lit("")).alias("text"))
     known = rows.where("id IS NOT NULL")
-    placed = known.repartition(buckets, "id")  # one exchange of the texts for both joins
-    repeats = repeated_windows(placed, shared_minimizers(known, buckets), buckets)
+    size = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(partitions(docs.sparkSession), -(-size // PART_BYTES))
+    placed = known.repartition(parts, "id")  # one exchange of the texts for both joins
+    repeats = repeated_windows(placed, shared_minimizers(known, parts), parts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -337,7 +337,9 @@ def passages(seed):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_repeated_windows(spark, seed):
+def test_repeated_windows(spark, seed, monkeypatch):
+    if seed == 2:  # entries leave in many small parts
+        monkeypatch.setattr(substring_dedup, "MAX_ENTRIES", 100)
     texts = passages(seed)
     rows = substring_dedup.digest_kept(substring_dedup.dedup_windows(documents(spark, texts).repartition(5))).collect()
     assert len(rows) == len(texts) and {r.doc_id: tuple(r)[1:] for r in rows} == repeated(texts)
