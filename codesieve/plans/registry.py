@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from codesieve.functions.text import re2
 from codesieve.operators import adapters, architecture, file_rules, fixes, imports, line_rules, narrative, quality, schema, security
-from codesieve.plans import catalogue, oracles, report, scan, score
+from codesieve.plans import captured, catalogue, oracles, report, scan, score
+from codesieve.sources import changes, discover
 from codesieve.sources.corpus import CORPUS_SQL, JS, filter_files, shared_folder, spread, stored, synthetic_corpus, without_generated
 from codesieve.streaming import hooks
 
@@ -318,3 +319,55 @@ def _streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("streamed_sessions", _streamed_sessions, "SELECT DISTINCT user_id AS session, unnest(['src/' || event_type || '/f' || CAST(event_id % 7 AS VARCHAR) || '.ts', 'src/' || event_type || '.py']) AS path FROM events WHERE event_id % 5 <> 0")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
+
+
+def _outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(captured.outputs(_docs(spark, sf_dir)))
+
+
+def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = captured.roots(_docs(spark, sf_dir))
+    return discover.tool_plan(files, discover.discover(files), spark.createDataFrame([("ruff",), ("cargo",)], "binary string"))
+
+
+_add("adapter_findings", lambda s, d: adapters.findings(_outputs(s, d)), captured.FINDINGS_SQL)
+_add("unused_declarations", lambda s, d: adapters.unused_declarations(_outputs(s, d)), captured.UNUSED_SQL)
+_add("discovered_projects", lambda s, d: discover.discover(captured.roots(_docs(s, d))).select("project", F.array_join("languages", ",").alias("languages"), F.array_join("frameworks", ",").alias("frameworks")), captured.DISCOVERED_SQL)
+_add("tool_plan", _planned, captured.PLAN_SQL)
+_add("scan_with_tools", lambda s, d: scan.scan(_corpus(s, d), rules=architecture.rule_table(s, RULES), outputs=_outputs(s, d)), f"{_diagnostics}\nSELECT * FROM diagnostics UNION ALL {captured.FINDINGS_SQL}")
+_add("isolated_scan", lambda s, d: scan.isolated(_corpus(s, d), ["ai-slop", "security"])[0], f"{_diagnostics}\nSELECT * FROM diagnostics WHERE engine IN ('ai-slop', 'security')")
+
+
+def _stored_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = f"{shared_folder(spark)}/baselines/{uuid.uuid4()}"
+    hooks.write_baseline(hooks.capture_baseline(_corpus(spark, sf_dir)), place)
+    return hooks.read_baseline(spark, place)
+
+
+def _session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions as a log of JSON lines, broken ones among them, read back."""
+    place = f"{shared_folder(spark)}/sessions/{uuid.uuid4()}"
+    line = F.to_json(F.struct(F.col("session").cast("string").alias("session"), _micros("ts").alias("ts"), "files"))
+    _events(spark, sf_dir).select(F.when(F.size("files") == 0, "{broken").otherwise(line).alias("value")).write.text(place)
+    return hooks.read_sessions(spark, place).select("session", "path", F.col("ts").alias("first_us"))
+
+
+def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of each user's events; users whose events name none have their changed files."""
+    named = _events(spark, sf_dir).select(F.col("session").cast("string").alias("project"), "files")
+    changed = named.select("project", F.explode(F.array(F.lit("changed.ts"), F.lit("new.ts"))).alias("path")).distinct()
+    return changes.edited_files(named, changed)
+
+
+_add("stored_baseline", _stored_baseline, SQL["baseline"])
+_add("session_log", _session_log, "SELECT CAST(session AS VARCHAR) AS session, path, first_us FROM (" + SQL["session_files"] + ")")
+_add(
+    "edited_files",
+    _edited,
+    "WITH e AS (SELECT CAST(user_id AS VARCHAR) AS project, event_id, event_type FROM events), none AS (SELECT project FROM e GROUP BY 1 HAVING count(*) FILTER (event_id % 5 <> 0) = 0) "
+    "SELECT DISTINCT project, unnest(['src/' || event_type || '/f' || CAST(event_id % 7 AS VARCHAR) || '.ts', 'src/' || event_type || '.py']) AS path FROM e WHERE event_id % 5 <> 0 UNION ALL SELECT project, unnest(['changed.ts', 'new.ts']) AS path FROM none",
+)
