@@ -28,7 +28,9 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_RULE_BYTES = 1 << 28
+from codesieve.llm.components import by_key
+
+MAX_RULE_BYTES, MAX_SHAPES = 1 << 28, 4096
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -145,14 +147,21 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], listed:
 
 
 def judge_by_join(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
-    """The same decision for a rule table (host, prefix, verdict) of any size, by an equi-join on candidates."""
+    """The same decision for a rule table (host, prefix, verdict) of any size, by an equi-join on candidates.
+
+    A URL has one candidate for each shape (labels of the host, length of the prefix) that rules have; more than
+    ``MAX_SHAPES`` shapes are refused. Keys that very many URLs share are split by the join.
+    """
     host, path = host_and_path(url_column)
+    labels = F.size(F.split("host", r"\."))
+    shapes = rules.select(labels.alias("labels"), F.length("prefix").alias("n")).distinct().limit(MAX_SHAPES + 1).collect()
+    if len(shapes) > MAX_SHAPES:
+        raise ValueError("the rules have too many shapes")
     rules = rules.groupBy(F.concat("host", "prefix").alias("key")).agg(F.min_by("verdict", F.col("verdict") == "allow").alias("verdict"))
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    prefixes = F.transform(F.sequence(F.lit(0), F.length("path")), lambda k: F.substring("path", F.lit(1), k))
     urls = pages.select(F.monotonically_increasing_id().alias("row"), id_column, host.alias("host"), path.alias("path"))
-    urls = urls.select("row", id_column, "host", "path")
-    keys = urls.where("host <> ''").select("row", F.explode(suffixes).alias("suffix"), "host", "path").select("row", F.explode(F.transform(prefixes, lambda p: F.concat("suffix", p))).alias("key"))
-    best = keys.join(rules, "key").groupBy("row").agg(F.max_by(F.struct("key", "verdict"), F.length("key")).alias("best"))
+    table = F.array(*[F.struct(F.lit(r["labels"]).alias("labels"), F.lit(r.n).alias("n")) for r in shapes]).cast("array<struct<labels:int,n:int>>")
+    tail = lambda s: F.array_join(F.slice(F.split("host", r"\."), labels - s["labels"] + 1, s["labels"]), ".")
+    fitting = F.filter(table, lambda s: (s["labels"] <= labels) & (s["n"] <= F.length("path")))
+    keys = urls.where("host <> ''").select("row", F.explode(F.transform(fitting, lambda s: F.concat(tail(s), F.substring("path", F.lit(1), s["n"])))).alias("key"))
+    best = by_key(keys, rules, "key").groupBy("row").agg(F.max_by(F.struct("key", "verdict"), F.length("key")).alias("best"))
     return urls.join(best, "row", "left").select(id_column, "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
