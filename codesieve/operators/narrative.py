@@ -7,7 +7,9 @@ batches inside tasks, each file on its own.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,28 +66,36 @@ def _doc_text(text: str) -> str:
     return re.sub(r"^\s*\*\s?", "", text).strip()
 
 
-def blocks(ls: list[str], ext: str) -> list[Block]:
-    """The comment blocks of a file, in order."""
-    marks, out, i = MARKS.get(ext, ()), [], 0
-    marked = [any(x.lstrip().startswith(m) and not (m == "#" and x.lstrip().startswith("#!")) for m in marks) for x in ls]
-    while i < len(ls):
-        start = i
-        if marked[i]:
-            while i < len(ls) and marked[i]:
-                i += 1
-            out.append(Block(False, start + 1, ls[start:i], [re.sub(r"^\s*(?://|#)\s?", "", x) for x in ls[start:i]]))
-        elif ls[i].strip().startswith("/**"):
-            closed = bool(re.search(r"\*/\s*$", ls[i])) and ls[i].strip() != "/**"
-            i += 1
-            while not closed and i < len(ls):
-                closed = bool(re.search(r"\*/\s*$", ls[i]))
-                i += 1
-            text = [_doc_text(x) for x in ls[start:i]]
-            out.append(Block(True, start + 1, ls[start:i], [x for x in text if x and not x.startswith("@")], [m[1].lower() for x in text if (m := re.match(r"@(\w+)", x))]))
+def _kinds(ls: list[str], marks: tuple[str, ...]) -> Iterator[tuple[bool, int] | None]:
+    """For each line whether it is of a doc comment, and of which one; none for code."""
+    number, inside = 0, False
+    for text in (x.strip() for x in ls):
+        opens = not inside and text.startswith("/**")
+        if not inside and any(text.startswith(m) and not (m == "#" and text.startswith("#!")) for m in marks):
+            yield (False, 0)
+        elif inside or opens:
+            number += opens
+            inside = not text.endswith("*/")
+            yield (True, number)
         else:
-            i += 1
+            yield None
+
+
+def blocks(ls: list[str], ext: str) -> list[Block]:
+    """The comment blocks of a file, in order: islands of lines of one kind."""
+    followers: list[str | None] = [None]  # the first full line from each place on, from the end
+    for x in reversed(ls):
+        followers.append(x if x.strip() else followers[-1])
+    out = []
+    for kind, island in groupby(enumerate(_kinds(ls, MARKS.get(ext, ()))), key=lambda x: x[1]):
+        if kind is None:
             continue
-        out[-1].after = next((x for x in ls[i:] if x.strip()), None)
+        at = [i for i, _ in island]
+        raw = ls[at[0] : at[-1] + 1]
+        text = [_doc_text(x) for x in raw] if kind[0] else [re.sub(r"^\s*(?://|#)\s?", "", x) for x in raw]
+        prose = [x for x in text if x and not x.startswith("@")] if kind[0] else text
+        tags = [m[1].lower() for x in text if (m := re.match(r"@(\w+)", x))] if kind[0] else []
+        out.append(Block(kind[0], at[0] + 1, raw, prose, tags, followers[len(ls) - at[-1] - 1]))
     return out
 
 
