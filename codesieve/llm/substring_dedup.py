@@ -103,6 +103,23 @@ def _group(keys: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
 
 
+def _answered(answers: Iterator[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Answers (documents, values) of one bucket after the other as entries, bucketed by document, ``MAX_ENTRIES`` or so at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def sent() -> pa.RecordBatch:
+        docs, values = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        return _bucketed(docs, values, docs, np.zeros(len(docs)), buckets)
+
+    for answer in answers:
+        held.append(answer)
+        if sum(len(docs) for docs, _ in held) >= MAX_ENTRIES:
+            yield sent()
+    if any(len(docs) for docs, _ in held):
+        yield sent()
+
+
 def _by_document(sent: DataFrame, name: str, parts: int) -> DataFrame:
     """(id, values): one row for each document of what ``sent`` has for it, bucketed by document."""
 
@@ -151,7 +168,7 @@ def shared_minimizers(docs: DataFrame, parts: int) -> DataFrame:
         if keys:
             yield from asked(keys, ids)
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for keys, ids, marks in _bucketwise(batches):
             known = marks == KNOWN
             asking, doc, mark = keys[~known], ids[~known], marks[~known]
@@ -160,12 +177,10 @@ def shared_minimizers(docs: DataFrame, parts: int) -> DataFrame:
             if len(asking):
                 differs = (doc != doc[begin]) | (mark == SHARED)
                 shared = np.isin(begin, begin[differs], kind="table")
-            docs, values = np.concatenate([doc[shared], ids[known]]), np.concatenate([asking[shared], keys[known]])
-            if len(docs):
-                yield _bucketed(docs, values, docs, np.zeros(len(docs)), buckets)
+            yield np.concatenate([doc[shared], ids[known]]), np.concatenate([asking[shared], keys[known]])
 
     sent = docs.mapInArrow(released(send), _ENTRY)
-    return _by_document(_dealt(sent, parts).mapInArrow(released(meet), _ENTRY), "minimizers", parts)
+    return _by_document(_dealt(sent, parts).mapInArrow(released(lambda batches: _answered(meet(batches), buckets)), _ENTRY), "minimizers", parts)
 
 
 def repeated_windows(docs: DataFrame, candidates: DataFrame, parts: int) -> DataFrame:
@@ -209,7 +224,7 @@ def repeated_windows(docs: DataFrame, candidates: DataFrame, parts: int) -> Data
         if entries:
             yield from asked(entries)
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for keys, ids, places in _bucketwise(batches):
             known = places < 0
             key, doc, place = keys[~known], ids[~known], places[~known]
@@ -220,12 +235,10 @@ def repeated_windows(docs: DataFrame, candidates: DataFrame, parts: int) -> Data
             first, last = _runs(doc, place)
             start = np.concatenate([place[first], -1 - places[known]]).astype(np.int64)
             end = np.concatenate([place[last], -1 - places[known] + keys[known]]).astype(np.int64)
-            docs, runs = np.concatenate([doc[first], ids[known]]), (start << 32) | end
-            if len(docs):
-                yield _bucketed(docs, runs, docs, np.zeros(len(docs)), buckets)
+            yield np.concatenate([doc[first], ids[known]]), (start << 32) | end
 
     sent = docs.join(candidates, "id").select("id", "text", "minimizers").mapInArrow(released(send), _ENTRY)
-    return _by_document(_dealt(sent, parts).mapInArrow(released(meet), _ENTRY), "runs", parts)
+    return _by_document(_dealt(sent, parts).mapInArrow(released(lambda batches: _answered(meet(batches), buckets)), _ENTRY), "runs", parts)
 
 
 def _runs(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
