@@ -17,14 +17,14 @@ from codesieve.llm.common import checkpointed
 MAX_ROUNDS = 60
 
 
-def by_key(rows: DataFrame, sums: DataFrame, key: str) -> DataFrame:
-    """``rows`` with the columns of ``sums``, one row for each ``key``, where there is one.
+def by_key(rows: DataFrame, sums: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``sums``, one row for each ``key``, where there is one; all rows if ``how`` is left.
 
     The join deals both sides anew by a hash of the key: Spark splits a hot key's partition of an exchange,
     but not of an aggregate that is already dealt by the key.
     """
     dealt = F.xxhash64(key)
-    return rows.withColumn("_dealt", dealt).join(sums.withColumn("_dealt", dealt), ["_dealt", key]).drop("_dealt")
+    return rows.withColumn("_dealt", dealt).join(sums.withColumn("_dealt", dealt), ["_dealt", key], how).drop("_dealt")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

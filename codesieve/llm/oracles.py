@@ -1,10 +1,11 @@
-"""SQL by which another engine checks the license and secret scans, built from their fixed values."""
+"""SQL by which another engine checks the license and secret scans, the filter audit and the resampling, built from their fixed values."""
 
 from __future__ import annotations
 
 import math
+from itertools import permutations
 
-from codesieve.llm import license_scan, secret_scan
+from codesieve.llm import filter_audit, license_scan, secret_scan
 
 
 def _quoted(text: str) -> str:
@@ -78,3 +79,22 @@ extra AS (SELECT doc_id, count(*) AS n_entropy FROM own GROUP BY 1),
 first AS ({joined('base')}), every AS ({joined('(SELECT * FROM base UNION ALL SELECT * FROM own)')})
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(first.text, '')) AS base_sha256, coalesce(every.text, '') AS spans, coalesce(n_entropy, 0) AS n_entropy
 FROM docs LEFT JOIN sums USING (doc_id) LEFT JOIN extra USING (doc_id) LEFT JOIN first USING (doc_id) LEFT JOIN every USING (doc_id)"""
+
+
+def audit_sql() -> str:
+    """All columns of the filter audit, from the documents themselves instead of cells."""
+    orders = ", ".join(f"('{''.join(p)}')" for p in permutations(filter_audit.FILTERS))
+    earlier = "list_bool_or(list_transform(range(1, step), lambda k: mask[ord(filter_order[k]) - 64]))"
+    return rf"""
+WITH marked AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY 1),
+docs AS (SELECT d.doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM documents d LEFT JOIN marked USING (doc_id)),
+judged AS (SELECT *, regexp_extract_all(t, '[^ 	-]+') AS ws, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS copied FROM docs),
+masks AS (SELECT part, good, toxic, [len(ws) < {filter_audit.LEAST_WORDS}, 100 * len(list_distinct(ws)) < {filter_audit.LEAST_DISTINCT} * len(ws),
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {filter_audit.MOST_CAPITALS} * length(t), regexp_matches(t, '{filter_audit.SYMBOLS}'), copied] AS mask FROM judged),
+counted AS (SELECT part, good, toxic, mask, count(*) AS n FROM masks GROUP BY ALL),
+steps AS (SELECT c.*, filter_order, step, mask[ord(filter_order[step]) - 64] AS fails, coalesce({earlier}, false) AS gone FROM counted c, (VALUES {orders}) o(filter_order), (SELECT unnest(range(1, 6)) AS step)),
+told AS (SELECT part, filter_order, step, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (fails AND gone), 0) AS redundant,
+    coalesce(sum(n) FILTER (fails AND len(list_filter(mask, lambda x: x)) = 1), 0) AS unique_fails, coalesce(sum(n) FILTER (fails AND NOT gone AND good), 0) AS good_lost, coalesce(sum(n) FILTER (fails AND NOT gone AND toxic), 0) AS toxic_lost
+    FROM steps GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+    CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley FROM told"""
