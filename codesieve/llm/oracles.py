@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from itertools import permutations
 
-from codesieve.llm import filter_audit, license_scan, secret_scan
+from codesieve.llm import filter_audit, importance_resample, license_scan, secret_scan
 
 
 def _quoted(text: str) -> str:
@@ -88,7 +88,8 @@ def audit_sql() -> str:
     return rf"""
 WITH marked AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY 1),
 docs AS (SELECT d.doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM documents d LEFT JOIN marked USING (doc_id)),
-judged AS (SELECT *, regexp_extract_all(t, '[^ 	-]+') AS ws, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS copied FROM docs),
+judged AS (SELECT *, regexp_extract_all(t, '[^ 	-
+]+') AS ws, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS copied FROM docs),
 masks AS (SELECT part, good, toxic, [len(ws) < {filter_audit.LEAST_WORDS}, 100 * len(list_distinct(ws)) < {filter_audit.LEAST_DISTINCT} * len(ws),
     100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {filter_audit.MOST_CAPITALS} * length(t), regexp_matches(t, '{filter_audit.SYMBOLS}'), copied] AS mask FROM judged),
 counted AS (SELECT part, good, toxic, mask, count(*) AS n FROM masks GROUP BY ALL),
@@ -98,3 +99,27 @@ told AS (SELECT part, filter_order, step, coalesce(sum(n) FILTER (NOT fails AND
     FROM steps GROUP BY ALL)
 SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
     CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley FROM told"""
+
+
+def resample_sql() -> str:
+    """All columns of the resampling; CRC-32 from its polynomial, each distinct run hashed once."""
+    r = importance_resample
+    bit = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    for _ in range(7):
+        bit = f"list_transform([{bit}], lambda c: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)[1]"
+    return f"""
+WITH crc AS (SELECT list_transform(list_transform(range(0, 256), lambda c: c::UBIGINT), lambda c: {bit}) AS steps),
+words AS (SELECT doc_id, 0 AS side, regexp_extract_all({_LOWERED}, {_WORDS}) AS ws FROM documents UNION ALL SELECT NULL, 1, regexp_extract_all({_LOWERED}, {_WORDS}) FROM benchmark),
+numbered AS (SELECT *, row_number() OVER () AS row FROM words),
+runs AS (SELECT row, side, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS run FROM numbered),
+counted AS (SELECT row, side, run, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (SELECT run, xor(list_reduce(list_transform(range(1, len(hex(encode(run))), 2), lambda k: ('0x' || hex(encode(run))[k:k + 1])::UBIGINT),
+    lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255)::BIGINT + 1]), 4294967295::UBIGINT), 4294967295) % {r.BUCKETS} AS bucket FROM (SELECT DISTINCT run FROM counted), crc),
+buckets AS (SELECT bucket, coalesce(sum(n) FILTER (side = 0), 0) AS s, coalesce(sum(n) FILTER (side = 1), 0) AS t FROM counted JOIN hashed USING (run) GROUP BY 1),
+totals AS (SELECT coalesce(sum(s), 0) AS sa, coalesce(sum(t), 0) AS ta FROM buckets),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sa + {r.BUCKETS})::DOUBLE / ((s + 1)::DOUBLE * (ta + {r.BUCKETS})::DOUBLE)))::BIGINT AS gain FROM buckets, totals),
+weights AS (SELECT row, sum(n)::BIGINT AS n_features, floor(sum(n * gain)::DOUBLE / sum(n)::DOUBLE)::BIGINT AS weight FROM counted JOIN hashed USING (run) JOIN gains USING (bucket) WHERE side = 0 GROUP BY 1),
+scored AS (SELECT doc_id, row, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('{r.SEED}:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM numbered LEFT JOIN weights USING (row) WHERE side = 0),
+drawn AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS rank FROM scored WHERE n_words >= {r.LEAST_WORDS} QUALIFY rank <= (SELECT {r.PERCENT} * count(*) // 100 FROM scored WHERE n_words >= {r.LEAST_WORDS}))
+SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN drawn USING (row)"""

@@ -11,11 +11,12 @@ from codesieve.llm.common import table
 from codesieve.llm.decontamination import find_leaks
 from codesieve.llm.filter_audit import audit_filters
 from codesieve.llm.html_text import extract_text
+from codesieve.llm.importance_resample import resample
 from codesieve.llm import bpe, toxicity
 from codesieve.llm.license_scan import scan_licenses
 from codesieve.llm.media import media_digests, text_to_media
 from codesieve.llm.near_dup import duplicate_classes
-from codesieve.llm.oracles import audit_sql, license_sql, secret_sql
+from codesieve.llm.oracles import audit_sql, license_sql, resample_sql, secret_sql
 from codesieve.llm.secret_scan import scan_secrets
 from codesieve.llm.substring_dedup import dedup_windows, digest_kept
 from codesieve.llm.url_filter import judge_urls
@@ -78,12 +79,17 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_html_text": op1_html_text, "op2_url_filter": op2_url_filter, "op3_secret_scan": op3_secret_scan, "op4_decontamination": op4_decontamination, "op5_media_columns": op5_media_columns, "op6_substring_dedup": op6_substring_dedup, "op7_near_dup": op7_near_dup, "op8_license_scan": op8_license_scan, "op9_toxicity": op9_toxicity, "op10_bpe": op10_bpe, "op11_filter_audit": op11_filter_audit}
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_html_text": op1_html_text, "op2_url_filter": op2_url_filter, "op3_secret_scan": op3_secret_scan, "op4_decontamination": op4_decontamination, "op5_media_columns": op5_media_columns, "op6_substring_dedup": op6_substring_dedup, "op7_near_dup": op7_near_dup, "op8_license_scan": op8_license_scan, "op9_toxicity": op9_toxicity, "op10_bpe": op10_bpe, "op11_filter_audit": op11_filter_audit, "op13_importance_resample": op13_importance_resample}
 
 SQL: dict[str, str] = {
     "op3_secret_scan": secret_sql(),
     "op8_license_scan": license_sql(),
     "op11_filter_audit": audit_sql(),
+    "op13_importance_resample": resample_sql(),
     "op2_url_filter": """
 WITH parts AS (SELECT page_id,
     translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
