@@ -20,6 +20,7 @@ from codesieve.llm.oracles import audit_sql, license_sql, resample_sql, secret_s
 from codesieve.llm.secret_scan import scan_secrets
 from codesieve.llm.substring_dedup import dedup_windows, digest_kept
 from codesieve.llm.url_filter import judge_urls
+from codesieve.llm.vector_search import QUERY_STEP, search
 
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 #: The method's own list, for URLs that no rule fits.
@@ -79,11 +80,15 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("id") % QUERY_STEP == 0)
+
+
 def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_html_text": op1_html_text, "op2_url_filter": op2_url_filter, "op3_secret_scan": op3_secret_scan, "op4_decontamination": op4_decontamination, "op5_media_columns": op5_media_columns, "op6_substring_dedup": op6_substring_dedup, "op7_near_dup": op7_near_dup, "op8_license_scan": op8_license_scan, "op9_toxicity": op9_toxicity, "op10_bpe": op10_bpe, "op11_filter_audit": op11_filter_audit, "op13_importance_resample": op13_importance_resample}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_html_text": op1_html_text, "op2_url_filter": op2_url_filter, "op3_secret_scan": op3_secret_scan, "op4_decontamination": op4_decontamination, "op5_media_columns": op5_media_columns, "op6_substring_dedup": op6_substring_dedup, "op7_near_dup": op7_near_dup, "op8_license_scan": op8_license_scan, "op9_toxicity": op9_toxicity, "op10_bpe": op10_bpe, "op11_filter_audit": op11_filter_audit, "op12_vector_search": op12_vector_search, "op13_importance_resample": op13_importance_resample}
 
 SQL: dict[str, str] = {
     "op3_secret_scan": secret_sql(),
