@@ -51,29 +51,47 @@ SELECT doc_id, n_words, CAST(len(p) AS BIGINT) AS n_base, CAST(list_min(list_tra
 FROM base LEFT JOIN best USING (doc_id)"""
 
 
-def _spans(pattern: str) -> str:
-    """Struct list (start, match) of all matches in ``t``."""
+def _spans(pattern: str, text: str = "t") -> str:
+    """Struct list (start, match) of all matches in ``text``."""
     p = _quoted(pattern)
-    start = f"length(array_to_string(string_split_regex(t, {p})[1:k], '')) + length(array_to_string(regexp_extract_all(t, {p})[1:k-1], ''))"
-    return f"CASE WHEN regexp_matches(t, {p}) THEN list_transform(range(1, len(regexp_extract_all(t, {p})) + 1), lambda k: {{'start': {start}, 'match': regexp_extract_all(t, {p})[k]}}) ELSE [] END"
+    start = f"length(array_to_string(string_split_regex({text}, {p})[1:k], '')) + length(array_to_string(regexp_extract_all({text}, {p})[1:k-1], ''))"
+    return f"CASE WHEN regexp_matches({text}, {p}) THEN list_transform(range(1, len(regexp_extract_all({text}, {p})) + 1), lambda k: {{'start': {start}, 'match': regexp_extract_all({text}, {p})[k]}}) ELSE [] END"
+
+
+def _plain(pattern: str) -> str:
+    """A pattern without possessive repeats, which only save time."""
+    return pattern.replace("++", "+").replace("*+", "*").replace("}+", "}")
 
 
 def secret_sql() -> str:
-    """All columns of the secret scan; the entropy of each window is counted anew."""
+    """All columns of the secret scan; the entropy of each window is counted anew.
+
+    Names are found slash by slash and word by word, since there is no looking behind here; stretches are the gaps between
+    the ends so far and the next start of what is cut out of a candidate.
+    """
     kinds = [(secret_scan.ASSIGN, f"length(regexp_extract(s.match, {_quoted(secret_scan.ASSIGN)}, 2)) >= {secret_scan.ASSIGN_LEAST}"), (secret_scan.ACCESS, "true"), (secret_scan.HEX, "true")]
     base = " UNION ALL ".join(f"SELECT doc_id, {k} AS ord, s.start AS a, s.start + length(s.match) AS b FROM (SELECT doc_id, unnest({_spans(p)}) AS s FROM docs) WHERE {where}" for k, (p, where) in enumerate(kinds))
     bits = "CASE " + " ".join(f"WHEN regexp_full_match(m, {_quoted(p)}) THEN {least}" for p, least in secret_scan.CLASSES) + " END"
     size = secret_scan.WINDOW
-    run = rf"[A-Za-z0-9+/_=.-]{{{size},}}"
+    host, path = _quoted(f"(?:^|=)({_plain(secret_scan.HOST)})$"), _quoted(_plain(secret_scan.PATH))
     names = "CASE ord " + " ".join(f"WHEN {k} THEN {_quoted(n)}" for k, n in enumerate(secret_scan.KINDS)) + " END"
     joined = lambda source: f"SELECT doc_id, string_agg({names} || ':' || a || ':' || b, ',' ORDER BY a, ord, b) AS text FROM {source} GROUP BY 1"
     return f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 base AS ({base}),
-runs AS (SELECT doc_id, s.start AS begun, s.match AS m FROM (SELECT doc_id, unnest({_spans(run)}) AS s FROM docs) WHERE regexp_matches(s.match, '[0-9]') AND NOT regexp_matches(s.match, {_quoted(secret_scan.ALLOWED)})),
-windows AS (SELECT doc_id, begun, m, i, list_aggregate(string_split(m[i + 1:i + {size}], ''), 'entropy') AS h FROM (SELECT *, unnest(range(0, length(m) - {size - 1})) AS i FROM runs)),
-hot AS (SELECT doc_id, 3 AS ord, begun + min(i) AS a, begun + max(i) + {size} AS b FROM windows WHERE h >= {bits} - 1e-9 GROUP BY doc_id, begun, m),
-own AS (SELECT * FROM hot h WHERE NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = h.doc_id AND x.a < h.b AND h.a < x.b)),
+runs AS (SELECT doc_id, s.start AS begun, s.match AS m, {bits.replace('(m,', '(s.match,')} AS bits FROM (SELECT doc_id, unnest({_spans(_plain(secret_scan.CANDIDATE))}) AS s FROM docs) WHERE regexp_matches(s.match, '[0-9]')),
+named AS (SELECT * FROM runs WHERE regexp_matches(m, {_quoted(secret_scan.ALLOWED)})),
+segments AS (SELECT doc_id, begun, k, split[k] AS segment, length(array_to_string(split[1:k - 1], '/')) + CASE WHEN k > 1 THEN 1 ELSE 0 END AS place
+    FROM (SELECT *, unnest(range(1, len(split) + 1)) AS k FROM (SELECT *, string_split(m, '/') AS split FROM named))),
+holes AS (SELECT doc_id, begun, begun + place + length(segment) - length(regexp_extract(segment, {host}, 1)) AS a, begun + place + length(segment) AS b FROM segments WHERE regexp_matches(segment, {host})
+    UNION ALL SELECT doc_id, begun, begun + place, begun + place + length(segment) FROM segments WHERE k > 1 AND regexp_full_match(segment, {path})
+    UNION ALL SELECT doc_id, begun, begun + s.start, begun + s.start + length(s.match) FROM (SELECT doc_id, begun, unnest({_spans('[A-Za-z0-9]+', 'm')}) AS s FROM named) WHERE regexp_full_match(s.match, {_quoted(secret_scan.PLACEHOLDER)})
+    UNION ALL SELECT r.doc_id, begun, x.a, x.b FROM runs r JOIN base x ON x.doc_id = r.doc_id AND x.a < begun + length(m) AND begun < x.b
+    UNION ALL SELECT doc_id, begun, begun + length(m), begun + length(m) FROM runs),
+gaps AS (SELECT doc_id, begun, a AS till, greatest(begun, coalesce(max(b) OVER (PARTITION BY doc_id, begun ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), begun)) AS since FROM holes),
+stretches AS (SELECT doc_id, since, bits, m[since - begun + 1:till - begun] AS m FROM gaps JOIN runs USING (doc_id, begun) WHERE till - since >= {size}),
+windows AS (SELECT doc_id, since, bits, i, list_aggregate(string_split(m[i + 1:i + {size}], ''), 'entropy') AS h FROM (SELECT *, unnest(range(0, length(m) - {size - 1})) AS i FROM stretches WHERE regexp_matches(m, '[0-9]') AND NOT regexp_matches(m, {_quoted(secret_scan.NUMBER)}))),
+own AS (SELECT doc_id, 3 AS ord, since + min(i) AS a, since + max(i) + {size} AS b FROM windows WHERE h >= bits - 1e-9 GROUP BY doc_id, since),
 sums AS (SELECT doc_id, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex FROM base GROUP BY 1),
 extra AS (SELECT doc_id, count(*) AS n_entropy FROM own GROUP BY 1),
 first AS ({joined('base')}), every AS ({joined('(SELECT * FROM base UNION ALL SELECT * FROM own)')})

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 20
 #: Matches that are gathered at a time.
-RUN = 256
+RUN = 64
 
 # The patterns of the base kinds with the shortest match that counts.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -32,8 +32,8 @@ ACCESS = rf"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}"
 HEX = rf"[0-9a-f]{{{HEX_LEAST},}}"
 KINDS = ("assign", "access", "hex", "entropy")
 
-#: Candidate strings: long runs with at least one digit.
-CANDIDATE = rf"(?=[A-Za-z+/_=.-]*[0-9])[A-Za-z0-9+/_=.-]{{{WINDOW},}}"
+#: Candidate strings: long runs, each matched once and never given back; those without a digit are left out afterwards.
+CANDIDATE = rf"[A-Za-z0-9+/_=.-]{{{WINDOW},}}+"
 #: Character classes in the order tried, with the entropy in bits that a window must reach.
 CLASSES = (("[0-9a-fA-F]+", 3.0), ("[A-Za-z0-9]+", 3.6), ("[A-Za-z0-9+/_=.-]+", 3.8))
 #: Not secrets: numbers and dates, UUIDs, names of sites, paths of pages, placeholders.
@@ -42,11 +42,9 @@ ALLOWED = r"^[0-9.+/_=-]+$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|
 #: Of those, what a candidate or stretch must be as a whole.
 NUMBER = "|".join(ALLOWED.split("|")[:2])
 #: The others, cut out of a candidate: whole segments that are a host, a file or words of a path, and whole placeholders.
-NAME = (
-    r"(?<![^/=])(?:[A-Za-z0-9_-]+\.)+(?i:com|org|net|html?|php)(?![^/])"
-    r"|(?<=/)[A-Z]?[a-z]{3,}(?:[-_.](?:[A-Z]?[a-z]+|[0-9]+))*(?![^/])"
-    r"|(?<![A-Za-z0-9])(?i:(?:example|sample|dummy|placeholder|changeme)[0-9]*|x{4,})(?![A-Za-z0-9])"
-)
+#: Their repeats are possessive: a segment ends at the next slash, so nothing is found by giving back.
+HOST, PATH, PLACEHOLDER = r"(?:[A-Za-z0-9_-]++\.)++(?i:com|org|net|html?|php)", r"[A-Z]?[a-z]{3,}+(?:[-_.](?:[A-Z]?[a-z]++|[0-9]++))*+", r"(?i:(?:example|sample|dummy|placeholder|changeme)[0-9]*|x{4,})"
+NAME = rf"(?<![^/=]){HOST}(?![^/])|(?<=/){PATH}(?![^/])|(?<![A-Za-z0-9]){PLACEHOLDER}(?![A-Za-z0-9])"
 
 _ANY = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{16}|" + CANDIDATE
 _SPANS = "array<struct<start:bigint,ord:int,end:bigint>>"

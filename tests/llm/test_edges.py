@@ -20,7 +20,7 @@ def docs_of(spark, rows):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, tmp_path, name):
-    for table in ("documents", "pages", "labels", "benchmark"):
+    for table in ("documents", "pages", "labels", "benchmark", "embeddings"):
         spark.read.parquet(f"{SF}/{table}.parquet").where("false").write.parquet(str(tmp_path / f"{table}.parquet"))
     assert not queries.QUERIES[name](spark, str(tmp_path)).collect()
 
