@@ -3,11 +3,12 @@
 Markup is stripped so that every block element becomes a line. A line's length is that of its text outside
 links, and none if most of it is linked; known furniture (menus, forms, adverts, comments ...) makes no lines.
 Lengths are summed over a sliding window of lines. The main text begins where the sums surge, goes on until
-they dive to nothing, and all lines between are kept.
+they dive to nothing, and all lines between are kept. Inside one ``article`` nothing dives: lists of links there
+end no text.
 
 ``article`` and ``main`` only set how much a surge takes, half as much for each of them that is around a line,
 and what belongs to the text at its edges: before the surge the headings and paragraphs that lead up to it
-without a dive; not short lines of bare boxes, nor lines outside the article that would not surge alone.
+without a dive; not short lines of bare boxes or of copyright, nor lines outside the article that would not surge alone.
 
 Edge cases: a null, empty or markup-free page is treated like any other text (null: empty string, 0
 characters); a page on which nothing surges has its densest place for a text; repeated rows give repeated
@@ -39,20 +40,19 @@ BLOCK = (
 )
 NAMES = (
     "ad ads adbox adslot advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments commentary "
-    "consent cookie cookies discussion disqus dropdown footer form gdpr login masthead menu modal nav navbar navigation newsletter notice "
+    "consent cookie cookies copyright discussion disqus dropdown footer form gdpr login masthead menu modal nav navbar navigation newsletter notice "
     "notices notification overlay pagination pager popup popover promo promoted promotion recommended related replies reply respond search "
     "share sharing sidebar signup social sponsor sponsored subscribe subscription tags toolbar topbar tracking widget widgets"
 )
-#: Of these, names that are also topics: a name that begins with one is furniture's only if all its other words are about layout.
-TOPICS = "alert banner consent discussion form login modal notice notices notification overlay popup promotion recommended reply replies respond search subscription tags tracking"
+#: What may stand beside such a word in a name: a name with any other word is a topic's, not furniture's.
 LAYOUT = (
-    "area bar block body bottom box button col column container content group header inner item items left link links list main message messages outer overlay panel pane region right row section slot "
-    "text title top unit wrap wrapper zone"
+    "area article articles author avatar bar block blog body bottom box button buttons col column container content count date entries entry global google group header icon icons image inner item items label left link links list logo "
+    "main media message messages meta mobile name outer page pane panel post posts primary reader readers region result results right row secondary section site slot stories story text title top trail unit user users view web wrap wrapper zone"
 )
 PARAGRAPHS = "p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th figcaption caption"
 ROLES = "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar"
 
-_raw, _furniture, _block, _names, _roles, _topics, _layout, _paragraphs = (frozenset(x.split()) for x in (RAW, FURNITURE, BLOCK, NAMES, ROLES, TOPICS, LAYOUT, PARAGRAPHS))
+_raw, _furniture, _block, _names, _roles, _layout, _paragraphs = (frozenset(x.split()) for x in (RAW, FURNITURE, BLOCK, NAMES, ROLES, LAYOUT, PARAGRAPHS))
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<({'|'.join(sorted(_raw))})\b[^<>]*(?:/>|>(?:.*?</\1\s*>|.*\Z))"
@@ -62,7 +62,7 @@ _TOKEN = re.compile(
 )
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_QUALIFIED = frozenset("has with no without".split())
+_LEGAL = re.compile(r"(?:copyright\s*(?:©|\(c\))?|©|\(c\))\s*\d{4}\b|©\s", re.I)
 
 
 def is_furniture(name: str, attributes: str, in_article: bool) -> bool:
@@ -77,23 +77,24 @@ def is_furniture(name: str, attributes: str, in_article: bool) -> bool:
                 if one.lower() in _roles:
                     return True
                 continue
-            parts = [x.lower() for x in _WORD.findall(one)]
-            if not parts or _QUALIFIED & set(parts):
-                continue
-            if parts[-1] in _names or parts in (["header"], ["site", "header"], ["page", "header"]):
-                return True
-            if parts[0] in _names and (parts[0] not in _topics or _layout.issuperset(parts[1:])):
+            parts = {x.lower() for x in _WORD.findall(one) if len(x) > 1}
+            if parts & _names and parts <= _names | _layout or parts in ({"header"}, {"site", "header"}, {"page", "header"}):
                 return True
     return False
 
 
 class Line(NamedTuple):
-    """A line's text, its length outside links, whether an article (2) or a main part (1) is around it, and whether it is a paragraph or heading."""
+    """A line's text, its length outside links, whether an article (2) or a main part (1) is around it, whether it is a paragraph or heading, and its article's number."""
 
     text: str
     length: int
     mark: int
     paragraph: bool
+    article: int
+
+    def legal(self) -> bool:
+        """Whether this is a short line of copyright, such as stands below a text."""
+        return self.length < SURGE and _LEGAL.match(self.text) is not None
 
 
 def lines_of(page: str) -> list[Line]:
@@ -103,13 +104,14 @@ def lines_of(page: str) -> list[Line]:
     parts: list[str] = []
     linked = [0, 0]  # characters inside links, depth of links
     depth = dict.fromkeys(ARTICLE.split(), 0)
+    articles = 0
     skip, skip_depth = "", 0
     last_close = {m[1].lower(): m.start() for m in re.finditer(r"</([a-zA-Z][^\s/<>]*)", page)}
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            lines.append(Line(text, max(0, len(text) - linked[0]) if 2 * linked[0] <= len(text) else 0, 2 if depth["article"] else int(depth["main"] > 0), paragraph))
+            lines.append(Line(text, max(0, len(text) - linked[0]) if 2 * linked[0] <= len(text) else 0, 2 if depth["article"] else int(depth["main"] > 0), paragraph, articles if depth["article"] else 0))
         parts.clear()
         linked[0] = 0
 
@@ -142,6 +144,7 @@ def lines_of(page: str) -> list[Line]:
             flush()
             skip, skip_depth = name, 1
         elif name in depth:
+            articles += name == "article" and not closing and not depth[name]
             depth[name] = max(0, depth[name] - 1) if closing else depth[name] + 1
     if not skip:
         parts.append(page[at:])
@@ -166,13 +169,13 @@ def main_text(page: str | None) -> str:
         start = i
         while start > end and lines[start - 1].length and lines[start - 1].paragraph:
             start -= 1
-        while i < len(lines) and sums[i]:
+        while i < len(lines) and (sums[i] or 0 < lines[i].article == lines[i - 1].article):
             i += 1
         end = i
         while not lines[end - 1].length:
             end -= 1
         most = max(x.mark for x in lines[start:end])
-        outside = [x.length < (SURGE if x.mark < most else 0 if x.paragraph else SHORT) for x in lines[start:end]]
+        outside = [x.legal() or x.length < (SURGE if x.mark < most else 0 if x.paragraph else SHORT) for x in lines[start:end]]
         inside = [k for k, out in enumerate(outside, start) if not out] or [start, end - 1]
         kept += [x.text for x in lines[inside[0] : inside[-1] + 1]]
     return "\n".join(kept)

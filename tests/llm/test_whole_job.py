@@ -116,7 +116,7 @@ def surge_and_dive(page):
     if all(total(i) < least(i) for i in range(len(lines))):
         most = max((total(i) for i in range(len(lines))), default=0)
         least = lambda i: max(1, most)
-    dives = [-1, *(i for i in range(len(lines)) if not total(i)), len(lines)]
+    dives = [-1, *(i for i in range(len(lines)) if not total(i) and not (i and lines[i].article and lines[i].article == lines[i - 1].article)), len(lines)]
     out = []
     for a, b in zip(dives, dives[1:]):
         surges = [i for i in range(a + 1, b) if lines[i].length and total(i) >= least(i)]
@@ -126,7 +126,7 @@ def surge_and_dive(page):
         while first > a + 1 and lines[first - 1].length and lines[first - 1].paragraph:
             first -= 1
         top = max(x.mark for x in lines[first : last + 1])
-        stays = [i for i in range(first, last + 1) if (lines[i].length >= SURGE if lines[i].mark < top else lines[i].paragraph or lines[i].length >= SHORT)]
+        stays = [i for i in range(first, last + 1) if not lines[i].legal() and (lines[i].length >= SURGE if lines[i].mark < top else lines[i].paragraph or lines[i].length >= SHORT)]
         out += [x.text for x in lines[stays[0] : stays[-1] + 1]] if stays else [x.text for x in lines[first : last + 1]]
     return "\n".join(out)
 
@@ -160,6 +160,16 @@ def test_names_of_furniture_and_of_topics():
     assert main_text(f'<article><p class="alert-history">{long}</p><p>{long}</p></article>') == f"{long}\n{long}"
     for name in ("alert", "alert-box", "cookie-notice", "site-footer", "ad-slot", "comment-12", "search-results-form"):
         assert main_text(f'<article><p>{long}</p><div class="{name}">{long}</div></article>') == long, name
+    for name in "cookie-recipe social-history share-price related-work ad-hoc widget-theory comment-on-policy sponsor-biography footer-notes market-share newsletter-history alert-history banner-year".split():
+        for tag in ("p", "div", "section"):
+            assert main_text(f'<article><p>{long}</p><{tag} class="{name}">{long}</{tag}><p>{long}</p></article>') == "\n".join([long] * 3), name
+    for name in "related-posts social-share post-comments comment-list cookie-banner newsletter-signup google-ads ad-300x250 sidebarWidget main-nav copyright".split():
+        assert main_text(f'<article><p>{long}</p><div class="{name}">{long}</div></article>') == long, name
+    links = "<ul>" + "".join(f"<li><a href=x>See the page number {k}</a></li>" for k in range(3)) + "</ul>"
+    assert main_text(f"<article><p>{long}</p>{links}<p>The end is short.</p></article><p>Out</p>").split("\n") == [long, *(f"See the page number {k}" for k in range(3)), "The end is short."]
+    for foot in ("Copyright 2020 Foo Inc.", "© Foo", "(c) 2021 Foo", "Copyright (c) 2020 Foo"):
+        assert main_text(f"<body><p>{long}</p><p>End.</p><p>{foot}</p></body>") == f"{long}\nEnd."
+    assert main_text(f"<body><p>{long}</p><p>Copyright law is short.</p></body>") == f"{long}\nCopyright law is short."
     assert main_text(f"<body><div>Top</div><div><h1>Head</h1><p>{long}</p><p>End.</p></div><div>Copyright 2020</div></body>") == f"Head\n{long}\nEnd."
 
 
