@@ -464,6 +464,23 @@ def test_near_duplicates(spark, monkeypatch):
     assert not near_dup.duplicate_classes(documents(spark, [])).collect()
 
 
+def test_repeated_phrases_lose_no_links(spark):
+    """Pairs of similar sets whose repeats differ as much as they can: nearly all are linked, and none below the threshold."""
+    rng = random.Random(11)
+    texts = []
+    for g in range(60):
+        words = [f"p{g}w{k}" for k in range(400)]
+        for c in range(2):
+            phrase = [f"p{g}c{c}x{k}" for k in range(rng.choice([25, 40, 60]))]
+            often = (words[40 * c : 40 * c + 160] + ["."]) * rng.choice([0, 3])
+            texts.append((2 * g + c, " ".join(often + words + phrase * rng.choice([1, 20]))))
+    expected = jaccard_classes(texts)
+    linked = [i for i in expected if expected[i] != i]
+    found = {r.doc_id: r.class_id for r in near_dup.duplicate_classes(documents(spark, texts)).collect()}
+    assert len(linked) > 20 and sum(found[i] == expected[i] for i in linked) >= 0.95 * len(linked)
+    assert all(found[i] == i for i in expected if expected[i] == i)
+
+
 def test_prob_min_hash_estimates_probability_jaccard():
     rng = np.random.default_rng(2)
     a, b = {k: 1.0 + (k % 3) for k in range(60)}, {k: 1.0 + (k % 2) for k in range(20, 90)}
