@@ -169,9 +169,8 @@ def _spanning(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return [(int(ids[i]), int(least[root[i]])) for i in range(n) if ids[i] != least[root[i]]]
 
 
-def _compared(docs: DataFrame, places: DataFrame, buckets: int) -> DataFrame:
-    """(u, v): links that span the pairs of similarity ``LEAST`` in each group of ``places`` (node, key, root, i, j)."""
-    texts = docs.select("id", text_key("text").alias("key"), "text")
+def _compared(texts: DataFrame, places: DataFrame, buckets: int) -> DataFrame:
+    """(u, v): links that span the pairs of similarity ``LEAST`` in each group of ``places`` (node, key, root, i, j); ``texts`` has (id, key, text)."""
     placed = texts.join(places.withColumnRenamed("node", "id"), ["id", "key"]).select("root", "i", "j", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,15 +214,17 @@ def verified_links(docs: DataFrame, members: DataFrame, buckets: int) -> DataFra
     """(u, v): links that span all pairs of similarity ``LEAST`` or more within each cluster of ``members`` (node, key, chars, root)."""
     sizes = members.groupBy("root").agg(_blocks_of("chars").alias("cut"))
     placed = checkpointed(by_key(members, sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int")))
+    # The texts of members, few of all, are written once for all comparisons.
+    texts = checkpointed(docs.select("id", text_key("text").alias("key"), "text").join(members.select(F.col("node").alias("id"), "key"), ["id", "key"]))
     single = placed.select("node", "key", "root", F.col("own").alias("i"), F.col("own").alias("j"))
     several = placed.where("cut > 1")
     if several.isEmpty():
-        return _compared(docs, single, buckets)
+        return _compared(texts, single, buckets)
     order = F.xxhash64("node", F.lit(1))
     hubs = several.groupBy("root", F.pmod(order, F.lit(HUBS)).alias("slot")).agg(F.min_by(F.struct("node", "key", "cut", "own"), order).alias("hub")).select("root", "hub.*")
     every = F.explode(F.sequence(F.lit(0), F.col("cut") - 1))
     hubs = hubs.withColumn("i", every).where("i <> own").select("node", "key", "root", "i", F.col("i").alias("j"))
-    found = checkpointed(_compared(docs, single.unionByName(hubs), buckets))
+    found = checkpointed(_compared(texts, single.unionByName(hubs), buckets))
     classes = components(found)
     judged = several.join(classes.select("node", F.col("root").alias("class")), "node", "left").withColumn("class", F.coalesce("class", "node"))
     largest = judged.groupBy("root", "class").agg(F.count("*").alias("n")).groupBy("root").agg(F.max_by("class", F.struct("n", "class")).alias("main"))
@@ -234,7 +235,7 @@ def verified_links(docs: DataFrame, members: DataFrame, buckets: int) -> DataFra
     pieces = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     asked = by_key(judged, chunks, "root").withColumn("j", pieces).select("node", "key", "root", F.col("own").alias("i"), "j")
     asking = loose.withColumn("i", every).select("node", "key", "root", "i", F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks")).cast("int").alias("j"))
-    return found.unionByName(_compared(docs, asked.unionByName(asking), buckets))
+    return found.unionByName(_compared(texts, asked.unionByName(asking), buckets))
 
 
 def _classes(rows: DataFrame) -> DataFrame:
