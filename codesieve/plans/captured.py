@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codesieve.operators import unused
+from codesieve.sources.corpus import JS
+
 #: By tool: its output, and the findings (engine, path, rule, severity, message, help, line, column, category, fixable) in it.
 TOOLS: dict[str, tuple[str, list[tuple]]] = {
     "web_formatter": (
@@ -87,6 +90,59 @@ UNUSED_SQL = " UNION ALL ".join(
     for line, column, name, kind in (("5", "7", "v{n}", "variable"), ("{n}", "1", "w{n}", "export"))
 )
 
+#: Declarations in the lines of the corpus that are called unused: the name of a line that declares one, and why it stays, in SQL.
+DECLARED = r"^\s*(?:export )?(?:const|function) ([A-Za-z_]\w*)"
+STAYS = f"CASE WHEN regexp_matches(line, '^ ') THEN '{unused.NOT_FOUND}' WHEN contains(line, ', two') THEN '{unused.SEVERAL}' WHEN contains(line, '= build(') THEN '{unused.EFFECTS}' ELSE '' END"
+#: Bindings that are called unused: the place of the name in a line, the same in SQL as what stands before and after it, how it is written when renamed, or why it is not.
+BOUND = [
+    (r"(?<=catch \()e(?=\))", r"catch \(", "e", r"\)", "_{}", ""),
+    (r"(?<=, e, f, )g(?=\) \{)", ", e, f, ", "g", r"\) \{", "_{}", ""),
+    (r"(?<=function \w{1,200}\()[ax](?=\) \{)", r"function \w+\(", "[ax]", r"\) \{", "_{}", ""),
+    (r"(?<=\{ key: )alias\d+", r"\{ key: ", r"alias\d+", "", "_{}", ""),
+    (r"(?<=, )short\d+(?=, \.\.\.rest)", ", ", r"short\d+", r", \.\.\.", "{}: _{}", ""),
+    (r"(?<=\.\.\.)rest\d+", r"\.\.\.", r"rest\d+", "", "_{}", ""),
+    (r"(?<=const \[)first\d+", r"const \[", r"first\d+", "", "_{}", ""),
+    (r"(?<=, )second\d+(?=\])", ", ", r"second\d+", r"\]", "_{}", ""),
+    (r"(?<=\(left, )right(?=\))", r"\(left, ", "right", r"\)", "_{}", ""),
+    (r"(?<=const )data\d+(?= = 1;)", "const ", r"data\d+", " = 1;", "{}", unused.PLAIN),
+    (r"(?<=^eval\()[A-Za-z]+(?=\))", r"^eval\(", "[A-Za-z]+", r"\)", "{}", unused.OTHER),
+]
+
+
+def _script_lines(files: DataFrame) -> DataFrame:
+    return files.where(F.col("ext").isin(JS)).select("project", "path", F.posexplode(F.split("content", "\n", -1)).alias("at", "raw")).withColumn("line", (F.col("at") + 1).cast("long"))
+
+
+def unused_in(files: DataFrame) -> DataFrame:
+    """(project, path, line, column, name, kind) of every declaration of the corpus, as if nothing used it."""
+    name = F.regexp_extract("raw", DECLARED, 1)
+    return _script_lines(files).select("project", "path", "line", F.regexp_instr("raw", F.lit(DECLARED)).cast("long").alias("column"), name.alias("name"), F.lit("variable").alias("kind")).where("name <> ''")
+
+
+def bound_in(files: DataFrame) -> DataFrame:
+    """(project, path, line, column, name, kind) of bindings of the corpus, as if nothing used them."""
+    found = F.array(*[F.struct(F.regexp_instr("raw", F.lit(p)).cast("long").alias("column"), F.regexp_extract("raw", p, 0).alias("name")) for p, *_ in BOUND])
+    return _script_lines(files).select("project", "path", "line", F.explode(found).alias("x")).where("x.column > 0").select("project", "path", "line", "x.column", "x.name", F.lit("parameter").alias("kind"))
+
+
+_quote = lambda x: "'" + x.replace("'", "''") + "'"
+_SCRIPTS = f"lines AS (SELECT project, path, content, unnest(string_split(content, chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM files WHERE ext IN ({', '.join(map(_quote, JS))}))"
+_DECLARED = f"declared AS (SELECT *, {STAYS} AS reason, regexp_extract(line, {_quote(DECLARED)}, 1) AS name FROM lines WHERE regexp_matches(line, {_quote(DECLARED)}))"
+DECLARATIONS_SQL = f"{_SCRIPTS},\n{_DECLARED}\nSELECT project, path, i AS line, name, reason FROM declared"
+_renamed = "line"
+for _, _before, _name, _after, _new, _why in BOUND:
+    _renamed = f"regexp_replace({_renamed}, {_quote(f'({_before})({_name})({_after})')}, {_quote(chr(92) + '1' + _new.replace('{}', chr(92) + '2') + chr(92) + '3')})"
+RENAMED_SQL = f"{_SCRIPTS}\nSELECT project, path, sha256(string_agg({_renamed}, chr(10) ORDER BY i)) AS sha256 FROM lines GROUP BY 1, 2"
+BINDINGS_SQL = f"{_SCRIPTS}\n" + " UNION ALL ".join(f"SELECT project, path, i AS line, regexp_extract(line, {_quote(f'(?:{b})({n})(?:{a})')}, 1) AS name, {_quote(w)} AS reason FROM lines WHERE regexp_matches(line, {_quote(f'(?:{b})({n})(?:{a})')})" for _, b, n, a, _, w in BOUND)
+#: Lines that go: each declaration's up to its brace, and the comments right above it.
+REMOVED_SQL = f"""{_SCRIPTS},
+{_DECLARED},
+spans AS (SELECT d.project, d.path, d.i AS a, CASE WHEN regexp_matches(d.line, '^function') AND NOT regexp_matches(d.line, '\\}}$') THEN (SELECT min(x.i) FROM lines x WHERE x.project = d.project AND x.path = d.path AND x.i > d.i AND x.line = '}}') ELSE d.i END AS b FROM declared d WHERE reason = ''),
+starts AS (SELECT s.*, coalesce((SELECT max(x.i) FROM lines x WHERE x.project = s.project AND x.path = s.path AND x.i < s.a AND NOT regexp_matches(x.line, '^(//|/\\*| \\* | \\*/)')), 0) + 1 AS first FROM spans s),
+kept AS (SELECT l.*, max(i) OVER (PARTITION BY project, path) AS n, EXISTS (SELECT 1 FROM starts s WHERE s.project = l.project AND s.path = l.path AND l.i BETWEEN s.first AND s.b) AS gone FROM lines l),
+texts AS (SELECT project, path, coalesce(string_agg(line || CASE WHEN i < n THEN chr(10) ELSE '' END, '' ORDER BY i) FILTER (NOT gone), '') AS t, bool_or(gone) AS cut FROM kept GROUP BY 1, 2)
+SELECT project, path, sha256(CASE WHEN cut AND trim(t, chr(10) || ' ') = '' THEN chr(10) ELSE t END) AS sha256 FROM texts"""
+
 #: What stands at a project's root, by its number modulo 5, and what the plan of tools makes of it where ruff and cargo are at hand.
 ROOTS = [("package.json", '{"dependencies": {"expo": "1"}}'), ("go.mod", "module x"), ("Cargo.toml", "[package]"), ("requirements.txt", "Flask==1"), ("README.md", "text")]
 DISCOVERED = [("javascript", "expo"), ("go", "none"), ("rust", "none"), ("python", "flask"), ("", "none")]
@@ -103,10 +159,10 @@ def roots(docs: DataFrame) -> DataFrame:
     """(project, path, content) of each source's root."""
     table = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(c).alias("content")) for p, c in ROOTS])
     rows = docs.where("source IS NOT NULL").select(F.col("source").alias("project")).distinct()
-    return rows.select("project", F.get(table, F.pmod(F.regexp_extract("project", r"(\d+)", 1).cast("int"), F.lit(len(ROOTS)))).alias("x")).select("project", "x.*")
+    return rows.select("project", F.get(table, F.pmod(F.regexp_extract("project", r"(\d+)", 1).try_cast("int"), F.lit(len(ROOTS)))).alias("x")).where("x IS NOT NULL").select("project", "x.*")
 
 
-_projects = f"SELECT DISTINCT source AS project, CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) % {len(ROOTS)} AS k FROM documents WHERE source IS NOT NULL"
+_projects = f"SELECT DISTINCT source AS project, TRY_CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) % {len(ROOTS)} AS k FROM documents WHERE source IS NOT NULL"
 DISCOVERED_SQL = f"SELECT project, languages, frameworks FROM ({_projects}) JOIN (VALUES {', '.join(f'({k}, {a!r}, {b!r})' for k, (a, b) in enumerate(DISCOVERED))}) d(k, languages, frameworks) USING (k)"
 PLAN_SQL = f"SELECT project, engine, tool, status, reason FROM ({_projects}) JOIN (VALUES " + ", ".join(
     f"({k}, '{engine}', '{x[0]}', '{x[1]}', {repr(x[2]) if len(x) > 2 else 'NULL'})" for engine, xs in PLANS.items() for k, x in enumerate(xs)

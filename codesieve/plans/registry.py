@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesieve.functions.text import re2
-from codesieve.operators import adapters, architecture, file_rules, fixes, imports, line_rules, narrative, quality, schema, security
+from codesieve.operators import adapters, architecture, file_rules, fixes, imports, line_rules, narrative, quality, schema, security, unused
 from codesieve.plans import captured, catalogue, oracles, report, scan, score
 from codesieve.sources import changes, discover
 from codesieve.sources.corpus import CORPUS_SQL, JS, filter_files, shared_folder, spread, stored, synthetic_corpus, without_generated
@@ -334,6 +334,26 @@ def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover.tool_plan(files, discover.discover(files), spark.createDataFrame([("ruff",), ("cargo",)], "binary string"))
 
 
+_scripts = lambda files: files.where(F.col("ext").isin(JS))
+_digests = lambda files: files.select("project", "path", F.sha2("content", 256).alias("sha256"))
+
+
+def _with_unused(fix: Callable, targets: Callable) -> Callable[[SparkSession, str], tuple[DataFrame, DataFrame]]:
+    """A fix of the corpus' scripts for targets found in them."""
+
+    def run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+        files = _scripts(_corpus(spark, sf_dir))
+        return fix(files, stored(targets(files)))
+
+    return run
+
+
+_removed = _with_unused(unused.remove_unused_declarations, captured.unused_in)
+_renamed = _with_unused(unused.rename_unused, captured.bound_in)
+_add("removed_declarations", lambda s, d: _digests(_removed(s, d)[0]), f"WITH {CORPUS_SQL},\n{captured.REMOVED_SQL}")
+_add("declaration_outcomes", lambda s, d: _removed(s, d)[1].select("project", "path", "line", "name", "reason"), f"WITH {CORPUS_SQL},\n{captured.DECLARATIONS_SQL}")
+_add("renamed_bindings", lambda s, d: _digests(_renamed(s, d)[0]), f"WITH {CORPUS_SQL},\n{captured.RENAMED_SQL}")
+_add("binding_outcomes", lambda s, d: _renamed(s, d)[1].select("project", "path", "line", "name", "reason"), f"WITH {CORPUS_SQL},\n{captured.BINDINGS_SQL}")
 _add("adapter_findings", lambda s, d: adapters.findings(_outputs(s, d)), captured.FINDINGS_SQL)
 _add("unused_declarations", lambda s, d: adapters.unused_declarations(_outputs(s, d)), captured.UNUSED_SQL)
 _add("discovered_projects", lambda s, d: discover.discover(captured.roots(_docs(s, d))).select("project", F.array_join("languages", ",").alias("languages"), F.array_join("frameworks", ",").alias("frameworks")), captured.DISCOVERED_SQL)

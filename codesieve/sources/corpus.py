@@ -157,6 +157,27 @@ TEMPLATES = [
     "// print the {w}",
     "/* STUB {w} */",
     _BLOCK + _BLOCK.replace("one", "two"),
+    "const made{n} = build({w});",
+    "const one{n} = 1, two{n} = 2;",
+    "const { key: alias{n}, short{n}, ...rest{n} } = load();",
+    "const [first{n}, second{n}] = pair;",
+    "/** Shows the {w} */\nfunction spare{n}(left, right) {\n  return left + right;\n}",
+    "new Function({w});",
+    "<div dangerouslySetInnerHTML={html{n}} />",
+    "pickle.loads({w})",
+    "exec({w})",
+    "spawn(`ls ${{w}}`);",
+    'db.query("select " + {w});',
+    "function deep{n}(a) {\n" + "".join("  " * k + "if (a) {\n" for k in range(1, 8)) + "go();\n" + "".join("  " * k + "}\n" for k in range(7, 0, -1)) + "}",
+    "function long{n}(a) {\n" + "  go(a);\n" * 85 + "}",
+    "except ValueError as e:\n    print(e)",
+    "value, _ := call({w})",
+    "// Matches the {w}\nconst m{n} = 1;",
+    "// The trick is {w}",
+    "// one {w}\n// two {w}\n// three {w}\n// four\n// five",
+    "// one {w}\n// two {w}\n// three {w}",
+    "// alpha {w}\n// beta {w}\n// gamma\nconst p{n} = 1;",
+    "// used by {w}",
 ]
 
 
