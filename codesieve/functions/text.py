@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 # White space as the detectors' patterns take it.
 WHITE = r"\t\n\x0b\f\r \x{a0}\x{feff}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _SPOTS = "array<struct<line:bigint,at:int,match:string>>"
+#: Matches of a text that are gathered at a time.
+RUN = 64
 _BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
@@ -72,22 +74,28 @@ def extension(path: Column) -> Column:
 def match_lines(text: Column, pattern: str) -> Column:
     """All matches of a pattern in reading order, as (line, at, match): an array with no shuffle behind it.
 
-    ``at`` counts the characters before the match.
+    ``at`` counts the characters before the match. Matches are gathered in runs of ``RUN``, so that a text of very
+    many takes no time in their square.
     """
     pattern = java(pattern)
     breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
     parts = F.array(F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")))
+    state = lambda line, at, out: F.struct(line.cast("int").alias("line"), at.cast("int").alias("at"), out.alias("out"))
 
-    def walk(x: Column) -> Column:
+    def run(x: Column, first: Column, s: Column) -> Column:
         def step(s: Column, k: Column) -> Column:
-            line = s["line"] + breaks(F.element_at(x["pieces"], k))
-            at = s["at"] + F.length(F.element_at(x["pieces"], k))
-            one = F.struct(line.cast("long").alias("line"), at.alias("at"), F.element_at(x["found"], k).alias("match"))
-            last = F.element_at(x["found"], k)
-            return F.struct((line + breaks(last)).alias("line"), (at + F.length(last)).alias("at"), F.array_append(s["out"], one).alias("out"))
-
-        start = F.struct(F.lit(1).alias("line"), F.lit(0).alias("at"), F.array().cast(_SPOTS).alias("out"))
-        return F.aggregate(F.filter(F.sequence(F.lit(0), F.size(x["found"])), lambda k: k > 0), start, step)["out"]
+            piece, match = F.element_at(x["pieces"], k), F.element_at(x["found"], k)
+            line, at = s["line"] + breaks(piece), s["at"] + F.length(piece)
+            one = F.struct(line.cast("long").alias("line"), at.alias("at"), match.alias("match"))
+            return state(line + breaks(match), at + F.length(match), F.array_append(s["out"], one))
+
+        return F.aggregate(F.sequence(first, F.least(first + RUN - 1, F.size(x["found"]))), state(s["line"], s["at"], F.array().cast(_SPOTS)), step)
+
+    def walk(x: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(x["found"]), F.lit(1)), F.lit(RUN))
+        joined = lambda s, r: state(r["line"], r["at"], F.array_append(s["out"], r["out"]))
+        next_ = lambda s, first: F.element_at(F.transform(F.array(run(x, first, s)), lambda r: joined(s, r)), 1)
+        return F.flatten(F.aggregate(firsts, state(F.lit(1), F.lit(0), F.array().cast(f"array<{_SPOTS}>")), next_)["out"])
 
     return F.when(text.rlike(pattern), F.element_at(F.transform(parts, walk), 1)).otherwise(F.array().cast(_SPOTS))
 
