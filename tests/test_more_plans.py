@@ -100,3 +100,63 @@ def test_tool_plan(spark):
 
 def test_small_inputs_are_spread(spark):
     assert corpus.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == 8 and corpus.spread(spark.range(0, 10, 1, 6)).rdd.getNumPartitions() == 6
+
+
+def test_baselines_change_in_one_step(spark, tmp_path, monkeypatch):
+    """Readers see the old or the new one; a baseline can be made of the one it replaces; a failed writer changes nothing."""
+    place = str(tmp_path / "b")
+    rows = lambda score: spark.createDataFrame([("p", "all", score, 1)], "project string, engine string, score bigint, files bigint")
+    assert not hooks.read_baseline(spark, place).collect()
+    hooks.write_baseline(rows(1), place)
+    old = hooks.read_baseline(spark, place)
+    for score in (2, 3):
+        hooks.write_baseline(hooks.read_baseline(spark, place).withColumn("score", F.lit(score).cast("long")), place)
+        assert old.first().score == 1 and hooks.read_baseline(spark, place).first().score == score
+    with pytest.raises(Exception, match="broken"):
+        hooks.write_baseline(rows(4).withColumn("score", F.raise_error(F.lit("broken")).cast("long")), place)
+    assert hooks.read_baseline(spark, place).first().score == 3
+    for score in range(5, 9):
+        hooks.write_baseline(rows(score), place)
+    assert hooks.read_baseline(spark, place).first().score == 8 and len(list((tmp_path / "b" / "versions").iterdir())) == hooks.VERSIONS
+    assert not [x for x in (tmp_path / "b").iterdir() if x.name.endswith(".new")]
+
+
+def test_a_batch_that_runs_again_replaces_what_it_wrote(spark, tmp_path):
+    import shutil
+
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    events = [("p", "2026-01-01 00:00:00", json.dumps({"file_path": "a.ts"}))]
+    spark.createDataFrame(events, "session string, ts string, payload string").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(source)
+    stream = hooks.decode_events(spark.readStream.schema("session string, ts timestamp, payload string").parquet(source))
+    files = files_of(spark, **{"a.ts": "console.log(1);"})
+    for _ in range(2):
+        hooks.run_hook(stream, files, None, out, state, "session").awaitTermination(180)
+        assert [(r.project, r.total, r.batch) for r in spark.read.parquet(out).collect()] == [("p", 1, 0)]
+        shutil.rmtree(tmp_path / "state" / "commits")  # as if the driver was lost before the batch was known to be done
+
+
+def test_stop_gate_keeps_and_clears_sessions(spark, tmp_path):
+    source, out, cleared, state = (str(tmp_path / x) for x in ("in", "out", "cleared", "state"))
+    schema = "session string, ts timestamp, payload string"
+    bad, good = files_of(spark, **{"a.ts": "console.log(1);", "b.ts": "console.log(2);"}), files_of(spark, **{"a.ts": "x();", "b.ts": "console.log(2);"})
+    baseline = spark.createDataFrame([("p", 100)], "project string, score long")
+    (tmp_path / "in").mkdir()
+    stream = hooks.gate_events(spark.readStream.schema(schema).parquet(source))
+    clock = iter(range(100))
+
+    def run(files, *events):
+        rows = [("p", f"2026-01-01 00:{next(clock):02d}:00", json.dumps(x)) for x in events]
+        spark.createDataFrame(rows, "session string, ts string, payload string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(source)
+        seen = set() if not (tmp_path / "out").exists() else {tuple(r) for r in spark.read.parquet(out).collect()}
+        hooks.run_stop_gate(stream, files, baseline, out, cleared, state).awaitTermination(180)
+        return [r.reason for r in spark.read.parquet(out).collect() if tuple(r) not in seen]
+
+    stop, again, edit = {"hook_event_name": "Stop"}, {"hook_event_name": "Stop", "stop_hook_active": True}, {"file_path": "a.ts"}
+    assert len(run(bad, edit)) == 0
+    held = run(bad, stop)
+    assert len(held) == 1 and held[0].startswith("Score dropped from 100 to ") and "Fix the 1 finding before" in held[0]
+    assert run(bad, again) == []
+    assert len(run(bad, stop)) == 1  # the session is still there after a restart
+    assert run(good, stop) == [] and spark.read.parquet(cleared).count() == 1
+    assert run(bad, stop) == []  # cleared: nothing was edited since
+    assert len(run(bad, {"file_path": "b.ts"}, stop)) == 1
