@@ -354,6 +354,30 @@ _add("removed_declarations", lambda s, d: _digests(_removed(s, d)[0]), f"WITH {C
 _add("declaration_outcomes", lambda s, d: _removed(s, d)[1].select("project", "path", "line", "name", "reason"), f"WITH {CORPUS_SQL},\n{captured.DECLARATIONS_SQL}")
 _add("renamed_bindings", lambda s, d: _digests(_renamed(s, d)[0]), f"WITH {CORPUS_SQL},\n{captured.RENAMED_SQL}")
 _add("binding_outcomes", lambda s, d: _renamed(s, d)[1].select("project", "path", "line", "name", "reason"), f"WITH {CORPUS_SQL},\n{captured.BINDINGS_SQL}")
+_add(
+    "engine_results",
+    lambda s, d: (lambda files: (lambda found: report.engine_results(found[0], scan.file_counts(files), [*found[1], *scan.skipped({"format": False, "architecture": True}, False)]))(scan.isolated(files, ["ai-slop", "security"])))(_corpus(s, d)),
+    f"""{_diagnostics}
+SELECT project, engine, count(d.rule) AS issues, engine IN ('format', 'architecture') AS skipped, CASE engine WHEN 'format' THEN 'disabled' WHEN 'architecture' THEN 'No architecture rules' END AS reason
+FROM (SELECT DISTINCT project FROM files) p CROSS JOIN (VALUES {', '.join(f'({e!r})' for e, _ in schema.ENGINES)}) e(engine) LEFT JOIN (SELECT * FROM diagnostics WHERE engine IN ('ai-slop', 'security')) d USING (project, engine) GROUP BY project, engine""",
+)
+
+
+def _advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An advisory for each document."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id IS NOT NULL").select(F.col("source").alias("project"), "doc_id", "n_chars")
+    version = F.expr("concat('1.', n_chars % 20, '.', doc_id % 30)")
+    first = F.expr("CASE doc_id % 4 WHEN 0 THEN '>=' WHEN 1 THEN ' > ' WHEN 2 THEN '<' ELSE '>= ' END")
+    vulnerable = F.expr("CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '*' ELSE concat(' <2.', doc_id % 2, '.0') END")
+    return rows.select("project", F.expr("concat('m', doc_id % 7)").alias("module"), vulnerable.alias("vulnerable"), F.concat(first, version).alias("patched"))
+
+
+_add(
+    "needed_overrides",
+    lambda s, d: changes.needed_overrides(_advisories(s, d)),
+    """SELECT project, key, '^1.' || max(n) // 100 || '.' || max(n) % 100 AS version FROM (SELECT source AS project, (n_chars % 20) * 100 + doc_id % 30 AS n,
+    'm' || doc_id % 7 || CASE WHEN doc_id % 3 = 2 THEN '@<2.' || doc_id % 2 || '.0' ELSE '@<1.' || n_chars % 20 || '.' || doc_id % 30 END AS key FROM documents WHERE doc_id IS NOT NULL AND doc_id % 4 <> 2) GROUP BY 1, 2""",
+)
 _add("adapter_findings", lambda s, d: adapters.findings(_outputs(s, d)), captured.FINDINGS_SQL)
 _add("unused_declarations", lambda s, d: adapters.unused_declarations(_outputs(s, d)), captured.UNUSED_SQL)
 _add("discovered_projects", lambda s, d: discover.discover(captured.roots(_docs(s, d))).select("project", F.array_join("languages", ",").alias("languages"), F.array_join("frameworks", ",").alias("frameworks")), captured.DISCOVERED_SQL)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codesieve.operators.schema import COLUMNS, engine_table
+from codesieve.operators.schema import COLUMNS, ENGINES, engine_table
 
 # Sizes of the reports' lists.
 SAMPLES, FINDINGS, FILES, FILE_FINDINGS, STEP_FILES = 3, 20, 20, 10, 3
@@ -103,16 +103,26 @@ def snippets(diagnostics: DataFrame, files: DataFrame, around: int = SNIPPET) ->
     return rows.withColumn("snippet", F.when(F.col("line") > 0, text)).drop("ls")
 
 
-def json_report(diagnostics: DataFrame, scores: DataFrame, projects: DataFrame, version: str = "1") -> DataFrame:
+def engine_results(diagnostics: DataFrame, projects: DataFrame, skipped: list[tuple[str, str]] = ()) -> DataFrame:
+    """(project, engine, issues, skipped, reason) of every engine in every project; ``skipped`` (engine, reason) are those left out or failed."""
+    why = dict(skipped)
+    told = F.array(*[F.struct(F.lit(e).alias("engine"), F.lit(e in why).alias("skipped"), F.lit(why.get(e)).cast("string").alias("reason")) for e, _ in ENGINES])
+    rows = projects.select("project", F.explode(told).alias("x")).select("project", "x.*")
+    counts = diagnostics.groupBy("project", "engine").agg(F.count("*").alias("issues"))
+    return rows.join(counts, ["project", "engine"], "left").select("project", "engine", F.coalesce("issues", F.lit(0)).cast("long").alias("issues"), "skipped", "reason")
+
+
+def json_report(diagnostics: DataFrame, scores: DataFrame, projects: DataFrame, version: str = "1", skipped: list[tuple[str, str]] = ()) -> DataFrame:
     """(project, report): JSON documents with at most ``PART`` diagnostics each, and the project's head in every one.
 
     A project's diagnostics are dealt by their hashes to as many buckets as they fill parts; what a bucket has
     beyond ``PART`` goes to further parts of it, so no row and no task holds a whole project.
     """
-    engines = diagnostics.groupBy("project", "engine").agg(F.count("*").alias("issues")).groupBy("project").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("engine", F.struct("issues", F.lit(False).alias("skipped")))))).alias("engines"))
+    results = engine_results(diagnostics, scores, skipped)
+    engines = results.groupBy("project").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("engine", F.struct("issues", "skipped", "reason"))))).alias("engines"))
     own = [c for c in COLUMNS if c != "project"]
     sizes = summary(diagnostics).select("project", F.ceil(F.col("total") / PART).alias("buckets"))
-    dealt = diagnostics.join(F.broadcast(sizes), "project").withColumn("bucket", F.pmod(F.xxhash64(*own), F.col("buckets")))
+    dealt = diagnostics.join(sizes, "project").withColumn("bucket", F.pmod(F.xxhash64(*own), F.col("buckets")))
     dealt = dealt.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy("project", "bucket").orderBy(*own)) - 1) / PART))
     listed = dealt.groupBy("project", "bucket", "chunk").agg(F.array_sort(F.collect_list(F.struct(*own))).alias("diagnostics"), F.first("buckets").alias("buckets"))
     part = F.when(F.col("bucket").isNotNull(), F.struct("bucket", "buckets", "chunk")).alias("part")

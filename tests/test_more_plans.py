@@ -82,9 +82,9 @@ def test_chain_of_fixes(spark):
     files = files_of(spark, **{"package.json": '{"dependencies": {"a": "1", "b": "2"}}', "a.ts": 'import z from "z";\n// ----------\nconsole.log(1);\nconst o = {\n  k: 1,\n  k: 2,\n};'})
     row = ("p", "a.ts", "lint", "eslint/no-dupe-keys", "error", "Duplicate key 'k'", "", 6, 0, "Lint", True)
     unused = ("p", "package.json", "code-quality", "knip/dependencies", "warning", "Unused dependency: a", "", 0, 0, "Dependencies", True)
-    advice = spark.createDataFrame([("p", "m", ">=1.2.0")], "project string, module string, patched string")
+    advice = spark.createDataFrame([("p", "m", None, ">=1.2.0")], "project string, module string, vulnerable string, patched string")
     out = fixes.fix_project(files, spark.createDataFrame([row, unused], schema.DIAGNOSTICS), advice)
-    assert out["files"].first().content == "const o = {\n  k: 1,\n};" and out["manifests"].first().dependencies == {"b": "2"} and out["overrides"].first().version == "1.2.0"
+    assert out["files"].first().content == "const o = {\n  k: 1,\n};" and out["manifests"].first().dependencies == {"b": "2"} and tuple(out["overrides"].first())[1:] == ("m@<1.2.0", "^1.2.0")
 
 
 def test_tool_plan(spark):
@@ -160,3 +160,27 @@ def test_stop_gate_keeps_and_clears_sessions(spark, tmp_path):
     assert run(good, stop) == [] and spark.read.parquet(cleared).count() == 1
     assert run(bad, stop) == []  # cleared: nothing was edited since
     assert len(run(bad, {"file_path": "b.ts"}, stop)) == 1
+
+
+def test_failed_engines_are_skipped_in_the_report(spark):
+    from codesieve.plans import report, score
+
+    files = files_of(spark, **{"a.ts": "eval(x);\nconsole.log(1);"})
+
+    def run(files, engines, *rest):
+        if "security" in engines:
+            raise ValueError("no rules\nmore")
+        return scan.scan(files, engines, *rest)
+
+    found, failed = scan.isolated(files, ["ai-slop", "security"], run=run)
+    counts = scan.file_counts(files)
+    doc = json.loads(report.json_report(found, score.score(found, counts), counts, skipped=[*failed, ("format", "disabled")]).first().report)
+    assert doc["engines"]["security"] == {"issues": 0, "skipped": True, "reason": "no rules"} and doc["engines"]["format"] == {"issues": 0, "skipped": True, "reason": "disabled"}
+    assert doc["engines"]["ai-slop"]["issues"] == 1 and doc["engines"]["ai-slop"]["skipped"] is False and len(doc["engines"]) == len(schema.ENGINES)
+
+
+def test_fixes_of_unused_names_go_first(spark):
+    files = files_of(spark, **{"a.ts": "// ----------\nconst gone = 1;\nexport const f = (x) => 1;\nconsole.log(1);\n"})
+    target = "project string, path string, line long, column long, name string, kind string"
+    declarations, bindings = spark.createDataFrame([("p", "a.ts", 2, 7, "gone", "variable")], target), spark.createDataFrame([("p", "a.ts", 3, 19, "x", "parameter")], target)
+    assert fixes.fix_all(files, None, declarations, bindings).first().content == "export const f = (_x) => 1;\n"

@@ -271,5 +271,7 @@ def test_repositories_and_changes(spark):
     diff = spark.createDataFrame([("p", "M\ta.ts\nD\tb.ts\nR100\tc.ts\td.ts\n")], "project string, output string")
     loose = spark.createDataFrame([("p", "a.ts\ne.ts\n")], "project string, output string")
     assert sorted(r.path for r in changes.changed_files(changes.with_status(diff), changes.listed(loose)).collect()) == ["a.ts", "d.ts", "e.ts"]
-    advice = spark.createDataFrame([("p", "m", ">=1.9.0"), ("p", "m", ">=1.10.0"), ("p", "n", "<0.0.0")], "project string, module string, patched string")
-    assert [tuple(r) for r in changes.needed_overrides(advice).collect()] == [("p", "m", "1.10.0")]
+    advice = [("a", ">=7.0.0-alpha.0 <8.18.0", ">=8.18.0"), ("b", "<4.17.21", " >4.17.21"), ("c", None, ">=2.0.0"), ("c", "*", ">=2.0.0"), ("d", "", "unknown"), ("e", "<1", None), (None, "<1", ">=1.0.0"), ("f", "<1", ">=1.2")]
+    advice += [("m", "<2", f">={x}") for x in ("1.9.0", "1.10.0-rc.2", "1.10.0-rc.11", "1.10.0-rc.x", "1.10.0-alpha", "1.2.99")] + [("n", "<2", f">={x}") for x in ("1.0.0-rc.1", "1.0.0", "1.0.0-rc.1.1")]
+    rows = changes.needed_overrides(spark.createDataFrame([("p", *a) for a in advice], "project string, module string, vulnerable string, patched string")).collect()
+    assert {r.key: r.version for r in rows} == {"a@>=7.0.0-alpha.0 <8.18.0": "^8.18.0", "b@<4.17.21": "^4.17.21", "c@<2.0.0": "^2.0.0", "m@<2": "^1.10.0-rc.x", "n@<2": "^1.0.0"}
