@@ -30,4 +30,4 @@ def test_stages(spark):
 
 
 def test_queries_are_registered():
-    assert [int(q.split("_")[0][2:]) for q in queries.QUERIES] == list(range(1, 11))
+    assert [int(q.split("_")[0][2:]) for q in queries.QUERIES] == list(range(1, 14))
