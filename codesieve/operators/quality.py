@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from dataclasses import astuple, dataclass
+from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesieve.functions.text import compiled, java, lines, trim
@@ -189,51 +192,107 @@ class Function:
 
 
 _functions = [(frozenset(e), compiled(p)) for e, p in FUNCTIONS]
+#: Characters before a brace that tell control flow: the longest keyword and what stands before it.
+KEYWORD = 8
 _CONTROL = compiled(r"(?:\)|=>|\b(?:else|try|finally|do))$")
 _PY_CONTROL = compiled(r"\s*(?:if|for|while|with|try|except|else|elif|finally|def|class)\b")
 _STATEMENT = compiled(r"(?:export\s+)?(?:const|let|var|function|class)\s")
 
 
-def _braces(ls: list[str], at: int) -> tuple[int, int]:
-    """Last line and deepest control flow of a function in braces."""
+def _rise(values: list[int]) -> Callable[[int, int], int]:
+    """The greatest ``values[j] - values[i]``, i <= j, of the places from a to b: a tree of (least, most, rise) of ranges."""
+    n, nothing = len(values), (math.inf, -math.inf, 0)
+    tree = [nothing] * n + [(v, v, 0) for v in values]
+    join = lambda a, b: (min(a[0], b[0]), max(a[1], b[1]), max(a[2], b[2], b[1] - a[0]))
+    for k in range(n - 1, 0, -1):
+        tree[k] = join(tree[2 * k], tree[2 * k + 1])
+
+    def query(a: int, b: int) -> int:
+        left, right, a, b = nothing, nothing, a + n, b + n + 1
+        while a < b:
+            if a % 2:
+                left, a = join(left, tree[a]), a + 1
+            if b % 2:
+                b -= 1
+                right = join(tree[b], right)
+            a, b = a // 2, b // 2
+        return int(join(left, right)[2])
+
+    return query
+
+
+def _next_below(values: list[float], wanted: list[tuple[int, float]]) -> list[int]:
+    """For each (start, value) the first place from the start on that is below the value; their number if there is none."""
+    n = len(values)
+    asked: dict[int, list[int]] = {}
+    for k, (start, _) in enumerate(wanted):
+        asked.setdefault(start, []).append(k)
+    out, places, least = [n] * len(wanted), [], []  # of the places from j on those with none lower or equal before them, furthest first
+    for j in range(n - 1, -1, -1):
+        while least and least[-1] >= values[j]:
+            places.pop()
+            least.pop()
+        places.append(j)
+        least.append(values[j])
+        for k in asked.get(j, ()):
+            lower = bisect_left(least, wanted[k][1])
+            out[k] = places[lower - 1] if lower else n
+    return out
+
+
+def _braces(ls: list[str], starts: list[int]) -> list[tuple[int, int]]:
+    """Last line and deepest control flow of the functions in braces that begin at these lines: one walk over the braces."""
+    line_of: list[int] = []
+    depth_after: list[int] = []
+    control: list[int] = []  # blocks of control flow that are open after each brace
+    opening: list[int] = []
+    before, ends = [], []  # braces before each line, depth at its end
     stack: list[bool] = []
-    depth = deepest = 0
-    begun: int | None = None  # the depth inside the function
-    for j in range(at, len(ls)):
-        for m in re.finditer(r"[{}]", ls[j]):
+    depth = held = 0
+    for j, text in enumerate(ls):
+        before.append(len(line_of))
+        for m in re.finditer(r"[{}]", text):
             if m[0] == "}":
                 depth -= 1
-                if stack:
-                    stack.pop()
-                continue
-            depth += 1
-            control = begun is not None and bool(_CONTROL.search(ls[j][: m.start()].rstrip()))
-            begun = depth if begun is None else begun
-            stack.append(control)
-            if control:
-                deepest = max(deepest, sum(stack))
-        if begun is not None and depth < begun and j > at:
-            return j, deepest
-    return (len(ls) - 1, deepest) if begun is not None else (at, 0)
-
-
-def _indents(ls: list[str], at: int) -> tuple[int, int]:
-    """Last line and deepest control flow of a function by indentation."""
-    indent = lambda x: len(x) - len(x.lstrip())
-    base, end, deepest = indent(ls[at]), at, 0
-    stack: list[int] = []
-    for j in range(at + 1, len(ls)):
-        if ls[j].strip():
-            own = indent(ls[j])
-            if own <= base:
-                break
-            while stack and own <= stack[-1]:
+                held -= stack.pop() if stack else 0
+            else:
+                p = m.start()
+                while p and text[p - 1].isspace():
+                    p -= 1
+                depth += 1
+                stack.append(bool(_CONTROL.search(text[max(0, p - KEYWORD) : p])))
+                held += stack[-1]
+                opening.append(len(line_of))
+            line_of.append(j)
+            depth_after.append(depth)
+            control.append(held)
+        ends.append(depth)
+    before.append(len(line_of))
+    first = [bisect_left(opening, before[at]) for at in starts]
+    begun = [opening[k] if k < len(opening) else None for k in first]
+    last = iter(_next_below(ends, [(max(at + 1, line_of[e]), depth_after[e]) for at, e in zip(starts, begun, strict=True) if e is not None]))
+    rise, out = _rise(control), []
+    for at, e in zip(starts, begun, strict=True):
+        end = at if e is None else min(next(last), len(ls) - 1)
+        out.append((end, 0 if e is None else rise(e, before[end + 1] - 1)))
+    return out
+
+
+def _indents(ls: list[str], starts: list[int]) -> list[tuple[int, int]]:
+    """Last line and deepest control flow of the functions by indentation that begin at these lines."""
+    own = [len(x) - len(x.lstrip()) if x.strip() else math.inf for x in ls]
+    control: list[int] = []
+    stack: list[float] = []
+    for x, indent in zip(ls, own, strict=True):
+        if x.strip():
+            while stack and indent <= stack[-1]:
                 stack.pop()
-            if _PY_CONTROL.match(ls[j]):
-                stack.append(own)
-                deepest = max(deepest, len(stack))
-        end = j
-    return end, deepest
+            if _PY_CONTROL.match(x):
+                stack.append(indent)
+        control.append(len(stack))
+    rise = _rise(control)
+    ends = [end - 1 for end in _next_below(own, [(at + 1, own[at] + 1) for at in starts])]
+    return [(end, rise(at, end)) for at, end in zip(starts, ends, strict=True)]
 
 
 def _opens_block(ls: list[str], at: int) -> bool:
@@ -249,28 +308,43 @@ def _opens_block(ls: list[str], at: int) -> bool:
     return False
 
 
-def _template_lines(body: list[str]) -> int:
-    inside, count = False, 0
-    for x in body:
-        count += inside
-        inside ^= len(re.findall("`", re.sub(r"\\.?", "", x))) % 2 == 1
+def _template_lines(ls: list[str]) -> Callable[[int, int], int]:
+    """How many of the lines from a to before b stand in a template that begins among them."""
+    odd = [0]  # parity of the quotes before each line
+    for x in ls:
+        odd.append(odd[-1] ^ len(re.findall("`", re.sub(r"\\.?", "", x))) % 2)
+    ones = [0, *accumulate(odd)]
+
+    def count(a: int, b: int) -> int:
+        if b <= a:
+            return 0
+        n = ones[b] - ones[a]
+        return b - a - n if odd[a] else n
+
     return count
 
 
 def functions(content: str, ext: str) -> list[Function]:
-    """The functions of a file, by the way in which their first lines are written."""
-    ls, out = content.split("\n"), []
+    """The functions of a file, by the way in which their first lines are written.
+
+    All ends and depths come from one walk over the file's braces or indents, so functions that are never closed
+    don't read the rest of the file again each.
+    """
+    ls, found = content.split("\n"), []
     for i, text in enumerate(ls):
         for k, (extensions, pattern) in enumerate(_functions):
             m = ext in extensions and pattern.match(text)
             if not m:
                 continue
             if k != 1 or _opens_block(ls, i):
-                end, deepest = _indents(ls, i) if k == 2 else _braces(ls, i)
-                params = m[2].split(",") if m[2].strip() else []
-                out.append(Function(m[1], i + 1, end - i + 1, deepest, len(params), 0 if k == 2 else _template_lines(ls[i + 1 : end])))
+                found.append((i, m[1], len(m[2].split(",")) if m[2].strip() else 0))
             break
-    return out
+    if not found:
+        return []
+    indented = ext in _functions[2][0]
+    inside = (lambda a, b: 0) if indented else _template_lines(ls)
+    bodies = (_indents if indented else _braces)(ls, [i for i, *_ in found])
+    return [Function(name, i + 1, end - i + 1, deepest, params, inside(i + 1, end)) for (i, name, params), (end, deepest) in zip(found, bodies, strict=True)]
 
 
 def function_rows(files: DataFrame) -> DataFrame:
@@ -284,6 +358,18 @@ def function_rows(files: DataFrame) -> DataFrame:
     return rows.select("project", "path", "f.*")
 
 
+def register_functions(spark: SparkSession, name: str = "detect_functions") -> None:
+    """Make a table function of SQL: ``SELECT f.* FROM files, LATERAL detect_functions(content, ext) f``."""
+
+    @F.udtf(returnType="name string, line bigint, lines bigint, nesting bigint, params bigint, template_lines bigint", useArrow=True)
+    class Detect:
+        def eval(self, content: str | None, ext: str | None) -> Iterator[tuple]:
+            for f in functions(content or "", (ext or "").lower()):
+                yield astuple(f)
+
+    spark.udtf.register(name, Detect)
+
+
 def walker(most_lines: int = MAX_FUNCTION, most_nesting: int = MAX_NESTING, most_params: int = MAX_PARAMS) -> Walker:
     """Functions that are too long, too deep or have too many parameters."""
 

@@ -12,6 +12,15 @@ COLUMNS = [x.split()[0] for x in DIAGNOSTICS.split(", ")]
 ENGINES = [("format", 0.3), ("lint", 0.6), ("code-quality", 0.8), ("ai-slop", 2.5), ("architecture", 1.0), ("security", 1.5)]
 PENALTY = {"error": 3.0, "warning": 1.0}
 OTHER_PENALTY = 0.25
+# Detectors of each engine in the order in which their findings are reported, by how their rules begin; "" is all others.
+REPORTED = {
+    "format": ["formatting", "python-formatting", "go-formatting", "rust-formatting", "", "php-formatting"],
+    "lint": ["", "expo-doctor/", "ruff/", "go/", "clippy/", "rubocop/"],
+    "code-quality": ["knip/", "complexity/", "code-quality/repeated-chained-call", "code-quality/duplicate-block", ""],
+    "ai-slop": ["ai-slop/trivial-comment", "ai-slop/swallowed-exception", "ai-slop/thin-wrapper", "ai-slop/generic-naming", "", "ai-slop/unused-import", "ai-slop/narrative-comment"],
+    "architecture": [""],
+    "security": ["security/hardcoded-secret", "", "security/vulnerable-dependency", "security/dependency-audit-skipped"],
+}
 
 
 def diagnostics(rows: DataFrame, engine: str, rule: Column | str, severity: Column | str, message: Column | str, line: Column, category: str, fixable: bool, help: str = "") -> DataFrame:
@@ -33,6 +42,23 @@ def finding(engine: str, rule: Column | str, severity: Column | str, message: Co
     return F.struct(*[value(v).alias(k) for k, v in values.items()])
 
 
+def _detector(begins: list[str]) -> str:
+    return "CASE " + " ".join(f"WHEN rule LIKE '{b}%' THEN {k}" for k, b in enumerate(begins) if b) + f" ELSE {begins.index('')} END" if len(begins) > 1 else "0"
+
+
+#: The order of reports as SQL, without ties but for equal rows: engine, detector, file, line, column. All of it comes from the row itself.
+REPORT_ORDER = [
+    "CASE engine " + " ".join(f"WHEN '{e}' THEN {k}" for k, (e, _) in enumerate(ENGINES)) + f" ELSE {len(ENGINES)} END",
+    "CASE engine " + " ".join(f"WHEN '{e}' THEN {_detector(b)}" for e, b in REPORTED.items()) + " ELSE 0 END",
+    *('"filePath"', "line", '"column"', "rule", "message", "severity"),
+]
+
+
+def report_order() -> list[Column]:
+    """The order of reports for windows over diagnostics."""
+    return [F.expr(x.replace('"', "`")) for x in REPORT_ORDER]
+
+
 def none() -> Column:
     return F.array().cast(FOUND)
 

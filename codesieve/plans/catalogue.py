@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codesieve.operators import line_rules, quality, schema, security
-from codesieve.plans.report import FILE_FINDINGS, FILES, severity_rank, snippets
+from codesieve.plans.report import FILE_FINDINGS, FILES, snippets
 
 # Rules that are not in a table of their own (name, engine, severity, fixable).
 OTHER_RULES = [
@@ -57,7 +57,7 @@ def prompt_rows(diagnostics: DataFrame, files: int = FILES, each: int = FILE_FIN
     totals = diagnostics.groupBy("project", "filePath").agg(F.sum((F.col("severity") == "error").cast("long")).alias("e"), F.count("*").alias("n"))
     order = Window.partitionBy("project").orderBy(F.desc("e"), F.desc("n"), "filePath")
     worst = totals.withColumn("file_place", F.row_number().over(order).cast("long")).where(F.col("file_place") <= files).select("project", "filePath", "file_place")
-    own = Window.partitionBy("project", "filePath").orderBy(severity_rank(F.col("severity")), "line", "rule", "message")
+    own = Window.partitionBy("project", "filePath").orderBy(*schema.report_order())
     rows = diagnostics.join(worst, ["project", "filePath"]).withColumn("place", F.row_number().over(own).cast("long")).where(F.col("place") <= each)
     return rows.select("project", "filePath", "file_place", "place", "line", "rule", "severity", "message")
 

@@ -120,6 +120,7 @@ _all = " UNION ALL ".join(
     [*map(line_rules.rule_sql, line_rules.RULES), file_rules.SWALLOWED_SQL, file_rules.SECRETS_SQL, file_rules.WRAPPERS_SQL, _large_of(400), _chains, _arch, oracles.UNUSED, oracles.NARRATED, oracles.RISKY, oracles.DUPLICATES, oracles.COMPLEX]
 )
 _diagnostics = f"{_with},\n{_walked},\ndiagnostics AS ({_all})"
+_reported = ", ".join(schema.REPORT_ORDER)
 _weights = "CASE engine " + " ".join(f"WHEN '{e}' THEN {w}" for e, w in schema.ENGINES) + " ELSE 1.0 END"
 _value = lambda files: f"""CAST(greatest(0, floor(100 - 100 * ln(1 + scaled) / ln(101 + scaled) + 0.5)) AS BIGINT)"""
 _scored = f"""counts AS (SELECT project, count(*) AS files FROM files GROUP BY 1),
@@ -145,6 +146,14 @@ for _name, _detect, _sql in (
     ("function_rows", quality.function_rows, _walk(oracles.FUNCTIONS, "SELECT * FROM functions")),
 ):
     _add(_name, lambda s, d, f=_detect: f(_written(s, d)), _sql if _sql.startswith("WITH") else f"{_with}\n{_sql}")
+
+
+def _functions_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quality.register_functions(spark)
+    return spark.sql("SELECT project, path, f.* FROM {files}, LATERAL detect_functions(content, ext) f", files=_written(spark, sf_dir))
+
+
+_add("functions_in_sql", _functions_in_sql, SQL["function_rows"])
 _add("rule_architecture", lambda s, d: architecture.check_rules(_written(s, d), architecture.rule_table(s, RULES)), f"{_with}\n{_arch}")
 _add("import_rows", lambda s, d: architecture.import_rows(_written(s, d)).select("project", "path", "import", "line"), f"{_with}\nSELECT * FROM imported")
 _add("source_lines", lambda s, d: line_rules.source_lines(_written(s, d)).select("project", "path", "line", F.col("t").alias("trimmed")), f"{_with}\nSELECT project, path, line, t AS trimmed FROM fields")
@@ -197,13 +206,13 @@ SELECT project, engine, rule, message, CASE min(r) WHEN 0 THEN 'error' WHEN 1 TH
     string_agg(CASE WHEN line > 0 THEN "filePath" || ':' || line ELSE "filePath" END, ', ' ORDER BY place) FILTER (place <= 3) AS sample, CAST(greatest(0, sum(k) - 3) AS BIGINT) AS more FROM places GROUP BY ALL""",
 )
 _add("report_file_ranking", lambda s, d: report.file_ranking(_found(s, d)), f"{_diagnostics}\nSELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY errors DESC, total DESC, \"filePath\") AS place FROM (SELECT project, \"filePath\", count(*) FILTER (severity = 'error') AS errors, count(*) AS total FROM diagnostics GROUP BY ALL)) WHERE place <= 20")
-_add("report_findings", lambda s, d: report.findings(_found(s, d)), f"{_diagnostics}\nSELECT project, place, \"filePath\", line, rule, severity, message FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY \"filePath\", line, rule, message) AS place FROM diagnostics WHERE severity IN ('error', 'warning')) WHERE place <= 20")
+_add("report_findings", lambda s, d: report.findings(_found(s, d)), f"{_diagnostics}\nSELECT project, place, \"filePath\", line, rule, severity, message FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY {_reported}) AS place FROM diagnostics WHERE severity IN ('error', 'warning')) WHERE place <= 20")
 _add(
     "hook_feedback",
     _feedback,
     f"""{_diagnostics},
 {_scored},
-placed AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY "filePath", line, rule, message) AS place FROM diagnostics WHERE severity IN ('error', 'warning')),
+placed AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY {_reported}) AS place FROM diagnostics WHERE severity IN ('error', 'warning')),
 top AS (SELECT * FROM placed WHERE place <= 20),
 listed AS (SELECT project, string_agg(concat_ws('|', place, rule, severity, "filePath", line, message), chr(10) ORDER BY place) AS findings, count(*) FILTER (severity = 'error') AS wrong FROM top GROUP BY 1),
 steps AS (SELECT project, string_agg('Address ' || n || CASE WHEN n = 1 THEN ' finding in ' ELSE ' findings in ' END || "filePath" || CASE WHEN n = 1 THEN ' (line ' ELSE ' (lines ' END || ls || ').', chr(10) ORDER BY first) AS steps FROM (
@@ -215,6 +224,15 @@ FROM scores s LEFT JOIN sums_of USING (project) LEFT JOIN listed USING (project)
 )
 _add("full_scan", lambda s, d: scan.scan(_corpus(s, d), rules=architecture.rule_table(s, RULES)), f"{_diagnostics}\nSELECT * FROM diagnostics")
 _add("json_report", _json)
+
+
+def _reread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The diagnostics of the JSON report, read back from its documents."""
+    item = F.from_json("report", f"diagnostics array<struct<{schema.DIAGNOSTICS.split(', ', 1)[1].replace(' ', ':').replace(',:', ',')}>>")
+    return _json(spark, sf_dir).select("project", F.explode(item["diagnostics"]).alias("x")).select("project", "x.*")
+
+
+_add("json_report_rows", _reread, f"{_diagnostics}\nSELECT * FROM diagnostics")
 _snippet = "CASE WHEN line > 0 THEN array_to_string(list_transform(range(greatest(1, line - 3), least(line + 3, len(ls)) + 1), lambda i: i || ': ' || ls[i]), chr(10)) END AS snippet"
 _add(
     "snippets",
@@ -291,8 +309,8 @@ def _lint_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 _prompted = f"""{_diagnostics},
 totals AS (SELECT project, "filePath", count(*) FILTER (severity = 'error') AS e, count(*) AS n FROM diagnostics GROUP BY ALL),
 worst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY e DESC, n DESC, "filePath") AS file_place FROM totals) WHERE file_place <= 20),
-prompted AS (SELECT project, "filePath", file_place, place, line, rule, severity, message FROM (SELECT d.*, w.file_place, row_number() OVER (PARTITION BY d.project, d."filePath" ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, line, rule, message) AS place
-    FROM diagnostics d JOIN worst w ON d.project = w.project AND d."filePath" = w."filePath") WHERE place <= 10)"""
+prompted AS (SELECT project, "filePath", file_place, place, line, rule, severity, message FROM (SELECT d.*, w.file_place, row_number() OVER (PARTITION BY project, "filePath" ORDER BY {_reported}) AS place
+    FROM diagnostics d JOIN worst w USING (project, "filePath")) WHERE place <= 10)"""
 _add("prompt_rows", lambda s, d: catalogue.prompt_rows(_found(s, d)), f"{_prompted}\nSELECT * FROM prompted")
 _add(
     "prompts",

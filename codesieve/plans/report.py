@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codesieve.operators.schema import COLUMNS, ENGINES, engine_table
+from codesieve.operators.schema import COLUMNS, ENGINES, engine_table, report_order
 
 # Sizes of the reports' lists.
 SAMPLES, FINDINGS, FILES, FILE_FINDINGS, STEP_FILES = 3, 20, 20, 10, 3
@@ -20,11 +20,6 @@ def severity_rank(severity: Column) -> Column:
     return F.when(severity == "error", 0).when(severity == "warning", 1).otherwise(2)
 
 
-def _total_order(*first: Column) -> list[Column]:
-    """An order without ties but for equal rows."""
-    return [*first, F.col("filePath"), F.col("line"), F.col("rule"), F.col("message")]
-
-
 def summary(diagnostics: DataFrame) -> DataFrame:
     """(project, errors, warnings, fixable, total)."""
     return diagnostics.groupBy("project").agg(
@@ -65,9 +60,9 @@ def file_ranking(diagnostics: DataFrame, most: int = FILES) -> DataFrame:
 
 
 def findings(diagnostics: DataFrame, most: int = FINDINGS) -> DataFrame:
-    """(project, place, filePath, line, rule, severity, message): the first findings of each project, notes left out."""
+    """(project, place, filePath, line, rule, severity, message): the first findings of each project in the order of reports, notes left out."""
     rows = diagnostics.where(F.col("severity").isin("error", "warning"))
-    order = Window.partitionBy("project").orderBy(*_total_order())
+    order = Window.partitionBy("project").orderBy(*report_order())
     rows = rows.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= most)
     return rows.select("project", "place", "filePath", "line", "rule", "severity", "message")
 

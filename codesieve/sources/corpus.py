@@ -80,7 +80,7 @@ def exclude_globs(patterns: Sequence[str]) -> list[str]:
 
 
 def read_project(spark: SparkSession, root: str, project: str = "project") -> DataFrame:
-    """All files under a folder that any Spark store may hold; Spark leaves empty files out."""
+    """All files under a folder that any Spark store may hold; Spark leaves empty and unreadable files out, which ``listing.quarantine`` names."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(root)
     full = F.regexp_replace("path", r"^\w+:/+", "/")
     base = "/" + root.split(":", 1)[-1].strip("/") + "/"

@@ -1,5 +1,9 @@
 """Detectors on small files: what fires, where, and what does not."""
 
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,6 +236,53 @@ def test_functions():
     assert quality.functions("fn a() {\n}\n", ".rs")[0].params == 0 and not quality.functions("pub fn a() {\n}\n", ".rs")
 
 
+def _ends_by_rescan(lines, at, indented):
+    """End and deepest control flow of one function, read by itself."""
+    if indented:
+        indent = lambda x: len(x) - len(x.lstrip())
+        after = [j for j in range(at + 1, len(lines)) if lines[j].strip() and indent(lines[j]) <= indent(lines[at])]
+        end, open_, deepest = (after or [len(lines)])[0] - 1, [], 0
+        for x in filter(str.strip, lines[at + 1 : end + 1]):
+            open_ = [k for k in open_ if k < indent(x)]
+            if re.match(r"\s*(if|for|while|with|try|except|else|elif|finally|def|class)\b", x):
+                open_.append(indent(x))
+                deepest = max(deepest, len(open_))
+        return end, deepest
+    open_, depth, deepest, inner = [], 0, 0, None
+    for j in range(at, len(lines)):
+        for k, c in enumerate(lines[j]):
+            if c == "{":
+                depth += 1
+                open_.append(inner is not None and bool(re.search(r"(\)|=>|\b(else|try|finally|do))$", lines[j][:k].rstrip())))
+                inner = depth if inner is None else inner
+                deepest = max(deepest, sum(open_)) if open_[-1] else deepest
+            elif c == "}":
+                depth, open_ = depth - 1, open_[:-1]
+        if inner is not None and depth < inner and j > at:
+            return j, deepest
+    return (at, 0) if inner is None else (len(lines) - 1, deepest)
+
+
+def test_functions_against_a_rescan_of_each():
+    scripts = ["function f(a, b) {", "  function g() { return 1; }", "const h = async (a) => {", "{", "}", "} else {", "if (x) {", "try {", "} catch (e) {", "`a", "`a`", "", "}}", "} {", "}} {{", "function z(q)", "redo {", "a) { b) { do {"]
+    python = ["def f(a):", "  def g():", "    if x:", "  for y in z:", "    try:", "      while 1:", "", "x = 1", "    pass", "  else:", "\tdef t(q):"]
+    rng = random.Random(3)
+    for k in range(3000):
+        pool, ext = (python, ".py") if k % 3 == 0 else (scripts, ".ts")
+        ls = [rng.choice(pool) for _ in range(rng.randrange(25))]
+        for f in quality.functions("\n".join(ls), ext):
+            assert (f.line + f.lines - 2, f.nesting) == _ends_by_rescan(ls, f.line - 1, ext == ".py"), ls
+            inside = [sum(x.count("`") for x in ls[f.line : j]) % 2 for j in range(f.line, f.line + f.lines - 2)]
+            assert f.template_lines == (sum(inside) if ext == ".ts" else 0), ls
+
+
+def test_functions_that_are_never_closed_are_linear():
+    for text, ext in (("function f(a) {\n" * 100_000, ".ts"), ("".join(" " * (i % 300) + "def f(a):\n" for i in range(100_000)), ".py"), ("if (a) { " * 100_000 + "\nfunction f() {\n", ".ts")):
+        start = time.monotonic()
+        assert quality.functions(text, ext)
+        assert time.monotonic() - start < 30
+
+
 def test_complex_functions(spark):
     body = "".join("  " * k + "if (x) {\n" for k in range(1, 7)) + "".join("  " * k + "}\n" for k in range(6, 0, -1))
     template = "function t() {\n  return `\n" + "text\n" * 100 + "`;\n}\n"

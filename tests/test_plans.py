@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codesieve.operators import adapters, fixes, schema
 from codesieve.plans import catalogue, config, registry, report, scan, score
-from codesieve.sources import changes, corpus, discover
+from codesieve.sources import changes, corpus, discover, listing
 from codesieve.streaming import hooks
 
 SF = "/root/testdata/sf0.001"
@@ -116,6 +116,32 @@ def test_read_project_and_discover(spark, tmp_path):
     assert discover.discover(files.where("ext = '.ts'")).first()[1:] == ([], ["none"])
 
 
+def test_listing_and_quarantine(spark, tmp_path):
+    for name, data in {"src/a.ts": b"x\n", "src/_b.ts": b"hidden", "src/deep/er/empty.ts": b"", "latin.ts": b"caf\xe9", "torn.ts": b"hello" * 9, ".git/x.ts": b"no"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / ".torn.ts.crc").write_bytes(b"crc\0\0\0\2\0" + b"\1\2\3\4")  # its checksum is wrong
+    listed = listing.listed_files(spark, str(tmp_path) + "/")
+    assert {(r.path, r.ext, r.length, r.reason) for r in listed.collect()} == {("src/a.ts", ".ts", 2, None), ("src/_b.ts", ".ts", 6, None), ("src/deep/er/empty.ts", ".ts", 0, None), ("latin.ts", ".ts", 4, None), ("torn.ts", ".ts", 45, None)}
+    files = corpus.read_project(spark, str(tmp_path)).unionByName(listing.left_out(listed, str(tmp_path)))
+    assert {(r.path, r.content) for r in files.where("path LIKE 'src/%'").collect()} == {("src/a.ts", "x\n"), ("src/_b.ts", "hidden"), ("src/deep/er/empty.ts", "")}
+    assert {(r.path, r.reason) for r in listing.quarantine(listed, files).collect()} == {("src/deep/er/empty.ts", "empty"), ("latin.ts", "not UTF-8"), ("torn.ts", "unreadable")}
+    gone = listing.listed_files(spark, f"{tmp_path}/none").first()
+    assert (gone.path, gone.reason) == ("", "folder not listed: FileNotFoundError")
+
+
+def test_report_order(spark):
+    rows = diag(
+        spark,
+        ("security", "error", "security/eval", "a.ts", 1), ("security", "error", "security/hardcoded-secret", "b.ts", 9), ("ai-slop", "warning", "ai-slop/narrative-comment", "a.ts", 1), ("ai-slop", "warning", "ai-slop/console-leftover", "z.ts", 5),
+        ("code-quality", "warning", "complexity/too-many-params", "z.ts", 7), ("lint", "warning", "ruff/E501", "b.py", 2), ("lint", "warning", "eslint/no-var", "z.ts", 2), ("format", "warning", "formatting", "z.ts", 1), ("ai-slop", "info", "ai-slop/todo-stub", "a.ts", 1),
+    )
+    got = report.findings(rows, 7).orderBy("place").collect()
+    assert [r.rule for r in got] == ["formatting", "eslint/no-var", "ruff/E501", "complexity/too-many-params", "ai-slop/console-leftover", "ai-slop/narrative-comment", "security/hardcoded-secret"]
+    shown = catalogue.prompt_rows(rows).where("filePath = 'a.ts'").orderBy("place").collect()
+    assert [r.rule for r in shown] == ["ai-slop/todo-stub", "ai-slop/narrative-comment", "security/eval"]
+
+
 OUTPUTS = {
     "web_formatter": ('{"diagnostics": [{"location": {"path": "a.ts", "start": {"line": 3, "column": 2}}, "message": "Formatter would have printed x"}, {"message": "no path"}]}\nnoise', [("a.ts", "formatting", 3)]),
     "python_formatter": ("--- a/x.py\n+++ b/x.py\n--- y.py\n", [("x.py", "python-formatting", 0), ("y.py", "python-formatting", 0)]),
