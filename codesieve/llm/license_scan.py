@@ -4,8 +4,8 @@ A template's blocks are all runs of consecutive words that are longer than it by
 that line breaks, comment marks and some words between make no difference. Tokens are ordered by the number of
 documents that have them, rarest first. A block can only reach the containment threshold of a template if it
 has a token of the template's prefix (prefix filter), enough of the template's tokens (length filter) and no
-more than those before its first one are missing (positional filter); what is left is verified exactly, in one
-walk over the template's words near those of its prefix. Templates are a parameter of bounded size
+more than those before its first one are missing (positional filter); candidates come from one inverted index of
+all prefixes, and what is left is verified exactly, in one walk over the template's words near those of its prefix. Templates are a parameter of bounded size
 (``MAX_TEMPLATE_TOKENS``), so they go to the tasks and texts are never shuffled.
 
 Base phrases are exact runs of words and are found beside the join, which adds labels of its own.
@@ -100,28 +100,24 @@ def token_frequencies(docs: DataFrame, names: list[str], text_column: str = "tex
 
 
 class Template:
-    """A template's tokens in the global order, with its prefix and the length of its blocks."""
+    """A template's tokens in the global order, with the number that must be met and the length of its blocks."""
 
-    def __init__(self, label: str, words: list[str], rank: dict[str, int], size: int, threshold: float):
+    def __init__(self, label: str, words: list[str], rank: dict[str, int], threshold: float):
         self.label, self.width = label, math.ceil(len(words) / threshold - 1e-9)
-        ranks = sorted({rank[w] for w in words})
-        self.tokens, self.least = len(ranks), max(1, math.ceil(threshold * len(ranks) - 1e-9))
-        #: For each token its place in the template's order, or -1.
-        self.place = np.full(size + 1, -1)
-        self.place[ranks] = np.arange(len(ranks))
+        self.ranks = np.array(sorted({rank[w] for w in words}))
+        self.tokens, self.least = len(self.ranks), max(1, math.ceil(threshold * len(self.ranks) - 1e-9))
+
+    @property
+    def prefix(self) -> np.ndarray:
+        """The rarest tokens: a block with enough of the template's tokens has one of these."""
+        return self.ranks[: self.tokens - self.least + 1]
 
     def matches(self, text: np.ndarray, at: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, float]]:
-        """(text, containment) of the best block of each text that reaches the threshold; words are given in reading order."""
-        place = self.place[ids]
-        own = np.flatnonzero(place >= 0)
+        """(text, containment) of the best block of each text that reaches the threshold, from words near the prefix in reading order."""
+        place = np.minimum(np.searchsorted(self.ranks, ids), self.tokens - 1)
+        own = np.flatnonzero(self.ranks[place] == ids)
         text, at, place = text[own], at[own], place[own]
         spot = at + text * self.width  # blocks do not reach from text to text
-        head = spot[place <= self.tokens - self.least]
-        if not len(head):
-            return
-        after = np.searchsorted(head, spot)
-        near = np.minimum(np.abs(spot - head[np.minimum(after, len(head) - 1)]), np.abs(spot - head[np.maximum(after - 1, 0)])) < self.width
-        text, spot, place = text[near], spot[near], place[near]
         cuts = np.flatnonzero((np.diff(spot) >= self.width) | (np.diff(text) > 0)) + 1
         begin, end = np.append(0, cuts), np.append(cuts, len(spot))
         best: dict[int, int] = {}
@@ -147,6 +143,38 @@ class Template:
             yield t, most / self.tokens
 
 
+class Index:
+    """An inverted index of all templates' prefixes: which templates a token can begin a match of.
+
+    A text meets only the templates that it has a prefix token of, and of those only the words within a block's
+    length of such a token, so neither time nor memory grows with templates times tokens.
+    """
+
+    def __init__(self, templates: list[Template], size: int):
+        self.templates = templates
+        tokens = np.concatenate([np.zeros(0, np.int64), *(t.prefix for t in templates)])
+        owner = np.repeat(np.arange(len(templates)), [len(t.prefix) for t in templates])
+        self.owner = owner[np.argsort(tokens, kind="stable")]
+        self.start = np.append(0, np.cumsum(np.bincount(tokens, minlength=size)))
+
+    def matches(self, text: np.ndarray, at: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, str, float]]:
+        """(text, label, containment) of every template that reaches the threshold in a text; words are given in reading order."""
+        counts = self.start[ids + 1] - self.start[ids]
+        head = np.repeat(np.arange(len(ids)), counts)
+        owner = self.owner[np.arange(len(head)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(self.start[ids], counts)]
+        order = np.argsort(owner, kind="stable")
+        head, owner = head[order], owner[order]
+        for group in np.split(np.arange(len(head)), np.flatnonzero(np.diff(owner)) + 1) if len(head) else ():
+            template, own = self.templates[owner[group[0]]], head[group]
+            first = np.maximum(np.searchsorted(at, at[own] - template.width + 1), np.searchsorted(text, text[own]))
+            last = np.minimum(np.searchsorted(at, at[own] + template.width), np.searchsorted(text, text[own], "right"))
+            first = np.maximum(first, np.append(0, last[:-1]))  # each word once
+            sizes = np.maximum(last - first, 0)
+            near = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first, sizes)
+            for t, share in template.matches(text[near], at[near], ids[near]):
+                yield t, template.label, share
+
+
 def ordered_tokens(templates: list[tuple[str, str]], frequency: dict[str, int]) -> list[str]:
     """All tokens of the templates in the global order."""
     return sorted({w for _, text in templates for w in words_of(text)}, key=lambda w: (frequency.get(w, 0), w))
@@ -169,7 +197,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     number = {w: i for i, w in enumerate(names)}
     runs = [([number[w] for w in run], label) for run, label in runs]
     vocabulary = Vocabulary(names)
-    wanted = [Template(label, words, number, len(names), threshold) for label, words in ((label, words_of(text)) for label, text in templates) if words]
+    index = Index([Template(label, words, number, threshold) for label, words in ((label, words_of(text)) for label, text in templates) if words], len(names))
     source = docs.select(id_column, F.coalesce(text_column, F.lit("")).alias("_text"))
     kind = source.schema[0].dataType.simpleString()
 
@@ -190,9 +218,8 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
                         base.setdefault(i, []).append((at - int(words.first[i]), label))
                 hits = np.flatnonzero(ids >= 0)
                 found: dict[int, list[tuple[str, float]]] = {}
-                for template in wanted:
-                    for t, share in template.matches(words.text[hits], hits, ids[hits]):
-                        found.setdefault(t, []).append((template.label, share))
+                for t, label, share in index.matches(words.text[hits], hits, ids[hits]):
+                    found.setdefault(t, []).append((label, share))
                 out["n_words"] += words.counts.tolist()
                 for i in range(hi - lo):
                     own, more = base.get(i, ()), found.get(i, ())

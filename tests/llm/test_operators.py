@@ -530,6 +530,29 @@ def test_licenses(spark):
     assert not license_scan.scan_licenses(documents(spark, [])).collect()
 
 
+def test_licenses_of_many_templates(spark):
+    rng = random.Random(8)
+    templates = [(f"l{k}", " ".join(f"w{rng.randrange(12_000)}" for _ in range(40))) for k in range(5000)]
+    texts = []
+    for k in range(60):
+        noise = lambda: [f"w{rng.randrange(12_000)}" for _ in range(rng.randrange(300))]
+        kept = [w for w in rng.choice(templates)[1].split() if rng.random() < (1, 0.9, 0.8, 0.7)[k % 4]]
+        texts.append((k, " ".join([*noise(), *kept, *noise()])))
+    rows = license_scan.scan_licenses(documents(spark, texts), templates).collect()
+    met = 0
+    for r in rows:
+        words, found = dict(texts)[r.doc_id].split(), {}
+        for label, template in templates:
+            tokens = set(template.split())
+            if len(tokens & set(words)) >= 0.8 * len(tokens):
+                found[label] = max(len(tokens & set(words[i : i + 50])) for i in range(max(1, len(words) - 49))) / len(tokens)
+        found = {k: v for k, v in found.items() if v >= 0.8}
+        met += len(found)
+        assert (r.labels, r.score) == (",".join(sorted(found)), pytest.approx(max(found.values(), default=0.0))), r.doc_id
+    assert met >= 30
+    assert {r.labels for r in license_scan.scan_licenses(documents(spark, texts), []).collect()} == {""}
+
+
 # 9. Toxicity
 
 
