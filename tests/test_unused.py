@@ -157,6 +157,17 @@ def test_what_stays_and_why():
     assert unused.remove_declarations(source, [(1, 1, "doesNotExist", "variable"), (9, 1, "kept", "variable")]) == (source, [unused.NOT_FOUND] * 2)
 
 
+@pytest.mark.parametrize("name", ["as", "of", "satisfies", "keyof", "await", "in", "do", "new"])
+def test_words_of_the_language_name_functions(name):
+    source = f"keep();\nexport function {name}(a) {{ return other(a); }}\nrest();\n"
+    assert unused.remove_declarations(source, [(2, 8, name, "variable")]) == ("keep();\nrest();\n", [""])
+
+
+def test_a_class_without_a_name_is_none():
+    source = "export default class extends Base {}\n"
+    assert unused.remove_declarations(source, [(1, 1, "extends", "class")]) == (source, [unused.NOT_FOUND])
+
+
 def test_several_in_one_pass():
     source = "export const used = 1;\nconst unusedA = 10;\nconst unusedB = 20;\ntype UnusedT = number;\ninterface UnusedI { a: number; }\n"
     assert removed(source, "unusedA", "unusedB", "UnusedT", "UnusedI", "unusedA") == ("export const used = 1;\n", [""] * 5)
