@@ -6,7 +6,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from codesieve.functions.text import SPACES, java, trim
-from codesieve.operators import adapters, file_rules, line_rules, quality, security
+from codesieve.operators import adapters, architecture, file_rules, line_rules, quality, security
 from codesieve.plans import registry
 from codesieve.sources import corpus
 
@@ -66,3 +66,27 @@ def test_files_go_to_python_in_short_batches(spark):
         assert int(spark.conf.get(key)) <= corpus.ARROW_ROWS
     finally:
         spark.conf.set(key, before)
+
+
+def test_hints_change_no_finding(spark, monkeypatch):
+    files = _files(spark)
+    found = _rows(files)
+    for module, name in ((file_rules, "SWALLOWED_HINTS"), (file_rules, "WRAPPERS_HINTS"), (file_rules, "SECRETS_HINTS"), (security, "HINTS")):
+        monkeypatch.setattr(module, name, [("", "")] * len(getattr(module, name)))
+    monkeypatch.setattr(line_rules, "SIGNS", "")
+    assert _rows(files) == found
+
+
+def test_a_mask_asks_once_whether_it_is_needed(spark):
+    """The words are looked for before the mask is made, not again after it."""
+    plan = security.risky_constructs(_files(spark))._jdf.queryExecution().executedPlan().toString()
+    after = [x for x in plan.split("\n") if "Project" in x and "pythonUDF" in x]
+    assert after and not [x for x in after if "contains(content" in x]
+
+
+def test_a_line_of_an_import_is_the_first_that_holds_it(spark):
+    texts = ["x\n\nfrom a.b import c\nimport a", 'import q from "two\nlines";\nfrom "axios"\nrequire("axios")', "é\nimport é1\nimport os"]
+    files = spark.createDataFrame([("p", f"f{k}{e}", e, x) for k, x in enumerate(texts) for e in (".py", ".ts")], "project string, path string, ext string, content string")
+    rows = architecture.import_rows(files).select("path", "import", "line").collect()
+    content = {f"f{k}{e}": x for k, x in enumerate(texts) for e in (".py", ".ts")}
+    assert rows and all(line == next((i + 1 for i, x in enumerate(content[path].split("\n")) if name in x), 0) for path, name, line in rows)
