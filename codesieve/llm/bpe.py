@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import LARGE_BLOCK_BYTES, SPACES, Words, blocks, checkpointed, list_array, mix, partitions, released, separators
+from codesieve.llm.common import LARGE_BLOCK_BYTES, SPACES, Words, blocks, checkpointed, list_array, mix, partitions, released, separators, trim
 
 MAX_TABLE, LONGEST = 1 << 18, 48
 #: Words that a task meets less often are not counted for the table.
@@ -160,9 +160,9 @@ def word_counts(texts: DataFrame) -> DataFrame:
 class Table:
     """The commonest words in the order of their counts, with their written ids and the pieces of these."""
 
-    def __init__(self, definition: str, words: list[str], ids: list[list[int]]):
-        written = [" ".join(map(str, x)) for x in ids]
-        self.words, self.ids, self.texts = " ".join(words), "\n".join(written), "\n".join(pieces_of(definition, written))
+    def __init__(self, rows: pa.Table):
+        joined = lambda name, mark: pc.binary_join(pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows.column(name).combine_chunks()), mark)[0].as_py()
+        self.words, self.ids, self.texts = joined("word", " "), joined("ids", "\n"), joined("texts", "\n")
 
     def numbers(self) -> dict[bytes, int]:
         return {w: k for k, w in enumerate(self.words.encode().split(), 1)}
@@ -183,11 +183,15 @@ def word_table(texts: DataFrame, definition: str, max_table: int = MAX_TABLE) ->
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(encode_words(definition, batch.column(0).to_pylist()), pa.list_(pa.int32()))], names=["word", "n", "ids"])
-
-    rows = counts.where((F.col("word") != "") & (classes >= least)).mapInArrow(released(encoded), "word string, n long, ids array<int>").toArrow()  # at most max_table short words
-    rows = rows.sort_by([("n", "descending"), ("word", "ascending")])
-    return Table(definition, rows.column("word").to_pylist(), rows.column("ids").to_pylist()), size
+            ids = [" ".join(map(str, x)) for x in encode_words(definition, batch.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.string()), pa.array(pieces_of(definition, ids), pa.string())], names=["word", "n", "ids", "texts"])
+
+    # At most max_table short words; the driver only joins what the tasks wrote, so it loads no tokenizer and makes no object for each word.
+    rows = counts.where((F.col("word") != "") & (classes >= least)).mapInArrow(released(encoded), "word string, n long, ids string, texts string").toArrow()
+    found = Table(rows.sort_by([("n", "descending"), ("word", "ascending")]))
+    del rows
+    trim()
+    return found, size
 
 
 def _numbered(docs: DataFrame, table, id_column: str, text_column: str, parts: int) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import Words, blocks, list_array, released, separators
+from codesieve.llm.common import Words, blocks, list_array, released, separators, trim
 
 MAX_TRAINING = 12_000
 FEATURE_BITS = 20
@@ -156,6 +156,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         bias -= move[-1]
     weights[used] = w
     weights[-1] = bias
+    del rows, held, place, sentence, feature, doc, slope, z
+    trim()
     return weights
 
 

@@ -1,7 +1,7 @@
 """The pipeline's stages, each against what it must keep."""
 
 import corpus_pipeline
-from codesieve.llm import decontamination, near_dup, queries, secret_scan, toxicity
+from codesieve.llm import bpe, decontamination, near_dup, queries, secret_scan, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,3 +31,16 @@ def test_stages(spark):
 
 def test_queries_are_registered():
     assert [int(q.split("_")[0][2:]) for q in queries.QUERIES] == list(range(1, 14))
+
+
+def test_the_driver_makes_the_word_table_without_a_tokenizer(spark):
+    from pathlib import Path
+
+    definition = Path(queries.tokenizer_path()).read_text(encoding="utf-8")
+    texts = spark.createDataFrame([("the cat the cat the cat sat sat sat",)], "text string")
+    bpe.load_tokenizer.cache_clear()
+    bpe._named.cache_clear()
+    table, size = bpe.word_table(texts, definition)
+    assert bpe.load_tokenizer.cache_info().currsize == bpe._named.cache_info().currsize == 0  # neither is held beside the driver's heap
+    ids = [" ".join(map(str, x)) for x in bpe.encode_words(definition, table.words.split())]
+    assert table.words == "cat sat the" and table.ids.split("\n") == ids and table.texts.split("\n") == bpe.pieces_of(definition, ids) and size >= 33
