@@ -90,3 +90,17 @@ def test_a_line_of_an_import_is_the_first_that_holds_it(spark):
     rows = architecture.import_rows(files).select("path", "import", "line").collect()
     content = {f"f{k}{e}": x for k, x in enumerate(texts) for e in (".py", ".ts")}
     assert rows and all(line == next((i + 1 for i, x in enumerate(content[path].split("\n")) if name in x), 0) for path, name, line in rows)
+
+
+def test_texts_are_not_lower_cased(spark):
+    files = _files(spark)
+    for made in (file_rules.hardcoded_secrets(files), corpus.without_generated(files)):
+        assert "lower(" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_first_words_tell_most_files_without_a_pass_over_the_text(spark):
+    block = [f"{w}(a{k}, '{k}');" for k, w in enumerate("one two three four five six seven eight nine ten".split())]
+    prose = [f"{chr(97 + k % 26)}{chr(97 + k // 26)} word {k}" for k in range(60)]
+    texts = ["\n".join([*block, "-", *("\u00a0\t" + x.replace("'", '"') for x in block)]), "\n".join(prose), "\n".join(block), ""]
+    files = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, content string")
+    assert {r.k for r in files.where(quality._repeats(quality._first_words())).collect()} == {0}
