@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codesieve.operators import unused
 from codesieve.operators.edits import Edits, apply_edits
 from codesieve.operators.tokens import Tokens
+from codesieve.plans import registry
 
 TARGETS = "project string, path string, line long, column long, name string, kind string"
 
@@ -232,6 +233,28 @@ def test_names_that_are_no_such_bindings(source, token, reason):
     assert [x["shape"] for x in unused.occurrences(source, {"foo"}, {line})] == [reason]
 
 
+@pytest.mark.parametrize("source", ["y = x * f(foo);\n", "Words end.***\n// note\neval(foo);\n", "y = x * f({ foo });\n", "x.function(foo);\n", "x?.function(foo);\n", "x.function\nf(foo);\n"])
+def test_arguments_behind_a_star_or_a_dot_are_no_parameters(source):
+    assert [x["shape"] for x in unused.occurrences(source, {"foo"}, {2})] == [unused.OTHER]
+
+
+@pytest.mark.parametrize("source", ["function* g(foo) {}\n", "f(function* (foo) {});\n", "f(async function*<T>(foo: T) {});\n", "class A {\n\t*g(foo) {}\n}\n", "class A { a() {} async *g(foo): AsyncGenerator<1 | 2, () => void> {} }\n", "class A { *delete(foo) {} }\n", "class A { g(foo): Map<string, X<Y>> {} }\n", "function\nf(foo) {}\n"])
+def test_generators_and_methods_have_parameters(source):
+    assert [x["shape"] for x in unused.occurrences(source, {"foo"}, {2})] == ["parameter"]
+
+
+@pytest.mark.parametrize("name", ["binding_outcomes"])
+def test_calls_after_a_line_that_ends_in_a_star(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(178, "Words end.***\nGet it\nOf words", "src0")], "doc_id long, text string, source string").write.parquet(path)
+    frame = registry.QUERIES[name](spark, str(tmp_path))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+        expected = con.execute(f"SELECT {', '.join(frame.columns)} FROM ({registry.SQL[name]})").fetchall()
+    assert len(expected) == 1 and [tuple(r) for r in frame.collect()] == expected
+
+
 def test_renaming_in_spark(spark):
     rows = [(str(k), source) for k, (source, *_) in enumerate(CASES)]
     multi = "export function multi(a: number, b: number, a2: number): number {\n\treturn 42;\n}\n"
