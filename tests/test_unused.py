@@ -243,7 +243,7 @@ def test_generators_and_methods_have_parameters(source):
     assert [x["shape"] for x in unused.occurrences(source, {"foo"}, {2})] == ["parameter"]
 
 
-@pytest.mark.parametrize("name", ["binding_outcomes"])
+@pytest.mark.parametrize("name", ["binding_outcomes", "renamed_bindings"])
 def test_calls_after_a_line_that_ends_in_a_star(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     path = str(tmp_path / "documents.parquet")
