@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from codesieve.operators import unused
 from codesieve.operators.edits import Edits, apply_edits
 from codesieve.operators.tokens import Tokens
-from codesieve.plans import registry
+from codesieve.plans import captured, registry
+from codesieve.sources.corpus import synthetic_corpus
 
 TARGETS = "project string, path string, line long, column long, name string, kind string"
 
@@ -255,6 +256,13 @@ def test_calls_after_a_line_that_ends_in_a_star(spark, tmp_path, name):
     assert len(expected) == 1 and [tuple(r) for r in frame.collect()] == expected
 
 
+def test_bindings_stand_only_where_their_words_do(spark, monkeypatch):
+    files = synthetic_corpus(spark, "/root/testdata/sf0.01").cache()
+    found = sorted(captured.bound_in(files).collect())
+    monkeypatch.setattr(captured, "_NEEDED", [""] * len(captured.BOUND))
+    assert found and sorted(captured.bound_in(files).collect()) == found
+
+
 def test_renaming_in_spark(spark):
     rows = [(str(k), source) for k, (source, *_) in enumerate(CASES)]
     multi = "export function multi(a: number, b: number, a2: number): number {\n\treturn 42;\n}\n"
